@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, mixing, packing
+from . import chat, extraction, fingerprint, mixing, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,21 @@ def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, _ = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     added = spark.sql(f"select -1L as conv_id, stack(2, 0L, 'user', '{probe}', 1L, 'assistant', '{probe}') as (turn, role, text)")
@@ -86,6 +101,9 @@ from r
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_multiset_fingerprints": op4_multiset_fingerprints,
+    "op5_pu_quality": op5_pu_quality,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_toxic_spans": op7_toxic_spans,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
 }
