@@ -10,13 +10,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, extraction, fingerprint, mixing, packing, quality, toxicity
+from . import chat, extraction, fingerprint, mixing, packing, quality, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(_table(spark, sf_dir, "embeddings"))
+
+
+OP2 = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+), u as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
+), reach as (
+  select vec_id as a, vec_id as b from v union select r.a, u.b from reach r join u on r.b = u.a
+), c as (
+  select a, min(b) as component_id from reach group by a
+), n as (
+  select a, count(*) as n from u group by a
+)
+select e.vec_id, coalesce(n.n, 0) as n_links, coalesce(c.component_id, e.vec_id) as component_id, e.vec_id = coalesce(c.component_id, e.vec_id) as kept
+from embeddings e left join c on c.a = e.vec_id left join n on n.a = e.vec_id
+"""
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -99,6 +121,7 @@ from r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_grid_order_join": op2_grid_order_join,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_multiset_fingerprints": op4_multiset_fingerprints,
     "op5_pu_quality": op5_pu_quality,
@@ -107,4 +130,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
 }
-ORACLE: dict[str, str] = {"op8_chat_formatting": OP8, "op9_source_mixing": OP9}
+ORACLE: dict[str, str] = {"op2_grid_order_join": OP2, "op8_chat_formatting": OP8, "op9_source_mixing": OP9}
