@@ -17,8 +17,10 @@ has no pieces.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .text import Words, slices
 CAPACITY = 2048
 LEAST_CUT = 64
 CLOSING = 1
-#: Stems whose ids a worker remembers at most, and a quarter of the stretches.
-REMEMBERED = 600_000
+#: Stems whose ids a worker remembers at most, and a third of the stretches.
+REMEMBERED = 500_000
 #: ASCII punctuation but the apostrophe.
 CLOSERS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Text bytes tokenized at once.
@@ -77,7 +79,7 @@ class ChunkIds:
         return chunk.lower(), b""
 
     def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        if len(self.keys) > 4 * REMEMBERED:
+        if len(self.keys) > 3 * REMEMBERED:
             self.forget()
         if len(self.stems) > REMEMBERED:
             self.stems.clear()
@@ -112,6 +114,14 @@ class ChunkIds:
         return flat, np.concatenate([[0], end])[words.first]
 
 
+def known_ids(path: str) -> ChunkIds:
+    """The worker process's own, kept between its tasks."""
+    kept = sys.modules.setdefault("_riskloom_chunk_ids", ModuleType("_riskloom_chunk_ids")).__dict__
+    if path not in kept:
+        kept[path] = ChunkIds(path)
+    return kept[path]
+
+
 def cuts(n: int, capacity: int, least: int) -> list[int]:
     """Lengths of the pieces of n ids, longest first."""
     out = [capacity] * (n // capacity)
@@ -128,7 +138,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, least_cut: int
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = ChunkIds(path), np.array([closing], "<u4").tobytes()
+        known, end = known_ids(path), np.array([closing], "<u4").tobytes()
         for batch in slices(batches, "text", SLICE):
             rows, table = [], [[], [], [], []]
             flat, bounds = known.ids(batch.column(1))
