@@ -10,13 +10,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, extraction, fingerprint, mixing, packing, quality, toxicity, vectors
+from . import chat, extraction, fingerprint, mixing, packing, quality, shingles, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
+OP1 = r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents
+), p as (
+  select doc_id, len(w) as n, unnest(range(1, len(w) - 18)) as s, w from d where len(w) >= 20
+), g as (
+  select doc_id, s, md5(array_to_string(list_slice(w, s, s + 19), ' ')) as h from p
+), late as (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by h order by doc_id, s) as k from g) where k > 1
+), gone as (
+  select distinct doc_id, unnest(range(s, s + 20)) as i from late
+), each as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d
+), kept as (
+  select e.doc_id, string_agg(word, ' ' order by e.i) as t, count(*) as n from each e anti join gone using (doc_id, i) group by e.doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from d left join kept k on k.doc_id = d.doc_id
+"""
+
+
 def op2_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(_table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +64,31 @@ from embeddings e left join c on c.a = e.vec_id left join n on n.a = e.vec_id
 """
 
 
+def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.link(_table(spark, sf_dir, "documents"))
+
+
+OP10 = r"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), g as (
+  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), i -> array_to_string(list_slice(w, i, i + 3), ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d
+), n as (
+  select doc_id, count(*) as n from g group by doc_id
+), o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all
+), u as (
+  select o.a, o.b from o join n x on x.doc_id = o.a join n y on y.doc_id = o.b where 100 * o.o >= 85 * (x.n + y.n - o.o)
+), reach as (
+  select doc_id as a, doc_id as b from d union select r.a, u.b from reach r join u on r.b = u.a
+), c as (
+  select a, min(b) as component_id from reach group by a
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id) join c on c.a = d.doc_id
+"""
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -121,6 +171,7 @@ from r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op2_grid_order_join": op2_grid_order_join,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_multiset_fingerprints": op4_multiset_fingerprints,
@@ -129,5 +180,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxic_spans": op7_toxic_spans,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
+    "op10_prefix_tree_join": op10_prefix_tree_join,
+}
+ORACLE: dict[str, str] = {
+    "op1_relative_lz_dedup": OP1,
+    "op2_grid_order_join": OP2,
+    "op8_chat_formatting": OP8,
+    "op9_source_mixing": OP9,
+    "op10_prefix_tree_join": OP10,
 }
-ORACLE: dict[str, str] = {"op2_grid_order_join": OP2, "op8_chat_formatting": OP8, "op9_source_mixing": OP9}
