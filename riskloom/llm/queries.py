@@ -49,7 +49,7 @@ def op2_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2 = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), u as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
 ), reach as (
@@ -72,7 +72,7 @@ OP10 = r"""
 with recursive d as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
 ), g as (
-  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), i -> array_to_string(list_slice(w, i, i + 3), ' '))
+  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d
 ), n as (
   select doc_id, count(*) as n from g group by doc_id
