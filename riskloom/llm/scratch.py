@@ -25,14 +25,24 @@ def folder(spark: SparkSession) -> str:
     return _own
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back."""
+def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As save, but clear() leaves the table until forget_later() names its path."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def forget_later(*paths: str) -> None:
+    _made.extend(paths)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back."""
+    df, path = keep(df, name)
     _made.append(path)
-    return spark.read.schema(schema).parquet(path)
+    return df
 
 
 def clear(spark: SparkSession) -> None:
