@@ -6,6 +6,7 @@ is unset (tests, one machine) a temporary folder stands in.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended; it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables saved so far; only once every result built on them is written."""
     jvm = spark.sparkContext._jvm

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bits
 from .components import Union, components, forest
-from .scratch import save
+from .scratch import release, save
 from .text import Words, grams, mix, slices, starts_in
 
 WORDS = 4
@@ -185,13 +185,14 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
                 name = set_name(s)
                 if name not in seen and len(s):
                     seen.add(name)
-                    found.append(s[: 2 * prefix_length(len(s), percent)])
+                    found.append(s[: prefix_length(len(s), percent)])
             if found:
                 s, c = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c.astype(np.int64))], ["s", "c"])
 
     counts = docs.select("text").mapInArrow(least, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     top = counts.where(F.col("c") > LONG).orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
+    release(spark)
     order = Order(top["s"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +268,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
 
     met = entries.select("key", "node", "n", "at").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lists, "a long, b long, hot boolean")
     met = save(met, "met")
+    release(spark)
     pairs = met.where("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     listed = save(met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "listed")
     pairs = save(pairs, "pairs")
@@ -322,6 +324,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     hot_links = blocks.join(one, "node").groupBy("block").applyInPandas(within, "a long, b long")
     by_rep = lambda x: x.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     links = save(by_rep(links.unionByName(hot_links)), "links")
+    release(spark)
     label = components(links)
 
     # hot lists that are not connected yet

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import bits
-from .scratch import save
+from .scratch import release, save
 from .text import Words, grams, slices, starts_in
 
 WINDOW = 20
@@ -103,6 +103,8 @@ def spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
     repeated = found.groupBy("a").agg(F.sum("c").alias("c")).where("c > 1").select("a")
     filtered = keyed.sparkSession.sparkContext.broadcast(bits.build(repeated, "a"))  # of fixed size
 
+    release(keyed.sparkSession)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that may have an earlier source (h), and runs that have one in this task (h null)."""
         known = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
