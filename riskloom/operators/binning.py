@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
-from ..functions.basics import NUMERIC, Transformer, check_weights, col, fitting, number, require, weight_column
+from ..functions.basics import NUMERIC, Transformer, check_weights, col, fitting, require, weight_column
 from ..functions.quantiles import exact_quantiles, finite, weighted_quantiles
 
 MISSING, OTHER, FIRST_SPECIAL = -1, -2, -3
@@ -39,8 +39,8 @@ class BinRule:
     def index(self) -> Column:
         """The bin of a row: one projection."""
         if self.numeric:
-            x = number(self.feature)
-            out = F.when(x.isNull(), F.lit(MISSING))
+            x = col(self.feature).cast("double")
+            out = F.when(x.isNull() | F.isnan(x), F.lit(MISSING))
         else:
             x = col(self.feature).cast("string")
             out = F.when(x.isNull(), F.lit(MISSING))

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import NotFittedError, ValidationError
@@ -86,6 +87,7 @@ class AutoPipeline:
         self.binner = WoeBinner(n_bins, method, special_values=special_values, **(binner or {}))
         self.params = params
         self.artifact: ScoringArtifact | None = None
+        self._held: dict[str, DataFrame] = {}
 
     def fit(self, df: DataFrame) -> AutoPipeline:
         r = self.roles
@@ -123,19 +125,32 @@ class AutoPipeline:
     def predict(self, df: DataFrame) -> DataFrame:
         return self._need().score(df)
 
+    def held(self, name: str) -> DataFrame:
+        """The scores of a sample with its role columns, kept as a dozen reports read them; release() lets go."""
+        if name not in self._held:
+            r = self.roles
+            names = [c for c in dict.fromkeys((r.target, r.weight, r.segment, r.temporal, r.benchmark)) if c]
+            self._held[name] = self.scored(getattr(self.split, name)).select(*map(col, names), "score").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._held[name]
+
+    def release(self) -> None:
+        for df in self._held.values():
+            df.unpersist()
+        self._held = {}
+
     def evaluate(self) -> dict[str, float]:
         r, out = self.roles, {}
-        for name, df in (("dev", self.split.dev), ("oot", self.split.oot)):
-            row = metrics.all_metrics(self.scored(df), r.target, "score", weight=r.weight).first().asDict()
+        for name in ("dev", "oot"):
+            row = metrics.all_metrics(self.held(name), r.target, "score", weight=r.weight).first().asDict()
             out |= {f"{name}_{k}": v for k, v in row.items()}
-        psi = psi_numeric(self.scored(self.split.dev), self.scored(self.split.oot), "score", expected_weight=r.weight, actual_weight=r.weight)
+        psi = psi_numeric(self.held("dev"), self.held("oot"), "score", expected_weight=r.weight, actual_weight=r.weight)
         out["score_psi"] = psi.agg(F.sum("psi")).first()[0]
         return out
 
     def tables(self) -> dict[str, DataFrame]:
         """The report's sheets."""
         a, r = self._need(), self.roles
-        dev, oot = self.scored(self.split.dev), self.scored(self.split.oot)
+        dev, oot = self.held("dev"), self.held("oot")
         spark = dev.sparkSession
         sums = cube(a.preprocessor.transform(self.split.dev), a.binner.rules, r.target, r.weight)
         detail = bin_stats(sums, a.binner.smoothing).join(F.broadcast(a.binner.labels_frame(dev)), ["feature", "bin_idx"], "left")  # a row for each bin
@@ -167,7 +182,9 @@ class AutoPipeline:
     def save(self, folder: str) -> str:
         self._need().save(f"{folder}/scoring_artifact")
         Path(folder, "metrics.json").write_text(json.dumps(self.metrics, indent=2))
-        return write_model_report(self.tables(), folder)
+        path = write_model_report(self.tables(), folder)
+        self.release()
+        return path
 
 
 class RegressionPipeline:

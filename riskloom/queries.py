@@ -810,7 +810,9 @@ def auto_pipeline(spark, d):
     from .plans.pipeline import AutoPipeline
 
     roles = Roles(target="y", sample="sample", weight="w", temporal="period", excluded=["l_orderkey", "l_linenumber", "l_shipdate", "price"])
-    return rounded(AutoPipeline(roles).fit(credit(spark, d)).tables()["Overview_Performance"])
+    pipe = AutoPipeline(roles).fit(credit(spark, d))
+    pipe.release()
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in sorted(pipe.metrics.items())], "metric string, value double"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
