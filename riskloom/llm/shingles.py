@@ -8,6 +8,8 @@ that link share a shingle within the prefixes that their sizes and the threshold
 1. Documents of equal sets are one node, named by a hash of the set.
 2. Prefix shingles meet in lists; a list gives the pairs that sizes and places in the
    order allow. A list of more than LIST nodes is "hot" and gives its nodes instead.
+   Pairs that the counts of their sets in cells of hashes rule out are left: the overlap
+   is at most the sum, over cells, of the lesser count.
 3. The partners of a node are stored in a trie of their ordered sets, which the node's
    own set walks once, carrying the overlap on shared paths and leaving subtrees that the
    remaining lengths rule out.
@@ -82,6 +84,28 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def cell_counts(s: np.ndarray) -> bytes | None:
+    """How many of a set's hashes lie in each of 2**k equal cells, about two a cell; null if a count passes a byte."""
+    if not len(s):
+        return None
+    k = min(14, max(4, (len(s) - 1).bit_length() - 1))
+    counts = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def possible(a: bytes | None, b: bytes | None, percent: int = PERCENT) -> bool:
+    """Whether sets of these counts may link."""
+    if a is None or b is None:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    size = int(x.sum()), int(y.sum())
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(1)
+    return int(np.minimum(x, y).sum()) >= least_overlap(*size, percent)
+
+
 class Order:
     """Frequent shingles by frequency after all others by hash."""
 
@@ -198,16 +222,18 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            size, name, prefix = [], [], []
+            size, name, prefix, cells = [], [], [], []
             for s in sets(batch.column(1), n):
                 size.append(len(s))
                 name.append(set_name(s))
                 fresh = len(s) and name[-1] not in seen  # copies in one task send one prefix
                 seen.add(name[-1])
                 prefix.append(order.sort(s)[: prefix_length(len(s), percent)].view(np.int64) if fresh else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
+                cells.append(cell_counts(s) if fresh else None)
+            columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "prefix", "cells"])
 
-    named = save(docs.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>"), "named")
+    named = save(docs.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>, cells binary"), "named")
     entries = named.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "key"))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +297,15 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     release(spark)
     pairs = met.where("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     listed = save(met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "listed")
-    pairs = save(pairs, "pairs")
+    cells = named.where("prefix is not null").groupBy("node").agg(F.first("cells").alias("cells"))
+
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [possible(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    with_cells = pairs.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("node").alias("b"), F.col("cells").alias("y")), "b")
+    pairs = save(with_cells.select("a", "b", "x", "y").mapInArrow(may_link, "a long, b long"), "pairs")
     reps = save(named.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
 
     # the sets of nodes that have a partner to look at, from their first documents
