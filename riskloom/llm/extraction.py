@@ -407,6 +407,9 @@ def page_maker(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             if parts and chance(0.2):
                 parts = [f"<header>{parts[0]}</header>"]
             size = int(rng.integers(1, 4) if chance(0.3) else rng.integers(2, 26))
+            if chance(0.1):  # next to nothing
+                parts, size = parts if chance(0.5) else [], 0
+                parts += [f"<p>{block(words(1, 4) + some(['', '.']))}</p>" for _ in range(int(rng.integers(1, 3)))]
             for _ in range(size):
                 parts.append(body_block())
                 if chance(0.07):

@@ -80,6 +80,13 @@ def factors(begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndar
     return begin[new], reach[np.append(new[1:], len(begin)) - 1]
 
 
+def unused(names: list[str], name: str) -> str:
+    """A column name that is not among the names."""
+    while name.lower() in {n.lower() for n in names}:
+        name = f"_{name}"
+    return name
+
+
 def _ordered_ids(docs: DataFrame) -> DataFrame:
     """doc_id, text, key: doc_id, or where ids repeat a number in the order of (doc_id, text)."""
     most = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count").alias("m")).first()["m"] or 1
@@ -178,21 +185,24 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with duplicate spans cut from text (and n_chars, if there, counted anew); other rows stay as they are."""
     names, schema = docs.columns, docs.schema
     keyed = _ordered_ids(docs)
-    runs = spans(keyed, window).join(keyed.select("key", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")), "key")
-    runs = runs.groupBy("_id", "_hash").agg(F.max_by("runs", "key").alias("runs"))  # of equal rows, the last has all of its windows earlier
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("binary")) == F.col("_hash"))
-    left = docs.join(runs, same, "left").select(*names, "runs")
+    mine, own_id, own_hash = (unused(names, x) for x in ("runs", "id", "hash"))
+    runs = spans(keyed, window).join(keyed.select("key", F.col("doc_id").alias(own_id), F.xxhash64("text").alias(own_hash)), "key")
+    runs = runs.groupBy(own_id, own_hash).agg(F.max_by("runs", "key").alias(mine))  # of equal rows, the last has all of its windows earlier
+    same = (F.col("doc_id") == F.col(own_id)) & (F.xxhash64(F.col("text").cast("binary")) == F.col(own_hash))
+    left = docs.join(runs, same, "left").select(*[F.col(f"`{c}`") for c in names], mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch["text"].to_pylist()
-            for i, r in enumerate(batch["runs"]):
+            columns = {c: batch[c] for c in names}
+            sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(texts)
+            for i, r in enumerate(batch[mine]):
                 if r.is_valid and texts[i] is not None:
                     texts[i] = b" ".join(_removed(texts[i].encode().split(), r.values, window)).decode()
-            columns = {c: batch[c] for c in names}
+                    sizes[i] = len(texts[i])
             columns["text"] = pa.array(texts, batch["text"].type)
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts]).cast(batch["n_chars"].type)
+                columns["n_chars"] = pa.array(sizes, batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     return left.mapInArrow(run, schema)
