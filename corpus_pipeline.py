@@ -26,9 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies; rows that share an id: one."""
     _begin(spark)
-    groups = scratch.save(shingles.link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    first = docs.join(groups, F.col("doc_id") == F.col("_id"), "left").where("_id is not null or doc_id is null").drop("_id")
-    return first
+    name = substrings.unused(docs.columns, "kept_id")
+    groups = scratch.save(shingles.link(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept")
+    return docs.join(groups, F.col("doc_id") == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(name)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
