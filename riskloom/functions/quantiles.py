@@ -93,10 +93,7 @@ def running(df: DataFrame, by: str, sums: dict[str, str], descending: bool = Fal
     if ranges <= 1:
         w = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    bounds = sorted(set(df.agg(F.percentile_approx(by, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]))
-    place = F.lit(0)
-    for b in bounds:  # at most as many as ranges
-        place = place + F.when(F.col(by) >= b, 1).otherwise(0)
+    place = range_of(df, by, ranges)
     dealt = df.withColumn("_range", -place if descending else place)
     w = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -106,6 +103,21 @@ def running(df: DataFrame, by: str, sums: dict[str, str], descending: bool = Fal
     return out.withColumns({n: F.col(n) + F.col(f"_t{k}") for k, n in enumerate(sums)}).drop("_range", *[f"_t{k}" for k in range(len(sums))])
 
 
+def range_of(df: DataFrame, by: str, ranges: int) -> Column:
+    """The range of a row, 0 for the least values: about as many rows each, equal values together."""
+    found = df.agg(F.percentile_approx(by, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(by))), F.lit(0))
+
+
+def ranked(df: DataFrame, order: list[str], n: int, ranges: int | None = None) -> DataFrame:
+    """Adds _k, the row's number from 1 in an order that begins with a number or a time, without one task for all."""
+    rows = df.withColumn("_one", F.lit(1))
+    return running(rows, order[0], {"_k": "_one"}, ties=tuple(order[1:]), ranges=max(1, n // RANGE_ROWS) if ranges is None else ranges).drop("_one")
+
+
 def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: list[float], ties: tuple[str, ...] = (), ranges: int | None = None) -> list[float]:
     """Interpolated at (running weight - weight / 2) / total weight of each row in order of value.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..errors import ValidationError
 from ..functions.basics import Transformer, check_weights, col, fitting, is_missing, numeric_columns, require, weight_column, weighted_mean
-from ..functions.quantiles import exact_quantiles, finite, weighted_quantiles
+from ..functions.quantiles import RANGE_ROWS, exact_quantiles, finite, range_of, weighted_quantiles
 
 EPS = 1e-10
 
@@ -27,14 +27,28 @@ def fill_value(df: DataFrame, value, columns: list[str] | None = None) -> DataFr
     return df.withColumns({c: F.coalesce(col(c), F.lit(value).cast(df.schema[c].dataType)) for c in names})
 
 
-def fill_ordered(df: DataFrame, columns: list[str], order: list[str], backward: bool = False, by: list[str] = ()) -> DataFrame:
+def fill_ordered(df: DataFrame, columns: list[str], order: list[str], backward: bool = False, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """The previous (or next) value that is not NULL, in an explicit order and within groups if given.
 
-    Name groups for large tables: without any, all rows are ordered in one task.
+    Without groups, rows are dealt in ranges of the first order column; what a range
+    hands on to the next comes from a table of one row a range.
     """
-    w = W.partitionBy(*(map(col, by) if by else [F.lit(0)])).orderBy(*[col(c) for c in order])
-    w = w.rowsBetween(0, W.unboundedFollowing) if backward else w.rowsBetween(W.unboundedPreceding, 0)
     pick = F.first if backward else F.last
+    if not by:
+        n = ranges or max(1, df.count() // RANGE_ROWS)
+        df = df.withColumn("_range", range_of(df, order[0], n))
+        by = ["_range"]
+        way = W.partitionBy(F.lit(0)).orderBy("_range")
+        way = way.rowsBetween(1, W.unboundedFollowing) if backward else way.rowsBetween(W.unboundedPreceding, -1)
+        own = W.partitionBy("_range").orderBy(*[col(c) for c in order])
+        ends = df.groupBy("_range").agg(*[(F.min_by if backward else F.max_by)(col(c), F.when(col(c).isNotNull(), F.struct(*map(col, order)))).alias(f"_e{k}") for k, c in enumerate(columns)])
+        ends = ends.select("_range", *[pick(f"_e{k}", ignorenulls=True).over(way).alias(f"_e{k}") for k in range(len(columns))])
+        own = own.rowsBetween(0, W.unboundedFollowing) if backward else own.rowsBetween(W.unboundedPreceding, 0)
+        out = df.join(F.broadcast(ends), "_range")  # one row a range
+        filled = {c: F.coalesce(pick(col(c), ignorenulls=True).over(own), F.col(f"_e{k}")) for k, c in enumerate(columns)}
+        return out.withColumns(filled).drop("_range", *[f"_e{k}" for k in range(len(columns))])
+    w = W.partitionBy(*map(col, by)).orderBy(*[col(c) for c in order])
+    w = w.rowsBetween(0, W.unboundedFollowing) if backward else w.rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns({c: pick(col(c), ignorenulls=True).over(w) for c in columns})
 
 

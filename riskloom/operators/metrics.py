@@ -87,7 +87,7 @@ def regression(df: DataFrame, target: str, predicted: str, weight: str | None =
     w, y, e = weight_column(weight), col(target).cast("double"), col(target).cast("double") - col(predicted).cast("double")
     keys = list(map(col, by))
     mean = df.groupBy(*keys).agg(F.try_divide(F.sum(w * y), F.sum(w)).alias("_m"))
-    both = df.join(F.broadcast(mean), list(by)) if by else df.crossJoin(F.broadcast(mean))  # a row for each group
+    both = df.join(mean, list(by)) if by else df.crossJoin(F.broadcast(mean))  # without groups: one row
     sums = both.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * e * e).alias("sse"), F.sum(w * F.abs(e)).alias("sae"), F.sum(w * (y - F.col("_m")) ** 2).alias("sst"))
     return sums.select(*by, F.sqrt(F.col("sse") / F.col("w")).alias("rmse"), (F.col("sae") / F.col("w")).alias("mae"), F.coalesce(1 - F.try_divide("sse", "sst"), F.lit(0.0)).alias("r2"))
 

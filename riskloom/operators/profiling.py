@@ -26,7 +26,10 @@ def long_rows(df: DataFrame, features: list[str], special_values: list = (), kee
 def overview(df: DataFrame, features: list[str], target: str | None = None, group: str | None = None) -> DataFrame:
     """item, value (text): rows, features, numeric and categorical ones, duplicate rows, bad rate, groups."""
     n_numeric = len([f for f in features if f in numeric_columns(df)])
-    rows = df.groupBy(*[col(c) for c in df.columns if not isinstance(df.schema[c].dataType, NESTED)]).agg(F.count(F.lit(1)).alias("n"))
+    flat = [col(c) for c in df.columns if not isinstance(df.schema[c].dataType, NESTED)]
+    null = [c.isNull() for c in flat]
+    # rows are told apart by 128 bits of hashes, which is what crosses the network
+    rows = df.groupBy(F.xxhash64(*flat, *null).alias("_h"), F.xxhash64(F.lit(1), *null, *flat).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
     about = rows.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicate_rows"))
     more = df.agg(*[e for e in (F.avg(col(target).cast("double")).alias("bad_rate") if target else None, F.count_distinct(col(group)).alias("n_groups") if group else None) if e is not None]) if target or group else None
     both = about.crossJoin(F.broadcast(more)) if more is not None else about  # one row each

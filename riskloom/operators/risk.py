@@ -116,7 +116,7 @@ def score_trend(df: DataFrame, group: str, score: str, weight: str | None = None
     w, s = weight_column(weight), col(score).cast("double")
     ok = s.isNotNull() & ~F.isnan(s)
     sums = df.where(ok).groupBy(col(group).alias("group")).agg((F.sum(w * s) / F.sum(w)).alias("score_mean"), F.sum(w).alias("_w"))
-    spread = df.where(ok).join(F.broadcast(sums), col(group) == F.col("group")).groupBy("group").agg(F.sum(w * (s - F.col("score_mean")) ** 2).alias("_v"))  # a row for each period
+    spread = df.where(ok).join(sums, col(group) == F.col("group")).groupBy("group").agg(F.sum(w * (s - F.col("score_mean")) ** 2).alias("_v"))
     return sums.join(spread, "group").select("group", "score_mean", F.sqrt(F.col("_v") / F.col("_w")).alias("score_std"))
 
 

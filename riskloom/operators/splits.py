@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
 from ..functions.basics import LOG, col, require
+from ..functions.quantiles import RANGE_ROWS, ranked
 
 
 @dataclass
@@ -32,9 +33,19 @@ def hashed(key: list[str], seed: int) -> Column:
     return F.xxhash64(*[col(k) for k in key], F.lit(seed))
 
 
-def _ranked(df: DataFrame, order: list[Column], by: list[str] = ()) -> DataFrame:
-    parts = [col(c) for c in by] if by else [F.lit(0)]
-    return df.withColumns({"_k": F.row_number().over(W.partitionBy(*parts).orderBy(*order)), "_n": F.count(F.lit(1)).over(W.partitionBy(*parts))})
+def _within(df: DataFrame, by: str, key: list[str], seed: int, ranges: int | None = None) -> DataFrame:
+    """Adds _k, a row's number in its class by hash, and _n, the class's rows; classes are dealt in ranges of the hash."""
+    rows = df.withColumn("_h", hashed(key, seed))
+    classes = rows.groupBy(col(by).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    shares = ranges or max(1, df.count() // RANGE_ROWS)
+    rows = rows.withColumn("_r", F.pmod(F.shiftright("_h", 40), F.lit(shares)))
+    counts = rows.groupBy(col(by).alias("_c"), "_r").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.coalesce(F.sum("_m").over(W.partitionBy("_c").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_c", F.col("_r").alias("_s"), before.alias("_b"))
+    place = F.row_number().over(W.partitionBy(col(by), "_r").orderBy("_h", *[col(k) for k in key]))
+    out = rows.withColumn("_k", place).join(starts, col(by).eqNullSafe(F.col("_c")) & (F.col("_r") == F.col("_s"))).drop("_c")
+    out = out.join(classes, col(by).eqNullSafe(F.col("_c")))
+    return out.withColumn("_k", F.col("_k") + F.col("_b")).drop("_c", "_h", "_r", "_s", "_b")
 
 
 
@@ -49,8 +60,8 @@ def train_test_split(df: DataFrame, key: list[str], test_size: float = 0.2, shuf
     n = df.count()
     n_test = int(n * test_size)
     if not shuffle:
-        ranked = _ranked(df, [col(k) for k in key])
-        return ranked.where(F.col("_k") <= n - n_test).drop("_k", "_n"), ranked.where(F.col("_k") > n - n_test).drop("_k", "_n")
+        rows = ranked(df, list(key), n)
+        return rows.where(F.col("_k") <= n - n_test).drop("_k"), rows.where(F.col("_k") > n - n_test).drop("_k")
     rows = df.withColumn("_h", hashed(key, seed))
     counts = rows.groupBy(F.shiftright("_h", 48).alias("r")).agg(F.count(F.lit(1)).alias("n")).orderBy("r").collect()  # 2**16 ranges at most
     left, edge = n - n_test, None
@@ -72,9 +83,9 @@ def train_test_split(df: DataFrame, key: list[str], test_size: float = 0.2, shuf
 
 def stratified_split(df: DataFrame, target: str, key: list[str], test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Of each class its rounded share to test."""
-    ranked = _ranked(df, [hashed(key, seed), *[col(k) for k in key]], [target])
+    rows = _within(df, target, key, seed)
     test = F.col("_k") <= F.bround(F.col("_n") * test_size)
-    return ranked.where(~test).drop("_k", "_n"), ranked.where(test).drop("_k", "_n")
+    return rows.where(~test).drop("_k", "_n"), rows.where(test).drop("_k", "_n")
 
 
 def time_series_split(df: DataFrame, date: str, key: list[str], test_size: float = 0.2, gap: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -83,17 +94,26 @@ def time_series_split(df: DataFrame, date: str, key: list[str], test_size: float
     n_test = int(n * test_size)
     if gap < 0 or n - n_test - gap <= 0 or n_test <= 0:
         raise ValidationError("nothing is left to train or to test on")
-    ranked = _ranked(df, [col(date), *[col(k) for k in key]])
-    return ranked.where(F.col("_k") <= n - n_test - gap).drop("_k", "_n"), ranked.where(F.col("_k") > n - n_test).drop("_k", "_n")
+    rows = ranked(df, [date, *[k for k in key if k != date]], n)
+    return rows.where(F.col("_k") <= n - n_test - gap).drop("_k"), rows.where(F.col("_k") > n - n_test).drop("_k")
 
 
 def kfold(df: DataFrame, k: int = 5, key: list[str] = (), shuffle: bool = False, seed: int = 42, stratify: str | None = None, name: str = "fold") -> DataFrame:
     """Adds the fold 0..k-1: contiguous in the key's order, or by hash; the first n % k folds have one row more."""
     if k < 2:
         raise ValidationError("at least two folds")
-    order = [hashed(key, seed), *[col(x) for x in key]] if shuffle else [col(x) for x in key]
-    parts = [col(stratify)] if stratify else [F.lit(0)]
-    return df.withColumn(name, F.ntile(k).over(W.partitionBy(*parts).orderBy(*order)) - 1)
+    if stratify:
+        rows = _within(df, stratify, list(key), seed)
+    else:
+        n = df.count()
+        rows = ranked(df.withColumn("_h", hashed(list(key), seed)), ["_h", *key], n).drop("_h") if shuffle else ranked(df, list(key), n)
+        rows = rows.withColumn("_n", F.lit(n))
+    # as ntile: the first n % k folds take a row more
+    low, more = F.expr(f"_n div {k}"), F.col("_n") % k
+    at = F.col("_k") - 1
+    edge = more * (low + 1)
+    fold = F.when(at < edge, F.floor(F.try_divide(at, low + 1))).otherwise(more + F.floor(F.try_divide(at - edge, low)))
+    return rows.withColumn(name, fold.cast("int")).drop("_k", "_n")
 
 
 def cv_splits(df: DataFrame, k: int = 5, method: str = "stratified", target: str | None = None, key: list[str] = (), date: str | None = None, seed: int = 42):

@@ -77,6 +77,15 @@ def load_data(spark: SparkSession, source, **how) -> DataFrame:
     return readers[kind](spark, path, **how)
 
 
+def load_csv_pandas(spark: SparkSession, path: str, **how):
+    """As load_csv, as a pandas frame on the driver: for small files."""
+    return load_csv(spark, path, **how).toPandas()
+
+
+def load_excel_pandas(spark: SparkSession, path: str, **how):
+    return load_excel(spark, path, **how).toPandas()
+
+
 def save_dataframe(df: DataFrame, path: str, kind: str | None = None, mode: str = "overwrite") -> str:
     kind = kind or Path(path).suffix.lstrip(".").lower() or "parquet"
     if kind == "xlsx":

@@ -62,6 +62,10 @@ def test_fill(spark):
     df = spark.createDataFrame([(0, 1, 1), (1, None, 2), (2, 3, None), (3, None, 4), (4, 5, None)], "k int, a int, b int")
     assert [r["a"] for r in C.clean_data(df, "forward", order=["k"]).orderBy("k").collect()] == [1, 1, 3, 3, 5]
     assert [r["b"] for r in C.clean_data(df, "backward", order=["k"]).orderBy("k").collect()] == [1, 2, 4, 4, None]
+    many = spark.range(300).select(F.col("id").alias("k"), F.when(F.col("id") % 97 == 5, F.col("id")).alias("v"))
+    for back in (False, True):
+        want = [r["v"] for r in C.fill_ordered(many, ["v"], ["k"], back, ranges=1).orderBy("k").collect()]
+        assert [r["v"] for r in C.fill_ordered(many, ["v"], ["k"], back, ranges=9).orderBy("k").collect()] == want
     nan = spark.createDataFrame([(float("nan"),), (None,)], "x double")
     assert C.clean_data(nan, fill=0.0).where("isnan(x)").count() == 1
     with pytest.raises(ValidationError):
@@ -75,6 +79,11 @@ def test_splits(spark):
     a, b = D.stratified_split(df, "y", ["id"], 0.2)
     assert b.where("y = 1").count() == 10 and b.count() == 40
     assert sorted(r["count"] for r in D.kfold(df, 3, ["id"]).groupBy("fold").count().collect()) == [66, 67, 67]
+    from riskloom.functions.quantiles import ranked
+
+    assert [r["_k"] for r in ranked(df, ["id"], 200, 7).orderBy("id").collect()] == list(range(1, 201))
+    within = D._within(df, "y", ["id"], 1, 5)
+    assert sorted(r["_k"] for r in within.where("y = 1").collect()) == list(range(1, 51))
     folds = list(D.cv_splits(df, 3, "timeseries", date="id", key=["id"]))
     assert all(x.agg(F.max("id")).first()[0] < y.agg(F.min("id")).first()[0] for x, y in folds)
     label = df.withColumn("s", F.when(F.col("id") < 150, "Dev").when(F.col("id") < 190, "oot"))
