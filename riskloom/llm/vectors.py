@@ -31,6 +31,8 @@ from .scratch import save
 
 COSINE = 0.95
 INTERVAL = 4096
+#: With more vectors intervals grow, so that the table of meetings stays small.
+MOST_INTERVALS = 1024
 LEAF = 512
 #: Vectors from which the axes are found; axes only order the join, any would be right.
 AXES_SAMPLE = 4000
@@ -98,7 +100,7 @@ def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     spots = unit(np.stack([np.asarray(x, np.float64) for x in sample])) @ turn[:, :lead]
     keys = np.floor(spots / eps).astype(np.int64)
     order = np.lexsort(np.concatenate([spots[:, :1].T, keys.T[::-1]]))
-    count = max(1, -(-n // interval))
+    count = min(MOST_INTERVALS, max(1, -(-n // interval)))
     # intervals begin at cells of sampled vectors: cells, then the first coordinate
     ranks = sorted({int(k * len(order) / count) for k in range(1, count)})
     bounds = np.concatenate([keys, spots[:, :1]], 1)[order[ranks]] if ranks else np.empty((0, lead + 1))
@@ -134,13 +136,13 @@ def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     parts = boxes["part"].tolist()
     low, high = (np.stack(boxes[c].tolist()) for c in ("low", "high"))
     partners: dict[int, list[str]] = {p: [] for p in parts}
-    for i, p in enumerate(parts):  # intervals are few thousand vectors each: their boxes are a small table
+    for i, p in enumerate(parts):  # their boxes are a table of MOST_INTERVALS rows at most
         for j in np.flatnonzero(~far(low[i], high[i], low[i:], high[i:], eps)) + i:
             a, b = sorted((p, parts[j]))
             for x in {a, b}:
                 partners[x].append(f"{a},{b}")
     pairs = table.sparkSession.createDataFrame([(p, m) for p, ms in partners.items() for m in ms], "part long, meeting string")
-    dealt = placed.join(F.broadcast(pairs), "part")  # pairs of intervals
+    dealt = placed.join(F.broadcast(pairs), "part")  # pairs of at most MOST_INTERVALS intervals
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         a, b = map(int, group["meeting"].iloc[0].split(","))
