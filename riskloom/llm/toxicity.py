@@ -1,11 +1,12 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Labels say only whether a document is toxic, so words to learn from are labelled first: a
-word of a toxic document counts as toxic where it, or its first 4 to 6 bytes, occurs in
-many toxic documents and next to never in others. The field then learns from hashed
+word of a toxic document counts as toxic where it, or its first 4 to 7 bytes, occurs in
+far more toxic documents than others, by a likelihood ratio that chance does not reach. The field then learns from hashed
 features of each word (itself, first and last bytes) and from transitions. Chains are
 sentences, cut after CHAIN words. Forward and backward sums give each word's probability;
-a document's score is a logistic function of the largest and of the sum of them, fitted
+a document's score is a logistic function of the largest and of the sums of the high and
+of the low ones over its different words, fitted
 on the documents to learn from, and words of at least 0.5 give the spans.
 
 Samples to learn from are bounded by ``sample`` documents of each label; all texts are
@@ -34,7 +35,9 @@ _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]]
 _HALT = np.zeros(256, bool)
 _HALT[[*b".!?"]] = True
 #: (first or last bytes, how many; 0: all)
-_VIEWS = ((0, 0), (0, 3), (0, 4), (0, 5), (0, 6), (1, 3))
+_VIEWS = ((0, 0), (0, 3), (0, 4), (0, 5), (0, 6), (0, 7), (1, 3))
+#: Views by which words of toxic documents are labelled.
+_STEMS = (0, 2, 3, 4, 5)
 
 
 class Tokens:
@@ -122,29 +125,37 @@ class Field:
         return marginals(emission, tokens.chain, tokens.length, self.move, self.start)[0]
 
 
-def _of_documents(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Largest and summed probability of each document, on scales a line fits."""
+def _of_documents(p: np.ndarray, tokens: Tokens) -> np.ndarray:
+    """Largest and summed probabilities of each document's different words, on scales a line fits."""
+    first = tokens.first
     n = len(first) - 1
-    most, total = np.zeros(n), np.zeros(n)
+    most = np.zeros(n)
     full = np.flatnonzero(np.diff(first))
     if len(full):
         most[full] = np.maximum.reduceat(p, first[full])
-        total[full] = np.add.reduceat(np.where(p > 0.05, p, 0.0), first[full])
     most = np.clip(most, 1e-4, 1 - 1e-4)
-    return np.stack([np.log(most / (1 - most)) / 4, np.log1p(total), np.ones(n)], 1)
+    some = np.flatnonzero(p > 0.02)
+    word = mix(tokens.views[0][some] ^ mix(tokens.doc[some].astype(np.uint64)))
+    some = some[np.unique(word, return_index=True)[1]]
+    high = p[some] > 0.5
+    sums = [np.bincount(tokens.doc[some[k]], p[some[k]], n) for k in (high, ~high)]
+    return np.stack([np.log(most / (1 - most)) / 4, *map(np.log1p, sums), np.ones(n)], 1)
 
 
-def silver(tokens: Tokens, toxic: np.ndarray, least: int = 6, ratio: float = 25.0) -> np.ndarray:
+def silver(tokens: Tokens, toxic: np.ndarray, least: float = 30.0, ratio: float = 4.0) -> np.ndarray:
     """Words of toxic documents that stand out by themselves or by their first bytes."""
     label = np.zeros(len(tokens.start), bool)
-    bad, good = max(1, toxic.sum()), max(1, (~toxic).sum())
-    for view in (0, 2, 3, 4):
+    share = toxic.mean()
+    for view in _STEMS:
         keys, of = np.unique(tokens.views[view], return_inverse=True)
         pair = np.unique(of.astype(np.int64) * len(toxic) + tokens.doc)
         unit, doc = pair // len(toxic), pair % len(toxic)
-        in_bad, in_all = np.bincount(unit[toxic[doc]], minlength=len(keys)), np.bincount(unit, minlength=len(keys))
-        stands_out = (in_bad >= least) & (in_bad / bad >= ratio * (in_all - in_bad + 0.5) / good)
-        label |= stands_out[of]
+        both = np.bincount(unit, minlength=len(keys)).astype(float)
+        bad = np.bincount(unit[toxic[doc]], minlength=len(keys)).astype(float)
+        good = both - bad
+        part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / (both * q)), 0.0)
+        g2 = 2 * (part(bad, share) + part(good, 1 - share))
+        label |= ((g2 >= least) & (bad / share >= ratio * (good + 0.5) / (1 - share)))[of]
     return label & toxic[tokens.doc]
 
 
@@ -175,13 +186,13 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = 60, decay: float = 1e
 
     v = _descend(gradient, size + 5, steps, 0.15)
     field = Field(v[:size].astype(np.float32), v[size : size + 4].reshape(2, 2), float(v[-1]))
-    x = _of_documents(field.probabilities(tokens), tokens.first)
+    x = _of_documents(field.probabilities(tokens), tokens)
     y = toxic.astype(np.float64)
 
     def logistic(v, _):
         return x.T @ (_sigmoid(x @ v) - y) / len(y) + 1e-4 * v
 
-    field.document = _descend(logistic, 3, 1500, 0.05)
+    field.document = _descend(logistic, 4, 2000, 0.05)
     return field
 
 
@@ -203,7 +214,7 @@ def score(docs: DataFrame, field: Field | None, folds: int = 4, held: int = 2, t
             s = np.zeros(batch.num_rows)
             if field is not None:
                 tokens = Tokens(batch.column(1))
-                s = _sigmoid(_of_documents(field.probabilities(tokens), tokens.first) @ field.document)
+                s = _sigmoid(_of_documents(field.probabilities(tokens), tokens) @ field.document)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
