@@ -173,12 +173,15 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
         z = model.output(x)
         size = max(z.std(), 1e-6)
         target = np.where(y == 1, 1 - 1 / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-
-        def gradient(v, _):
-            e = _sigmoid(v[0] * z / size + v[1]) - target
-            return np.array([(e * z / size).mean(), e.mean()])
-
-        v = _descend(gradient, 2, 1500, 0.05)
+        design, v = np.stack([z / size, np.ones(len(z))], 1), np.array([1.0, 0.0])
+        for _ in range(100):  # Newton with halved steps
+            p = _sigmoid(design @ v)
+            g = design.T @ (p - target) + 1e-3 * v
+            h = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+            step = np.linalg.solve(h, g)
+            v = v - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-8:
+                break
         model.slope, model.shift = v[0] / size, v[1]
     return model
 
