@@ -25,7 +25,7 @@ def build(keys: DataFrame, column: str, log_bits: int = LOG_BITS) -> np.ndarray:
         .agg(F.expr(f"bitmap_construct_agg(cast(pmod(slot, {_PAGE}) as bigint))").alias("bits"))
     )
     out = np.zeros((1 << log_bits) // 8, np.uint8)
-    for page, bits in pages.toLocalIterator():
+    for page, bits in pages.collect():  # the whole filter at most
         out[page * (_PAGE // 8) : (page + 1) * (_PAGE // 8)] = np.frombuffer(bytes(bits), np.uint8)
     return out
 

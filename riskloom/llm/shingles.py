@@ -177,19 +177,45 @@ def _array(x) -> np.ndarray:
     return np.asarray(x, np.int64).view(np.uint64)
 
 
-def join_block(members: list[np.ndarray], left: np.ndarray | None = None, label: np.ndarray | None = None, order: Order | None = None, percent: int = PERCENT) -> np.ndarray:
+def join_block(members: list[np.ndarray], left: np.ndarray | None = None, label: np.ndarray | None = None, order: Order | None = None, percent: int = PERCENT, keys: list | None = None, key: int = 0) -> np.ndarray:
     """Roots of the members (sorted sets) by links within the block.
 
-    left: rows that look for partners (all if None); label: rows of one label are taken as linked.
+    left: rows that look for partners (all if None); label: rows of one label are taken as
+    linked; keys: the lists of each row, of which a pair is looked at in the first common one.
     """
-    union, trie = Union(len(members)), Trie()
+    union, trie = Union(len(members)), None
     if label is not None:
         first: dict = {}
         for i, x in enumerate(label.tolist()):
             union.join(first.setdefault(x, i), i)
-    for i, s in enumerate(members):
-        trie.add(order.sort(s) if order else s, i)
+    sizes = np.array([len(s) for s in members])
+    cells = np.stack([np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) for s in members]).astype(np.int32)
+    if keys is not None:
+        names, of = np.unique(np.concatenate([np.asarray(k, np.int64) for k in keys]), return_inverse=True)
+        held = np.zeros((len(members), len(names)), bool)
+        held[np.repeat(np.arange(len(keys)), [len(k) for k in keys]), of] = True
+        here = int(np.searchsorted(names, key))
     for i in range(len(members)) if left is None else left.tolist():
+        # only partners that counts allow and that are not connected yet need a look
+        able = np.minimum(cells[i], cells).sum(1) >= least_overlap(sizes[i], sizes, percent)
+        if keys is not None:
+            able &= (held[i] & held).argmax(1) == here
+        mine = union.root(i)
+        open_ = [j for j in np.flatnonzero(able).tolist() if union.root(j) != mine]
+        if not open_:
+            continue
+        if len(open_) <= 4:
+            s = members[i]
+            for j in open_:
+                t = members[j]
+                overlap = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+                if 100 * overlap >= percent * (len(s) + len(t) - overlap):
+                    union.join(i, j)
+            continue
+        if trie is None:
+            trie = Trie()
+            for k, s in enumerate(members):
+                trie.add(order.sort(s) if order else s, k)
         for j in trie.partners(members[i], percent):
             union.join(i, j)
     return union.roots()
@@ -375,16 +401,18 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
         seek = rest.where("minor").select("key", "node", "label", "j", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), F.lit(True).alias("seeks"))
         stay = rest.select("key", "node", "label", F.explode(F.sequence(F.lit(0), minors - 1)).alias("j"), "i", F.lit(False).alias("seeks"))
         meetings = seek.unionByName(stay).groupBy("key", "i", "j", "node", "label").agg(F.max("seeks").alias("seeks"))
-        meetings = meetings.select("node", "label", "seeks", F.xxhash64("key", "i", "j").alias("block"))
+        meetings = meetings.select("node", "key", "label", "seeks", F.xxhash64("key", "i", "j").alias("block"))
+        with_keys = save(one.join(listed.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "hot")
 
         def finish(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("seeks", ascending=False).drop_duplicates("node")
             node, label = group["node"].to_numpy(), group["label"].to_numpy()
-            roots = join_block([_array(s) for s in group["s"]], np.flatnonzero(group["seeks"].to_numpy()), label, order, percent)
-            a, b = forest(node, roots)
-            return pd.DataFrame({"a": a, "b": b})
+            roots = join_block([_array(s) for s in group["s"]], np.flatnonzero(group["seeks"].to_numpy()), label, order, percent, list(group["keys"]), int(group["key"].iloc[0]))
+            new = np.unique(label, return_index=True)[1]
+            new = new[roots[new] != new]  # labels that have become linked
+            return pd.DataFrame({"a": node[roots[new]], "b": node[new]})
 
-        more = meetings.join(one, "node").groupBy("block").applyInPandas(finish, "a long, b long")
+        more = meetings.join(with_keys, "node").groupBy("block").applyInPandas(finish, "a long, b long")
         label = components(save(links.unionByName(by_rep(more)), "links"))
 
     final = save(labelled().withColumnRenamed("label", "component_id"), "final")

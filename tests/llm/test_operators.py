@@ -1,7 +1,6 @@
 """Operators against brute force, round trips and edge cases, on small fixtures."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -434,19 +433,69 @@ def test_empty_tables(spark, none, name, tmp_path):
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-def test_pipeline(spark):
+def shares(sizes, cap=3.0):
+    """Targets by sharing again and again what is above the caps."""
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    weight = {x: 1.0 + k % 3 for k, x in enumerate(names)}
+    full, left, free = {}, float(sum(sizes.values())), set(names)
+    while True:
+        unit = left / sum(weight[x] for x in free) if free else 0
+        over = {x for x in free if unit * weight[x] > cap * sizes[x]}
+        if not over:
+            return full | {x: unit * weight[x] for x in free}
+        for x in over:
+            full[x] = cap * sizes[x]
+            left -= full[x]
+        free -= over
+
+
+def copies(rows, seed=20):
+    """rows: (doc_id, source, size). How often each is taken."""
+    sizes = {}
+    for _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    target, out = shares(sizes), {}
+    for source, total in sizes.items():
+        u = int(hashlib.md5(f"{seed}:{'n' if source is None else 's' + source}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = target[source] / total if total else 0.0
+        for k, (i, _, size) in enumerate(sorted((r for r in rows if r[1] == source), key=lambda r: (r[2], r[0] % mixing.SHARES, r[0])), 1):
+            out[i] = int(np.floor(k * rate + u) - np.floor((k - 1) * rate + u)) if size else 0
+    return out
+
+
+def test_mixing_against_brute_force(docs, corpus):
+    want = copies([(i, s, len(words(t))) for i, s, t in zip(corpus.doc_id, corpus.source, corpus.text, strict=True)])
+    assert {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()} == want
+
+
+def test_pipeline_against_brute_force(spark, small):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model, _ = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    one = lambda text: model.score(quality.features(pa.array([(text or "").encode()], pa.binary())).astype(float))[0]
+    good = [i for i in rows if one(rows[i]["text"]) >= 0.3]
+    group = jaccard_components([(i, rows[i]["text"]) for i in good])
+    first = [i for i in good if group[i][1] == i]
+    cut = removed([(i, rows[i]["text"]) for i in first])
+    text = {i: " ".join(cut[i][2]) if cut[i][1] else rows[i]["text"] or "" for i in first}
+    taken = copies([(i, rows[i]["source"], len(words(text[i]))) for i in first])
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = {i: (len(tokenizer.encode(text[i], add_special_tokens=False).ids) + 1, n) for i, n in taken.items() if n}
+    out = corpus_pipeline.run(spark, small).toPandas()
+    assert {i: (part.doc_tokens.iloc[0], (part.start == 0).sum()) for i, part in out.groupby("doc_id")} == want
+    assert {i: part.length.sum() for i, part in out.groupby("doc_id")} == {i: n * k for i, (n, k) in want.items()}
+    for _, part in out.sort_values("offset").groupby("sequence_id"):
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= 2048
+
+
+def test_pipeline_keeps_good_documents(spark):
     import corpus_pipeline
 
     d = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    good = corpus_pipeline.keep_good(spark, docs, d).toPandas()
-    labels = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id").quality
-    kept, y = set(good.doc_id), labels
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, spark.read.parquet(f"{d}/documents.parquet"), d).select("doc_id").collect()}
+    y = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id").quality
     assert np.mean([i in kept for i in y[y == 1].index]) > 0.97 and np.mean([i in kept for i in y[y == 0].index]) < 0.3
-    one = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(good), d).toPandas()
-    want = jaccard_components(zip(good.doc_id, good.text, strict=True)) if len(good) < 300 else None
-    assert want is None or set(one.doc_id) == {i for i, (_, c) in want.items() if i == c}
-    out = corpus_pipeline.run(spark, d)
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
-    assert set(r["doc_id"] for r in out.select("doc_id").distinct().collect()) <= set(one.doc_id)
-    json.dumps([n for n, _ in corpus_pipeline.STAGES])
