@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .quality import THRESHOLD, _descend, _sigmoid, fold, labelled
 from .text import LOWER, Words, mix, slices
 
-SAMPLE = 2500
+SAMPLE = 1800
 CHAIN = 32
 LOG_CELLS = 18
 _PUNCTUATION = np.zeros(256, bool)
@@ -71,7 +71,7 @@ class Tokens:
         self.length = np.diff(self.chain, append=n)
 
     def cells(self) -> np.ndarray:
-        return (self.views & np.uint64((1 << LOG_CELLS) - 1)).astype(np.int64)
+        return (self.views & np.uint64((1 << LOG_CELLS) - 1)).astype(np.int32)
 
 
 def marginals(emission: np.ndarray, chain: np.ndarray, length: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
