@@ -45,6 +45,8 @@ WORDS = 4
 PERCENT = 85
 LIST = 64
 BLOCK = 256
+#: Where a hot list is finished, blocks are so many times as large: nodes are sent to fewer of them.
+FINISH = 4
 #: Frequent shingles that every worker knows: the most frequent ones, 16 bytes each.
 FREQUENT = 200_000
 #: Lists longer than this are what frequent shingles make.
@@ -395,8 +397,8 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     open_keys = save(per_key, "open")
     if open_keys.limit(1).count():
         rest = known.join(open_keys, "key").withColumn("minor", F.col("label") != F.col("main"))
-        parts = F.ceil(F.col("all") / block).cast("int")
-        minors = F.ceil((F.col("all") - F.col("most")) / block).cast("int")
+        parts = F.ceil(F.col("all") / (FINISH * block)).cast("int")
+        minors = F.ceil((F.col("all") - F.col("most")) / (FINISH * block)).cast("int")
         rest = rest.withColumn("i", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), minors).cast("int"))
         seek = rest.where("minor").select("key", "node", "label", "j", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), F.lit(True).alias("seeks"))
         stay = rest.select("key", "node", "label", F.explode(F.sequence(F.lit(0), minors - 1)).alias("j"), "i", F.lit(False).alias("seeks"))
