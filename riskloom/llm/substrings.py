@@ -87,14 +87,16 @@ def unused(names: list[str], name: str) -> str:
     return name
 
 
-def _ordered_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key: doc_id, or where ids repeat a number in the order of (doc_id, text)."""
+def with_keys(docs: DataFrame, key: str) -> DataFrame:
+    """docs and a key that no other row has: doc_id, or where ids repeat a number in the order of (doc_id, text); null where doc_id is."""
     most = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count").alias("m")).first()["m"] or 1
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = F.col("doc_id").cast("bigint")
     if most == 1:
-        return docs.withColumn("key", F.col("doc_id"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
-    return save(docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") * F.lit(most) + rank)), "keyed")
+        return docs.withColumn(key, own)
+    # equal texts of one id are told apart by their other columns; rows equal in all can change places
+    others = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rank = F.row_number().over(W.partitionBy(own).orderBy(F.col("text").cast("binary"), others)) - 1
+    return save(docs.withColumn(key, F.when(own.isNotNull(), own * F.lit(most) + rank)), "keyed")
 
 
 def spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -163,8 +165,8 @@ def _removed(words: list[bytes], runs: pa.Array, window: int) -> list[bytes]:
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row."""
-    keyed = _ordered_ids(docs)
-    joined = keyed.join(spans(keyed, window), "key", "left").select("doc_id", "text", "runs")
+    docs = with_keys(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), "key")
+    joined = docs.join(spans(docs, window), "key", "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -184,12 +186,10 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with duplicate spans cut from text (and n_chars, if there, counted anew); other rows stay as they are."""
     names, schema = docs.columns, docs.schema
-    keyed = _ordered_ids(docs)
-    mine, own_id, own_hash = (unused(names, x) for x in ("runs", "id", "hash"))
-    runs = spans(keyed, window).join(keyed.select("key", F.col("doc_id").alias(own_id), F.xxhash64("text").alias(own_hash)), "key")
-    runs = runs.groupBy(own_id, own_hash).agg(F.max_by("runs", "key").alias(mine))  # of equal rows, the last has all of its windows earlier
-    same = (F.col("doc_id") == F.col(own_id)) & (F.xxhash64(F.col("text").cast("binary")) == F.col(own_hash))
-    left = docs.join(runs, same, "left").select(*[F.col(f"`{c}`") for c in names], mine)
+    mine, key = unused(names, "runs"), unused(names, "key")
+    docs = with_keys(docs, key)
+    runs = spans(docs.select(F.col(key).alias("key"), F.col("text").cast("binary").alias("text")), window).select(F.col("key").alias(key), F.col("runs").alias(mine))
+    left = docs.join(runs, key, "left").select(*[F.col(f"`{c}`") for c in names], mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

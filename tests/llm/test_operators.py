@@ -95,6 +95,31 @@ def test_substrings_repeated_ids(spark):
     assert got == [(0, 0, 0), (0, 30, 0), (1, 30, 0), (1, 30, 30), (1, 31, 30)]
 
 
+def test_substrings_remove_repeated_rows(spark):
+    text = " ".join(f"a{k}" for k in range(30))
+    short, other = "b c", " ".join(f"c{k}" for k in range(25))
+    rows = [(1, text, "s"), (1, text, "s"), (1, text, "t"), (2, f"x {text}", "s"), (2, other, "s"), (3, short, "s"), (3, short, "s"), (None, text, "s"), (None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit(7)).withColumn("runs", F.lit(8))
+    out = substrings.remove(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == [(0, ""), (0, text), (1, ""), (1, ""), (1, text), (2, other), (2, "x"), (3, short), (3, short)]
+    assert {r["source"] for r in out.collect()} == {"s", "t"}
+    again = [substrings.remove(df.repartition(n)).where("doc_id = 1 and text <> ''").first()["source"] for n in (2, 5)]
+    assert again[0] == again[1]
+
+
+def test_repeated_documents_stay_in_the_corpus(spark, small):
+    import corpus_pipeline
+
+    text = " ".join(f"a{k}" for k in range(30))
+    other = " ".join(f"c{k}" for k in range(25))
+    docs = spark.createDataFrame([(3, text, "en", "s", 9), (3, text, "en", "s", 9), (4, other, "en", "s", 9)], DOCS)
+    # without the join of near copies, which is to leave one row of them
+    out = corpus_pipeline.mix_sources(spark, corpus_pipeline.cut_repeated_passages(spark, docs, small).localCheckpoint(), small).collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(3, text), (4, other)}
+
+
 def test_factors():
     begin, end = substrings.factors(np.array([9, 0, 5]), np.array([1, 2, 1]), 3)
     assert list(zip(begin, end, strict=True)) == [(0, 4), (5, 8), (9, 12)]
