@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import mixing, packing, quality, scratch, shingles, substrings
 
+#: Near copies share that much of their runs of so many words; op10_prefix_tree_join has values of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _begin(spark: SparkSession) -> None:
     """The stage before is written: what it was computed from can go."""
@@ -27,7 +30,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """The document of least id of each group of near copies; rows that share an id: one."""
     _begin(spark)
     name = substrings.unused(docs.columns, "kept_id")
-    groups = scratch.save(shingles.link(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept")
+    groups = scratch.save(shingles.link(docs, NEAR_PERCENT, NEAR_WORDS).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept")
     return docs.join(groups, F.col("doc_id") == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(name)
 
 

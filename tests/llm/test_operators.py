@@ -393,16 +393,16 @@ def test_take_emits_copies(docs):
 # 10
 
 
-def jaccard_components(rows):
+def jaccard_components(rows, n=4, percent=85):
     sets = []
     for i, text in sorted(rows, key=lambda r: r[0]):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
-        sets.append((i, {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()))
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()))
     union = components.Union(len(sets))
     for a in range(len(sets)):
         for b in range(a):
             o = len(sets[a][1] & sets[b][1])
-            if o and 100 * o >= 85 * len(sets[a][1] | sets[b][1]):
+            if o and 100 * o >= percent * len(sets[a][1] | sets[b][1]):
                 union.join(a, b)
     return {i: (len(s), sets[union.root(k)][0]) for k, (i, s) in enumerate(sets)}
 
@@ -517,6 +517,21 @@ def test_pipeline_against_brute_force(spark, small):
         assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= 2048
 
 
+def test_pipeline_near_copies_against_brute_force(spark, corpus, docs, small):
+    import corpus_pipeline
+
+    w = [f"n{k}" for k in range(126)]
+    added = [(9001, " ".join(w[:100])), (9002, " ".join(w[:120])), (9003, " ".join(w))]  # 0.83 and 0.79 of the first, 0.95 of one another
+    added += [(9011, " ".join(w[60:90])), (9012, " ".join(w[60:99]))]  # 26 of 35
+    rows = [*zip(corpus.doc_id, corpus.text, strict=True), *added]
+    more = docs.unionByName(spark.createDataFrame([(i, t, None, None, len(t)) for i, t in added], DOCS), allowMissingColumns=True)
+    group = jaccard_components(rows, 5, 80)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, more, small).select("doc_id").collect())
+    assert got == sorted(i for i, _ in rows if group[i][1] == i)
+    assert [i for i in got if i > 9000] == [9001, 9011, 9012]
+    assert [i for i, (_, c) in jaccard_components(rows).items() if i > 9000 and c == i] == [9001, 9002, 9011, 9012]
+
+
 def test_pipeline_keeps_good_documents(spark):
     import corpus_pipeline
 
