@@ -27,11 +27,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies; rows that share an id: one."""
+    """One row of each group of near copies, of its least id; rows that share an id are judged each by its text."""
     _begin(spark)
-    name = substrings.unused(docs.columns, "kept_id")
-    groups = scratch.save(shingles.link(docs, NEAR_PERCENT, NEAR_WORDS).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept")
-    return docs.join(groups, F.col("doc_id") == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(name)
+    key, name = (substrings.unused(docs.columns, x) for x in ("key", "kept_key"))
+    keyed = substrings.with_keys(docs, key)
+    links = shingles.link(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR_PERCENT, NEAR_WORDS)
+    kept = scratch.save(links.where("doc_id = component_id").select(F.col("doc_id").alias(name)), "kept")
+    return keyed.join(kept, F.col(key) == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(key, name)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -517,6 +517,18 @@ def test_pipeline_against_brute_force(spark, small):
         assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= 2048
 
 
+def test_pipeline_keeps_one_row_of_near_copies(spark, small):
+    import corpus_pipeline
+
+    one, two, three, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "pqrs")
+    rows = [(1, one), (1, one), (3, two), (5, f"{two} tail"), (5, other), (7, f"{three} tail"), (8, one), (8, three), (9, "u v"), (9, ""), (None, one), (None, one), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("kept_key", F.lit(2))
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, small)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == [(0, ""), (0, one), (0, one), (1, one), (3, two), (5, other), (7, f"{three} tail"), (9, ""), (9, "u v")]
+
+
 def test_pipeline_near_copies_against_brute_force(spark, corpus, docs, small):
     import corpus_pipeline
 
