@@ -11,8 +11,9 @@ Exact copies are joined as one vector with their number. A meeting returns each
 number of links and trees that hold linked vectors together, never its pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and
-are returned with 0 links as their own component; so do vectors whose length differs from
-the commonest. Rows with a null id are left out of links and returned as their own
+are returned with 0 links as their own component. Only vectors of one length link: each
+length has a join of its own, and lengths of at most INTERVAL vectors share one, in which
+each is one interval. Rows with a null id are left out of links and returned as their own
 component null. Repeated rows (equal ids) are copies of one another. An empty table has
 no rows; other columns are ignored.
 """
@@ -20,11 +21,12 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import Union, components, forest
 from .scratch import save
@@ -81,19 +83,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE, interval: int = INTERVAL) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
-    rows = table.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
-    fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
-    fine &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    sizes = rows.where(fine).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    d = sizes[0]["d"]
-    rows = save(rows.select("vec_id", F.when(fine & (F.size("v") == d), F.col("v")).alias("v")).withColumn("copy", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)), "vectors")
-    # copies stand together under their least id
-    reps = save(rows.where("v is not null").groupBy("copy").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.min("v").alias("v")), "reps")
-    n, sample = reps.count(), reps.orderBy(F.xxhash64("rep"), "rep").limit(AXES_SAMPLE).select("v").toPandas()["v"]
+def _linked(x: np.ndarray, t: np.ndarray, rep: np.ndarray, times: np.ndarray, split: int, cosine: float, eps: float, same: bool) -> pd.DataFrame:
+    """A meeting's result: of two intervals at split, or of one."""
+    found, union = np.zeros(len(x), np.int64), Union(len(x))
+    for i, k, p, q in meet(x[:split] if split else x, x[split:], t[:split] if split else t, t[split:], cosine, eps, same):
+        p, q = p + i, q + k + split
+        np.add.at(found, p, times[q])
+        np.add.at(found, q, times[p])
+        roots = union.roots()
+        apart = roots[p] != roots[q]
+        for u, v in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
+            union.join(u, v)
+    roots = union.roots()
+    tree = forest(rep, rep[roots])
+    some = np.flatnonzero(found)
+    return pd.DataFrame({
+        "a": np.concatenate([rep[some], tree[0]]),
+        "b": np.concatenate([np.full(len(some), -1), tree[1]]),
+        "links": np.concatenate([found[some], np.zeros(len(tree[0]), np.int64)]),
+    })
+
+
+def _found(reps: DataFrame, d: int, n: int, cosine: float, interval: int) -> DataFrame:
+    """Numbers of links (a, links) and trees (a, b) among n vectors of length d."""
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(AXES_SAMPLE).select("v").toPandas()["v"]
     turn = axes(unit(np.stack([np.asarray(x, np.float64) for x in sample])))
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     lead = min(CELLS, d)
@@ -141,7 +154,7 @@ def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
             a, b = sorted((p, parts[j]))
             for x in {a, b}:
                 partners[x].append(f"{a},{b}")
-    pairs = table.sparkSession.createDataFrame([(p, m) for p, ms in partners.items() for m in ms], "part long, meeting string")
+    pairs = reps.sparkSession.createDataFrame([(p, m) for p, ms in partners.items() for m in ms], "part long, meeting string")
     dealt = placed.join(F.broadcast(pairs), "part")  # pairs of at most MOST_INTERVALS intervals
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -153,25 +166,41 @@ def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
         order = np.lexsort(np.concatenate([t[:, :1].T, cells.T[::-1], (group["part"].to_numpy() == b)[None] if a != b else np.zeros((1, len(t)))]))
         x, t, rep, times = x[order], t[order], group["rep"].to_numpy()[order], group["times"].to_numpy()[order]
         split = int((group["part"] == a).sum()) if a != b else 0
-        found, union = np.zeros(len(x), np.int64), Union(len(x))
-        for i, k, p, q in meet(x[:split] if split else x, x[split:], t[:split] if split else t, t[split:], cosine, eps, a == b):
-            p, q = p + i, q + k + split
-            np.add.at(found, p, times[q])
-            np.add.at(found, q, times[p])
-            roots = union.roots()
-            apart = roots[p] != roots[q]
-            for u, v in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
-                union.join(u, v)
-        roots = union.roots()
-        tree = forest(rep, rep[roots])
-        some = np.flatnonzero(found)
-        return pd.DataFrame({
-            "a": np.concatenate([rep[some], tree[0]]),
-            "b": np.concatenate([np.full(len(some), -1), tree[1]]),
-            "links": np.concatenate([found[some], np.zeros(len(tree[0]), np.int64)]),
-        })
-
-    found = save(dealt.groupBy("meeting").applyInPandas(join, "a long, b long, links long"), "found")
+        return _linked(x, t, rep, times, split, cosine, eps, a == b)
+
+    return save(dealt.groupBy("meeting").applyInPandas(join, "a long, b long, links long"), "found")
+
+
+def _found_in_rare(reps: DataFrame, cosine: float) -> DataFrame:
+    """As _found, for lengths of one interval each."""
+    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")
+        x = unit(np.stack([np.asarray(v, np.float64) for v in group["v"]]))
+        return _linked(x, x, group["rep"].to_numpy(), group["times"].to_numpy(), 0, cosine, eps, True)
+
+    return save(reps.select("d", "rep", "times", "v").groupBy("d").applyInPandas(join, "a long, b long, links long"), "found")
+
+
+def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE, interval: int = INTERVAL) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    rows = table.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+    fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
+    fine &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows = save(rows.select("vec_id", F.when(fine, F.col("v")).alias("v")).withColumn("copy", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)), "vectors")
+    # copies stand together under their least id
+    reps = rows.where("v is not null").groupBy("copy").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.min("v").alias("v"))
+    reps = save(reps.withColumn("d", F.size("v")), "reps")
+    # at most one in interval vectors has a length with a join of its own
+    sizes = reps.groupBy("d").count().withColumn("place", F.row_number().over(W.orderBy(F.desc("count"), "d"))).where((F.col("place") == 1) | (F.col("count") > interval)).orderBy("place").collect()
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    found = [_found(reps.where(F.col("d") == x["d"]), x["d"], x["count"], cosine, interval) for x in sizes]
+    rare = reps.where(~F.col("d").isin([x["d"] for x in sizes]))
+    if rare.limit(1).count():
+        found.append(_found_in_rare(rare, cosine))
+    found = reduce(DataFrame.unionByName, found)
     counts = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     label = components(found.where("links = 0").select("a", "b"))
     named = reps.join(counts, reps["rep"] == counts["a"], "left").join(label, reps["rep"] == label["node"], "left")

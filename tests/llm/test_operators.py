@@ -165,6 +165,28 @@ def test_vectors(spark):
     assert vectors.link(none).count() == 0
 
 
+def test_vectors_of_other_lengths(spark):
+    rng = np.random.default_rng(12)
+    vecs, k = [], 0
+    for d, n in ((8, 60), (5, 40), (3, 12), (2, 2)):
+        base = rng.normal(size=(4, d))
+        for v in np.concatenate([base[rng.integers(0, 4, n - 1)] + rng.normal(size=(n - 1, d)) * 0.1, base[:1]]):
+            vecs.append((k, v.astype(np.float32).tolist()))
+            k += 1
+    vecs += [(k, vecs[-1][1]), (k + 1, vecs[70][1]), (k + 2, [1.0]), (k + 3, [2.0]), (k + 4, [-1.0])]
+    union, links = components.Union(len(vecs)), [0] * len(vecs)
+    for i, x in vecs:
+        for j, y in vecs:
+            x_, y_ = np.array(x, np.float32).astype(float), np.array(y, np.float32).astype(float)
+            if i != j and len(x) == len(y) and x_ @ y_ / np.linalg.norm(x_) / np.linalg.norm(y_) >= 0.95:
+                links[i] += 1
+                union.join(i, j)
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    for interval in (4096, 16):
+        got = sorted(tuple(r) for r in vectors.link(df, interval=interval).collect())
+        assert got == [(i, links[i], union.root(i), union.root(i) == i) for i, _ in vecs]
+
+
 # 3
 
 
