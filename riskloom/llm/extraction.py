@@ -30,8 +30,10 @@ from .text import slices
 TRAINING_PAGES = 700
 #: HTML's kinds of elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br svg picture source".split())
+#: MathML: a formula is text of the block around it.
+INLINE |= frozenset("math semantics annotation annotation-xml maction merror mfrac mfenced menclose mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math head object select option button canvas".split())
+RAW = frozenset("script style template textarea title iframe svg head select option button canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open element of the second kind keeps the first kind from being closed across it.
@@ -100,7 +102,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in INLINE:
             if tag == "a":
                 links = 1
-            elif tag == "br":
+            elif tag in ("br", "mtd"):
                 pieces.append(" ")
             if tag not in RAW:
                 continue
@@ -138,7 +140,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     if "none" in value and "display" in value:
                         found.append("hidden")
                 else:
-                    found += [x.lower() for x in _WORDS.findall(value)[:12]]
+                    found += [x.lower() for x in _WORDS.findall(value)]
             tokens = tuple(found)
         up = stack[-1]
         nodes[up].kids += 1

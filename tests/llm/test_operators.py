@@ -347,6 +347,20 @@ def test_extraction_edge_cases(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_of_formulas_fallbacks_and_long_classes():
+    text = [f"The {x} sentence of the story goes on for some words. And it has another one that ends here." for x in ("first", "second", "third", "last")]
+    paragraphs = "".join(f"<p>{x}</p>" for x in text[:2])
+    formula = "<p>We know that <math><mrow><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mi>b</mi></mfrac></mrow></math> holds in every case that we have seen.</p>"
+    rest = f"<noscript><p>{text[2]}</p></noscript><object data=x><param name=y><p>{text[3]}</p></object>"
+    utilities = " ".join(f"mt{k} flex" for k in range(8))
+    aside = f'<div class="{utilities} sidebar widget"><p>Something else that nobody wants to read here.</p><ul><li><a href=/>One</a></li><li><a href=/>Two</a></li></ul></div>'
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>A title of words</h1>{paragraphs}{formula}{rest}</article>{aside}</body></html>"
+    want = ["A title of words", *text[:2], "We know that a=1b holds in every case that we have seen.", *text[2:]]
+    assert extraction.default_extractor().extract([page])[0].split("\n") == want
+    nodes, _ = extraction.read_page(aside)
+    assert {"sidebar", "widget"} <= set(nodes[1].tokens)
+
+
 def test_decoding_agrees_along_paths():
     rng = np.random.default_rng(6)
     nodes, _ = extraction.read_page("<div><p>a</p><section><p>b</p><p>c</p></section></div><div><p>d</p></div>")
