@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
 from ..functions.basics import NUMERIC, Transformer, check_weights, col, fitting, require, weight_column
-from ..functions.quantiles import exact_quantiles, finite, weighted_quantiles
+from ..functions.quantiles import exact_quantiles, finite, running, weighted_quantiles
 
 MISSING, OTHER, FIRST_SPECIAL = -1, -2, -3
 INF = float("inf")
@@ -140,43 +140,69 @@ def best_first_cuts(x: np.ndarray, n: np.ndarray, w: np.ndarray, bad: np.ndarray
         top = int(gain.argmax())
         return (float(gain[top]), a, int(k[top]), b) if gain[top] > 1e-12 * max(1.0, cw[-1]) else None
 
-    open_leaves, cuts = [best(0, len(x))], []
-    while len(cuts) < leaves - 1:
+    return sorted(float((x[k - 1] + x[k]) / 2) for k in best_first(best, 0, len(x), leaves))
+
+
+def best_first(best, a, b, leaves: int) -> list:
+    """Where the leaf from a to b and those it leaves are split; best(a, b): gain, a, split, b, or None."""
+    open_leaves, splits = [best(a, b)], []
+    while len(splits) < leaves - 1:
         ready = [s for s in open_leaves if s]
         if not ready:
             break
-        split = max(ready, key=lambda s: (s[0], -s[2]))
+        split = min(ready, key=lambda s: (-s[0], s[2]))
         open_leaves.remove(split)
         _, a, k, b = split
-        cuts.append(float((x[k - 1] + x[k]) / 2))
-        open_leaves += [best(a, k), best(k, b)]
-    return sorted(cuts)
+        splits.append(k)
+        if len(splits) < leaves - 1:
+            open_leaves += [best(a, k), best(k, b)]
+    return splits
+
+
+def best_first_cuts_of_table(sums: DataFrame, leaves: int, least: int) -> list[float]:
+    """best_first_cuts for a table of x, n, w, bad of any size: a search is an aggregate over running sums."""
+    rows = running(sums, "x", {"cn": "n", "cw": "w", "cb": "bad"}).select("cn", "cw", "cb", "x").persist()
+    impurity = lambda w, bad, most: w - (bad * bad + (w - bad) * (w - bad)) / most(w, 1e-300)
+    of = lambda w, bad: impurity(w, bad, lambda x, y: F.greatest(x, F.lit(y)))
+    end = rows.agg(F.max(F.struct("cn", "cw", "cb", "x")).alias("r")).first()["r"]
+
+    def best(a: tuple, b: tuple):
+        inside = rows.where((F.col("cn") - a[0] >= least) & (F.lit(b[0]) - F.col("cn") >= least) & (F.col("cn") > a[0]) & (F.col("cn") < b[0]))
+        gain = F.lit(impurity(b[1] - a[1], b[2] - a[2], max)) - of(F.col("cw") - a[1], F.col("cb") - a[2]) - of(F.lit(b[1]) - F.col("cw"), F.lit(b[2]) - F.col("cb"))
+        top = inside.select(gain.alias("gain"), "cn", "cw", "cb", "x").agg(F.max_by(F.struct("gain", "cn", "cw", "cb", "x"), F.struct("gain", -F.col("x"))).alias("r")).first()["r"]
+        return (top["gain"], a, tuple(top[1:]), b) if top and top["gain"] > 1e-12 * max(1.0, end["cw"]) else None
+
+    try:
+        if not end or end["cn"] < 2 * least:
+            return []
+        splits = best_first(best, (0.0, 0.0, 0.0), tuple(end), leaves)
+        return sorted((k[3] + rows.where(F.col("cn") > k[0]).agg(F.min("x")).first()[0]) / 2 for k in splits)
+    finally:
+        rows.unpersist()
 
 
 def tree_cuts(df: DataFrame, features: list[str], target: str, n_bins: int, exclude: list = (), weight: str | None = None, least: int = 5, grid: int = 100_000) -> dict[str, list[float]]:
     """Supervised cuts; rows are summed by value before a feature meets in one task.
 
-    Features of more than ``grid`` distinct values are first summed by ``grid`` quantile
-    bins, so that no task holds more rows than that.
+    The values of features with more than ``grid`` distinct ones stay in their tasks, with the same cuts.
     """
     distinct = df.agg(*[F.approx_count_distinct(valid_number(df, f, exclude)).alias(f) for f in features]).first() if features else {}
-    pairs = []
-    for f in features:
-        x = valid_number(df, f, exclude)
-        if distinct[f] > grid:
-            edges = df.agg(F.percentile_approx(x, [k / grid for k in range(1, grid)], 10 * grid).alias("e")).first()["e"]
-            edge = F.array(*[F.lit(float(e)) for e in sorted(set(edges))])
-            x = F.element_at(edge, F.greatest(F.lit(1), F.size(F.filter(edge, lambda e, x=x: e <= x))))
-        pairs.append(F.struct(F.lit(f).alias("feature"), x.alias("x")))
-    long = df.select(F.explode(F.array(*pairs)).alias("p"), weight_column(weight).alias("w"), col(target).cast("double").alias("y")).select("p.*", "w", "y").where("x is not null and y is not null")
-    sums = long.groupBy("feature", "x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("bad"))
+    large = [f for f in features if distinct[f] > grid]
+
+    def summed(names: list[str]) -> DataFrame:
+        pairs = [F.struct(F.lit(f).alias("feature"), valid_number(df, f, exclude).alias("x")) for f in names]
+        long = df.select(F.explode(F.array(*pairs)).alias("p"), weight_column(weight).alias("w"), col(target).cast("double").alias("y")).select("p.*", "w", "y").where("x is not null and y is not null")
+        return long.groupBy("feature", "x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("bad"))
 
     def cut(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("x")
         found = [] if group["n"].sum() < 2 * least else best_first_cuts(*(group[c].to_numpy(float) for c in ("x", "n", "w", "bad")), n_bins, least)
         return pd.DataFrame({"feature": [group["feature"].iloc[0]], "cuts": [found]})
 
-    return {f: [] for f in features} | {r["feature"]: list(r["cuts"]) for r in sums.groupBy("feature").applyInPandas(cut, "feature string, cuts array<double>").collect()}
+    found = {f: best_first_cuts_of_table(summed([f]), n_bins, least) for f in large}
+    if few := [f for f in features if f not in large]:
+        found |= {r["feature"]: list(r["cuts"]) for r in summed(few).groupBy("feature").applyInPandas(cut, "feature string, cuts array<double>").collect()}
+    return {f: found.get(f, []) for f in features}
 
 
 def category_mapping(df: DataFrame, feature: str, least: int = 5, exclude: list = ()) -> DataFrame:

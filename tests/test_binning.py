@@ -85,6 +85,17 @@ def test_missing_special_and_labels(spark):
     assert b.transform(df, return_type="woe").where("x_bin is null").count() == 0
 
 
+def test_tree_cuts_do_not_depend_on_the_number_of_values(spark):
+    rng = np.random.default_rng(21)
+    x, z = np.round(rng.normal(size=3000) * 50) / 10, rng.exponential(size=3000).round(2)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-x + (z > 1.3)))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "w": rng.integers(1, 4, 3000).astype(float), "y": y}))
+    for weight in (None, "w"):
+        want = B.tree_cuts(df, ["x", "z"], "y", 5, weight=weight, least=50)
+        assert [len(v) for v in want.values()] == [4, 4]
+        assert B.tree_cuts(df, ["x", "z"], "y", 5, weight=weight, least=50, grid=20) == want
+
+
 def test_tree_cuts_find_a_step(spark):
     df = spark.createDataFrame([(float(i), int(i >= 100)) for i in range(200)], "x double, y int")
     assert B.tree_cuts(df, ["x"], "y", 2)["x"] == [99.5]
