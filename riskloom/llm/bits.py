@@ -1,12 +1,14 @@
-"""A Bloom filter of fixed size: it never grows with the data, it only lets more through."""
+"""A Bloom filter sized by the number of its keys, up to a fixed bound."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-#: 2**27 bits are 16 MB, whatever the number of keys.
-LOG_BITS = 27
+#: At most 2**27 bits, which are 16 MB; some 16 bits a key up to there.
+LOG_BITS, LEAST_LOG_BITS = 27, 20
+#: Keys for which the largest filter still keeps most others out.
+MOST_KEYS = 20_000_000
 _PAGE = 32768
 
 
@@ -15,6 +17,10 @@ def slots(key: np.ndarray, log_bits: int, which: int) -> np.ndarray:
     return (key >> np.uint64(which * log_bits)) & np.uint64((1 << log_bits) - 1)
 
 
+def log_bits_for(n: int) -> int:
+    return min(LOG_BITS, max(LEAST_LOG_BITS, (16 * n).bit_length()))
+
+
 def build(keys: DataFrame, column: str, log_bits: int = LOG_BITS) -> np.ndarray:
     """The filter over a bigint column of mixed hashes; pages of bits are combined before the shuffle."""
     mask = (1 << log_bits) - 1
@@ -30,7 +36,8 @@ def build(keys: DataFrame, column: str, log_bits: int = LOG_BITS) -> np.ndarray:
     return out
 
 
-def holds(bits: np.ndarray, key: np.ndarray, log_bits: int = LOG_BITS) -> np.ndarray:
+def holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    log_bits = (8 * len(bits)).bit_length() - 1
     found = np.ones(len(key), bool)
     for which in (0, 1):
         slot = slots(key, log_bits, which)

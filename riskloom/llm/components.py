@@ -9,8 +9,8 @@ from .scratch import save
 
 #: Children of a node in the tree that stands for a linked group.
 FAN = 32
-#: Shares into which the rows of one label are dealt when labels are looked up.
-SHARES = 16
+#: Rows of one key that a task may meet in a lookup; more of them are dealt to more shares.
+SHARE_ROWS = 200_000
 
 
 class Union:
@@ -50,6 +50,23 @@ def forest(nodes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[base[child] + (rank[child] - 1) // FAN], nodes[child]
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast, whatever its size looks like."""
+    return df.hint("shuffle_merge")
+
+
+def look_up(rows: DataFrame, key: str, table: DataFrame, spread: str, n: int) -> DataFrame:
+    """rows with the columns of table, which has one row a key; inner.
+
+    A key may stand in most of the n rows: both sides are dealt to shares by ``spread``,
+    a column of rows. table should be small against rows, as it is repeated for each share.
+    """
+    shares = max(4, n // SHARE_ROWS)
+    asked = rows.withColumn("_share", F.pmod(F.hash(spread), F.lit(shares)))
+    told = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return asked.join(by_shuffle(told), [key, "_share"]).drop("_share")
+
+
 def components(links: DataFrame, rounds: int = 1000) -> DataFrame:
     """links: bigint a, b. Returns node, component (its least reachable node) for nodes with links.
 
@@ -58,15 +75,15 @@ def components(links: DataFrame, rounds: int = 1000) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
     edges = save(links.where("a is not null and b is not null and a <> b").select(both.alias("e")).select("e.u", "e.v").distinct(), "edges")
     now = save(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
+    n = now.count()
     for k in range(rounds):
-        near = edges.join(now.select(F.col("node").alias("v"), F.col("component").alias("c")), "v").select(F.col("u").alias("node"), "c")
+        near = edges.join(by_shuffle(now.select(F.col("node").alias("v"), F.col("component").alias("c"))), "v").select(F.col("u").alias("node"), "c")
         if k >= 2:
-            share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
-            asked = now.select(F.col("node").alias("asks"), F.col("component").alias("node"), F.pmod(F.hash("node"), F.lit(SHARES)).alias("s"))
-            told = now.where("node <> component").select("node", "component", share.alias("s"))
-            near = near.unionByName(asked.join(told, ["node", "s"]).select(F.col("asks").alias("node"), F.col("component").alias("c")))
+            # labels that are not their own component any more: few, and fewer each round
+            stale = now.select(F.col("component").alias("label")).distinct().join(by_shuffle(now.where("node <> component").select(F.col("node").alias("label"), F.col("component").alias("c"))), "label")
+            near = near.unionByName(look_up(now.select("node", F.col("component").alias("label")), "label", stale, "node", n).select("node", "c"))
         least = near.groupBy("node").agg(F.min("c").alias("c"))
-        then = now.join(least, "node", "left").select("node", F.least("component", "c").alias("component"), (F.coalesce("c", "component") < F.col("component")).alias("moved"))
+        then = now.join(by_shuffle(least), "node", "left").select("node", F.least("component", "c").alias("component"), (F.coalesce("c", "component") < F.col("component")).alias("moved"))
         then = save(then, "labels")
         moved = then.where("moved").limit(1).count()
         now = then.select("node", "component")

@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that driver and executors share.
 
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; only where that
-is unset (tests, one machine) a temporary folder stands in.
+Lineage is cut by writing Parquet under ``spark.checkpoint.dir``, or under the folder given
+to ``SparkContext.setCheckpointDir``. Where neither is set a temporary folder stands in if
+the master is local (tests, one machine); on a cluster that is an error, as executors would
+write to disks of their own. Tables go with clear(), or when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -21,18 +23,31 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isDefined():
+        return context.getCheckpointDir().get()
+    if not context.isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="riskloom-")
     return _own
 
 
+def _store(spark: SparkSession, name: str):
+    """The path as the JVM's, and the file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As save, but clear() leaves the table until forget_later() names its path."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    name = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path), path
+    df.write.parquet(name)
+    path, store = _store(spark, name)
+    store.deleteOnExit(path)
+    return spark.read.schema(schema).parquet(name), name
 
 
 def forget_later(*paths: str) -> None:
@@ -54,8 +69,6 @@ def release(spark: SparkSession) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete the tables saved so far; only once every result built on them is written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        path, store = _store(spark, _made.pop())
+        store.delete(path, True)

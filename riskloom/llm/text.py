@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,6 +49,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
                 yield batch.slice(a, b - a)
 
 
+def squeezed(df: DataFrame, column: str) -> DataFrame:
+    """df with a column's bytes compressed value by value, for a shuffle that unsqueeze() follows."""
+    plain = df.withColumn(column, F.col(f"`{column}`").cast("binary"))
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            small = [None if x is None else press.compress(x) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(small, pa.binary()), *batch.columns[at + 1 :]], batch.schema.names)
+
+    return plain.mapInArrow(run, plain.schema)
+
+
+def unsqueeze(values: pa.Array) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if x is None else press.decompress(x) for x in values.to_pylist()]
+
+
 class Words:
     """The words of an array of texts.
 
