@@ -2,10 +2,11 @@
 
 Unit vectors link at a distance of at most sqrt(2 - 2 cosine) = epsilon. They are turned to
 principal axes, cut into cells of width epsilon on the leading axes, and sorted by these
-cells (the epsilon grid order). The sequence is dealt into intervals of about INTERVAL
-vectors; two intervals meet unless the boxes around them are further apart than epsilon,
-and within a meeting halves are joined recursively, leaving out pairs of blocks whose
-boxes are too far apart. Leaves compare by a product in double precision.
+cells (the epsilon grid order). The sequence is cut into intervals of INTERVAL vectors, the
+most that one task holds of each side, however many there are; two intervals meet unless
+the boxes around them, or around the GATHER intervals they belong to, are further apart
+than epsilon, and within a meeting halves are joined recursively, leaving out pairs of
+blocks whose boxes are too far apart. Leaves compare by a product in double precision.
 
 Exact copies are joined as one vector with their number. A meeting returns each vector's
 number of links and trees that hold linked vectors together, never its pairs.
@@ -24,18 +25,20 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .components import Union, components, forest
+from .components import Union, by_shuffle, components, forest
 from .scratch import save
 
 COSINE = 0.95
 INTERVAL = 4096
-#: With more vectors intervals grow, so that the table of meetings stays small.
-MOST_INTERVALS = 1024
+#: Vectors of one range of the grid order when it is sorted.
+RANGE = 65_536
+#: Intervals whose boxes are first looked at as one.
+GATHER = 256
 LEAF = 512
+FOUND = "a long, b long, links long"
 #: Vectors from which the axes are found; axes only order the join, any would be right.
 AXES_SAMPLE = 4000
 CELLS = 8
@@ -83,7 +86,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _linked(x: np.ndarray, t: np.ndarray, rep: np.ndarray, times: np.ndarray, split: int, cosine: float, eps: float, same: bool) -> pd.DataFrame:
+def _linked(x: np.ndarray, t: np.ndarray, rep: np.ndarray, times: np.ndarray, split: int, cosine: float, eps: float, same: bool) -> pa.Table:
     """A meeting's result: of two intervals at split, or of one."""
     found, union = np.zeros(len(x), np.int64), Union(len(x))
     for i, k, p, q in meet(x[:split] if split else x, x[split:], t[:split] if split else t, t[split:], cosine, eps, same):
@@ -97,90 +100,137 @@ def _linked(x: np.ndarray, t: np.ndarray, rep: np.ndarray, times: np.ndarray, sp
     roots = union.roots()
     tree = forest(rep, rep[roots])
     some = np.flatnonzero(found)
-    return pd.DataFrame({
+    columns = {
         "a": np.concatenate([rep[some], tree[0]]),
         "b": np.concatenate([np.full(len(some), -1), tree[1]]),
         "links": np.concatenate([found[some], np.zeros(len(tree[0]), np.int64)]),
-    })
+    }
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
-def _found(reps: DataFrame, d: int, n: int, cosine: float, interval: int) -> DataFrame:
-    """Numbers of links (a, links) and trees (a, b) among n vectors of length d."""
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(AXES_SAMPLE).select("v").toPandas()["v"]
-    turn = axes(unit(np.stack([np.asarray(x, np.float64) for x in sample])))
-    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    lead = min(CELLS, d)
-    spots = unit(np.stack([np.asarray(x, np.float64) for x in sample])) @ turn[:, :lead]
-    keys = np.floor(spots / eps).astype(np.int64)
-    order = np.lexsort(np.concatenate([spots[:, :1].T, keys.T[::-1]]))
-    count = min(MOST_INTERVALS, max(1, -(-n // interval)))
-    # intervals begin at cells of sampled vectors: cells, then the first coordinate
-    ranks = sorted({int(k * len(order) / count) for k in range(1, count)})
-    bounds = np.concatenate([keys, spots[:, :1]], 1)[order[ranks]] if ranks else np.empty((0, lead + 1))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _typed(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """Rows as a batch of these types, also where there are none."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _in_order(reps: DataFrame, turn: np.ndarray, lead: int, eps: float, n: int, interval: int) -> DataFrame:
+    """rep, times, v, part: the vectors in grid order, cut into intervals of ``interval`` rows."""
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            spot = unit(v) @ turn[:, :lead]
-            key = np.concatenate([np.floor(spot / eps), spot[:, :1]], 1)
-            both = np.concatenate([bounds, key])
-            rank = np.empty(len(both), np.int64)
-            rank[np.lexsort(np.concatenate([np.arange(len(both))[None], both.T[::-1]]))] = np.arange(len(both))
-            at = np.searchsorted(np.sort(rank[: len(bounds)]), rank[len(bounds) :])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["rep", "times", "v", "part"])
-
-    placed = save(reps.select("rep", "times", "v").mapInArrow(place, "rep long, times long, v array<double>, part long"), "placed")
-
-    def box(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if batch.num_rows:
+                spot = unit(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)) @ turn[:, :lead]
+                cells = np.floor(spot / eps).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(cells[:, k])) for k in range(lead)], pa.array(np.ascontiguousarray(spot[:, 0]))], ["rep", "times", "v", *grid])
+
+    grid = [*(f"c{k}" for k in range(lead)), "x"]
+    kinds = "rep long, times long, v array<double>, " + ", ".join(f"c{k} long" for k in range(lead)) + ", x double"
+    spotted = reps.select("rep", "times", "v").mapInArrow(spots, kinds)
+    # a table: the ranges that Spark samples stay what they are
+    dealt = save(spotted.repartitionByRange(max(1, -(-n // RANGE)), *grid, "rep").withColumn("pid", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("pid").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("pid", before.alias("before"))  # one row for RANGE vectors
+    place = F.row_number().over(W.partitionBy("pid").orderBy(*grid, "rep")) - 1
+    placed = dealt.withColumn("place", place).join(F.broadcast(starts), "pid")
+    return save(placed.select("rep", "times", "v", F.expr(f"(place + before) div {interval}").alias("part")), "placed")
+
+
+def _boxes(placed: DataFrame, turn: np.ndarray) -> DataFrame:
+    """part, low, high: the box around each interval."""
+    kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    names = ["part", "low", "high"]
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: dict[int, np.ndarray] = {}
         high: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, group in batch.groupby("part"):
-                t = unit(np.stack([np.asarray(x, np.float64) for x in group["v"]])) @ turn
-                low[part] = np.minimum(low[part], t.min(0)) if part in low else t.min(0)
-                high[part] = np.maximum(high[part], t.max(0)) if part in high else t.max(0)
-        yield pd.DataFrame({"part": list(low), "low": [x.tolist() for x in low.values()], "high": [x.tolist() for x in high.values()]})
-
-    boxes = placed.select("part", "v").mapInPandas(box, "part long, low array<double>, high array<double>")
-    each = [f(F.get(c, k)).alias(f"{c}{k}") for c, f in (("low", F.min), ("high", F.max)) for k in range(d)]
-    boxes = boxes.groupBy("part").agg(*each).select("part", F.array(*[f"low{k}" for k in range(d)]).alias("low"), F.array(*[f"high{k}" for k in range(d)]).alias("high")).toPandas()
-    parts = boxes["part"].tolist()
-    low, high = (np.stack(boxes[c].tolist()) for c in ("low", "high"))
-    partners: dict[int, list[str]] = {p: [] for p in parts}
-    for i, p in enumerate(parts):  # their boxes are a table of MOST_INTERVALS rows at most
-        for j in np.flatnonzero(~far(low[i], high[i], low[i:], high[i:], eps)) + i:
-            a, b = sorted((p, parts[j]))
-            for x in {a, b}:
-                partners[x].append(f"{a},{b}")
-    pairs = reps.sparkSession.createDataFrame([(p, m) for p, ms in partners.items() for m in ms], "part long, meeting string")
-    dealt = placed.join(F.broadcast(pairs), "part")  # pairs of at most MOST_INTERVALS intervals
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = map(int, group["meeting"].iloc[0].split(","))
-        group = group.sort_values("rep")
-        x = unit(np.stack([np.asarray(v, np.float64) for v in group["v"]]))
+            if not batch.num_rows:
+                continue
+            part = batch.column(0).to_numpy()
+            t = unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)) @ turn
+            for p in np.unique(part).tolist():
+                mine = t[part == p]
+                low[p] = np.minimum(low[p], mine.min(0)) if p in low else mine.min(0)
+                high[p] = np.maximum(high[p], mine.max(0)) if p in high else mine.max(0)
+        yield _typed([(p, low[p].tolist(), high[p].tolist()) for p in low], kinds, names)
+
+    def whole(group: pa.Table) -> pa.Table:
+        low, high = (np.stack([np.asarray(x) for x in group[c].to_pylist()]) for c in ("low", "high"))
+        return pa.Table.from_batches([_typed([(group["part"][0].as_py(), low.min(0).tolist(), high.max(0).tolist())], kinds, names)])
+
+    schema = "part long, low array<double>, high array<double>"
+    return placed.select("part", "v").mapInArrow(some, schema).groupBy("part").applyInArrow(whole, schema)
+
+
+def _near(boxes: DataFrame, eps: float, interval: int) -> DataFrame:
+    """a, b: the pairs of intervals whose boxes are near, each once, and each interval with itself.
+
+    Intervals are gathered by GATHER; boxes around these rule out most pairs before single ones are looked at.
+    """
+    names = ["a", "b"]
+    boxes = save(boxes.withColumn("many", F.expr(f"part div {GATHER}")), "boxes")
+
+    def around(group: pa.Table) -> pa.Table:
+        low, high = (np.stack([np.asarray(x) for x in group[c].to_pylist()]) for c in ("low", "high"))
+        return pa.Table.from_batches([_typed([(group["many"][0].as_py(), low.min(0).tolist(), high.max(0).tolist())], [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())], ["many", "low", "high"])])
+
+    rows = boxes.groupBy("many").applyInArrow(around, "many long, low array<double>, high array<double>").toArrow()  # one for GATHER * INTERVAL vectors
+    many, low, high = rows["many"].to_pylist(), *(np.array(rows[c].to_pylist(), np.float64) for c in ("low", "high"))
+    met = [(many[i], many[j]) for i in range(len(many)) for j in (np.flatnonzero(~far(low[i], high[i], low[i:], high[i:], eps)) + i).tolist()]
+    pairs = boxes.sparkSession.createDataFrame([(p, min(x), max(x)) for x in met for p in set(x)], "many long, p long, q long")
+    dealt = boxes.join(by_shuffle(pairs), "many")
+
+    def near(group: pa.Table) -> pa.Table:
+        p, q = group["p"][0].as_py(), group["q"][0].as_py()
+        part, mine = group["part"].to_numpy(), group["many"].to_numpy()
+        low, high = (np.array(group[c].to_pylist(), np.float64) for c in ("low", "high"))
+        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+        out = []
+        for i in left.tolist():
+            other = right[part[right] >= part[i]] if p == q else right
+            for j in other[~far(low[i], high[i], low[other], high[other], eps)].tolist():
+                out.append(tuple(sorted((int(part[i]), int(part[j])))))
+        return pa.Table.from_batches([_typed(out, [pa.int64(), pa.int64()], names)])
+
+    return dealt.groupBy("p", "q").applyInArrow(near, "a long, b long")
+
+
+def _found(reps: DataFrame, d: int, n: int, cosine: float, interval: int) -> DataFrame:
+    """Numbers of links (a, links) and trees (a, b) among n vectors of length d."""
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(AXES_SAMPLE).select("v").toArrow()["v"].to_pylist()
+    turn = axes(unit(np.array(sample, np.float64)))
+    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    lead = min(CELLS, d)
+    placed = _in_order(reps, turn, lead, eps, n, interval)
+    meetings = save(_near(_boxes(placed, turn), eps, interval), "meetings")
+    ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b")))
+    dealt = placed.join(by_shuffle(meetings.select("a", "b", ends.alias("part"))), "part")
+
+    def join(group: pa.Table) -> pa.Table:
+        a, b = group["a"][0].as_py(), group["b"][0].as_py()
+        part, rep, times = (group[c].to_numpy() for c in ("part", "rep", "times"))
+        x = unit(group["v"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1))
         t = x @ turn
         cells = np.floor(t[:, :lead] / eps)
-        order = np.lexsort(np.concatenate([t[:, :1].T, cells.T[::-1], (group["part"].to_numpy() == b)[None] if a != b else np.zeros((1, len(t)))]))
-        x, t, rep, times = x[order], t[order], group["rep"].to_numpy()[order], group["times"].to_numpy()[order]
-        split = int((group["part"] == a).sum()) if a != b else 0
+        order = np.lexsort(np.concatenate([rep[None], t[:, :1].T, cells.T[::-1], (part == b)[None] if a != b else np.zeros((1, len(t)))]))
+        x, t, rep, times = x[order], t[order], rep[order], times[order]
+        split = int((part == a).sum()) if a != b else 0
         return _linked(x, t, rep, times, split, cosine, eps, a == b)
 
-    return save(dealt.groupBy("meeting").applyInPandas(join, "a long, b long, links long"), "found")
+    return save(dealt.groupBy("a", "b").applyInArrow(join, FOUND), "found")
 
 
 def _found_in_rare(reps: DataFrame, cosine: float) -> DataFrame:
     """As _found, for lengths of one interval each."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
-        x = unit(np.stack([np.asarray(v, np.float64) for v in group["v"]]))
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        x = unit(group["v"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1))
         return _linked(x, x, group["rep"].to_numpy(), group["times"].to_numpy(), 0, cosine, eps, True)
 
-    return save(reps.select("d", "rep", "times", "v").groupBy("d").applyInPandas(join, "a long, b long, links long"), "found")
+    return save(reps.select("d", "rep", "times", "v").groupBy("d").applyInArrow(join, FOUND), "found")
 
 
 def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE, interval: int = INTERVAL) -> DataFrame:
@@ -203,8 +253,9 @@ def link(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     found = reduce(DataFrame.unionByName, found)
     counts = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     label = components(found.where("links = 0").select("a", "b"))
-    named = reps.join(counts, reps["rep"] == counts["a"], "left").join(label, reps["rep"] == label["node"], "left")
+    named = reps.join(by_shuffle(counts), reps["rep"] == counts["a"], "left").join(by_shuffle(label), reps["rep"] == label["node"], "left")
     named = save(named.select("copy", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
-    out = rows.select("vec_id", "copy").join(named, "copy", "left")
+    out = rows.where("copy is not null").select("vec_id", "copy").join(by_shuffle(named), "copy").drop("copy")
+    out = out.unionByName(rows.where("copy is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
