@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .components import by_shuffle
 from .scratch import save
 from .text import Words, slices
 
@@ -38,8 +39,8 @@ REMEMBERED = 500_000
 CLOSERS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Text bytes tokenized at once.
 SLICE = 8 << 20
-#: Documents of one shard, about.
-SHARD = 256
+#: Documents of one shard, about, and shards that are rolled up together.
+SHARD, GATHER = 256, 1024
 
 
 def default_tokenizer() -> str:
@@ -179,15 +180,19 @@ def first_fit(capacity: int):
 def arrange(cut: DataFrame, n_shards: int, capacity: int = CAPACITY) -> DataFrame:
     """cut: a stored table of pieces. Adds sequence_id and offset."""
     rows = cut.withColumn("k", (F.lit(capacity) / F.col("length")).cast("int")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_shards)).cast("int"))
-    counts = rows.groupBy("k", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("k").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("k", "shard", "before")
+    counts = rows.groupBy("k", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.expr(f"shard div {GATHER}"))
+    # shards are rolled up in two levels, so that no task walks all shards of a class
+    upto = lambda n, *by: F.coalesce(F.sum(n).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("k", "many").agg(F.sum("n").alias("m"))
+    groups = groups.select("k", "many", upto("m", "k", "many").alias("base"))
+    within = counts.select("k", "many", "shard", upto("n", "k", "many", "shard").alias("within"))
+    starts = within.join(by_shuffle(groups), ["k", "many"]).select("k", "shard", (F.col("base") + F.col("within")).alias("before"))
     totals = counts.groupBy("k").agg(F.sum("n").alias("total"))
     every = W.partitionBy(F.lit(0)).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     classes = totals.withColumn("full", F.expr("total div k")).select("k", "full", F.coalesce(F.sum("full").over(every), F.lit(0)).alias("first"))
     end = classes.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("base"))
     place = F.row_number().over(W.partitionBy("k", "shard").orderBy("doc_id", "start", "length", "ids_crc32")) - 1
-    placed = rows.withColumn("place", place).join(starts, ["k", "shard"]).join(F.broadcast(classes), "k")  # at most as many classes as the capacity
+    placed = rows.withColumn("place", place).join(by_shuffle(starts), ["k", "shard"]).join(F.broadcast(classes), "k")  # at most as many classes as the capacity
     placed = placed.withColumn("place", F.col("place") + F.col("before")).withColumn("bin", F.expr("place div k"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     sequence = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
