@@ -8,8 +8,8 @@ matter, and adding or subtracting a paragraph's vector inserts or deletes it. Eq
 multisets of paragraphs agree in all lanes; the cosine of the NEAR lanes, read as signed
 numbers, estimates how much two texts have in common.
 
-Null texts are empty. Rows are ordered by (doc_id, text), nulls first, so that repeated
-ids have an order too; an only row is its own next one; an empty table has no rows.
+Null texts are empty. Rows are ordered by (doc_id, hash of the text), nulls first, so that
+repeated ids have an order too; an only row is its own next one; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .text import Words, join_hash, mix, slices
 EQUAL, NEAR = 16, 128
 #: Text bytes of one range of doc_id.
 RANGE_BYTES = 8 << 20
+#: Ranges grow where there would be more of them: 17 bytes each go to every worker.
+MOST_RANGES = 1 << 17
 _LANES = mix(np.arange(1, EQUAL + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -119,82 +121,89 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def compare_with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def _order_keys(ids: pa.Array, h: pa.Array) -> np.ndarray:
+    """17 bytes a row that sort as (doc_id, h) do, null ids first."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = ids.is_valid().to_numpy(zero_copy_only=False)
+    for at, values in ((1, ids.fill_null(0)), (9, h)):
+        signed = values.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, at : at + 8] = signed.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def _bounds(docs: DataFrame, range_bytes: int, most: int) -> np.ndarray:
+    """The first key of each range of about range_bytes of text, sorted."""
+    about = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    size = max(range_bytes, about["b"] // most)
+    parts = max(1, about["b"] // size // 64, about["n"] // 4_000_000)
+    keys = docs.select("doc_id", "h", F.length("text").cast("long").alias("b")).repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full, last = None, None
+        for batch in batches:
+            found = []
+            keys = _order_keys(batch.column(0), batch.column(1))
+            for k, b in zip(keys.tolist(), batch.column(2).fill_null(0).to_pylist(), strict=True):
+                # equal keys stay in one range
+                if full is None or full >= size and k != last:
+                    found.append(k.ljust(17, b"\0"))
+                    full = 0
+                full, last = full + b, k
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["k"])
+
+    rows = keys.mapInArrow(cut, "k binary").toArrow()["k"].to_pylist()  # a row for each range, ``most`` and one a partition at most
+    return np.sort(np.array(rows, "S17"))
+
+
+def compare_with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The rows are dealt into ranges of doc_id, compressed, in one shuffle. Ranges begin at
-    ids that occur, so a range knows the row after its last one: rows with a range's first
-    id also go to the range before, and those with the least id to the last range. (Of
-    rows that share a first id, the first in order is the next one.)
+    Rows in order of (doc_id, hash of the text) are dealt into ranges of about range_bytes,
+    compressed, in one shuffle; the ranges' first keys come from a pass over keys and
+    lengths, and a row finds its range among them by bisection. A range is read row by row,
+    each with the next one; its last row is followed by the next range's first, of which it
+    gets a copy, and the last range by the first of all.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
-    about = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("b"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("null"), F.count("doc_id").alias("n")).first()
-    n = max(1, int(about["b"] // range_bytes))
-    bounds = []
-    if about["n"]:
-        found = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-        bounds = sorted({about["least"], *found})
-        if about["null"]:  # null ids come first, in a range of their own
-            bounds = [None, *bounds]
-    else:
-        bounds = [None]
-    named = [b for b in bounds if b is not None]
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(len(bounds) - len(named)) + F.expr(f"size(filter(array({', '.join(map(str, named)) or 'cast(null as bigint)'}), b -> b <= doc_id)) - 1"))
-    last = len(bounds) - 1
-    first = F.col("doc_id").isNull() if bounds[0] is None else F.col("doc_id") == F.lit(bounds[0])
-    opens = (F.col("doc_id").isin(named) if named else F.lit(False)) & ~first
-    to = F.when(opens, F.array("r", F.col("r") - 1)).when(F.coalesce(first, F.lit(False)) if bounds[0] is not None else F.col("doc_id").isNull(), F.array(F.lit(0), F.lit(-1))).otherwise(F.array("r"))
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(1)
-        for batch in batches:
-            texts = [press.compress(x or b"") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).withColumn("h", F.xxhash64("text"))
+    bounds = _bounds(docs, range_bytes, most_ranges)
+    n = len(bounds)
 
-    # -1 stands for the copy of the first rows that follows the last range
-    packed = docs.mapInArrow(squeeze, f"doc_id {kind}, text binary").withColumn("r", place)
-    dealt = packed.select("doc_id", "text", "r", F.explode(to).alias("t"))
-    dealt = dealt.select("doc_id", "text", F.when(F.col("t") < 0, F.lit(last)).otherwise(F.col("t")).alias("t"), (F.col("t") != F.col("r")).alias("after"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1)
+        for batch in slices(batches, "text", 8 << 20):
+            keys = _order_keys(batch.column(0), batch.column(2))
+            at = np.searchsorted(bounds, keys, side="right") - 1
+            opens = np.flatnonzero(bounds[at] == keys)
+            texts = pa.array([press.compress(x) for x in batch.column(1).to_pylist()], pa.binary())
+            rows = np.concatenate([np.arange(batch.num_rows), opens])
+            to = np.concatenate([at, np.where(at[opens] > 0, at[opens] - 1, n - 1)])
+            after = np.arange(len(rows)) >= batch.num_rows
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), texts.take(take), batch.column(2).take(take), pa.array(to, pa.int64()), pa.array(after)], ["doc_id", "text", "h", "t", "after"])
+
+    dealt = docs.mapInArrow(deal, f"doc_id {kind}, text binary, h long, t long, after boolean")
     out = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(id, text, next text) of each row of the ranges; of the copies at a range's end only the first is of use."""
         press = zstandard.ZstdDecompressor()
-        group, t = [], None
+        held, t = None, None
         for batch in batches:
             for i, x, r, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != t:
-                    yield from ordered(group)
-                    group, t = [], r
-                group.append((after, i is not None, i if i is not None else 0, x))
-        del press
-        yield from ordered(group)
-
-    def ordered(group: list[tuple]) -> Iterator[tuple]:
-        """(id, text, next text) of a range; its texts stay compressed until their turn."""
-        press = zstandard.ZstdDecompressor()
-        own = [(b, c, press.decompress(x)) if ties else (b, c, x) for ties in [_ties(group)] for a, b, c, x in group if not a]
-        following = [(b, c, press.decompress(x)) for a, b, c, x in group if a]
-        ties = _ties(group)
-        own.sort()
-        plain = lambda x: x if ties else press.decompress(x)
-        tail = min(following)[2] if following else plain(own[0][2]) if own else b""
-        text = plain(own[0][2]) if own else b""
-        for k, (named_id, i, _) in enumerate(own):
-            then = plain(own[k + 1][2]) if k + 1 < len(own) else tail
-            yield (i if named_id else None, text, then)
-            text = then
-
-    def _ties(group: list[tuple]) -> bool:
-        ids = [(b, c) for a, b, c, _ in group if not a]
-        return len(set(ids)) < len(ids)
+                if held is not None and r == t:
+                    text = press.decompress(x)
+                    yield (*held, text)
+                    held = None if after else (i, text)
+                elif not after:
+                    held, t = (i, press.decompress(x)), r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for row in rows(batches):
+        for row in pairs(batches):
             held.append(row)
             size += len(row[1])
-            if size > range_bytes // 4 or len(held) >= 2000:
+            if size > 2 << 20 or len(held) >= 2000:
                 yield made(held)
                 held, size = [], 0
         if held:
@@ -203,19 +212,22 @@ def compare_with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     def made(held: list[tuple]) -> pa.RecordBatch:
         texts = [x[1].decode() for x in held]
         changed = [edited(a, x[2].decode()).encode() for a, x in zip(texts, held, strict=True)]
-        e, v = vectors(pa.array([x[1] for x in held] + [held[-1][2]], pa.binary()))
+        e, v = vectors(pa.array([x[1] for x in held], pa.binary()))
         ce, cv = vectors(pa.array(changed, pa.binary()))
-        n = len(held)
+        # the next text is the next row's, but at a range's end
+        ends = [k for k in range(len(held)) if k + 1 == len(held) or held[k + 1][1] is not held[k][2]]
+        ne, nv = np.roll(e, -1, 0), np.roll(v, -1, 0)
+        ne[ends], nv[ends] = vectors(pa.array([held[k][2] for k in ends], pa.binary()))
         columns = [
             pa.array([x[0] for x in held], pa.int64()),
             pa.array([len(x) for x in texts], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in changed]),
-            pa.array(_write(to_bytes(e[:n], v[:n]))),
+            pa.array(_write(to_bytes(e, v))),
             pa.array(_write(to_bytes(ce, cv))),
-            pa.array(likeness(v[:n], cv, (e[:n] == ce).all(1) & (v[:n] == cv).all(1))),
-            pa.array(likeness(v[:n], v[1:], (e[:n] == e[1:]).all(1) & (v[:n] == v[1:]).all(1))),
+            pa.array(likeness(v, cv, (e == ce).all(1) & (v == cv).all(1))),
+            pa.array(likeness(v, nv, (e == ne).all(1) & (v == nv).all(1))),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    columns = dealt.repartition(max(1, len(bounds)), "t").sortWithinPartitions("t", "after", "doc_id").select("doc_id", "text", "t", "after")
+    columns = dealt.repartition(max(1, n), "t").sortWithinPartitions("t", "after", F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text", "t", "after")
     return columns.mapInArrow(run, f"doc_id long, {out}")
