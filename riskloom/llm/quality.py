@@ -1,14 +1,19 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are labelled rows of label 1, the unlabelled ones any texts. The class
-prior is the least ratio, over thresholds of a first positive-against-unlabelled model, of
-the shares of unlabelled and positive rows above it. The final linear model minimises
+Trusted positives are labelled rows of label 1, at most ``sample`` of them; the unlabelled
+ones are all texts outside the held fold. The class prior is the least ratio, over
+thresholds of a first positive-against-unlabelled model, of the shares of unlabelled and
+positive rows above it. The final linear model minimises
 prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]), and two numbers map
 its output to the share of label 1 among labelled rows it may learn from.
 
+A sample of texts only says where to start: feature means, the shares that give the prior
+and the risk and gradient of the last PASSES steps are sums over all unlabelled texts,
+taken by passes over a stored table of features, of which a few hundred numbers reach the
+driver.
+
 Features are frequencies, so that texts of any length compare: character classes, word
-forms, repetition and hashed word endings. Samples to learn from are bounded by ``sample``
-whatever the input; all texts are scored whole. Null and empty texts have no words, and
+forms, repetition and hashed word endings. All texts are scored whole. Null and empty texts have no words, and
 their features are zeros; repeated rows are scored alike; without rows of both kinds to
 learn from the score is 0.5 for all; an empty table has no scores; other columns are ignored.
 """
@@ -22,9 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import save
 from .text import Words, mix, slices
 
+#: Labelled rows of each label to learn from, and unlabelled ones to start from, at most.
 SAMPLE = 4000
+#: Steps over all unlabelled texts.
+PASSES = 6
 THRESHOLD = 0.3
 ENDINGS = 192
 _UPPER = np.zeros(256, bool)
@@ -127,44 +136,79 @@ def _descend(gradient, n: int, steps: int, rate: float) -> np.ndarray:
     return v
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
-    """The least ratio of shares above a threshold that ``least`` of the positives pass."""
+def class_prior(positive: np.ndarray, shares, least: float = 0.2) -> float:
+    """The least ratio of shares above a threshold that ``least`` of the positives pass; shares(cuts): those of the unlabelled."""
     cuts = np.quantile(positive, np.linspace(0.0, 1 - least, 60))
     p = (positive[None] >= cuts[:, None]).mean(1)
-    u = (unlabelled[None] >= cuts[:, None]).mean(1)
-    return float(np.clip((u / p).min(), 0.05, 0.98))
+    return float(np.clip((shares(cuts) / p).min(), 0.05, 0.98))
+
+
+def _output(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return x @ v[:-1] + v[-1]
+
+
+def negative_sums(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of rows taken as negative: gradient of the loss, summed, and the loss itself."""
+    z = _output(u, v)
+    s = _sigmoid(z)
+    return np.concatenate([u.T @ s, [s.sum(), np.logaddexp(0, z).sum()]])
+
 
+def risk(v: np.ndarray, p: np.ndarray, negative: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk and its gradient; negative: means of negative_sums over the unlabelled rows."""
+    z, n = _output(p, v), len(p)
+    s = _sigmoid(z)
+    gain = np.append(p.T @ (s - 1), (s - 1).sum()) * (prior / n)
+    rest = negative[-1] - prior * np.logaddexp(0, z).mean()
+    of_rest = negative[:-1] - np.append(p.T @ s, s.sum()) * (prior / n)
+    value = prior * np.logaddexp(0, -z).mean() + max(0.0, rest) + decay / 2 * (v[:-1] ** 2).sum()
+    # below 0 the step is back up, so that the estimate of the negative part does not overfit
+    g = gain + of_rest if rest >= 0 else -of_rest
+    g[:-1] += decay * v[:-1]
+    return float(value), g
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, decay: float = 1e-3, steps: int = 400, seed: int = 7) -> tuple[Model, float]:
-    """The model, and the prior that was given or estimated."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), 1 / np.maximum(both.std(0), 0.02)
-    p, u = (positive - mean) * scale, (unlabelled - mean) * scale
-    d = p.shape[1]
+
+def train(positive: np.ndarray, sample: np.ndarray, prior: float | None = None, over=None, decay: float = 1e-3, steps: int = 400, passes: int = PASSES, seed: int = 7) -> tuple[Model, float]:
+    """The model, and the prior that was given or estimated.
+
+    over(f): the sum of f(rows) over all unlabelled rows; by default these are the sample.
+    """
+    over = over or (lambda f: f(sample))
+    d = positive.shape[1]
+    total = over(lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    n, mean = total[0], total[1 : d + 1] / total[0]
+    scale = 1 / np.maximum(np.sqrt(np.maximum(total[d + 1 :] / n - mean * mean, 0.0)), 0.02)
+    p, u = (positive - mean) * scale, (sample - mean) * scale
 
     def contrast(v, _):
-        a, b = _sigmoid(p @ v[:d] + v[d]) - 1, _sigmoid(u @ v[:d] + v[d])
+        a, b = _sigmoid(_output(p, v)) - 1, _sigmoid(_output(u, v))
         g = np.append(p.T @ a / len(p) + u.T @ b / len(u), a.mean() + b.mean())
         g[:d] += decay * v[:d]
         return g
 
     if prior is None:
         v = _descend(contrast, d + 1, 150, 0.05)
-        prior = class_prior(p @ v[:d] + v[d], u @ v[:d] + v[d])
+        above = lambda cuts: over(lambda x: (_output((x - mean) * scale, v)[None] >= cuts[:, None]).sum(1)) / n
+        prior = class_prior(_output(p, v), above)
     rng = np.random.default_rng(seed)
 
-    def risk(v, _):
+    def sampled(v, _):
         i, j = rng.integers(0, len(p), 1024), rng.integers(0, len(u), 1024)
-        zp, zu = p[i] @ v[:d] + v[d], u[j] @ v[:d] + v[d]
-        up, un = _sigmoid(zp), _sigmoid(zu)
-        gain = np.append(p[i].T @ (up - 1), (up - 1).sum()) * (prior / 1024)
-        negative = np.append(u[j].T @ un, un.sum()) / 1024 - np.append(p[i].T @ up, up.sum()) * (prior / 1024)
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = gain + negative if rest >= 0 else -negative
-        g[:d] += decay * v[:d]
-        return g
-
-    v = _descend(risk, d + 1, steps, 0.02)
+        return risk(v, p[i], negative_sums(u[j], v) / 1024, prior, decay)[1]
+
+    v = _descend(sampled, d + 1, steps, 0.02)
+    # steps over all rows, as long as a step's last two gradients say; the best one seen stays
+    best, before, rate = None, None, 4.0 / (d + 1)
+    for _ in range(passes):
+        value, g = risk(v, p, over(lambda x, v=v: negative_sums((x - mean) * scale, v)) / n, prior, decay)
+        if best is None or value < best[0]:
+            best = value, v
+        if before is not None:
+            moved, turned = v - before[0], g - before[1]
+            rate = float(np.clip(moved @ moved / (moved @ turned), 1e-3, 2.0)) if moved @ turned > 0 else rate
+        before = v, g
+        v = v - rate * g
+    v = v if best is None else best[1]
     return Model(mean, scale, v[:d], float(v[d])), prior
 
 
@@ -186,40 +230,68 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, folds: int, held: int) -> DataFrame:
-    """doc_id, text, y of at most n rows of each label, chosen by hash, out of the folds to learn from."""
+def chosen(labels: DataFrame, label: str, n: int, folds: int, held: int) -> DataFrame:
+    """doc_id, y of at most n rows of each label, by hash, out of the folds to learn from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(n) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 n rows of two numbers
+    return parts[0].unionByName(parts[1])
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def feature_table(docs: DataFrame) -> DataFrame:
+    """doc_id and features of all rows, stored: they are read once for each pass."""
+    return save(feature_rows(docs, "doc_id"), "features")
+
+
+def _sums(rows: DataFrame, f) -> np.ndarray:
+    """The sum of f(features) over rows of x: partial sums per task, then by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                found = np.asarray(f(_matrix(batch.column(0))), np.float64)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+
+    found = rows.select("x").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")
+    return found["v"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> tuple[Model | None, float]:
-    """Learns from at most ``sample`` rows of each label and ``sample`` unlabelled texts outside the held fold."""
-    rows = feature_rows(labelled(docs, labels, label, sample, folds, held), "doc_id", "y").toArrow().sort_by("doc_id")
-    free = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held)).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(sample)
-    free = feature_rows(docs.select("doc_id", "text").join(F.broadcast(free.distinct()), "doc_id"), "doc_id").toArrow().sort_by("doc_id")
-    matrix = lambda t: np.frombuffer(b"".join(t["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
-    x, y, u = matrix(rows), np.array(rows["y"].to_pylist(), int), matrix(free)
+    """Learns from at most ``sample`` rows of each label and all unlabelled texts outside the held fold.
+
+    docs: doc_id and text, or a feature_table of them.
+    """
+    table = docs if "x" in docs.columns and "text" not in docs.columns else feature_table(docs)
+    rows = table.join(F.broadcast(chosen(labels, label, sample, folds, held)), "doc_id").toArrow().sort_by("doc_id")  # 2 n rows of two numbers
+    free = table.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    start = free.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(sample).distinct()
+    start = table.join(F.broadcast(start), "doc_id").toArrow().sort_by("doc_id")
+    x, y, u = _matrix(rows["x"]), np.array(rows["y"].to_pylist(), int), _matrix(start["x"])
     if not (y == 1).any() or not len(u):
         return None, 0.5
-    model, prior = train(x[y == 1], u)
+    model, prior = train(x[y == 1], u, over=lambda f: _sums(free, f))
     # rows of each label stand for as many as the prior says
     keep = np.flatnonzero((y == 0) | (np.arange(len(y)) % max(1, round((y == 1).sum() * (1 - prior) / max(1, (y == 0).sum() * prior))) == 0))
     return calibrate(model, x[keep], y[keep]), prior
 
 
 def score(docs: DataFrame, model: Model | None, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted. docs: doc_id and text, or a feature_table of them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    table = docs if "x" in docs.columns and "text" not in docs.columns else feature_rows(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x = features(batch.column(1))
-            s = model.score(x.astype(np.float64)) if model is not None else np.full(len(x), 0.5)
+        for batch in batches:
+            s = model.score(_matrix(batch.column(1))) if model is not None else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    scored = table.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

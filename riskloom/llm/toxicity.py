@@ -9,8 +9,8 @@ a document's score is a logistic function of the largest and of the sums of the
 of the low ones over its different words, fitted
 on the documents to learn from, and words of at least 0.5 give the spans.
 
-Samples to learn from are bounded by ``sample`` documents of each label; all texts are
-scored whole. Null and empty texts have no words; repeated rows are scored alike; without
+Samples to learn from are bounded by ``sample`` documents and ``most_bytes`` of text of each
+label, and so is what the driver holds; all texts are scored whole. Null and empty texts have no words; repeated rows are scored alike; without
 documents of both labels the score is 0 for all; an empty table has no scores; other
 columns are ignored.
 """
@@ -24,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .quality import THRESHOLD, _descend, _sigmoid, fold, labelled
+from .quality import THRESHOLD, _descend, _sigmoid, chosen, fold
 from .text import LOWER, Words, mix, slices
 
 SAMPLE = 1800
+#: Bytes of text of each label at most, so that long documents do not fill the driver.
+SAMPLE_BYTES = 5 << 20
 CHAIN = 32
 LOG_CELLS = 18
 _PUNCTUATION = np.zeros(256, bool)
@@ -196,13 +198,23 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = 60, decay: float = 1e
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Field | None:
-    """Learns from at most ``sample`` documents of each label outside the held fold."""
-    rows = labelled(docs, labels, label, sample, folds, held).select("doc_id", "y", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
-    toxic = np.array(rows["y"].to_pylist(), int) == 1
-    if toxic.all() or not toxic.any():
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field | None:
+    """Learns from at most ``sample`` documents and ``most_bytes`` of text of each label outside the held fold.
+
+    Documents are taken in order of a hash until either is reached; sizes come to the driver first.
+    """
+    known = chosen(labels, label, sample, folds, held)
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    about = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).join(F.broadcast(known), "doc_id")  # 2 n rows of two numbers
+    about = about.groupBy("doc_id", "y").agg(F.sum("b").cast("long").alias("b")).withColumn("h", F.xxhash64("doc_id", F.lit(1))).toArrow()
+    ids, y, b, h = (about[c].to_numpy() for c in ("doc_id", "y", "b", "h"))
+    order = np.lexsort((ids, h))
+    taken = [(int(ids[k]), int(y[k])) for v in (0, 1) for mine in [order[y[order] == v]] for k in mine[(np.cumsum(b[mine]) <= most_bytes) | (np.arange(len(mine)) == 0)]]
+    if len({v for _, v in taken}) < 2:
         return None
-    return train(rows["text"].combine_chunks(), toxic)
+    picked = docs.sparkSession.createDataFrame(taken, "doc_id long, y int")
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").toArrow().sort_by("doc_id")
+    return train(rows["text"].combine_chunks(), rows["y"].to_numpy() == 1)
 
 
 def score(docs: DataFrame, field: Field | None, folds: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
