@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,16 +30,22 @@ from .text import slices
 
 TRAINING_PAGES = 700
 #: HTML's kinds of elements.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br svg picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br picture source".split())
+#: Drawings: their words are text of the block around them.
+INLINE |= frozenset("canvas svg g defs text tspan textpath path rect circle ellipse line polyline polygon use symbol lineargradient radialgradient stop clippath mask filter foreignobject desc".split())
 #: MathML: a formula is text of the block around it.
 INLINE |= frozenset("math semantics annotation annotation-xml maction merror mfrac mfenced menclose mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title iframe svg head select option button canvas".split())
+RAW = frozenset("script style template textarea title iframe head select option button".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open element of the second kind keeps the first kind from being closed across it.
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Comments, tags and declarations. Each alternative runs to the page's end if nothing closes it, and gives nothing
+#: back, so that every character is read a bounded number of times.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: The same where quotes of attributes do not close: a tag ends at the next ">".
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -52,6 +59,22 @@ class Node:
         self.kids = self.chars = self.linked = self.ends = self.below = 0
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Comments, tags and declarations in page order.
+
+    A tag that quotes keep open to the end is read again without heed to quotes, as are all
+    after it; one that nothing closes is text, as is all after it.
+    """
+    for m in _TOKEN.finditer(page):
+        if m[2] is not None and not m[4]:
+            for p in _PLAIN.finditer(page, m.start()):
+                if p[2] is not None and not p[4]:
+                    return
+                yield p
+            return
+        yield m
+
+
 def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order, each after its parent, and blocks of text as (node, text)."""
     nodes = [Node("#", (), -1, 0, 0)]
@@ -71,11 +94,17 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((stack[-1], text))
         linked = 0
 
+    # open elements by tag, and raw tags that nothing closes any more: neither is looked for in vain
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
+
     def close(to: int) -> None:
         flush()
+        for k in stack[to:]:
+            opened[nodes[k].tag] -= 1
         del stack[to:]
 
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         if m.start() < at:
             continue
         if m.start() > at:
@@ -92,12 +121,12 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag in INLINE:
                 if tag == "a":
                     links = 0
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    links = 0
-                    break
+            elif opened[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[k]].tag == tag:
+                        close(k)
+                        links = 0
+                        break
             continue
         if tag in INLINE:
             if tag == "a":
@@ -108,15 +137,19 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 continue
         if tag in RAW and tag != "head":
             flush()
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if not m[3].endswith("/"):
-                at = stop.end() if stop else (end if tag in ("script", "style", "textarea", "title") else at)
+                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    unclosed.add(tag)
+                    at = end if tag in ("script", "style", "textarea", "title") else at
             continue
         flush()
         if tag in VOID:
             continue
         links = 0
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == "p":
                     close(k)
@@ -124,11 +157,13 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if nodes[stack[k]].tag in ("table", "td", "th", "li", "div", "article", "section"):
                     break
         if tag in ENDS:
+            left = sum(opened[x] for x in ENDS[tag])
             for k in range(len(stack) - 1, 0, -1):
+                if not left or nodes[stack[k]].tag in BOUNDS[tag]:
+                    break
                 if nodes[stack[k]].tag in ENDS[tag]:
                     close(k)
-                elif nodes[stack[k]].tag in BOUNDS[tag]:
-                    break
+                    left = sum(opened[x] for x in ENDS[tag])
         tokens: tuple = ()
         if len(m[3]) > 3:
             found = []
@@ -146,6 +181,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes[up].kids += 1
         nodes.append(Node(tag, tokens, up, len(stack), nodes[up].kids))
         stack.append(len(nodes) - 1)
+        opened[tag] += 1
     if at < end:
         pieces.append(page[at:])
     flush()
