@@ -34,37 +34,77 @@ def _split(text: Column, mark: str) -> Column:
     return F.split(text, rf"\Q{mark}\E", -1)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once although it is used often."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+#: Numbers of a stretch that is summed up at once.
+STRETCH = 256
+
+
+def before(sizes: Column) -> Column:
+    """What comes before each number of an array, summed; by stretches, as an array that grows by one is copied each time."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found"))
+    firsts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(sizes) - 1) / STRETCH).cast("int"), F.lit(0)))
+    within = F.transform(firsts, lambda k: F.aggregate(F.slice(sizes, k * STRETCH + 1, F.lit(STRETCH)), start, add))
+    whole = lambda parts: F.aggregate(parts, start, lambda s, p: add(s, p["at"]))["found"]
+    moved = lambda b: F.flatten(F.transform(b["parts"], lambda p, k: F.transform(p["found"], lambda x: x + F.get(b["base"], k))))
+    return let(within, lambda parts: let(F.struct(parts.alias("parts"), whole(parts).alias("base")), moved))
+
+
 def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss_mask: array of (begin, end), the code points of each ``trained`` text in formatted."""
+    """conv_id, formatted, loss_mask: array of (begin, end, first_byte, last_byte).
+
+    begin and end are the code points of each ``trained`` text in formatted, the others its bytes.
+    Time grows with a conversation's length, not with its square.
+    """
     rows = turns.select(
         "conv_id", F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t")
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    block = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
 
-    def merged(blocks: Column, t: Column) -> Column:
-        last, text = F.element_at(blocks, -1), F.array(escape(t["text"]))
-        same = (F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == escape(t["role"]))
-        grown = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(block(last["role"], F.concat(last["texts"], text))))
-        return F.when(same, grown).otherwise(F.concat(blocks, F.array(block(escape(t["role"]), text))))
+    def merged(t: Column) -> Column:
+        """Blocks of adjacent turns of one role: a slice from each turn that begins one."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
 
-    blocks = chats.select("conv_id", F.aggregate("turns", none, merged).alias("blocks"))
+        def blocks(begin: Column) -> Column:
+            one = lambda i, k: F.struct(F.get(t, i)["role"].alias("role"), F.transform(F.slice(t, i + 1, F.coalesce(F.get(begin, k + 1), F.size(t)) - i), lambda x: x["text"]).alias("texts"))
+            return F.transform(begin, one)
+
+        return let(begins, blocks)
+
+    blocks = chats.select("conv_id", let(escaped, merged).alias("blocks"))
     written = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit(SEP), F.array_join(b["texts"], NEXT), F.lit(END)))
 
-    def spans(state: Column, b: Column) -> Column:
-        head = state["at"] + len(START) + F.length(b["role"]) + len(SEP)
-        start = F.struct(head.alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("found"))
-        one = lambda s, text: F.struct(
-            (s["at"] + F.length(text) + len(NEXT)).alias("at"),
-            F.concat(s["found"], F.array(F.struct(s["at"].alias("begin"), (s["at"] + F.length(text)).alias("end")))).alias("found"),
+    def places(b: Column) -> Column:
+        """Of each text in a block what stands before it and after it, in code points, and its sizes."""
+        head = lambda size: len(START) + size(b["role"]) + len(SEP)
+        ends = F.size(b["texts"]) - 1
+        one = lambda x, k: F.struct(
+            F.when(k == 0, head(F.length)).otherwise(len(NEXT)).cast("bigint").alias("pre"), F.when(k == 0, head(F.octet_length)).otherwise(len(NEXT)).cast("bigint").alias("pre_bytes"),
+            F.length(x).cast("bigint").alias("n"), F.octet_length(x).cast("bigint").alias("n_bytes"), F.when(k == ends, len(END)).otherwise(0).cast("bigint").alias("post"),
+            (b["role"] == escape(F.lit(trained))).alias("trained"),
         )
-        within = F.aggregate(b["texts"], start, one)
-        kept = F.when(b["role"] == escape(F.lit(trained)), F.concat(state["found"], within["found"])).otherwise(state["found"])
-        return F.struct((within["at"] - len(NEXT) + len(END)).alias("at"), kept.alias("found"))
+        return F.transform(b["texts"], one)
+
+    def mask(p: Column) -> Column:
+        points = before(F.transform(p, lambda x: x["pre"] + x["n"] + x["post"]))
+        octets = before(F.transform(p, lambda x: x["pre_bytes"] + x["n_bytes"] + x["post"]))
+
+        def spans(at: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                a, b = F.get(at["points"], k) + x["pre"], F.get(at["octets"], k) + x["pre_bytes"]
+                return F.struct(a.alias("begin"), (a + x["n"]).alias("end"), b.alias("first_byte"), (b + x["n_bytes"]).alias("last_byte"), x["trained"].alias("trained"))
+
+            return F.transform(F.filter(F.transform(p, one), lambda x: x["trained"]), lambda x: F.struct(*[x[c].alias(c) for c in ("begin", "end", "first_byte", "last_byte")]))
+
+        return let(F.struct(points.alias("points"), octets.alias("octets")), spans)
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("found"))
-    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), F.aggregate("blocks", zero, spans)["found"].alias("loss_mask"))
+    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), let(F.flatten(F.transform("blocks", places)), mask).alias("loss_mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -82,7 +122,8 @@ def read_back(formatted: Column) -> Column:
 def digest(chats: DataFrame) -> DataFrame:
     """What the formatted strings hold, read back from them."""
     back = chats.select("conv_id", "formatted", "loss_mask", read_back(F.col("formatted")).alias("turns"))
-    under = F.transform("loss_mask", lambda m: unescape(F.substring("formatted", m["begin"].cast("int") + 1, (m["end"] - m["begin"]).cast("int"))))
+    cut = lambda data, m: F.substring(data, (m["first_byte"] + 1).cast("int"), (m["last_byte"] - m["first_byte"]).cast("int")).cast("string")
+    under = let(F.col("formatted").cast("binary"), lambda data: F.transform("loss_mask", lambda m: unescape(cut(data, m))))
     back = back.withColumn("loss", F.array_join(under, ""))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
