@@ -98,9 +98,9 @@ def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model, _ = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, model)
+    features = quality.feature_table(_table(spark, sf_dir, "documents"))
+    model, _ = quality.fit(features, _table(spark, sf_dir, "labels"))
+    return quality.score(features, model)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ with d as (
   from o, f
 ), r as (
   select doc_id, size, source_size, target, u, case when source_size > 0 then target / source_size else 0 end as rate,
-    row_number() over (partition by d.source order by size, doc_id % {mixing.SHARES}, doc_id) as place
+    row_number() over (partition by d.source order by size, doc_id % (select greatest({mixing.SHARES}, count(*) // {mixing.SHARE_ROWS}) from documents), doc_id) as place
   from d join g on d.source is not distinct from g.source
 )
 select doc_id, size, source_size, target,
