@@ -20,7 +20,9 @@ that link share a shingle within the prefixes that their sizes and the threshold
 Only links between nodes are verified and returned, as trees that hold linked nodes
 together. Null and empty texts have empty sets and link with nothing; rows with a null id
 are returned with a null component; rows with equal ids are documents of their own that
-share an id; an empty table has no rows; other columns are ignored.
+share an id, and link by their texts alone; an empty table has no rows; other columns are
+ignored. Joins are by shuffle; keys that many rows share meet rows of a few numbers there,
+which Spark's adaptive execution splits.
 
 Shingles and sets are named by 64-bit hashes; for n different sets the chance that any
 two are confused is n * n / 2**65.
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bits
-from .components import Union, components, forest
+from .components import Union, by_shuffle, components, forest, look_up
 from .scratch import release, save
 from .text import Words, grams, mix, slices, starts_in
 
@@ -332,13 +334,14 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
             ok = [possible(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    with_cells = pairs.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("node").alias("b"), F.col("cells").alias("y")), "b")
+    with_cells = pairs.join(by_shuffle(cells.select(F.col("node").alias("a"), F.col("cells").alias("x"))), "a").join(by_shuffle(cells.select(F.col("node").alias("b"), F.col("cells").alias("y"))), "b")
     pairs = save(with_cells.select("a", "b", "x", "y").mapInArrow(may_link, "a long, b long"), "pairs")
     reps = save(named.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
 
     # the sets of nodes that have a partner to look at, from their first documents
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(listed.select("node")).distinct().join(reps, "node")
-    filtered = spark.sparkContext.broadcast(bits.build(asked.select(F.xxhash64("rep").alias("h")), "h"))  # of fixed size
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(listed.select("node")).distinct().join(by_shuffle(reps), "node")
+    asked = save(asked.select(F.xxhash64("rep").alias("h")), "asked")
+    filtered = spark.sparkContext.broadcast(bits.build(asked, "h", bits.log_bits_for(asked.count())))  # 16 MB at most
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -349,8 +352,8 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     one = save(docs.where("doc_id is not null").mapInArrow(whole, "node long, s array<long>"), "sets")
 
     # small lists: a node's partners in a trie
-    with_sets = pairs.join(one.withColumnRenamed("node", "b"), "b").select("a", "b", "s")
-    own = pairs.select("a").distinct().join(one.withColumnRenamed("node", "a"), "a").select("a", F.col("a").alias("b"), "s")
+    with_sets = pairs.join(by_shuffle(one.withColumnRenamed("node", "b")), "b").select("a", "b", "s")
+    own = pairs.select("a").distinct().join(by_shuffle(one.withColumnRenamed("node", "a")), "a").select("a", F.col("a").alias("b"), "s")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("b")
@@ -370,7 +373,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
 
     # hot lists: two deals into blocks of one list
     sizes = save(listed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    sized = listed.join(sizes, "key")
+    sized = listed.join(by_shuffle(sizes), "key")
     home = sized.groupBy("node").agg(F.max_by(F.struct("key", "m"), F.struct("m", "key")).alias("h")).select("node", "h.key", "h.m")
     deal = F.explode(F.array(F.lit(0), F.lit(1)))
     blocks = home.select("node", "key", "m", deal.alias("deal"))
@@ -383,20 +386,19 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
         a, b = forest(node, join_block([_array(s) for s in group["s"]], order=order, percent=percent))
         return pd.DataFrame({"a": a, "b": b})
 
-    hot_links = blocks.join(one, "node").groupBy("block").applyInPandas(within, "a long, b long")
-    by_rep = lambda x: x.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    links = save(by_rep(links.unionByName(hot_links)), "links")
+    hot_links = blocks.join(by_shuffle(one), "node").groupBy("block").applyInPandas(within, "a long, b long")
+    links = save(links.unionByName(hot_links), "links")
     release(spark)
     label = components(links)
 
     # hot lists that are not connected yet
-    labelled = lambda: reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("label"))
-    known = save(listed.join(labelled(), "node").select("key", "node", "label"), "known")
+    known = listed.join(by_shuffle(label), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    known = save(known, "known")
     share = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     per_key = share.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all")).where("most < all")
     open_keys = save(per_key, "open")
     if open_keys.limit(1).count():
-        rest = known.join(open_keys, "key").withColumn("minor", F.col("label") != F.col("main"))
+        rest = known.join(by_shuffle(open_keys), "key").withColumn("minor", F.col("label") != F.col("main"))
         parts = F.ceil(F.col("all") / (FINISH * block)).cast("int")
         minors = F.ceil((F.col("all") - F.col("most")) / (FINISH * block)).cast("int")
         rest = rest.withColumn("i", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), minors).cast("int"))
@@ -404,7 +406,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
         stay = rest.select("key", "node", "label", F.explode(F.sequence(F.lit(0), minors - 1)).alias("j"), "i", F.lit(False).alias("seeks"))
         meetings = seek.unionByName(stay).groupBy("key", "i", "j", "node", "label").agg(F.max("seeks").alias("seeks"))
         meetings = meetings.select("node", "key", "label", "seeks", F.xxhash64("key", "i", "j").alias("block"))
-        with_keys = save(one.join(listed.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "hot")
+        with_keys = save(one.join(by_shuffle(listed.groupBy("node").agg(F.collect_set("key").alias("keys"))), "node"), "hot")
 
         def finish(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("seeks", ascending=False).drop_duplicates("node")
@@ -414,11 +416,15 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
             new = new[roots[new] != new]  # labels that have become linked
             return pd.DataFrame({"a": node[roots[new]], "b": node[new]})
 
-        more = meetings.join(with_keys, "node").groupBy("block").applyInPandas(finish, "a long, b long")
-        label = components(save(links.unionByName(by_rep(more)), "links"))
+        more = meetings.join(by_shuffle(with_keys), "node").groupBy("block").applyInPandas(finish, "a long, b long")
+        label = components(save(links.unionByName(more), "links"))
 
-    final = save(labelled().withColumnRenamed("label", "component_id"), "final")
-    out = named.where("n > 0").join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    # components of sets, named by the least id of a document that has one of them
+    linked = save(label.join(by_shuffle(reps), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = look_up(linked.select("node", "component"), "component", least, "node", linked.count()).select("node", "component_id")
+    final = save(reps.join(by_shuffle(joined), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "final")
+    out = named.where("n > 0").join(by_shuffle(final), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
