@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import bits, chat, components, extraction, fingerprint, mixing, packing, quality, queries, shingles, substrings, toxicity, vectors
+from riskloom.llm import bits, chat, components, extraction, fingerprint, mixing, packing, quality, queries, scratch, shingles, substrings, text as texts_of, toxicity, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -116,13 +116,41 @@ def test_repeated_documents_stay_in_the_corpus(spark, small):
     other = " ".join(f"c{k}" for k in range(25))
     docs = spark.createDataFrame([(3, text, "en", "s", 9), (3, text, "en", "s", 9), (4, other, "en", "s", 9)], DOCS)
     # without the join of near copies, which is to leave one row of them
-    out = corpus_pipeline.mix_sources(spark, corpus_pipeline.cut_repeated_passages(spark, docs, small).localCheckpoint(), small).collect()
+    out = corpus_pipeline.mix_sources(spark, scratch.keep(corpus_pipeline.cut_repeated_passages(spark, docs, small), "cut")[0], small).collect()
     assert {(r["doc_id"], r["text"]) for r in out} == {(3, text), (4, other)}
 
 
-def test_factors():
-    begin, end = substrings.factors(np.array([9, 0, 5]), np.array([1, 2, 1]), 3)
-    assert list(zip(begin, end, strict=True)) == [(0, 4), (5, 8), (9, 12)]
+def test_factors_across_blocks_and_spans():
+    # two blocks' factors with one source, a third with another source that begins inside
+    got = substrings.parse(np.array([9, 0, 3]), np.array([2, 3, 2]), np.array([5, 7, 7]), np.array([0, 10, 13]), 3)
+    assert got.tolist() == [[0, 7, 7, 10], [9, 4, 5, 0]]
+    begin, end = substrings.covered(np.array([0, 2, 9]), np.array([4, 4, 3]))
+    assert list(zip(begin, end, strict=True)) == [(0, 6), (9, 12)]
+
+
+def test_factors_have_sources(docs, corpus):
+    """Every factor's words stand at its source, earlier, and the factors cover what brute force removes."""
+    text = {i: words(t) for i, t in zip(corpus.doc_id, corpus.text, strict=True)}
+    want = removed(zip(corpus.doc_id, corpus.text, strict=True))
+    gone = {i: set() for i in text}
+    for r in substrings.factors(docs).collect():
+        n, source = r["words"], text[r["source_id"]]
+        assert n >= 20 and (r["source_id"], r["source_begin"]) < (r["doc_id"], r["begin"])
+        assert text[r["doc_id"]][r["begin"] : r["begin"] + n] == source[r["source_begin"] : r["source_begin"] + n]
+        gone[r["doc_id"]].update(range(r["begin"], r["begin"] + n))
+    assert {i: len(x) for i, x in gone.items()} == {i: want[i][1] for i in text}
+
+
+@pytest.mark.parametrize(("often", "most", "remembered"), [(2, 1 << 20, 400_000), (2, 0, 50), (64, 0, 400_000), (64, 1 << 20, 10)])
+def test_substrings_by_every_way(docs, corpus, monkeypatch, often, most, remembered):
+    monkeypatch.setattr(substrings, "REMEMBERED", remembered)
+    monkeypatch.setattr(substrings, "ROW", 4)
+    want = removed(zip(corpus.doc_id, corpus.text, strict=True))
+    keyed = docs.select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("text"))
+    gone = {i: set() for i in want}
+    for r in substrings.matches(keyed, often=often, most_keys=most).collect():
+        gone[r["key"]].update(range(r["begin"], r["begin"] + r["n"] + 19))
+    assert {i: len(x) for i, x in gone.items()} == {i: x[1] for i, x in want.items()}
 
 
 def test_filter_holds_all_keys(spark):
@@ -187,6 +215,32 @@ def test_vectors_of_other_lengths(spark):
         assert got == [(i, links[i], union.root(i), union.root(i) == i) for i, _ in vecs]
 
 
+def test_vectors_of_many_small_splits_and_intervals(spark, tmp_path, monkeypatch):
+    """Splits without rows, ranges and gathered intervals of few vectors."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(30, 6))
+    x = (base[rng.integers(0, 30, 300)] + rng.normal(size=(300, 6)) * 0.15).astype(np.float32)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "v"))
+    e = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = e @ e.T >= 0.95
+    np.fill_diagonal(link, False)
+    union = components.Union(300)
+    for a, b in zip(*np.nonzero(link), strict=True):
+        union.join(int(a), int(b))
+    want = [(k, int(link[k].sum()), union.root(k), union.root(k) == k) for k in range(300)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        df = spark.read.parquet(str(tmp_path / "v"))
+        assert df.rdd.getNumPartitions() > 4
+        assert sorted(tuple(r) for r in vectors.link(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    monkeypatch.setattr(vectors, "RANGE", 40)
+    monkeypatch.setattr(vectors, "GATHER", 3)
+    assert sorted(tuple(r) for r in vectors.link(df, interval=7).collect()) == want
+
+
 # 3
 
 
@@ -229,20 +283,54 @@ def test_chunk_ids_equal_the_tokenizer():
 # 4
 
 
-def test_fingerprints(docs, corpus):
-    got = {r["doc_id"]: r for r in fingerprint.compare_with_next(docs, 4000).collect()}
-    rows = corpus.sort_values("doc_id").reset_index(drop=True)
-    texts = [x or "" for x in rows.text]
-    for k, i in enumerate(rows.doc_id):
-        a, b = texts[k], texts[(k + 1) % len(texts)]
+def naive_lanes(text):
+    """(equal, near) lanes by paragraphs and words, one by one."""
+    one = lambda data: int(texts_of.Words(pa.array([data], pa.binary())).hashes()[0])
+    equal, near = [0] * fingerprint.EQUAL, [0] * fingerprint.NEAR
+    for paragraph in text.encode().split(b"\n"):
+        w = texts_of.Words.__new__(texts_of.Words)
+        w.raw, w.start, w.end = np.frombuffer(paragraph + bytes(8), np.uint8), np.array([0]), np.array([len(paragraph)])
+        h = w.hashes()[0]
+        for k, lane in enumerate(fingerprint._LANES):
+            equal[k] = (equal[k] + int(texts_of.mix(np.array([h ^ lane]))[0])) % 2**64
+        before = 0
+        for x in re.findall(rb"[^\x20\x09-\x0D]+", paragraph):
+            h = one(x)
+            pair = int(texts_of.join_hash(np.array([before], np.uint64), np.array([h], np.uint64))[0])
+            near[pair % fingerprint.NEAR] += -1 if pair >> 40 & 1 else 1
+            before = h
+    return equal, near
+
+
+def naive_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = np.array(a[1], float), np.array(b[1], float)
+    size = np.sqrt((x @ x) * (y @ y))
+    return float(np.clip(x @ y / size, 0, 1)) if size else 0.0
+
+
+def naive_compared(rows):
+    """rows in order: (doc_id, text) -> what compare_with_next gives for each."""
+    lanes = [naive_lanes(t) for _, t in rows]
+    out = []
+    for k, (i, a) in enumerate(rows):
+        b = rows[(k + 1) % len(rows)][1]
         changed = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
-        r = got[i]
-        assert r["n_chars"] == len(a) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert r["fingerprint"] == fingerprint._write([fingerprint.fingerprint(a)])[0]
-        assert r["edited_fingerprint"] == fingerprint._write([fingerprint.fingerprint(changed)])[0]
-        assert 0 <= r["near_next"] <= 1 and (r["near_edited"] == 1.0 if changed == a else True)
-    long = [r for r in got.values() if r["n_chars"] > 300]
-    assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long]) + 0.4
+        written = lambda x: fingerprint._write(fingerprint.to_bytes(np.array([x[0]], np.uint64), np.array([x[1]], np.int64).astype(np.uint32)))[0]
+        c = naive_lanes(changed)
+        out.append((i, len(a), hashlib.sha256(changed.encode()).hexdigest(), written(lanes[k]), written(c), naive_likeness(lanes[k], c), naive_likeness(lanes[k], lanes[(k + 1) % len(rows)])))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 4000, 1 << 20])
+def test_fingerprints_against_brute_force(docs, corpus, size):
+    rows = [(int(i), t or "") for i, t in sorted(zip(corpus.doc_id, corpus.text, strict=True), key=lambda r: r[0])]
+    got = [tuple(r) for r in fingerprint.compare_with_next(docs, size).orderBy("doc_id").collect()]
+    for x, y in zip(got, naive_compared(rows), strict=True):
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:])
+    long = [r for r in got if r[1] > 300]
+    assert np.mean([r[5] for r in long]) > np.mean([r[6] for r in long]) + 0.4
 
 
 def test_fingerprints_are_homomorphic():
@@ -252,11 +340,18 @@ def test_fingerprints_are_homomorphic():
 
 
 def test_fingerprints_of_odd_ids(spark):
-    df = spark.createDataFrame([(None, "n"), (2, "b"), (2, "a"), (2, "b"), (5, None)], "doc_id long, text string")
-    for size in (1, 1 << 20):
-        assert fingerprint.compare_with_next(df, size).count() == 5
-    assert fingerprint.fingerprints(df).count() == 5
-    assert fingerprint.compare_with_next(spark.createDataFrame([(None, "n")], "doc_id long, text string")).count() == 1
+    """Null and repeated ids are in order of a hash of their texts; ranges cut through them."""
+    rows = [(None, "n"), (None, "m o"), (None, None), (2, "b"), (2, "a"), (2, "b"), (5, None)] + [(7, f"t {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
+    order = [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("x")).orderBy(F.col("doc_id").asc_nulls_first(), "x").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:5])
+    for size, most in ((1, 1 << 17), (8, 3), (1 << 20, 1 << 17)):
+        got = [tuple(r) for r in fingerprint.compare_with_next(df, size, most).collect()]
+        for x, y in zip(sorted(got, key=key), sorted(naive_compared(order), key=key), strict=True):
+            assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:])
+    assert fingerprint.fingerprints(df).count() == len(rows)
+    one = fingerprint.compare_with_next(spark.createDataFrame([(None, "n")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
 # 5 and 7
@@ -285,6 +380,144 @@ def test_scores_of_odd_texts(spark, none):
     assert quality.keep_good(odd, None).count() == 5
 
 
+def naive_features(text):
+    """quality.features of one text, word by word."""
+    data, w = text.encode(), text.encode().split()
+    out = np.zeros(quality.N_FEATURES)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    stop, digit = set(b".,;:?!'\"-()"), set(b"0123456789")
+    sign = lambda c: c >= 33 and not letter(c) and c not in stop and c not in digit
+    if not w:
+        return out
+    for k, kind in enumerate((lambda c: 65 <= c <= 90, letter, lambda c: c in digit, lambda c: c in stop, sign)):
+        out[k] = sum(map(kind, data)) / len(data)
+    n = len(w)
+    capital, letters = [sum(65 <= c <= 90 for c in x) for x in w], [sum(map(letter, x)) for x in w]
+    out[5] = sum(a > 1 and a == b for a, b in zip(capital, letters, strict=True)) / n
+    out[6] = sum(any(map(sign, x)) for x in w) / n
+    out[7] = sum(a == b for a, b in zip(w, w[1:], strict=False)) / n
+    out[8] = sum(b == 0 for b in letters) / n
+    out[9] = np.log1p(sum(map(len, w)) / n)
+    out[10] = len(set(w)) / n
+    out[11] = out[10] * np.sqrt(n) / 10
+    form = lambda c: 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+    for x in w:
+        end = int.from_bytes(bytes(map(form, x[-3:])), "little")
+        out[12 + int(texts_of.mix(np.array([end], np.uint64))[0] % np.uint64(quality.ENDINGS))] += 1 / n
+    return np.sqrt(out)
+
+
+def test_quality_scores_against_brute_force(spark, docs, corpus):
+    d = "/root/testdata/sf0.001"
+    train, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model, prior = quality.fit(train, labels)
+    assert 0.05 <= prior <= 0.98
+    # what is learned from: means and spreads of all unlabelled texts outside the held fold
+    free = np.array([naive_features(r["text"] or "") for r in train.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5])
+    assert np.allclose(model.mean, free.mean(0), atol=1e-4) and np.allclose(1 / model.scale, np.maximum(free.std(0), 0.02), atol=1e-3)
+    for r in quality.score(docs, model).collect():
+        x = naive_features(corpus.text[corpus.doc_id == r["doc_id"]].iloc[0] or "")
+        z = ((x - model.mean) * model.scale) @ model.weight + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * z + model.shift))), abs=1e-3)
+
+
+def test_risk_and_gradient_against_differences():
+    rng = np.random.default_rng(14)
+    p, u = rng.normal(1, 1, (50, 3)), rng.normal(0, 1, (80, 3))
+    for prior in (0.3, 0.9):
+        for v in rng.normal(size=(6, 4)) * 2:
+            value, g = quality.risk(v, p, quality.negative_sums(u, v) / len(u), prior, 0.01)
+            loss = lambda z: np.log1p(np.exp(-z)).mean()
+            zp, zu = p @ v[:3] + v[3], u @ v[:3] + v[3]
+            rest = loss(-zu) - prior * loss(-zp)
+            assert value == pytest.approx(prior * loss(zp) + max(0, rest) + 0.005 * (v[:3] ** 2).sum())
+            part = (lambda w: prior * loss(p @ w[:3] + w[3]) + loss(-(u @ w[:3] + w[3])) - prior * loss(-(p @ w[:3] + w[3]))) if rest >= 0 else (lambda w: -(loss(-(u @ w[:3] + w[3])) - prior * loss(-(p @ w[:3] + w[3]))))
+            slope = [(part(v + e) - part(v - e)) / 2e-5 for e in np.eye(4) * 1e-5]
+            assert np.allclose(g, np.array(slope) + 0.01 * np.append(v[:3], 0), atol=1e-5)
+
+
+def test_sums_over_all_unlabelled_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = quality.feature_table(docs)
+    x = quality._matrix(table.toArrow()["x"])
+    v = np.random.default_rng(3).normal(size=quality.N_FEATURES + 1)
+    assert np.allclose(quality._sums(table.repartition(5), lambda r: quality.negative_sums(r, v)), quality.negative_sums(x, v))
+
+
+def test_toxic_scores_against_brute_force(spark, docs, corpus):
+    """Tokens, features, chains, forward and backward sums and document scores, word by word."""
+    d = "/root/testdata/sf0.01"
+    field = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    marks = set(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    lower = lambda x: bytes(c + 32 if 65 <= c <= 90 else c for c in x)
+
+    def view(k, x):
+        last, most = toxicity._VIEWS[k]
+        w = texts_of.Words.__new__(texts_of.Words)
+        x = x[-most:] if last else x[:most] if most else x
+        w.raw, w.start, w.end = np.frombuffer(x + bytes(8), np.uint8), np.array([0]), np.array([len(x)])
+        return texts_of.mix(w.hashes() ^ np.uint64(k << 56))[0]
+
+    def scored(text):
+        data, tokens, chains = text.encode(), [], []
+        new = True
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+            x = m[0]
+            while len(x) > 1 and x[-1] in marks:
+                x = x[:-1]
+            while len(x) > 1 and x[0] in marks:
+                x = x[1:]
+            if new or len(chains[-1]) == toxicity.CHAIN:
+                chains.append([])
+            chains[-1].append(len(tokens))
+            tokens.append(lower(x))
+            new = m[0][-1] in b".!?" or data[m.end() : m.end() + 1] == b"\n"
+        views = [[view(k, x) for k in range(len(toxicity._VIEWS))] for x in tokens]
+        e = [sum(float(field.weight[int(v) & ((1 << toxicity.LOG_CELLS) - 1)]) for v in row) for row in views]
+        p = [0.0] * len(tokens)
+        t = np.exp(field.move)
+        for chain in chains:
+            f = [np.array([1.0, np.exp(e[chain[0]] + field.start)])]
+            for k in chain[1:]:
+                f.append((f[-1] @ t) * [1.0, np.exp(e[k])])
+                f[-1] /= f[-1].sum()
+            b = np.ones(2)
+            for j in range(len(chain) - 1, -1, -1):
+                both = f[j] * b
+                p[chain[j]] = both[1] / both.sum()
+                b = t @ (b * [1.0, np.exp(e[chain[j]])])
+                b /= b.sum()
+        most = np.clip(max(p, default=0.0), 1e-4, 1 - 1e-4)
+        different = {}
+        for x, q in zip(tokens, p, strict=True):
+            if q > 0.02:
+                different.setdefault(x, q)
+        high, low = (sum(q for q in different.values() if (q > 0.5) == h) for h in (True, False))
+        z = np.array([np.log(most / (1 - most)) / 4, np.log1p(high), np.log1p(low), 1.0]) @ field.document
+        return 1 / (1 + np.exp(-z))
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").limit(80).collect()} | {int(i): t or "" for i, t in zip(corpus.doc_id + 10**6, corpus.text, strict=True)}
+    got = toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), field).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["score"] == pytest.approx(scored(texts[r["doc_id"]]), abs=2e-3)
+
+
+def test_toxic_sample_is_bounded_by_bytes(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    seen = []
+    try:
+        plain, toxicity.train = toxicity.train, lambda texts, toxic: seen.append((texts, toxic))
+        toxicity.fit(docs, labels, most_bytes=20_000)
+    finally:
+        toxicity.train = plain
+    texts, toxic = seen[0]
+    for y in (True, False):
+        mine = [len(x.as_py() or b"") for x, t in zip(texts, toxic, strict=True) if t == y]
+        assert mine and (sum(mine) <= 20_000 or len(mine) == 1)
+
+
 def test_class_prior_and_risk():
     rng = np.random.default_rng(4)
     positive, negative = rng.normal(1.5, 1, (3000, 2)), rng.normal(-1.5, 1, (3000, 2))
