@@ -32,6 +32,8 @@ from .text import Words, mix, slices
 
 #: Labelled rows of each label to learn from, and unlabelled ones to start from, at most.
 SAMPLE = 4000
+#: Bytes of features that a worker holds as numbers at once.
+MATRIX_BYTES = 1 << 20
 #: Steps over all unlabelled texts.
 PASSES = 6
 THRESHOLD = 0.3
@@ -251,10 +253,9 @@ def _sums(rows: DataFrame, f) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                found = np.asarray(f(_matrix(batch.column(0))), np.float64)
-                total = found if total is None else total + found
+        for batch in slices(batches, "x", MATRIX_BYTES):
+            found = np.asarray(f(_matrix(batch.column(0))), np.float64)
+            total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
@@ -287,7 +288,7 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, held: int = 0, t
     table = docs if "x" in docs.columns and "text" not in docs.columns else feature_rows(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "x", MATRIX_BYTES):
             s = model.score(_matrix(batch.column(1))) if model is not None else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 

@@ -6,13 +6,14 @@ the least hashes of all documents come last, by frequency, the others by hash. T
 that link share a shingle within the prefixes that their sizes and the threshold leave.
 
 1. Documents of equal sets are one node, named by a hash of the set.
-2. Prefix shingles meet in lists; a list gives the pairs that sizes and places in the
-   order allow. A list of more than LIST nodes is "hot" and gives its nodes instead.
+2. Prefix shingles that another prefix may hold (by filters, while these are of bounded
+   size) meet in lists; a list gives the pairs that sizes and places in the order allow. A list of more than LIST nodes is "hot" and gives its nodes instead.
    Pairs that the counts of their sets in cells of hashes rule out are left: the overlap
    is at most the sum, over cells, of the lesser count.
 3. The partners of a node are stored in a trie of their ordered sets, which the node's
    own set walks once, carrying the overlap on shared paths and leaving subtrees that the
-   remaining lengths rule out.
+   remaining lengths rule out. Each node meets its least partner first; other pairs are
+   looked at only where that has not connected them.
 4. Nodes of hot lists are dealt, twice, into blocks of about BLOCK nodes of one list, and
    each block is joined through its trie. Hot lists whose nodes are then not all connected
    are finished exactly: the nodes outside a list's largest component meet all its nodes.
@@ -225,7 +226,13 @@ def join_block(members: list[np.ndarray], left: np.ndarray | None = None, label:
     return union.roots()
 
 
-def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list: int = LIST, block: int = BLOCK) -> DataFrame:
+def _filter(keys: DataFrame, column: str, most_keys: int) -> np.ndarray | None:
+    """A filter of a stored table's hashes, or none where they are too many for one of bounded size."""
+    count = keys.count()
+    return bits.build(keys, column, bits.log_bits_for(count)) if count <= most_keys else None
+
+
+def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list: int = LIST, block: int = BLOCK, most_keys: int = bits.MOST_KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -244,27 +251,48 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
                 s, c = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c.astype(np.int64))], ["s", "c"])
 
-    counts = docs.select("text").mapInArrow(least, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    counts = save(docs.select("text").mapInArrow(least, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where("c > 1"), "repeated")
     top = counts.where(F.col("c") > LONG).orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
     release(spark)
+    known = _filter(counts, "s", most_keys)
     order = Order(top["s"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            size, name, prefix, cells = [], [], [], []
+            size, name, prefix, extra, cells = [], [], [], [], []
             for s in sets(batch.column(1), n):
                 size.append(len(s))
                 name.append(set_name(s))
                 fresh = len(s) and name[-1] not in seen  # copies in one task send one prefix
                 seen.add(name[-1])
-                prefix.append(order.sort(s)[: prefix_length(len(s), percent)].view(np.int64) if fresh else None)
+                first = order.sort(s)[: prefix_length(len(s), percent)] if fresh else s[:0]
+                beyond = first[first > s[prefix_length(len(s), percent) - 1]] if fresh else first
+                prefix.append(first.view(np.int64) if fresh else None)
+                extra.append(beyond.view(np.int64) if len(beyond) else None)
                 cells.append(cell_counts(s) if fresh else None)
-            columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "prefix", "cells"])
+            columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (prefix, extra)], pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "prefix", "extra", "cells"])
+
+    named = save(docs.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>, extra array<long>, cells binary"), "named")
+    # a shingle in two prefixes was counted twice among least hashes, or is beyond those of one of the sets
+    beyond = _filter(save(named.where("extra is not null").select(F.explode("extra").alias("s")).distinct(), "beyond"), "s", most_keys)
+    filters = spark.sparkContext.broadcast([known, beyond]) if known is not None and beyond is not None else None  # 16 MB each at most
 
-    named = save(docs.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>, cells binary"), "named")
-    entries = named.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "key"))
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each shingle of a prefix that other prefixes may hold."""
+        for batch in batches:
+            if batch.num_rows:
+                key = batch.column(2).flatten().to_numpy()
+                many = np.diff(batch.column(2).offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), many)
+                at = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
+                if filters is not None:
+                    ok = bits.holds(filters.value[0], key.view(np.uint64)) | bits.holds(filters.value[1], key.view(np.uint64))
+                    key, row, at = key[ok], row[ok], at[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at.astype(np.int32))], ["key", "node", "n", "at"])
+
+    entries = named.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), "prefix").mapInArrow(shared, "key long, node long, n int, at int")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key, node -> pairs of small lists (hot = false), entries of hot ones (key, node, true)."""
@@ -351,11 +379,8 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
 
     one = save(docs.where("doc_id is not null").mapInArrow(whole, "node long, s array<long>"), "sets")
 
-    # small lists: a node's partners in a trie
-    with_sets = pairs.join(by_shuffle(one.withColumnRenamed("node", "b")), "b").select("a", "b", "s")
-    own = pairs.select("a").distinct().join(by_shuffle(one.withColumnRenamed("node", "a")), "a").select("a", F.col("a").alias("b"), "s")
-
     def verify(group: pd.DataFrame) -> pd.DataFrame:
+        """A node's partners in a trie."""
         group = group.drop_duplicates("b")
         a = group["a"].iloc[0]
         mine = group["b"] == a
@@ -369,7 +394,14 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
         found = others["b"].to_numpy()[trie.partners(probe, percent)]
         return pd.DataFrame({"a": np.full(len(found), a), "b": found})
 
-    links = with_sets.unionByName(own).groupBy("a").applyInPandas(verify, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_sets = pairs.join(by_shuffle(one.withColumnRenamed("node", "b")), "b").select("a", "b", "s")
+        own = pairs.select("a").distinct().join(by_shuffle(one.withColumnRenamed("node", "a")), "a").select("a", F.col("a").alias("b"), "s")
+        return with_sets.unionByName(own).groupBy("a").applyInPandas(verify, "a long, b long")
+
+    # small lists: each node with its least partner first, then the pairs that are not connected by that
+    least_pairs = save(pairs.groupBy("b").agg(F.min("a").alias("a")), "least")
+    links = verified(least_pairs.select("a", "b"))
 
     # hot lists: two deals into blocks of one list
     sizes = save(listed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "sizes")
@@ -390,6 +422,14 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     links = save(links.unionByName(hot_links), "links")
     release(spark)
     label = components(links)
+    ends = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    rest = pairs.join(by_shuffle(least_pairs.withColumnRenamed("a", "tried")), "b").where("a <> tried").select("a", "b")
+    rest = rest.join(by_shuffle(ends("a")), "a", "left").join(by_shuffle(ends("b")), "b", "left").where("not a_label <=> b_label or a_label is null").select("a", "b")
+    rest = save(rest, "rest")
+    if rest.limit(1).count():
+        links = save(links.unionByName(verified(rest)), "links")
+        release(spark)
+        label = components(links)
 
     # hot lists that are not connected yet
     known = listed.join(by_shuffle(label), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))

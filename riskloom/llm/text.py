@@ -22,7 +22,7 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _R = [np.uint64(x) for x in (29, 31, 32)]
 #: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
