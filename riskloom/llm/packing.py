@@ -34,11 +34,11 @@ CAPACITY = 2048
 LEAST_CUT = 64
 CLOSING = 1
 #: Stems whose ids a worker remembers at most, and a third of the stretches.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: ASCII punctuation but the apostrophe.
 CLOSERS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Text bytes tokenized at once.
-SLICE = 8 << 20
+SLICE = 1 << 20
 #: Documents of one shard, about, and shards that are rolled up together.
 SHARD, GATHER = 256, 1024
 
