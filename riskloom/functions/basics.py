@@ -42,6 +42,14 @@ def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, NUMERIC + NESTED)]
 
 
+def fresh(names, name: str) -> str:
+    """A column name that none of the names is, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def require(df: DataFrame, *names: str | None) -> None:
     missing = [n for n in names if n is not None and n not in df.columns]
     if missing:
@@ -63,6 +71,19 @@ def fitting(values: Iterable, df: DataFrame, name: str) -> list:
     return out
 
 
+def plain(value):
+    """The value as JSON can hold it: numbers that are not finite are null, other things their text."""
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [plain(v) for v in value]
+    if value is None or isinstance(value, (str, bool, int)):
+        return value
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    return str(value)
+
+
 def safe_divide(n: Column, d: Column, eps: float = 1e-10, fill: float = 0.0) -> Column:
     return F.when(F.abs(d) < eps, F.lit(fill)).otherwise(F.try_divide(n, d))
 
@@ -137,17 +158,53 @@ class Roles:
     sample: str | None = None
     date: str | None = None
     weight: str | None = None
-    segment: str | None = None
+    segment: str | list[str] | None = None
     temporal: str | None = None
-    benchmark: str | None = None
+    benchmark: str | list[str] | None = None
     excluded: list[str] = field(default_factory=list)
 
+    @staticmethod
+    def each(role: str | list[str] | None) -> list[str]:
+        """The columns of a role that may have several."""
+        return [role] if isinstance(role, str) else list(role or ())
+
     def features(self, df: DataFrame, numeric_only: bool = False) -> list[str]:
-        taken = {self.target, self.sample, self.date, self.weight, self.segment, self.temporal, self.benchmark, *self.excluded}
+        taken = {self.target, self.sample, self.date, self.weight, self.temporal, *self.each(self.segment), *self.each(self.benchmark), *self.excluded}
         names = numeric_columns(df) if numeric_only else [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]
         return [n for n in names if n not in taken]
 
 
+def validate_fitted(method):
+    """A method that may only be called once its object is fitted."""
+
+    @functools.wraps(method)
+    def checked(self, *a, **b):
+        if not getattr(self, "fitted", False):
+            raise NotFittedError(f"{type(self).__name__} is not fitted")
+        return method(self, *a, **b)
+
+    return checked
+
+
+def get_logger(name: str = "riskloom", level: int = logging.INFO) -> logging.Logger:
+    """The named logger, with one handler to stderr that replaces what its encoding cannot write."""
+    log = logging.getLogger(name)
+    if not log.handlers:
+        handler = _SafeHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(level)
+    return log
+
+
+class _SafeHandler(logging.StreamHandler):
+    def emit(self, record: logging.LogRecord) -> None:
+        encoding = getattr(self.stream, "encoding", None) or "utf-8"
+        text = self.format(record).encode(encoding, "replace").decode(encoding)
+        self.stream.write(text + self.terminator)
+        self.flush()
+
+
 class Transformer:
     """fit(df, ...) learns rules, transform(df) applies them as projections."""
 
@@ -158,9 +215,8 @@ class Transformer:
         self.fitted = True
         return self
 
+    @validate_fitted
     def transform(self, df, **how) -> DataFrame:
-        if not self.fitted:
-            raise NotFittedError(f"{type(self).__name__} is not fitted")
         return self._transform(ensure_dataframe(df), **how)
 
     def fit_transform(self, df, how: dict | None = None, **roles) -> DataFrame:

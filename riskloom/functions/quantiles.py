@@ -13,9 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
+from .basics import fresh
 
 SMALL = 2_000_000
-RANGE_ROWS = 1_000_000
+#: Rows of one range, and ranges at most; beyond that ranges grow.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
 
 
 def check(qs: list[float]) -> list[float]:
@@ -81,26 +83,50 @@ def _ranked(values: DataFrame, n: int, qs: list[float], small: int) -> list[floa
     return [found[math.floor(r)] + (found[math.ceil(r)] - found[math.floor(r)]) * (r - math.floor(r)) for r in at]
 
 
-def running(df: DataFrame, by: str, sums: dict[str, str], descending: bool = False, ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+def running(df: DataFrame, by: str, sums: dict[str, str], descending: bool = False, ties: tuple[str, ...] = (), ranges: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds running sums (rows up to and including this one) in the order of a numeric column.
 
     sums: name of the sum -> column. ranges: how many ranges of ``by``; by default one for
-    each RANGE_ROWS rows. Rows of equal ``by`` stay in one range.
+    each RANGE_ROWS rows. Rows of equal ``by`` stay in one range. within: columns whose
+    values each have running sums of their own.
     """
     order = [F.desc(by) if descending else F.asc(by), *map(F.asc, ties)]
+    keys = list(within)
     if ranges is None:
-        ranges = max(1, df.count() // RANGE_ROWS)
+        ranges = ranges_for(df.count())
     if ranges <= 1:
-        w = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+    taken = [*df.columns, *sums]
+    part = fresh(taken, "_range")
+    total = [fresh(taken, f"_total{k}") for k in range(len(sums))]
     place = range_of(df, by, ranges)
-    dealt = df.withColumn("_range", -place if descending else place)
-    w = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums.values())])
-    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_t{k}") for k in range(len(sums))])
-    out = dealt.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).join(F.broadcast(totals), "_range")  # one row a range
-    return out.withColumns({n: F.col(n) + F.col(f"_t{k}") for k, n in enumerate(sums)}).drop("_range", *[f"_t{k}" for k in range(len(sums))])
+    dealt = df.withColumn(part, -place if descending else place)
+    w = W.partitionBy(*keys, part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, part).agg(*[F.sum(c).alias(t) for t, c in zip(total, sums.values(), strict=True)])
+    totals = totals.select(*keys, part, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(t) for t in total])
+    if not keys:
+        totals = F.broadcast(totals)  # one row a range, MOST_RANGES at most
+    out = dealt.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).join(totals, [*keys, part])
+    return out.withColumns({n: F.col(n) + F.col(t) for n, t in zip(sums, total, strict=True)}).drop(part, *total)
+
+
+def ranges_for(n: int) -> int:
+    return max(1, min(MOST_RANGES, n // RANGE_ROWS))
+
+
+def bisect(bounds: list, x: Column) -> Column:
+    """How many of the sorted bounds are at most x, by halving; 0 for null."""
+    values = F.array(*[F.lit(b) for b in bounds])
+    start = F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["a"] + s["b"], 1)
+        above = (s["a"] < s["b"]) & F.coalesce(F.get(values, middle) <= x, F.lit(False))
+        return F.struct(F.when(above, middle + 1).otherwise(s["a"]).alias("a"), F.when(above, s["b"]).otherwise(middle).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["a"])
 
 
 def range_of(df: DataFrame, by: str, ranges: int) -> Column:
@@ -109,13 +135,14 @@ def range_of(df: DataFrame, by: str, ranges: int) -> Column:
     bounds = sorted(set(found or []))
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(by))), F.lit(0))
+    return bisect(bounds, F.col(by))
 
 
-def ranked(df: DataFrame, order: list[str], n: int, ranges: int | None = None) -> DataFrame:
-    """Adds _k, the row's number from 1 in an order that begins with a number or a time, without one task for all."""
-    rows = df.withColumn("_one", F.lit(1))
-    return running(rows, order[0], {"_k": "_one"}, ties=tuple(order[1:]), ranges=max(1, n // RANGE_ROWS) if ranges is None else ranges).drop("_one")
+def ranked(df: DataFrame, order: list[str], n: int, ranges: int | None = None, name: str = "_k") -> DataFrame:
+    """Adds a row's number from 1 in an order that begins with a number or a time, without one task for all."""
+    one = fresh([*df.columns, name], "_one")
+    rows = df.withColumn(one, F.lit(1))
+    return running(rows, order[0], {name: one}, ties=tuple(order[1:]), ranges=ranges_for(n) if ranges is None else ranges).drop(one)
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: list[float], ties: tuple[str, ...] = (), ranges: int | None = None) -> list[float]:

@@ -19,6 +19,8 @@ from ..functions.quantiles import exact_quantiles, finite, running, weighted_qua
 
 MISSING, OTHER, FIRST_SPECIAL = -1, -2, -3
 INF = float("inf")
+#: Categories of one feature, each a bin and an entry of the rules.
+MOST_CATEGORIES = 10_000
 
 
 @dataclass
@@ -88,6 +90,7 @@ def lookup(values: dict, key: Column) -> Column:
 
 
 def interpret_iv(iv: Column) -> Column:
+    # fixed values: 0.02, 0.1, 0.3, 0.5
     return F.when(iv < 0.02, "unpredictive").when(iv < 0.1, "weak").when(iv < 0.3, "medium").when(iv < 0.5, "strong").otherwise("suspicious")
 
 
@@ -206,12 +209,18 @@ def tree_cuts(df: DataFrame, features: list[str], target: str, n_bins: int, excl
 
 
 def category_mapping(df: DataFrame, feature: str, least: int = 5, exclude: list = ()) -> DataFrame:
-    """value, n, bin_idx: by falling frequency then value; rarer values than ``least`` are OTHER."""
+    """value, n, bin_idx: by falling frequency then value; rarer values than ``least`` are OTHER.
+
+    Only values that are not rare are ranked; more than MOST_CATEGORIES of them are an error.
+    """
     value = col(feature).cast("string")
     rows = df.where(value.isNotNull() & ~value.isin(list(exclude)) if exclude else value.isNotNull())
     counts = rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "value")) - 1
-    return counts.withColumn("bin_idx", F.when(F.col("n") < least, F.lit(OTHER)).otherwise(rank).cast("int"))
+    common = counts.where(F.col("n") >= least)
+    if common.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        raise ValidationError(f"{feature} has more than {MOST_CATEGORIES} categories of {least} rows")
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "value")) - 1  # MOST_CATEGORIES rows at most
+    return common.withColumn("bin_idx", rank.cast("int")).unionByName(counts.where(F.col("n") < least).withColumn("bin_idx", F.lit(OTHER)))
 
 
 # the cube and its roll-ups
@@ -333,7 +342,11 @@ class WoeBinner(Transformer):
             if f in cuts:
                 self.rules[f] = BinRule(f, True, cuts=cuts[f], special=special, missing=missing)
             elif f not in numeric:
-                found = category_mapping(df, f, self.min_samples_bin, special + missing).where("bin_idx >= 0").orderBy("bin_idx").collect()
+                try:
+                    found = category_mapping(df, f, self.min_samples_bin, special + missing).where("bin_idx >= 0").orderBy("bin_idx").collect()
+                except ValidationError as e:
+                    self.failures[f] = str(e)
+                    continue
                 self.rules[f] = BinRule(f, False, mapping={r["value"]: r["bin_idx"] for r in found}, special=special, missing=missing)
         if target is None or not self.rules:
             return

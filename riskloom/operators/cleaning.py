@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..errors import ValidationError
-from ..functions.basics import Transformer, check_weights, col, fitting, is_missing, numeric_columns, require, weight_column, weighted_mean
-from ..functions.quantiles import RANGE_ROWS, exact_quantiles, finite, range_of, weighted_quantiles
+from ..functions.basics import Transformer, check_weights, col, fitting, fresh, is_missing, numeric_columns, require, weight_column, weighted_mean
+from ..functions.quantiles import exact_quantiles, finite, range_of, ranges_for, weighted_quantiles
 
 EPS = 1e-10
 
@@ -35,18 +35,18 @@ def fill_ordered(df: DataFrame, columns: list[str], order: list[str], backward:
     """
     pick = F.first if backward else F.last
     if not by:
-        n = ranges or max(1, df.count() // RANGE_ROWS)
-        df = df.withColumn("_range", range_of(df, order[0], n))
-        by = ["_range"]
-        way = W.partitionBy(F.lit(0)).orderBy("_range")
+        part = fresh(df.columns, "_range")
+        ends_of = [fresh(df.columns, f"_end{k}") for k in range(len(columns))]
+        df = df.withColumn(part, range_of(df, order[0], ranges or ranges_for(df.count())))
+        way = W.partitionBy(F.lit(0)).orderBy(part)
         way = way.rowsBetween(1, W.unboundedFollowing) if backward else way.rowsBetween(W.unboundedPreceding, -1)
-        own = W.partitionBy("_range").orderBy(*[col(c) for c in order])
-        ends = df.groupBy("_range").agg(*[(F.min_by if backward else F.max_by)(col(c), F.when(col(c).isNotNull(), F.struct(*map(col, order)))).alias(f"_e{k}") for k, c in enumerate(columns)])
-        ends = ends.select("_range", *[pick(f"_e{k}", ignorenulls=True).over(way).alias(f"_e{k}") for k in range(len(columns))])
+        own = W.partitionBy(part).orderBy(*[col(c) for c in order])
+        ends = df.groupBy(part).agg(*[(F.min_by if backward else F.max_by)(col(c), F.when(col(c).isNotNull(), F.struct(*map(col, order)))).alias(e) for c, e in zip(columns, ends_of, strict=True)])
+        ends = ends.select(part, *[pick(e, ignorenulls=True).over(way).alias(e) for e in ends_of])
         own = own.rowsBetween(0, W.unboundedFollowing) if backward else own.rowsBetween(W.unboundedPreceding, 0)
-        out = df.join(F.broadcast(ends), "_range")  # one row a range
-        filled = {c: F.coalesce(pick(col(c), ignorenulls=True).over(own), F.col(f"_e{k}")) for k, c in enumerate(columns)}
-        return out.withColumns(filled).drop("_range", *[f"_e{k}" for k in range(len(columns))])
+        out = df.join(F.broadcast(ends), part)  # one row a range
+        filled = {c: F.coalesce(pick(col(c), ignorenulls=True).over(own), F.col(e)) for c, e in zip(columns, ends_of, strict=True)}
+        return out.withColumns(filled).drop(part, *ends_of)
     w = W.partitionBy(*map(col, by)).orderBy(*[col(c) for c in order])
     w = w.rowsBetween(0, W.unboundedFollowing) if backward else w.rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns({c: pick(col(c), ignorenulls=True).over(w) for c in columns})

@@ -34,8 +34,8 @@ def interaction(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ratio(df: DataFrame, columns: list[str] | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """a / (|b| + 1e-10) as a_div_b, for given pairs or all pairs of the first 10 numeric columns."""
-    pairs = pairs or list(combinations((columns or numeric_columns(df))[:10], 2))
+    """a / (|b| + 1e-10) as a_div_b, for given pairs, all pairs of given columns, or of the first 10 numeric ones."""
+    pairs = pairs or list(combinations(columns or numeric_columns(df)[:10], 2))
     return df.select("*", *[(col(a).cast("double") / (F.abs(col(b).cast("double")) + EPS)).alias(f"{a}_div_{b}") for a, b in pairs])
 
 
@@ -61,7 +61,7 @@ class FeatureGenerator(Transformer):
         self.degree, self.interactions, self.ratios, self.logs, self.bins = degree, interactions, ratios, logs, bins
 
     def _fit(self, df: DataFrame, columns: list[str] | None = None) -> None:
-        self.columns = columns or numeric_columns(df)
+        self.columns, self.named = columns or numeric_columns(df), bool(columns)
         self.edges = {c: calculate_bins(df, c, self.bins) for c in self.columns} if self.bins else {}
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ class FeatureGenerator(Transformer):
         elif self.interactions:
             df = interaction(df, self.columns)
         if self.ratios:
-            df = ratio(df, self.columns)
+            df = ratio(df, self.columns if self.named else self.columns[:10])
         if self.logs:
             df = log(df, self.columns)
         for c, e in self.edges.items():

@@ -33,15 +33,11 @@ def ks_auc(df: DataFrame, target: str, score: str, weight: str | None = None, by
     """ks, ks_threshold, auc, gini; with one class only 0, 0, 0.5 and 0.
 
     The gap is taken at the ends of tied scores, from the highest score down, and of equal
-    gaps the first counts. Without groups, running sums go through ranges of the score.
+    gaps the first counts. Running sums go through ranges of the score.
     """
     check_weights(df, weight)
     sums = score_groups(df, target, score, weight, by)
-    if by:
-        w = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-        upto = sums.withColumns({"cb": F.sum("bad").over(w), "cg": F.sum("good").over(w)})
-    else:
-        upto = running(sums, "score", {"cb": "bad", "cg": "good"}, descending=True, ranges=ranges)
+    upto = running(sums, "score", {"cb": "bad", "cg": "good"}, descending=True, ranges=ranges, within=tuple(by))
     totals = sums.groupBy(*by).agg(F.sum("bad").alias("tb"), F.sum("good").alias("tg"))
     # without groups: one row; with groups: a row for each, joined by key
     rows = upto.join(totals, list(by)) if by else upto.crossJoin(F.broadcast(totals))

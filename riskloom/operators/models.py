@@ -1,6 +1,7 @@
 """Models over columns: training, tuning, calibration, cross-validation and importances.
 
-The three boosting names share Spark's gradient-boosted trees. Missing values count as 0.
+The three boosting names share Spark's gradient-boosted trees, each with its library's
+parameter names and defaults. Missing values count as 0.
 A logistic model's strength C is 1 / (regParam * sum of weights).
 """
 
@@ -8,59 +9,108 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
-from typing import ClassVar
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..errors import NotFittedError, ValidationError
-from ..functions.basics import check_weights, col, require, validate_binary_target
+from ..functions.basics import check_weights, col, fresh, require, validate_binary_target
 from . import metrics
+from .attribution import in_batches, trees_of
 from .splits import cv_splits, hashed
 
+LINEAR = ("logistic", "linear", "linear_regression")
 BOOSTERS = ("xgboost", "lightgbm", "catboost", "gbt")
 CLASSIFIERS = {"logistic": LogisticRegression, "tree": DecisionTreeClassifier, "random_forest": RandomForestClassifier} | dict.fromkeys(BOOSTERS, GBTClassifier)
-REGRESSORS = {"linear": LinearRegression, "tree": DecisionTreeRegressor, "random_forest": RandomForestRegressor} | dict.fromkeys(BOOSTERS, GBTRegressor)
+REGRESSORS = {"linear": LinearRegression, "linear_regression": LinearRegression, "tree": DecisionTreeRegressor, "random_forest": RandomForestRegressor} | dict.fromkeys(BOOSTERS, GBTRegressor)
+#: Rows of one share within which permuted values change places.
+SHARE_ROWS = 100_000
+#: Grids that are searched where none is given.
+_BOOST_GRID = {"n_estimators": [50, 100, 200], "max_depth": [3, 5, 7], "learning_rate": [0.01, 0.1, 0.2]}
 GRIDS = {
     "logistic": {"C": [0.01, 0.1, 1.0, 10.0]},
     "linear": {"regParam": [0.0, 0.1]},
-    "tree": {"maxDepth": [3, 5, 7], "minInstancesPerNode": [5, 20]},
-    "random_forest": {"numTrees": [20, 50], "maxDepth": [5, 8]},
-} | dict.fromkeys(BOOSTERS, {"maxIter": [10, 20], "maxDepth": [3, 5], "stepSize": [0.1]})
+    "linear_regression": {"regParam": [0.0, 0.1]},
+    "tree": {"max_depth": [3, 5, 7, 10], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 5, 10]},
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 15], "min_samples_split": [2, 5, 10]},
+} | dict.fromkeys(BOOSTERS, _BOOST_GRID)
+#: What the libraries of these names take where nothing is said (31 leaves are 5 levels).
+DEFAULTS = {
+    "xgboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
+    "lightgbm": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 20},
+    "catboost": {"maxIter": 1000, "maxDepth": 6, "stepSize": 0.03},
+    "random_forest": {"numTrees": 100},
+}
+#: Names of parameters in those libraries, and Spark's.
+_TREES = {"max_depth": "maxDepth", "depth": "maxDepth", "random_state": "seed", "random_seed": "seed", "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode", "min_data_in_leaf": "minInstancesPerNode", "min_impurity_decrease": "minInfoGain", "min_split_gain": "minInfoGain", "gamma": "minInfoGain", "max_bin": "maxBins", "border_count": "maxBins"}
+_ROUNDS = dict.fromkeys(("n_estimators", "iterations", "num_iterations", "num_boost_round", "num_trees"), "maxIter") | dict.fromkeys(("learning_rate", "eta"), "stepSize")
+_SHARES = {"subsample": "subsamplingRate", "bagging_fraction": "subsamplingRate", "max_samples": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy", "feature_fraction": "featureSubsetStrategy", "rsm": "featureSubsetStrategy", "max_features": "featureSubsetStrategy"}
+_LINES = {"max_iter": "maxIter", "random_state": "seed", "fit_intercept": "fitIntercept", "l1_ratio": "elasticNetParam"}
+#: Settings of those libraries about threads, messages and methods, which Spark has no use for.
+UNUSED = {"n_jobs", "verbose", "verbosity", "silent", "eval_metric", "use_label_encoder", "tree_method", "objective", "solver", "device", "thread_count", "logging_level", "allow_writing_files", "importance_type", "booster"}
+
+
+def spark_params(model_type: str, params: dict) -> dict:
+    """Parameters under the names of scikit-learn, XGBoost, LightGBM, CatBoost or Spark -> Spark's, with the library's defaults."""
+    lines = model_type in ("logistic", "linear", "linear_regression")
+    names = _LINES if lines else _TREES | _ROUNDS | _SHARES
+    out = dict(DEFAULTS.get(model_type, {}))
+    for k, v in params.items():
+        if k in UNUSED:
+            continue
+        if k == "penalty":
+            out["elasticNetParam"] = {"l1": 1.0, "l2": 0.0}.get(v, out.get("elasticNetParam", 0.5))
+            if v in (None, "none"):
+                out["regParam"] = 0.0
+        elif k == "num_leaves":
+            out["maxDepth"] = max(1, math.ceil(math.log2(v)))
+        elif k == "min_samples_split":  # the nearest that Spark has: half of it in each leaf
+            out["minInstancesPerNode"] = max(out.get("minInstancesPerNode", 1), -(-int(v) // 2))
+        elif names.get(k) == "featureSubsetStrategy":
+            out["featureSubsetStrategy"] = "all" if v is None else str(v)
+        else:
+            out[names.get(k, k)] = v
+    if model_type == "random_forest" and "maxIter" in out:
+        out["numTrees"] = out.pop("maxIter")
+    return out
 
 
 class ModelTrainer:
-    NAMES: ClassVar[dict] = {"max_depth": "maxDepth", "n_estimators": "maxIter", "learning_rate": "stepSize", "random_state": "seed", "max_iter": "maxIter", "min_samples_leaf": "minInstancesPerNode"}
-
-    def __init__(self, model_type: str = "logistic", task: str = "classification", early_stopping: bool = False, **params):
+    def __init__(self, model_type: str = "logistic", task: str = "classification", early_stopping: bool = False, early_stopping_rounds: int | None = None, **params):
         known = CLASSIFIERS if task == "classification" else REGRESSORS
         if model_type not in known:
             raise ValidationError(f"no such {task} model: {model_type}")
-        self.model_type, self.task, self.params, self.early_stopping = model_type, task, params, early_stopping
+        self.model_type, self.task, self.params, self.early_stopping = model_type, task, params, early_stopping or bool(early_stopping_rounds)
         self.model: PipelineModel | None = None
 
     def _estimator(self, total_weight: float, validation: str | None):
-        params = {self.NAMES.get(k, k): v for k, v in self.params.items()}
+        params = spark_params(self.model_type, self.params)
         kind = (CLASSIFIERS if self.task == "classification" else REGRESSORS)[self.model_type]
-        if self.model_type == "random_forest" and "maxIter" in params:
-            params["numTrees"] = params.pop("maxIter")
         if self.model_type == "logistic":
             c = params.pop("C", 1.0)
             params = {"regParam": 1 / (c * total_weight), "elasticNetParam": 0.0, "standardization": False, "maxIter": 200, "tol": 1e-9} | params
-        elif self.model_type != "linear":
+            params.pop("seed", None)
+        elif self.model_type in ("linear", "linear_regression"):
+            params.pop("seed", None)
+        else:
             params.setdefault("seed", 42)
         if validation:
             params["validationIndicatorCol"] = validation
+        unknown = [k for k in params if not kind().hasParam(k)]
+        if unknown:
+            raise ValidationError(f"{self.model_type} has no such parameters: {unknown}")
         return kind(featuresCol="_features", labelCol="_label", weightCol="_weight", **params)
 
-    def _assembled(self, df: DataFrame, *more: Column) -> DataFrame:
-        zero = [F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)).alias(f) for f in self.features]
-        return df.select(*more, F.struct(*zero).alias("_x"))
+    def _inputs(self) -> dict:
+        """The features as numbers under names of their own, so that they cannot clash with those of the model."""
+        x = lambda f: F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0))
+        return {f"_f{k}": x(f).alias(f"_f{k}") for k, f in enumerate(self.features)}
 
     def fit(self, df: DataFrame, target: str, features: list[str], weight: str | None = None, key: list[str] | None = None) -> ModelTrainer:
         require(df, target, weight, *features)
@@ -69,8 +119,8 @@ class ModelTrainer:
             validate_binary_target(df, target)
         self.features = list(features)
         w = col(weight).cast("double") if weight else F.lit(1.0)
-        rows = df.select(col(target).cast("double").alias("_label"), w.alias("_weight"), *[F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)).alias(f) for f in features], *([(F.pmod(hashed(key or features, 42), F.lit(5)) == 0).alias("_validation")] if self.early_stopping and self.model_type in BOOSTERS else []))
-        assembler = VectorAssembler(inputCols=self.features, outputCol="_features")
+        rows = df.select(col(target).cast("double").alias("_label"), w.alias("_weight"), *self._inputs().values(), *([(F.pmod(hashed(key or features, 42), F.lit(5)) == 0).alias("_validation")] if self.early_stopping and self.model_type in BOOSTERS else []))
+        assembler = VectorAssembler(inputCols=list(self._inputs()), outputCol="_features")
         total = rows.agg(F.sum("_weight")).first()[0] or 1.0
         fitted = self._estimator(total, "_validation" if "_validation" in rows.columns else None).fit(assembler.transform(rows))
         self.model = PipelineModel(stages=[assembler, fitted])
@@ -86,12 +136,12 @@ class ModelTrainer:
         """Adds the probability of class 1 (a logistic one as a plain projection) or the predicted number."""
         m = self.fitted
         x = {f: F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)) for f in self.features}
-        if self.model_type in ("logistic", "linear"):
+        if self.model_type in LINEAR:
             z = F.lit(float(m.intercept))
             for f, b in zip(self.features, m.coefficients, strict=True):
                 z = z + F.lit(float(b)) * x[f]
             return df.withColumn(name, 1 / (1 + F.exp(-z)) if self.model_type == "logistic" else z)
-        packed = df.select(F.struct("*").alias("_row"), *[c.alias(f) for f, c in x.items()])
+        packed = df.select(F.struct("*").alias("_row"), *self._inputs().values())
         out = self.model.transform(packed)
         value = vector_to_array(F.col("probability"))[1] if self.task == "classification" else F.col("prediction")
         return out.select("_row.*", value.alias(name))
@@ -103,7 +153,7 @@ class ModelTrainer:
 
     def importance_values(self) -> dict[str, float]:
         m = self.fitted
-        values = [abs(float(v)) for v in m.coefficients] if self.model_type in ("logistic", "linear") else [float(v) for v in m.featureImportances.toArray()]
+        values = [abs(float(v)) for v in m.coefficients] if self.model_type in LINEAR else [float(v) for v in m.featureImportances.toArray()]
         return dict(zip(self.features, values, strict=True))
 
     def importance(self, df: DataFrame) -> DataFrame:
@@ -111,11 +161,21 @@ class ModelTrainer:
         return df.sparkSession.createDataFrame(list(self.importance_values().items()), "feature string, importance double")
 
     def contributions(self, df: DataFrame) -> DataFrame:
-        """For linear models each feature's exact additive contribution, coefficient x (value - mean)."""
-        if self.model_type not in ("logistic", "linear"):
-            raise ValidationError("contributions are exact for linear models only")
-        mean = df.agg(*[F.avg(F.coalesce(col(f).cast("double"), F.lit(0.0))) for f in self.features]).first()
-        return df.select(*[(F.lit(float(b)) * (F.coalesce(col(f).cast("double"), F.lit(0.0)) - F.lit(m))).alias(f) for f, b, m in zip(self.features, self.fitted.coefficients, mean, strict=True)])
+        """What each feature adds to the mean output: of linear models coefficient x (value - mean), of trees exact Shapley values.
+
+        The output is the number or log odds for linear and boosted models, the probability for trees and forests.
+        """
+        x = {f: F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)).alias(f) for f in self.features}
+        if self.model_type not in LINEAR:
+            rows = df.select(*x.values())
+            return rows.mapInPandas(in_batches(trees_of(self.fitted, self.task), self.features), rows.schema)
+        mean = df.agg(*[F.avg(c) for c in x.values()]).first()
+        return df.select(*[(F.lit(float(b)) * (x[f] - F.lit(m))).alias(f) for f, b, m in zip(self.features, self.fitted.coefficients, mean, strict=True)])
+
+    def shap_importance(self, df: DataFrame) -> DataFrame:
+        """feature, importance: the mean size of its contributions."""
+        row = self.contributions(df).agg(*[F.avg(F.abs(col(f))).alias(f) for f in self.features]).first()
+        return df.sparkSession.createDataFrame([(f, float(row[f] or 0.0)) for f in self.features], "feature string, importance double")
 
     def summary(self) -> dict:
         return {"model_type": self.model_type, "task": self.task, "n_features": len(self.features), "params": self.params}
@@ -144,27 +204,30 @@ def evaluate(trainer: ModelTrainer, df: DataFrame, target: str, weight: str | No
     return row.first().asDict()
 
 
-def permutation_importance(trainer: ModelTrainer, df: DataFrame, target: str, repeats: int = 3, seed: int = 42) -> DataFrame:
+def permutation_importance(trainer: ModelTrainer, df: DataFrame, target: str, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance (mean fall in AUC, or rise in RMSE) when a column's values change places.
 
-    Values are matched with rows by their ranks in two hash orders of the same rows within hash shares.
+    Rows are matched with others of their hash share by ranks in two hash orders; a share
+    has about SHARE_ROWS rows. All features are scored in one pass of each repeat.
     """
-    from pyspark.sql import Window as W
-
+    names = trainer.features
     sign, name = (1, "auc") if trainer.task == "classification" else (-1, "rmse")
     base = evaluate(trainer, df, target)[name]
-    rows = df.select(*[col(f) for f in trainer.features], col(target)).withColumn("_id", F.xxhash64(*[col(c) for c in [*trainer.features, target]]))
-    out = []
-    for f in trainer.features:
-        falls = []
-        for k in range(repeats):
-            share = lambda c, k=k: F.pmod(F.xxhash64(c, F.lit(seed + k)), F.lit(16))
-            a = rows.withColumn("_s", share("_id")).withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_id")))
-            b = a.select("_s", col(f).alias("_v"), F.row_number().over(W.partitionBy("_s").orderBy(F.xxhash64("_id", "_r", F.lit(seed + k)))).alias("_r"))
-            mixed = a.drop(f).join(b, ["_s", "_r"]).withColumnRenamed("_v", f)
-            falls.append(sign * (base - evaluate(trainer, mixed, target)[name]))
-        out.append((f, float(sum(falls) / repeats)))
-    return df.sparkSession.createDataFrame(out, "feature string, importance double")
+    label, which = (fresh(names, x) for x in ("_label", "_which"))
+    rows = df.select(F.struct(*[col(f).cast("double").alias(f) for f in names]).alias("own"), col(target).alias("y")).withColumn("h", F.xxhash64("own", "y"))
+    shares = max(16, rows.count() // SHARE_ROWS)
+    rows = rows.withColumn("s", F.pmod("h", F.lit(shares)))
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("h")))
+    falls = dict.fromkeys(names, 0.0)
+    for k in range(repeats):
+        others = rows.select("s", F.col("own").alias("other"), F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("h", "r", F.lit(seed + k)), "r")).alias("r"))
+        mixed = [F.struct(F.lit(f).alias("f"), F.struct(*[F.col(f"{'other' if g == f else 'own'}.`{g}`").alias(g) for g in names]).alias("x")) for f in names]
+        each = rows.join(others, ["s", "r"]).select("y", F.explode(F.array(*mixed)).alias("m")).select(F.col("y").alias(label), F.col("m.f").alias(which), "m.x.*")
+        scored = trainer.predict_proba(each, "_score")
+        table = metrics.ks_auc(scored, label, "_score", by=[which]) if sign == 1 else metrics.regression(scored, label, "_score", by=[which])
+        for r in table.select(which, name).collect():
+            falls[r[which]] += sign * (base - r[name]) / repeats
+    return df.sparkSession.createDataFrame(list(falls.items()), "feature string, importance double")
 
 
 def cross_validate(df: DataFrame, target: str, features: list[str], model_type: str = "logistic", task: str = "classification", k: int = 5, method: str = "stratified", key: list[str] = (), date: str | None = None, scoring=None, **params) -> DataFrame:
@@ -201,6 +264,10 @@ def tune(df: DataFrame, target: str, features: list[str], model_type: str = "log
     return best
 
 
+#: The only column of a calibrator's model.
+SCORE = "_calibrated_score"
+
+
 class Calibrator:
     """Maps scores to probabilities: a logistic function of the score, or a monotone step function."""
 
@@ -211,16 +278,17 @@ class Calibrator:
 
     def fit(self, df: DataFrame, target: str, score: str) -> Calibrator:
         if self.method == "sigmoid":
-            self.model = ModelTrainer("logistic").fit(df.select(col(target).alias("y"), col(score).alias("s")), "y", ["s"])
+            self.model = ModelTrainer("logistic").fit(df.select(col(target).alias("y"), col(score).alias(SCORE)), "y", [SCORE])
         else:
-            rows = df.select(col(target).cast("double").alias("label"), col(score).cast("double").alias("s")).groupBy("s").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-            self.model = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="w").fit(rows)
+            rows = df.select(col(target).cast("double").alias("label"), col(score).cast("double").alias(SCORE)).groupBy(SCORE).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+            self.model = IsotonicRegression(featuresCol=SCORE, labelCol="label", weightCol="w").fit(rows)
         return self
 
     def transform(self, df: DataFrame, score: str, name: str = "calibrated") -> DataFrame:
         if self.method == "sigmoid":
-            return self.model.predict_proba(df.withColumn("s", col(score).cast("double")), name).drop("s")
-        packed = df.select(F.struct("*").alias("_row"), col(score).cast("double").alias("s"))
+            packed = df.select(F.struct("*").alias("_row"), col(score).cast("double").alias(SCORE))
+            return self.model.predict_proba(packed, "_out").select("_row.*", F.col("_out").alias(name))
+        packed = df.select(F.struct("*").alias("_row"), col(score).cast("double").alias(SCORE))
         return self.model.transform(packed).select("_row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias(name))
 
 

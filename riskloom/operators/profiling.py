@@ -99,3 +99,48 @@ def top_categories(df: DataFrame, features: list[str], n: int = 20) -> DataFrame
     w = W.partitionBy("feature")
     ranked = counts.withColumns({"pct": F.col("n") / F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "value"))})
     return ranked.where(F.col("rank") <= n)
+
+
+def numeric_table(df: DataFrame, features: list[str]) -> DataFrame:
+    """feature, n, n_valid, missing_rate, min, max, mean, median, std, p01, p25, p50, p75, p99."""
+    q = exact_quantiles(df, {c: col(c) for c in features}, [0.01, 0.25, 0.5, 0.75, 0.99])
+    x = {c: finite(col(c)) for c in features}
+    about = [g.alias(f"{n}{k}") for k, c in enumerate(features) for n, g in (("v", F.count(x[c])), ("m", F.avg(is_missing(df, c).cast("double"))), ("a", F.min(x[c])), ("b", F.max(x[c])), ("u", F.avg(x[c])), ("s", F.stddev_samp(x[c])))]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *about).first()
+    out = []
+    for k, c in enumerate(features):
+        p = q[c] or [None] * 5
+        out.append((c, row["n"], *(row[f"{n}{k}"] for n in "vmabu"), p[2], row[f"s{k}"], *p))
+    return df.sparkSession.createDataFrame(out, "feature string, n long, n_valid long, missing_rate double, min double, max double, mean double, median double, std double, p01 double, p25 double, p50 double, p75 double, p99 double")
+
+
+def explore(df: DataFrame, target: str | None = None, sample: str | None = None, features: list[str] | None = None, weight: str | None = None, n_bins: int = 10, dev: str = "dev", oot: str = "oot", woe_detail: bool = False) -> dict[str, DataFrame]:
+    """The ten exploratory tables: overview, missing rates, distributions by sample, IV of both samples and stability.
+
+    Without a target and a sample label there are tables 1, 2, 3 and 5, of all rows.
+    """
+    from .binning import WoeBinner, cube, iv_report, woe_table
+    from .splits import split_dev_oot
+    from .stability import bin_distribution, psi_from_shares
+
+    roles = {target, sample, weight}
+    features = features or [f.name for f in df.schema if not isinstance(f.dataType, NESTED) and f.name not in roles]
+    numeric = [f for f in features if f in numeric_columns(df)]
+    text = [f for f in features if f not in numeric]
+    tables = {"1_Overview": overview(df, features, target), "2_Missing_Rate": quality(df, features), "3_Num_Dist_DEV": numeric_table(df, numeric), "5_Char_Dist_DEV": top_categories(df, text) if text else None}
+    if target and sample:
+        split = split_dev_oot(df, sample=sample, dev=dev, oot=oot)
+        a, b = split.dev, split.oot
+        binner = WoeBinner(n_bins, min_samples_bin=1).fit(a, features=features, target=target, weight=weight)
+        sums = {n: cube(x, binner.rules, target, weight) for n, x in (("dev", a), ("oot", b))}
+        shares = {n: bin_distribution(x, ["feature"]) for n, x in sums.items()}
+        psi = psi_from_shares(shares["dev"], shares["oot"], ["feature"])
+        tables |= {
+            "2_Missing_Rate": missing_by_sample(a, b, features), "3_Num_Dist_DEV": numeric_table(a, numeric), "4_Num_Dist_OOT": numeric_table(b, numeric),
+            "5_Char_Dist_DEV": top_categories(a, text) if text else None, "6_Char_Dist_OOT": top_categories(b, text) if text else None,
+            "7_IV_DEV": iv_report(woe_table(sums["dev"], binner.smoothing)), "8_IV_OOT": iv_report(woe_table(sums["oot"], binner.smoothing)),
+            "9_PSI_Numeric": psi.where(F.col("feature").isin(numeric)), "10_PSI_Categorical": psi.where(F.col("feature").isin(text)),
+        }
+        if woe_detail:
+            tables["WOE_Detail"] = woe_table(sums["dev"], binner.smoothing).join(F.broadcast(binner.labels_frame(a)), ["feature", "bin_idx"], "left")  # a row for each bin
+    return {n: t for n, t in sorted(tables.items(), key=lambda x: int(x[0].split("_")[0]) if x[0][0].isdigit() else 99) if t is not None}

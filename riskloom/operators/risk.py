@@ -24,10 +24,19 @@ class Report:
     metadata: dict = field(default_factory=dict)
     binner: WoeBinner | None = None
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {"summary": self.summary, "detail": self.detail, **self.trends}
+
     def to_markdown(self, most: int = 50) -> str:
         from ..plans.report import markdown
 
-        return "\n\n".join(f"## {n}\n\n{markdown(t, most)}" for n, t in {"summary": self.summary, "detail": self.detail, **self.trends}.items())
+        return "\n\n".join(f"## {n}\n\n{markdown(t, most)}" for n, t in self.tables().items())
+
+    def save(self, path: str, most: int = 50) -> str:
+        """Markdown, or all rows as a workbook if the path ends in .xlsx."""
+        from ..plans.report import save_markdown
+
+        return save_markdown(self.tables(), path, most)
 
 
 def _all_groups(sums: DataFrame) -> DataFrame:
@@ -129,6 +138,8 @@ def monitor_summary(psi: DataFrame, part: DataFrame, warn: float = 0.1, critical
 
 @dataclass
 class AlertConfig:
+    """Shifts that are worth a word."""
+
     psi_warn: float = 0.1
     psi_critical: float = 0.25
     missing_delta: float = 0.05

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,6 +64,19 @@ class Scorecard:
         rows = [(f, k, self.binner.rules[f].label(k), self.binner.rules[f].woe[k], v) for f, p in self.points.items() for k, v in sorted(p.items())]
         return df.sparkSession.createDataFrame(rows, "feature string, bin_idx int, bin_label string, woe double, points double")
 
+    def save_scorecard(self, df: DataFrame, path: str) -> str:
+        """The table as one csv file; df only lends its session."""
+        rows = self.table(df).orderBy("feature", "bin_idx").collect()  # a row for each bin
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with open(path, "w", newline="") as f:
+            csv.writer(f).writerows([["feature", "bin_idx", "bin_label", "woe", "points"], *rows])
+        return path
+
+    def about(self, df: DataFrame) -> dict:
+        """Scale, numbers of variables and bins, and the points' range of each variable."""
+        stats = [r.asDict() for r in self.summary(df).collect()]
+        return {"base_score": self.base_score, "pdo": self.pdo, "base_odds": self.base_odds, "factor": self.factor, "offset": self.offset, "n_variables": len(self.points), "n_bins": sum(map(len, self.points.values())), "variable_stats": stats}
+
     def summary(self, df: DataFrame) -> DataFrame:
         out = self.table(df).groupBy("feature").agg(F.min("points").alias("min_points"), F.max("points").alias("max_points"))
         return out.withColumn("range", F.col("max_points") - F.col("min_points")).orderBy(F.desc("range"), "feature")

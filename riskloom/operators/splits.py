@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
-from ..functions.basics import LOG, col, require
-from ..functions.quantiles import RANGE_ROWS, ranked
+from ..functions.basics import LOG, col, fresh, require
+from ..functions.quantiles import ranges_for, ranked
 
 
 @dataclass
@@ -33,21 +33,21 @@ def hashed(key: list[str], seed: int) -> Column:
     return F.xxhash64(*[col(k) for k in key], F.lit(seed))
 
 
-def _within(df: DataFrame, by: str, key: list[str], seed: int, ranges: int | None = None) -> DataFrame:
-    """Adds _k, a row's number in its class by hash, and _n, the class's rows; classes are dealt in ranges of the hash."""
-    rows = df.withColumn("_h", hashed(key, seed))
-    classes = rows.groupBy(col(by).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    shares = ranges or max(1, df.count() // RANGE_ROWS)
-    rows = rows.withColumn("_r", F.pmod(F.shiftright("_h", 40), F.lit(shares)))
-    counts = rows.groupBy(col(by).alias("_c"), "_r").agg(F.count(F.lit(1)).alias("_m"))
-    before = F.coalesce(F.sum("_m").over(W.partitionBy("_c").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_c", F.col("_r").alias("_s"), before.alias("_b"))
-    place = F.row_number().over(W.partitionBy(col(by), "_r").orderBy("_h", *[col(k) for k in key]))
-    out = rows.withColumn("_k", place).join(starts, col(by).eqNullSafe(F.col("_c")) & (F.col("_r") == F.col("_s"))).drop("_c")
-    out = out.join(classes, col(by).eqNullSafe(F.col("_c")))
-    return out.withColumn("_k", F.col("_k") + F.col("_b")).drop("_c", "_h", "_r", "_s", "_b")
-
-
+def _within(df: DataFrame, by: str, key: list[str], seed: int, ranges: int | None = None, k: str = "_k", n: str = "_n") -> DataFrame:
+    """Adds k, a row's number in its class by hash, and n, the class's rows; classes are dealt in ranges of the hash."""
+    taken = [*df.columns, k, n]
+    h, r, c, s, m, b = (fresh(taken, f"_{x}") for x in "hrcsmb")
+    rows = df.withColumn(h, hashed(key, seed))
+    classes = rows.groupBy(col(by).alias(c)).agg(F.count(F.lit(1)).alias(n))
+    shares = ranges or ranges_for(df.count())
+    rows = rows.withColumn(r, F.pmod(F.shiftright(h, 40), F.lit(shares)))
+    counts = rows.groupBy(col(by).alias(c), r).agg(F.count(F.lit(1)).alias(m))
+    before = F.coalesce(F.sum(m).over(W.partitionBy(c).orderBy(r).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(c, F.col(r).alias(s), before.alias(b))
+    place = F.row_number().over(W.partitionBy(col(by), r).orderBy(h, *[col(x) for x in key]))
+    out = rows.withColumn(k, place).join(starts, col(by).eqNullSafe(F.col(c)) & (F.col(r) == F.col(s))).drop(c)
+    out = out.join(classes, col(by).eqNullSafe(F.col(c)))
+    return out.withColumn(k, F.col(k) + F.col(b)).drop(c, h, r, s, b)
 
 
 def train_test_split(df: DataFrame, key: list[str], test_size: float = 0.2, shuffle: bool = True, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -59,33 +59,35 @@ def train_test_split(df: DataFrame, key: list[str], test_size: float = 0.2, shuf
         raise ValidationError("test_size lies between 0 and 1")
     n = df.count()
     n_test = int(n * test_size)
+    h, r, k = (fresh(df.columns, f"_{x}") for x in "hrk")
     if not shuffle:
-        rows = ranked(df, list(key), n)
-        return rows.where(F.col("_k") <= n - n_test).drop("_k"), rows.where(F.col("_k") > n - n_test).drop("_k")
-    rows = df.withColumn("_h", hashed(key, seed))
-    counts = rows.groupBy(F.shiftright("_h", 48).alias("r")).agg(F.count(F.lit(1)).alias("n")).orderBy("r").collect()  # 2**16 ranges at most
+        rows = ranked(df, list(key), n, name=k)
+        return rows.where(F.col(k) <= n - n_test).drop(k), rows.where(F.col(k) > n - n_test).drop(k)
+    rows = df.withColumn(h, hashed(key, seed))
+    counts = rows.groupBy(F.shiftright(h, 48).alias("r")).agg(F.count(F.lit(1)).alias("n")).orderBy("r").collect()  # 2**16 ranges at most
     left, edge = n - n_test, None
-    for r in counts:
-        if r["n"] > left:
-            edge = r["r"]
+    for x in counts:
+        if x["n"] > left:
+            edge = x["r"]
             break
-        left -= r["n"]
-    place = F.row_number().over(W.partitionBy("_r").orderBy("_h", *[col(k) for k in key]))
-    rows = rows.withColumn("_r", F.shiftright("_h", 48))
+        left -= x["n"]
+    place = F.row_number().over(W.partitionBy(r).orderBy(h, *[col(x) for x in key]))
+    rows = rows.withColumn(r, F.shiftright(h, 48))
     if edge is None:
         return df, df.limit(0)
-    inside = rows.where(F.col("_r") == edge).withColumn("_k", place)
-    drop = ("_h", "_r", "_k")
-    train = rows.where(F.col("_r") < edge).drop(*drop).unionByName(inside.where(F.col("_k") <= left).drop(*drop))
-    test = rows.where(F.col("_r") > edge).drop(*drop).unionByName(inside.where(F.col("_k") > left).drop(*drop))
+    inside = rows.where(F.col(r) == edge).withColumn(k, place)
+    drop = (h, r, k)
+    train = rows.where(F.col(r) < edge).drop(*drop).unionByName(inside.where(F.col(k) <= left).drop(*drop))
+    test = rows.where(F.col(r) > edge).drop(*drop).unionByName(inside.where(F.col(k) > left).drop(*drop))
     return train, test
 
 
 def stratified_split(df: DataFrame, target: str, key: list[str], test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Of each class its rounded share to test."""
-    rows = _within(df, target, key, seed)
-    test = F.col("_k") <= F.bround(F.col("_n") * test_size)
-    return rows.where(~test).drop("_k", "_n"), rows.where(test).drop("_k", "_n")
+    k, n = fresh(df.columns, "_k"), fresh(df.columns, "_n")
+    rows = _within(df, target, key, seed, k=k, n=n)
+    test = F.col(k) <= F.bround(F.col(n) * test_size)
+    return rows.where(~test).drop(k, n), rows.where(test).drop(k, n)
 
 
 def time_series_split(df: DataFrame, date: str, key: list[str], test_size: float = 0.2, gap: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -94,43 +96,46 @@ def time_series_split(df: DataFrame, date: str, key: list[str], test_size: float
     n_test = int(n * test_size)
     if gap < 0 or n - n_test - gap <= 0 or n_test <= 0:
         raise ValidationError("nothing is left to train or to test on")
-    rows = ranked(df, [date, *[k for k in key if k != date]], n)
-    return rows.where(F.col("_k") <= n - n_test - gap).drop("_k"), rows.where(F.col("_k") > n - n_test).drop("_k")
+    k = fresh(df.columns, "_k")
+    rows = ranked(df, [date, *[x for x in key if x != date]], n, name=k)
+    return rows.where(F.col(k) <= n - n_test - gap).drop(k), rows.where(F.col(k) > n - n_test).drop(k)
 
 
 def kfold(df: DataFrame, k: int = 5, key: list[str] = (), shuffle: bool = False, seed: int = 42, stratify: str | None = None, name: str = "fold") -> DataFrame:
     """Adds the fold 0..k-1: contiguous in the key's order, or by hash; the first n % k folds have one row more."""
     if k < 2:
         raise ValidationError("at least two folds")
+    p, m, h = (fresh([*df.columns, name], x) for x in ("_k", "_n", "_h"))
     if stratify:
-        rows = _within(df, stratify, list(key), seed)
+        rows = _within(df, stratify, list(key), seed, k=p, n=m)
     else:
         n = df.count()
-        rows = ranked(df.withColumn("_h", hashed(list(key), seed)), ["_h", *key], n).drop("_h") if shuffle else ranked(df, list(key), n)
-        rows = rows.withColumn("_n", F.lit(n))
+        rows = ranked(df.withColumn(h, hashed(list(key), seed)), [h, *key], n, name=p).drop(h) if shuffle else ranked(df, list(key), n, name=p)
+        rows = rows.withColumn(m, F.lit(n))
     # as ntile: the first n % k folds take a row more
-    low, more = F.expr(f"_n div {k}"), F.col("_n") % k
-    at = F.col("_k") - 1
+    low, more = F.expr(f"{m} div {k}"), F.col(m) % k
+    at = F.col(p) - 1
     edge = more * (low + 1)
     fold = F.when(at < edge, F.floor(F.try_divide(at, low + 1))).otherwise(more + F.floor(F.try_divide(at - edge, low)))
-    return rows.withColumn(name, fold.cast("int")).drop("_k", "_n")
+    return rows.withColumn(name, fold.cast("int")).drop(p, m)
 
 
 def cv_splits(df: DataFrame, k: int = 5, method: str = "stratified", target: str | None = None, key: list[str] = (), date: str | None = None, seed: int = 42):
     """(train, test) of each fold; timeseries trains on all earlier folds."""
+    name = fresh(df.columns, "fold")
     if method == "stratified":
-        folded = kfold(df, k, key, True, seed, target)
+        folded = kfold(df, k, key, True, seed, target, name)
     elif method == "kfold":
-        folded = kfold(df, k, key, True, seed)
+        folded = kfold(df, k, key, True, seed, name=name)
     elif method == "timeseries":
-        folded = kfold(df, k + 1, [date, *key])
+        folded = kfold(df, k + 1, [date, *key], name=name)
         for f in range(1, k + 1):
-            yield folded.where(F.col("fold") < f).drop("fold"), folded.where(F.col("fold") == f).drop("fold")
+            yield folded.where(F.col(name) < f).drop(name), folded.where(F.col(name) == f).drop(name)
         return
     else:
         raise ValidationError(f"no such method: {method}")
     for f in range(k):
-        yield folded.where(F.col("fold") != f).drop("fold"), folded.where(F.col("fold") == f).drop("fold")
+        yield folded.where(F.col(name) != f).drop(name), folded.where(F.col(name) == f).drop(name)
 
 
 def split_dev_oot(df: DataFrame, sample: str | None = None, date: str | None = None, oot_start=None, target: str | None = None, key: list[str] = (), test_size: float = 0.2, dev: str = "dev", oot: str = "oot") -> DatasetSplit:
@@ -138,8 +143,9 @@ def split_dev_oot(df: DataFrame, sample: str | None = None, date: str | None = N
     if sample:
         require(df, sample)
         label = F.lower(col(sample).cast("string"))
-        found = {r[0] for r in df.select(label).distinct().limit(1000).collect()}
-        a, b = ("1", "0") if not found & {dev, oot} and found - {None} <= {"0", "1"} else (dev, oot)
+        yes = lambda c: F.coalesce(F.max(c), F.lit(False))
+        found = df.agg(yes(label.isin(dev, oot)).alias("named"), yes(~label.isin("0", "1")).alias("other")).first()
+        a, b = (dev, oot) if found["named"] or found["other"] else ("1", "0")
         dropped = df.where(label.isNull() | ~label.isin(a, b)).count()
         if dropped:
             LOG.warning("%d rows are neither %s nor %s", dropped, dev, oot)

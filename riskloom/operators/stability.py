@@ -8,6 +8,7 @@ from ..errors import ValidationError
 from ..functions.basics import check_weights, col, numeric_columns, weight_column
 from ..functions.quantiles import exact_quantiles, finite, weighted_quantiles
 
+#: Shifts from which a feature is watched, and from which it alarms.
 WARN, CRITICAL = 0.1, 0.25
 
 
@@ -23,9 +24,9 @@ def psi_categorical(expected: DataFrame, actual: DataFrame, column: str, smooth:
     """One row, psi: shares of each value, at least ``smooth``, over the values of either."""
     both = expected.select(col(column).alias("v"), F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(actual.select(col(column).alias("v"), F.lit(0).alias("e"), F.lit(1).alias("a")))
     sums = both.groupBy("v").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
-    every = W.partitionBy(F.lit(0))
-    part = lambda c: F.least(F.greatest(F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(every)), F.lit(0.0)), F.lit(smooth)), F.lit(1.0))
-    rows = sums.select(part("e").alias("e"), part("a").alias("a"))
+    totals = both.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
+    part = lambda c: F.least(F.greatest(F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"t{c}").cast("double")), F.lit(0.0)), F.lit(smooth)), F.lit(1.0))
+    rows = sums.crossJoin(F.broadcast(totals)).select(part("e").alias("e"), part("a").alias("a"))  # one row
     return rows.agg(F.coalesce(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))), F.lit(0.0)).alias("psi"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -52,7 +53,9 @@ class ScoringArtifact:
         if self.task != "classification":
             return out.withColumn(name, F.expm1(name)) if self.log_target else out
         out = out.withColumn("label", (F.col(name) >= threshold).cast("int"))
-        return out.withColumn("credit_score", credit_score(F.col(name))) if points else out
+        scale = dict(self.metadata.get("credit") or {})
+        column = scale.pop("column", "credit_score")
+        return out.withColumn(column, credit_score(F.col(name), **scale)) if points or self.metadata.get("credit") else out
 
     def save(self, path: str) -> None:
         p = self.preprocessor
@@ -80,8 +83,9 @@ class ScoringArtifact:
 class AutoPipeline:
     """Classification. Everything is learned on the development sample; columns with a role are never features."""
 
-    def __init__(self, roles: Roles, model_type: str = "logistic", n_bins: int = 5, method: str = "quantile", clean: str = "median", selection: str = "iv", threshold: float | None = None, max_features: int | None = None, special_values: list = (), oot_start=None, test_size: float = 0.2, key: list[str] = (), binner: dict | None = None, **params):
+    def __init__(self, roles: Roles, model_type: str = "logistic", n_bins: int = 5, method: str = "quantile", clean: str = "median", selection: str = "iv", threshold: float | None = None, max_features: int | None = None, special_values: list = (), oot_start=None, test_size: float = 0.2, key: list[str] = (), binner: dict | None = None, normalize: str | None = None, dev_label: str = "dev", oot_label: str = "oot", credit: dict | None = None, **params):
         self.roles, self.model_type, self.clean, self.selection = roles, model_type, clean, selection
+        self.normalize, self.labels, self.credit = normalize, (str(dev_label).lower(), str(oot_label).lower()), credit
         self.threshold, self.max_features, self.oot_start, self.test_size, self.key = threshold, max_features, oot_start, test_size, list(key)
         self.special_values = list(special_values)
         self.binner = WoeBinner(n_bins, method, special_values=special_values, **(binner or {}))
@@ -92,12 +96,12 @@ class AutoPipeline:
     def fit(self, df: DataFrame) -> AutoPipeline:
         r = self.roles
         require(df, r.target)
-        self.split = split_dev_oot(df, r.sample, r.date, self.oot_start, r.target, self.key, self.test_size).validate(r.target)
+        self.split = split_dev_oot(df, r.sample, r.date, self.oot_start, r.target, self.key, self.test_size, *self.labels).validate(r.target)
         dev = self.split.dev
         check_weights(dev, r.weight)
         features = r.features(df)
         numeric = [f for f in features if isinstance(df.schema[f].dataType, NUMERIC)]
-        pre = Preprocessor("keep" if self.clean == "keep" else self.clean, None, [] if self.clean == "keep" else self.special_values).fit(dev, columns=numeric, weight=r.weight)
+        pre = Preprocessor(self.clean, self.normalize, [] if self.clean == "keep" else self.special_values).fit(dev, columns=numeric, weight=r.weight)
         clean = pre.transform(dev)
         self.binner.fit(clean, features=features, target=r.target, weight=r.weight)
         woe = self.binner.transform(clean, return_type="woe")
@@ -110,7 +114,7 @@ class AutoPipeline:
         if not chosen:
             raise ValidationError("no feature was selected")
         model = ModelTrainer(self.model_type, **self.params).fit(woe, r.target, chosen, r.weight)
-        self.artifact = ScoringArtifact(features, pre, self.binner, chosen, model, metadata={"target": r.target})
+        self.artifact = ScoringArtifact(features, pre, self.binner, chosen, model, metadata={"target": r.target} | ({"credit": self.credit} if self.credit else {}))
         self.metrics = self.evaluate()
         return self
 
@@ -120,7 +124,7 @@ class AutoPipeline:
         return self.artifact
 
     def scored(self, df: DataFrame) -> DataFrame:
-        return self._need().score(df, "score")
+        return self._need().score(df, "score").drop("credit_score")
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self._need().score(df)
@@ -129,7 +133,7 @@ class AutoPipeline:
         """The scores of a sample with its role columns, kept as a dozen reports read them; release() lets go."""
         if name not in self._held:
             r = self.roles
-            names = [c for c in dict.fromkeys((r.target, r.weight, r.segment, r.temporal, r.benchmark)) if c]
+            names = [c for c in dict.fromkeys((r.target, r.weight, r.temporal, *r.each(r.segment), *r.each(r.benchmark))) if c]
             self._held[name] = self.scored(getattr(self.split, name)).select(*map(col, names), "score").persist(StorageLevel.MEMORY_AND_DISK)
         return self._held[name]
 
@@ -171,12 +175,14 @@ class AutoPipeline:
             "Model_Estimation": a.model.importance(dev),
         }
         every = dev.withColumn("_sample", F.lit("dev")).unionByName(oot.withColumn("_sample", F.lit("oot")))
-        if r.segment:
-            out["Segment_Summary"] = risk.segments(every, r.segment, r.target, "score", r.weight)
+        both = lambda tables: reduce(DataFrame.unionByName, tables)
+        if segment := r.each(r.segment):
+            one = lambda c: risk.segments(every, c, r.target, "score", r.weight).select(F.lit(c).alias("by"), col(c).cast("string").alias("segment"), "*").drop(c)
+            out["Segment_Summary"] = both(map(one, segment))
         if r.temporal:
             out["Temporal_Stability"] = risk.segments(every, r.temporal, r.target, "score", r.weight)
-        if r.benchmark:
-            out["Benchmark_Performance"] = metrics.all_metrics(oot, r.target, r.benchmark, 0.5, r.weight)
+        if benchmark := r.each(r.benchmark):
+            out["Benchmark_Performance"] = both(metrics.all_metrics(oot, r.target, c, 0.5, r.weight).select(F.lit(c).alias("benchmark"), "*") for c in benchmark)
         return out
 
     def save(self, folder: str) -> str:
@@ -190,15 +196,16 @@ class AutoPipeline:
 class RegressionPipeline:
     """Numeric features only; the target may be trained as log1p and is returned on its own scale."""
 
-    def __init__(self, roles: Roles, model_type: str = "linear", log_target: bool = False, clean: str = "median", oot_start=None, **params):
+    def __init__(self, roles: Roles, model_type: str = "linear", log_target: bool = False, clean: str = "median", oot_start=None, normalize: str | None = None, dev_label: str = "dev", oot_label: str = "oot", **params):
         self.roles, self.model_type, self.log_target, self.clean, self.oot_start, self.params = roles, model_type, log_target, clean, oot_start, params
+        self.normalize, self.labels = normalize, {"dev": str(dev_label).lower(), "oot": str(oot_label).lower()}
         self.artifact: ScoringArtifact | None = None
 
     def fit(self, df: DataFrame) -> RegressionPipeline:
         r = self.roles
-        self.split = split_dev_oot(df, r.sample, r.date, self.oot_start).validate(r.target)
+        self.split = split_dev_oot(df, r.sample, r.date, self.oot_start, **self.labels).validate(r.target)
         features = r.features(df, numeric_only=True)
-        pre = Preprocessor(self.clean).fit(self.split.dev, columns=features)
+        pre = Preprocessor(self.clean, self.normalize).fit(self.split.dev, columns=features)
         rows = pre.transform(self.split.dev)
         if self.log_target:
             if rows.where(col(r.target) <= -1).limit(1).count():
@@ -218,8 +225,8 @@ class RegressionPipeline:
         return self.artifact.score(df, "prediction")
 
 
-def run_pipeline(spark: SparkSession, source, roles: Roles, folder: str | None = None, task: str = "classification", **how):
-    df = load_data(spark, source)
+def run_pipeline(spark: SparkSession, source, roles: Roles, folder: str | None = None, task: str = "classification", encoding: str | None = None, **how):
+    df = load_data(spark, source, **({"encoding": encoding} if encoding else {}))
     pipe = (AutoPipeline if task == "classification" else RegressionPipeline)(roles, **how).fit(df)
     if folder:
         Path(folder).mkdir(parents=True, exist_ok=True)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .operators import binning as B, cleaning as C, features as X, metrics as M, models as L, profiling as P, risk as K, scorecard as S, splits as D, stability as Y
 from .functions import basics, quantiles as Q
 from .sources import tables as IO
+from .sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,6 +108,49 @@ def load_sql(spark, d):
     return rounded(IO.load_data(spark, {"type": "sql", "query": "select c_mktsegment, count(*) as n, avg(c_acctbal) as mean from customer_q group by c_mktsegment"}))
 
 
+def _spilled(spark, df: DataFrame, name: str, kind: str | None = None) -> str:
+    """A table written for a reader to read back."""
+    return IO.save_dataframe(df, shared_path(spark, name), kind)
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 0")
+def load_csv(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    df = df.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("n/a"))
+    out = IO.load_csv(spark, _spilled(spark, df, "orders.csv"), ["o_orderkey", "o_orderstatus", "o_totalprice"], null_values=["n/a"], schema="o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    return out.where("o_orderstatus is not null")
+
+
+@query("select s_suppkey, s_name from supplier")
+def load_csv_skip_rows(spark, d):
+    rows = table(spark, d, "supplier").select(F.concat_ws(";", "s_suppkey", "s_name").alias("value"))
+    head = spark.createDataFrame([(0, "made by hand"), (1, "two lines"), (2, "s_suppkey;s_name")], "k int, value string")
+    path = shared_path(spark, "supplier.csv")
+    head.unionByName(rows.withColumn("k", F.lit(3))).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return IO.load_csv(spark, path, skip_rows=2, separator=";").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+
+
+@query("select c_custkey, c_mktsegment, c_acctbal from customer")
+def load_dataframe(spark, d):
+    """Written as json, orc and parquet, a third each, and read back."""
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    parts = [IO.load_dataframe(spark, _spilled(spark, df.where(F.col("c_custkey") % 3 == k), f"customer.{kind}")).select(*df.columns) for k, kind in enumerate(("json", "orc", "parquet"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("select n_nationkey::double as n_nationkey, n_name from nation")
+def load_excel(spark, d):
+    path = shared_path(spark, "nation.xlsx").removeprefix("file://")
+    return IO.load_excel(spark, IO.write_xlsx({"regions": table(spark, d, "region"), "nations": table(spark, d, "nation").select("n_nationkey", "n_name")}, path), sheet_name="nations").select(F.col("n_nationkey").cast("double").alias("n_nationkey"), "n_name")
+
+
+@query("select r_regionkey, r_name from region")
+def load_pickle(spark, d):
+    path = shared_path(spark, "region.pkl").removeprefix("file://")
+    table(spark, d, "region").select("r_regionkey", "r_name").toPandas().to_pickle(path)
+    return IO.load_pickle(spark, path).select(F.col("r_regionkey").cast("int").alias("r_regionkey") if dict(table(spark, d, "region").dtypes)["r_regionkey"] == "int" else "r_regionkey", "r_name")
+
+
 # cleaning and scaling
 
 
@@ -191,10 +235,17 @@ def preprocessor_fit(spark, d):
     return rounded(spark.createDataFrame([tuple(float(s[k]) for k in ("mean", "std", "min", "max", "median", "q25", "q75"))], "mean double, std double, min double, max double, median double, q25 double, q75 double"))
 
 
-@query(f"with {CREDIT} select round(sum(w * price) / sum(w), 6) as mean, round(sqrt(sum(w * price * price) / sum(w) - (sum(w * price) / sum(w)) ** 2), 4) as std from credit where price is not null and price <> -999")
+def weighted_cuts_sql(x: str, qs: list[str], w: str = "w", view: str = "credit", where: str = "true") -> str:
+    """Weighted quantiles as a list q, at (running weight - weight / 2) / total, rows in order of value and weight."""
+    return f"""(with z as (select {x} as x, {w} as w from {view} where {x} is not null and {where}), p as (select x, (sum(w) over (order by x, w rows unbounded preceding) - w / 2) / sum(w) over () as p from z),
+      n as (select x, p, lead(p) over o as p1, lead(x) over o as x1 from p window o as (order by p)), t as (select unnest([{', '.join(qs)}]) as t, unnest(range({len(qs)})) as k)
+      select list(x + (x1 - x) * (t - p) / (p1 - p) order by k) as q from n, t where p <= t and t < p1)"""
+
+
+@query(f"with {CREDIT}, q as {weighted_cuts_sql('price', ['0.5::double'], where='price <> -999')} select round(sum(w * price) / sum(w), 6) as mean, round(sqrt(sum(w * price * price) / sum(w) - (sum(w * price) / sum(w)) ** 2), 4) as std, round(any_value(q[1]), 4) as median, min(price) as min, max(price) as max from credit, q where price is not null and price <> -999")
 def preprocessor_fit_weighted(spark, d):
     s = C.Preprocessor(special_values=[-999.0]).fit(credit(spark, d), columns=["price"], weight="w").stats["price"]
-    return spark.createDataFrame([(round(s["mean"], 6), round(s["std"], 4))], "mean double, std double")
+    return spark.createDataFrame([(round(s["mean"], 6), round(s["std"], 4), round(s["median"], 4), s["min"], s["max"])], "mean double, std double, median double, min double, max double")
 
 
 @query(f"with {CREDIT}, s as (select quantile_cont(price, 0.5::double) as m, avg(price) as mean, stddev_samp(price) as sd from credit where sample = 'dev' and price <> -999) select l_orderkey, l_linenumber, round((coalesce(case when price <> -999 then price end, m) - mean) / (sd + 1e-10), 6) as price from credit, s")
@@ -249,6 +300,30 @@ def dev_oot_date(spark, d):
     return s.dev.withColumn("dev", F.lit(True)).unionByName(s.oot.withColumn("dev", F.lit(False))).groupBy("dev").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
 
 
+@query(f"with {CREDIT} select y, count(*) as n, round_even(count(*) * 0.3::double, 0)::bigint as n_oot from credit group by y")
+def dev_oot_random(spark, d):
+    s = D.split_dev_oot(credit(spark, d), target="y", key=["l_orderkey", "l_linenumber"], test_size=0.3).validate("y")
+    return s.dev.select("y", F.lit(0).alias("o")).unionByName(s.oot.select("y", F.lit(1).alias("o"))).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("n_oot"))
+
+
+@query(f"with {CREDIT}, f as (select y, (ntile(5) over (partition by y order by l_orderkey, l_linenumber) - 1)::int as fold from credit) select fold, y, count(*) as n_test, sum(count(*)) over (partition by y)::bigint - count(*) as n_train from f group by fold, y")
+def cv_folds(spark, d):
+    out = None
+    for k, (train, test) in enumerate(D.cv_splits(credit(spark, d), 5, "stratified", "y", ["l_orderkey", "l_linenumber"])):
+        each = test.groupBy("y").agg(F.count(F.lit(1)).alias("n_test")).join(train.groupBy("y").agg(F.count(F.lit(1)).alias("n_train")), "y").select(F.lit(k).alias("fold"), "y", "n_test", "n_train")
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+@query("with o as (select event_id, ntile(4) over (order by ts, event_id) as part from events) select part - 1 as fold, count(*) as n_test, sum(count(*)) over (order by part) ::bigint - count(*) as n_train, min(event_id) as first from o group by part".replace("select part - 1 as fold", "select (part - 2)::int as fold").replace(" from o group by part", " from o group by part qualify part > 1"))
+def cv_folds_in_time(spark, d):
+    out = None
+    for k, (train, test) in enumerate(D.cv_splits(table(spark, d, "events").select("event_id", "ts"), 3, "timeseries", key=["event_id"], date="ts")):
+        each = test.agg(F.count(F.lit(1)).alias("n_test"), F.min("event_id").alias("first")).crossJoin(F.broadcast(train.agg(F.count(F.lit(1)).alias("n_train")))).select(F.lit(k).alias("fold"), "n_test", "n_train", "first")  # one row each
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 # statistics
 
 
@@ -343,6 +418,36 @@ def woe_weighted(spark, d):
     return rounded(B.woe_table(B.cube(credit(spark, d), rule, "y", "w")).select(*TABLE))
 
 
+@query(_table_sql(f"select 'l_extendedprice' as feature, {case_sql('l_extendedprice', 5)} as bin_idx, count(*)::double as n, sum(w) as w, sum(w * y) as bad from credit, {weighted_cuts_sql('l_extendedprice', [f'{k}::double/5' for k in range(1, 5)])} group by all"))
+def woe_weighted_quantile(spark, d):
+    df = credit(spark, d)
+    return rounded(_woe(df, B.WoeBinner(5).fit(df, features=["l_extendedprice"], target="y", weight="w"), "w").select(*TABLE))
+
+
+@query(_table_sql(long_sql()))
+def binning_round_trip(spark, d):
+    """Rules written as JSON and read back."""
+    df = credit(spark, d)
+    path = shared_path(spark, "binning.json").removeprefix("file://")
+    IO.save_binning(B.WoeBinner(5).fit(df, features=FEATURES, target="y"), path)
+    return rounded(_woe(df, IO.load_binning(path)).select(*TABLE))
+
+
+@query(_table_sql(long_sql(), "feature, bin_idx, round(woe, 6) as woe"))
+def woe_mapping(spark, d):
+    """The WOE of each bin, written as JSON and read back."""
+    path = shared_path(spark, "woe.json").removeprefix("file://")
+    IO.save_woe_mapping(B.WoeBinner(5).fit(credit(spark, d), features=FEATURES, target="y"), path)
+    return rounded(spark.createDataFrame([(f, k, v) for f, found in IO.load_woe_mapping(path).items() for k, v in found.items()], "feature string, bin_idx int, woe double"))
+
+
+@query(f"with {CREDIT} " + " union all ".join(f"select * from (select '{f}' as feature, case when min({x}) is null then 'no valid values' when min({x}) = max({x}) then 'constant' end as failure from credit) where failure is not null" for f, x in (("l_tax", "l_tax"), ("flat", "7"), ("hollow", "case when l_tax > 99 then 1 end"), ("sentinel", "case when price <> -999 and l_tax > 99 then price end"))))
+def binning_failures(spark, d):
+    df = credit(spark, d).withColumns({"flat": F.lit(7), "hollow": F.when(F.col("l_tax") > 99, 1.0), "sentinel": F.when(F.col("l_tax") > -1, -999.0)})
+    b = B.WoeBinner(5, special_values=[-999.0]).fit(df, features=["l_tax", "flat", "hollow", "sentinel"], target="y")
+    return spark.createDataFrame(list(b.failures.items()), "feature string, failure string")
+
+
 @query(f"with {CREDIT} select l_orderkey, l_linenumber, {case_sql('l_quantity', 5)} as l_quantity_bin, {case_sql('l_tax', 5, 'q2')} as l_tax_bin from credit, {cuts_sql('l_quantity', 5)}, (select q as q2 from {cuts_sql('l_tax', 5)})")
 def index_transform(spark, d):
     df = credit(spark, d)
@@ -396,17 +501,47 @@ def category_mapping(spark, d):
     return B.category_mapping(table(spark, d, "orders"), "o_orderpriority", 2990)
 
 
-@query()
+def tree_sql(features: list[str], leaves: int, least: int) -> str:
+    """feature, q: cuts of a tree that splits the leaf of greatest Gini gain first, one step a table."""
+    impurity = lambda n, b: f"({n} - ({b} * {b} + ({n} - {b}) * ({n} - {b})) / {n})"
+    steps = ["""d as (select feature, x, sum(n) over o as cn, sum(bad) over o as cb, lead(x) over o as next from v window o as (partition by feature order by x rows unbounded preceding)),
+      l0 as (select feature, 0.0::double as a, 0.0::double as ab, max(cn)::double as b, arg_max(cb, cn)::double as bb, max(cn)::double as total from d group by feature)"""]
+    for k in range(leaves - 1):
+        gain = f"{impurity('(l.b - l.a)', '(l.bb - l.ab)')} - {impurity('(d.cn - l.a)', '(d.cb - l.ab)')} - {impurity('(l.b - d.cn)', '(l.bb - d.cb)')}"
+        steps.append(f"""c{k} as (select * from (select l.*, d.cn, d.cb, (d.x + d.next) / 2 as cut, {gain} as gain, d.x from l{k} l join d on d.feature = l.feature and d.cn - l.a >= {least} and l.b - d.cn >= {least} and d.cn > l.a and d.cn < l.b)
+          where gain > 1e-12 * greatest(1, total) qualify row_number() over (partition by feature order by gain desc, x) = 1),
+          l{k + 1} as (select l.* from l{k} l anti join c{k} c on c.feature = l.feature and c.a = l.a union all select feature, a, ab, cn, cb, total from c{k} union all select feature, cn, cb, b, bb, total from c{k})""")
+    values = " union all ".join(f"select '{f}' as feature, {f} as x, count(*)::double as n, sum(y)::double as bad from credit where {f} is not null group by {f}" for f in features)
+    every = " union all ".join(f"select feature, cut from c{k}" for k in range(leaves - 1))
+    return f"v as ({values}), {', '.join(steps)}, cuts as (select feature, list(cut order by cut) as q from ({every}) group by feature)"
+
+
+def _cart_sql() -> str:
+    sums = " union all ".join(f"select '{f}' as feature, len(list_filter(coalesce(q, []), lambda c: c <= {f}))::int as bin_idx, count(*)::double as n, count(*)::double as w, sum(y)::double as bad from credit left join cuts on cuts.feature = '{f}' group by all" for f in FEATURES)
+    columns = "feature, bin_idx, round(w, 6) as count, round(bad, 6) as bad, round(good, 6) as good, round(bad_rate, 6) as bad_rate, round(bad / tb, 6) as dist_bad, round(good / tg, 6) as dist_good, round(woe, 6) as woe, round((bad / tb - good / tg) * woe, 6) as iv"
+    return f"with {CREDIT}, {tree_sql(FEATURES, 5, 50)}, s as ({sums}), t as ({woe_sql('select * from s', 'feature')}) select {columns} from t"
+
+
+@query(_cart_sql())
 def cart_bins(spark, d):
     df = credit(spark, d)
     return rounded(B.WoeBinner(5, "cart", min_samples_bin=50).fit(df, features=FEATURES, target="y").stats(df, "y"))
 
 
-@query()
+#: Isotonic means are greatest least means: of all stretches that begin before a bin and end after it.
+MONOTONE = f"""with {CREDIT}, c as ({long_sql(10)}), r as (select *, bad / w as rate, sum(bad / w) over o as s, row_number() over o as k from c window o as (partition by feature order by bin_idx rows unbounded preceding)),
+  m as (select i.feature, i.bin_idx, j.k as j, min((e.s - j.s + j.rate) / (e.k - j.k + 1)) as least, max((e.s - j.s + j.rate) / (e.k - j.k + 1)) as most from r i join r j on j.feature = i.feature and j.k <= i.k join r e on e.feature = i.feature and e.k >= i.k group by all),
+  f as (select feature, bin_idx, max(least) as up, min(most) as down from m group by all),
+  g as (select r.*, up, down, sum((rate - up) ** 2) over (partition by feature) <= sum((rate - down) ** 2) over (partition by feature) as rises from r join f using (feature, bin_idx)),
+  h as (select feature, bin_idx, w * p as bad, w * (1 - p) as good, 0.5::double * sum(w) over (partition by feature) / sum(n) over (partition by feature) as s from (select *, least(greatest(case when rises then up else down end, 1e-7), 1 - 1e-7) as p from g))
+  select feature, bin_idx, round(ln(((bad + s) / (sum(bad) over (partition by feature) + 2 * s)) / ((good + s) / (sum(good) over (partition by feature) + 2 * s))), 6) as woe from h"""
+
+
+@query(MONOTONE)
 def monotonic_bins(spark, d):
     df = credit(spark, d)
     b = B.WoeBinner(10, monotonic=True).fit(df, features=FEATURES, target="y")
-    return spark.createDataFrame([(f, k, v) for f, r in b.rules.items() for k, v in sorted(r.woe.items())], "feature string, bin_idx int, woe double")
+    return rounded(spark.createDataFrame([(f, k, v) for f, r in b.rules.items() for k, v in sorted(r.woe.items())], "feature string, bin_idx int, woe double"))
 
 
 # stability
@@ -519,7 +654,9 @@ def lift_deciles(spark, d):
     return rounded(M.lift(scored(spark, d), "y", "score"))
 
 
-@query()
+@query(f"""with {CREDIT}, q as {weighted_cuts_sql("score", [f"{k}::double/10" for k in range(1, 10)])},
+  g as (select len(list_filter(list_distinct(q), lambda e: e <= score))::int as bin, sum(w) as count, sum(w * y) as bad, sum(w * score) / sum(w) as s from credit, q group by all)
+  select (row_number() over (order by s desc) - 1)::int as rank, bin, count, bad, round(bad / count, 6) as bad_rate, round(s, 6) as avg_score, round(sum(bad) over o / sum(count) over o, 6) as cum_bad_rate, round(bad / count / (sum(bad) over () / sum(count) over ()), 6) as lift from g window o as (order by s desc rows unbounded preceding)""")
 def lift_weighted(spark, d):
     return rounded(M.lift(scored(spark, d), "y", "score", weight="w"))
 
@@ -559,14 +696,23 @@ def profile_trend(spark, d):
     return rounded(P.trend(credit(spark, d), ["price"], "period"))
 
 
-@query(f"with {CREDIT}, c as ({long_sql()}), t as ({woe_sql('select * from c', 'feature')}), k as (select feature, abs(sum(bad) over o / sum(bad) over (partition by feature) - sum(good) over o / sum(good) over (partition by feature)) as gap, iv, woe - lag(woe) over (partition by feature order by bin_idx) as dw from t window o as (partition by feature order by bin_idx rows unbounded preceding)) select feature, round(sum(iv), 6) as iv, {INTERPRET.format('sum(iv)')} as iv_strength, round(max(gap), 6) as ks, 0.0::double as missing_rate, count(*) as n_bins, bool_and(coalesce(dw >= 0, true)) or bool_and(coalesce(dw <= 0, true)) as monotonic_woe from k group by feature")
+PSI_OF_FEATURES = f"""pg as ({long_sql(more='period')}), ph as (select feature, period, bin_idx, w / sum(w) over (partition by feature, period) as pct from pg), pb as (select * from ph where period = (select min(period) from ph)),
+  px as (select distinct g.feature, g.period, b.bin_idx from ph g join (select feature, bin_idx from ph) b using (feature) where b.bin_idx = -2 or b.bin_idx >= 0),
+  pp as (select px.feature, px.period, greatest(coalesce(pb.pct, 0), 1e-6) as e, greatest(coalesce(ph.pct, 0), 1e-6) as a from px left join pb on pb.feature = px.feature and pb.bin_idx = px.bin_idx left join ph on ph.feature = px.feature and ph.period = px.period and ph.bin_idx = px.bin_idx),
+  psi as (select feature, round(max(psi), 6) as psi_max from (select feature, period, sum((a - e) * ln(a / e)) as psi from pp group by all) group by feature)"""
+
+
+@query(f"with {CREDIT}, c as ({long_sql()}), t as ({woe_sql('select * from c', 'feature')}), k as (select feature, abs(sum(bad) over o / sum(bad) over (partition by feature) - sum(good) over o / sum(good) over (partition by feature)) as gap, iv, woe - lag(woe) over (partition by feature order by bin_idx) as dw from t window o as (partition by feature order by bin_idx rows unbounded preceding)), {PSI_OF_FEATURES} select feature, round(sum(iv), 6) as iv, {INTERPRET.format('sum(iv)')} as iv_strength, round(max(gap), 6) as ks, 0.0::double as missing_rate, count(*) as n_bins, bool_and(coalesce(dw >= 0, true)) or bool_and(coalesce(dw <= 0, true)) as monotonic_woe, any_value(psi_max) as psi_max from k join psi using (feature) group by feature")
 def risk_summary(spark, d):
-    return rounded(K.profile_risk(credit(spark, d), "y", FEATURES, n_bins=5).summary.drop("psi_max"))
+    return rounded(K.profile_risk(credit(spark, d), "y", FEATURES, "period", n_bins=5).summary)
+
+
+LABEL = "case bin_idx when 0 then '00_(-inf, ' || printf('%.4g', q[1]) || ')' when 4 then '04_[' || printf('%.4g', q[4]) || ', inf)' else printf('%02d_[', bin_idx) || printf('%.4g', q[bin_idx]) || ', ' || printf('%.4g', q[bin_idx + 1]) || ')' end as bin_label"
 
 
-@query(_table_sql(long_sql(5, ["l_quantity"]), "feature, bin_idx, w as count, bad, good, round(bad_rate, 6) as bad_rate, round(bad / tb, 6) as dist_bad, round(good / tg, 6) as dist_good, round(woe, 6) as woe, round((bad / tb - good / tg) * woe, 6) as iv"))
+@query(_table_sql(long_sql(5, ["l_quantity"]), "feature, bin_idx, w as count, bad, good, round(bad_rate, 6) as bad_rate, round(bad / tb, 6) as dist_bad, round(good / tg, 6) as dist_good, round(woe, 6) as woe, round((bad / tb - good / tg) * woe, 6) as iv, " + LABEL) + f", {cuts_sql('l_quantity', 5)}")
 def risk_detail(spark, d):
-    return rounded(K.profile_risk(credit(spark, d), "y", ["l_quantity"], n_bins=5).detail.drop("bin_label"))
+    return rounded(K.profile_risk(credit(spark, d), "y", ["l_quantity"], n_bins=5).detail)
 
 
 # monitoring
@@ -583,9 +729,9 @@ def monitor_summary(spark, d):
     return rounded(_monitor(spark, d).summary)
 
 
-@query(f"with {CREDIT}, {PRICE_BINS} select 'price' as feature, h.period as \"group\", h.bin_idx, round(h.pct, 6) as pct, round(base.pct, 6) as benchmark_pct from h left join base using (bin_idx)")
+@query(f"with {CREDIT}, {PRICE_BINS} select 'price' as feature, h.period as \"group\", h.bin_idx, round(h.pct, 6) as pct, round(base.pct, 6) as benchmark_pct, case h.bin_idx when -3 then 'Special_-999' when -1 then 'Missing' else " + LABEL.removesuffix(" as bin_label").replace("case bin_idx", "case h.bin_idx").replace("bin_idx]", "h.bin_idx]").replace("[', bin_idx)", "[', h.bin_idx)").replace("bin_idx + 1", "h.bin_idx + 1").replace("h.h.", "h.") + f" end as bin_label from h left join base using (bin_idx), {cuts_sql('price', 5, 'credit', 'price <> -999')}")
 def monitor_detail(spark, d):
-    return rounded(_monitor(spark, d).detail.drop("bin_label"))
+    return rounded(_monitor(spark, d).detail)
 
 
 @query(f"with {CREDIT} select period as \"group\", round(sum(w * y) / sum(w), 6) as bad_rate from credit group by period")
@@ -598,12 +744,29 @@ def score_trend(spark, d):
     return rounded(K.score_trend(scored(spark, d), "period", "score"))
 
 
-ALERT_ROWS = "('a', 0.3, 0.0), ('b', 0.15, 0.0), ('c', 0.01, 0.2), ('d', 0.01, 0.0), ('e', 0.26, -0.5)"
+SHIFTED = {"l_quantity": "l_quantity + (period - 1992) * 3", "l_tax": "case when (l_orderkey + l_linenumber) % 100 < (period - 1992) * 2 then null else l_tax end", "l_discount": "l_discount"}
+
+
+def _shifted(spark, d) -> DataFrame:
+    """Features of which one drifts, one goes missing and one stays as it is."""
+    return credit(spark, d).select("l_orderkey", "l_linenumber", "period", *[F.expr(x).alias(f) for f, x in SHIFTED.items()])
+
 
+def _alert_sql() -> str:
+    shifted = f"shifted as (select l_orderkey, l_linenumber, period, 1.0 as w, {', '.join(f'{x} as {f}' for f, x in SHIFTED.items())} from credit), bench as (select * from shifted where period = (select min(period) from shifted))"
+    bins = " union all ".join(f"select '{f}' as feature, period, {case_sql(f, 5)} as bin_idx, count(*)::double as n from shifted, {cuts_sql(f, 5, 'bench', f'{f} is not null')} group by all" for f in SHIFTED)
+    return f"""with {CREDIT}, {shifted}, c as ({bins}), h as (select *, n / sum(n) over (partition by feature, period) as pct from c), base as (select * from h where period = (select min(period) from h)),
+      x as (select distinct g.feature, g.period, b.bin_idx from h g join (select distinct feature, bin_idx from h) b using (feature) where b.bin_idx >= 0),
+      p as (select x.feature, x.period, sum((greatest(coalesce(h.pct, 0), 1e-6) - greatest(coalesce(base.pct, 0), 1e-6)) * ln(greatest(coalesce(h.pct, 0), 1e-6) / greatest(coalesce(base.pct, 0), 1e-6))) as psi
+        from x left join base on base.feature = x.feature and base.bin_idx = x.bin_idx left join h on h.feature = x.feature and h.period = x.period and h.bin_idx = x.bin_idx group by all),
+      m as (select feature, period, coalesce(sum(pct) filter (bin_idx = -1), 0) as missing from h group by all),
+      s as (select feature, arg_max(psi, period) as psi, arg_max(missing, period) - arg_min(missing, period) as delta from p join m using (feature, period) group by feature)
+      select feature, case when psi >= 0.25 then 'critical' else 'warning' end as level, case when psi >= 0.1 then 'psi' else 'missing' end as reason, feature = 'l_tax' as in_model, round(psi, 6) as psi_latest from s where psi >= 0.1 or abs(delta) >= 0.05"""
 
-@query(f"select feature, case when psi >= 0.25 then 'critical' else 'warning' end as level, case when psi >= 0.1 then 'psi' else 'missing' end as reason, feature in ('b', 'e') as in_model, psi::double as psi_latest from (values {ALERT_ROWS}) t(feature, psi, delta) where psi >= 0.1 or abs(delta) >= 0.05")
+
+@query(_alert_sql())
 def alert_levels(spark, d):
-    return K.alerts(spark.sql(f"select feature, cast(psi as double) as psi_latest, cast(delta as double) as missing_delta from values {ALERT_ROWS} as t(feature, psi, delta)"), model_features=["b", "e"])
+    return rounded(K.alerts(K.Monitor(n_bins=5).monitor(_shifted(spark, d), "period", features=list(SHIFTED)).summary, model_features=["l_tax"]))
 
 
 # exploration
@@ -625,9 +788,55 @@ def eda_top_categories(spark, d):
     return rounded(P.top_categories(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"]))
 
 
-@query(_ks_sql("1", KS, "sample"))
+@query(f"select k.*, x.* exclude (sample) from ({_ks_sql('1', KS, 'sample')}) k join (with {CREDIT}, x as (select sample, count(*) filter (y = 1 and score >= 0.25)::double as tp, count(*) filter (y = 0 and score < 0.25)::double as tn, count(*) filter (y = 0 and score >= 0.25)::double as fp, count(*) filter (y = 1 and score < 0.25)::double as fn from credit group by sample) select *, round((tp + tn) / (tp + tn + fp + fn), 6) as accuracy, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from x) x using (sample)")
 def score_evaluation(spark, d):
-    return rounded(M.all_metrics(scored(spark, d), "y", "score", 0.5, None, ["sample"]).select("sample", "ks", "ks_threshold", "auc", "gini"))
+    return rounded(M.all_metrics(scored(spark, d), "y", "score", 0.25, None, ["sample"]))
+
+
+def _explored(spark, d) -> dict[str, DataFrame]:
+    df = credit(spark, d).select("y", "sample", *FEATURES, "l_returnflag", "l_linestatus")
+    return P.explore(df, "y", "sample", n_bins=5)
+
+
+def _two_samples_sql(columns: str) -> str:
+    """Sums by bins that the development rows give, of both samples."""
+    numbers = " union all ".join(f"select '{f}' as feature, sample, {case_sql(f, 5)} as bin_idx, count(*)::double as n, count(*)::double as w, sum(y)::double as bad from credit, {cuts_sql(f, 5, 'credit', chr(34) + 'sample' + chr(34) + ' = ' + chr(39) + 'dev' + chr(39))} group by all" for f in FEATURES)
+    words = " union all ".join(f"select '{f}' as feature, sample, coalesce(k, -2) as bin_idx, count(*)::double as n, count(*)::double as w, sum(y)::double as bad from credit left join (select {f}, (row_number() over (order by count(*) desc, {f}) - 1)::int as k from credit where sample = 'dev' group by {f}) using ({f}) group by all" for f in ("l_returnflag", "l_linestatus"))
+    return f"with {CREDIT}, c as ({numbers} union all {words}), t as ({woe_sql('select * from c', 'feature, sample')}), h as (select *, w / sum(w) over (partition by feature, sample) as pct from c), x as (select distinct feature, bin_idx from h where bin_idx = -2 or bin_idx >= 0), p as (select x.feature, sum((greatest(coalesce(a.pct, 0), 1e-6) - greatest(coalesce(e.pct, 0), 1e-6)) * ln(greatest(coalesce(a.pct, 0), 1e-6) / greatest(coalesce(e.pct, 0), 1e-6))) as psi from x left join h e on e.feature = x.feature and e.bin_idx = x.bin_idx and e.sample = 'dev' left join h a on a.feature = x.feature and a.bin_idx = x.bin_idx and a.sample = 'oot' group by x.feature) {columns}"
+
+
+@query(_two_samples_sql(f"select sample, feature, round(sum(iv), 6) as total_iv, {INTERPRET.format('sum(iv)')} as interpretation from t group by all"))
+def eda_iv(spark, d):
+    """Tables 7 and 8."""
+    t = _explored(spark, d)
+    return rounded(t["7_IV_DEV"].withColumn("sample", F.lit("dev")).unionByName(t["8_IV_OOT"].withColumn("sample", F.lit("oot"))))
+
+
+@query(_two_samples_sql("select feature, round(psi, 6) as psi, case when feature in ('l_returnflag', 'l_linestatus') then 10 else 9 end as table_no from p"))
+def eda_psi(spark, d):
+    """Tables 9 and 10."""
+    t = _explored(spark, d)
+    return rounded(t["9_PSI_Numeric"].withColumn("table_no", F.lit(9)).unionByName(t["10_PSI_Categorical"].withColumn("table_no", F.lit(10))))
+
+
+@query(f"with {CREDIT} " + " union all ".join(f"select sample, '{f}' as feature, count(*) as n, count({f}) as n_valid, round(avg(({f} is null)::int), 6) as missing_rate, min({f}) as min, max({f}) as max, round(avg({f}), 6) as mean, round(quantile_cont({f}, 0.5::double), 6) as median, round(stddev_samp({f}), 6) as std, round(quantile_cont({f}, 0.01::double), 6) as p01, round(quantile_cont({f}, 0.25::double), 6) as p25, round(quantile_cont({f}, 0.5::double), 6) as p50, round(quantile_cont({f}, 0.75::double), 6) as p75, round(quantile_cont({f}, 0.99::double), 6) as p99 from credit group by sample" for f in FEATURES))
+def eda_numeric_by_sample(spark, d):
+    """Tables 3 and 4."""
+    t = _explored(spark, d)
+    return rounded(t["3_Num_Dist_DEV"].withColumn("sample", F.lit("dev")).unionByName(t["4_Num_Dist_OOT"].withColumn("sample", F.lit("oot"))))
+
+
+@query(f"with {CREDIT}, c as (" + " union all ".join(f"select sample, '{f}' as feature, {f} as value, count(*) as n from credit group by all" for f in ("l_returnflag", "l_linestatus")) + ") select *, round(n / sum(n) over (partition by sample, feature), 6) as pct, (row_number() over (partition by sample, feature order by n desc, value))::int as rank from c")
+def eda_categories_by_sample(spark, d):
+    """Tables 5 and 6."""
+    t = _explored(spark, d)
+    return rounded(t["5_Char_Dist_DEV"].withColumn("sample", F.lit("dev")).unionByName(t["6_Char_Dist_OOT"].withColumn("sample", F.lit("oot"))))
+
+
+@query(f"with {CREDIT} " + " union all ".join(f"select '{f}' as feature, round(avg(({f} is null)::int) filter (sample = 'dev'), 6) as dev_missing, round(avg(({f} is null)::int) filter (sample = 'oot'), 6) as oot_missing, round(avg(({f} is null)::int) filter (sample = 'oot') - avg(({f} is null)::int) filter (sample = 'dev'), 6) as delta from credit" for f in [*FEATURES, "l_returnflag", "l_linestatus"]))
+def eda_missing_by_sample(spark, d):
+    """Table 2."""
+    return rounded(_explored(spark, d)["2_Missing_Rate"])
 
 
 # features
@@ -698,15 +907,25 @@ def recursive_elimination(spark, d):
     return spark.createDataFrame([(f,) for f in X.select_features(credit(spark, d), "rfe", "y", FEATURES, n=2)], "feature string")
 
 
-@query("with t as (select * from (values ('a', 3.0::double), ('b', 1.0), ('c', 4.0), ('d', 2.0)) t(feature, importance)) select (row_number() over (order by importance desc))::int as rank, feature, importance, round(100 * importance / sum(importance) over (), 6) as pct, round(100 * sum(importance) over (order by importance desc rows unbounded preceding) / sum(importance) over (), 6) as cum_pct from t")
+@query("select l_quantity, l_extendedprice from lineitem")
+def feature_selector(spark, d):
+    return X.FeatureSelector("variance").fit_transform(table(spark, d, "lineitem"), columns=FEATURES)
+
+
+_SPREADS = " union all ".join(f"select '{f}' as feature, {{0}}({f}) as importance from lineitem" for f in FEATURES)
+
+
+@query(f"with t as ({_SPREADS.format('var_samp')}) select (row_number() over (order by importance desc))::int as rank, feature, round(importance, 4) as importance, round(100 * importance / sum(importance) over (), 6) as pct, round(100 * sum(importance) over (order by importance desc rows unbounded preceding) / sum(importance) over (), 6) as cum_pct from t")
 def importance_summary(spark, d):
-    return rounded(X.importance_summary(spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 4.0), ("d", 2.0)], "feature string, importance double")))
+    out = X.importance_summary(X.variances(table(spark, d, "lineitem"), FEATURES).withColumnRenamed("variance", "importance"))
+    return rounded(out.withColumn("importance", F.round("importance", 4)))
 
 
-@query("with a as (select * from (values ('a', 3.0), ('b', 1.0), ('c', 3.0)) t(feature, x)), b as (select * from (values ('a', 1.0), ('b', 5.0), ('c', 2.0)) t(feature, x)), ra as (select feature, rank() over (order by x desc) + (count(*) over (partition by x) - 1) / 2 as rank_a from a), rb as (select feature, rank() over (order by x desc) + (count(*) over (partition by x) - 1) / 2 as rank_b from b) select feature, rank_a::double as rank_a, rank_b::double as rank_b, ((rank_a + rank_b) / 2)::double as mean_rank from ra left join rb using (feature)")
+@query(f"with a as ({_SPREADS.format('var_samp')} union all select 'twin', var_samp(l_quantity) from lineitem), b as ({_SPREADS.format('-1 * var_samp')}), ra as (select feature, rank() over (order by importance desc) + (count(*) over (partition by importance) - 1) / 2 as rank_a from a), rb as (select feature, rank() over (order by importance desc) + (count(*) over (partition by importance) - 1) / 2 as rank_b from b) select feature, rank_a::double as rank_a, rank_b::double as rank_b, ((rank_a + coalesce(rank_b, rank_a)) / 2)::double as mean_rank from ra left join rb using (feature)")
 def importance_rank(spark, d):
-    kind = "feature string, importance double"
-    return X.rank_features(spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 3.0)], kind), spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 2.0)], kind))
+    spread = X.variances(table(spark, d, "lineitem"), FEATURES).withColumnRenamed("variance", "importance")
+    first = spread.unionByName(spread.where("feature = 'l_quantity'").withColumn("feature", F.lit("twin")))
+    return X.rank_features(first, spread.withColumn("importance", -F.col("importance")))
 
 
 @query()
@@ -717,7 +936,16 @@ def importance_model(spark, d):
 @query()
 def importance_permutation(spark, d):
     df = credit(spark, d)
-    return L.permutation_importance(L.train_model(df, "y", FEATURES[:3]), df, "y", repeats=1)
+    return L.permutation_importance(L.train_model(df, "y", FEATURES), df, "y")
+
+
+@query("select * from (values ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(feature)")
+def importance_linear(spark, d):
+    """Contributions of a linear model: one for each feature, each with mean 0."""
+    df = credit(spark, d)
+    parts = L.train_model(df, "y", FEATURES).contributions(df)
+    means = parts.agg(*[F.abs(F.avg(f)).alias(f) for f in FEATURES]).first()
+    return spark.createDataFrame([(f,) for f in FEATURES if means[f] < 1e-6], "feature string")
 
 
 # models and scorecards
@@ -729,17 +957,51 @@ def train_logistic(spark, d):
     return rounded(L.train_model(df.where("sample = 'dev'"), "y", FEATURES, weight="w").predict_proba(df.where("sample = 'oot'")).select("l_orderkey", "l_linenumber", "y", "probability"))
 
 
+def newton_sql(x: str, w: str = "1.0::double", view: str = "credit", where: str = "true", steps: int = 25) -> str:
+    """b0, b1 of a logistic model with C = 1 by Newton steps."""
+    return f"""(with recursive e as (select {x} as x, y, {w} as w from {view} where {where}), it(k, b0, b1) as (select 0, 0.0::double, 0.0::double union all
+      select k + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) from
+        (select k, b0, b1, sum(w * (p - y)) as g0, sum(w * (p - y) * x) + b1 as g1, sum(w * p * (1 - p)) as h00, sum(w * p * (1 - p) * x) as h01, sum(w * p * (1 - p) * x * x) + 1 as h11
+          from (select k, b0, b1, x, y, w, 1 / (1 + exp(-(b0 + b1 * x))) as p from it, e where k < {steps}) group by k, b0, b1))
+      select b0, b1 from it where k = {steps})"""
+
+
+@query(f"with {CREDIT} select round(b0, 4) as intercept, round(b1, 4) as coefficient from {newton_sql('l_quantity', 'w', 'credit', chr(34) + 'sample' + chr(34) + ' = ' + chr(39) + 'dev' + chr(39))}")
+def logistic_coefficients(spark, d):
+    m = L.train_model(credit(spark, d).where("sample = 'dev'"), "y", ["l_quantity"], weight="w").fitted
+    return spark.createDataFrame([(round(float(m.intercept), 4), round(float(m.coefficients[0]), 4))], "intercept double, coefficient double")
+
+
+@query(f"with {CREDIT} select l_orderkey, l_linenumber, round(1 / (1 + exp(-(b0 + b1 * l_quantity))), 3) as probability, (b0 + b1 * l_quantity >= 0)::int as prediction from credit, {newton_sql('l_quantity')} where abs(b0 + b1 * l_quantity) > 1e-3")
+def logistic_predictions(spark, d):
+    """Of a model that was saved and loaded."""
+    df = credit(spark, d)
+    path = shared_path(spark, "model")
+    L.train_model(df, "y", ["l_quantity"]).save(path)
+    m = L.ModelTrainer.load(spark, path)
+    out = m.predict(m.predict_proba(df)).where((F.col("probability") - 0.5) * (F.col("probability") - 0.5) > 6.2e-8)
+    return out.select("l_orderkey", "l_linenumber", F.round("probability", 3).alias("probability"), "prediction")
+
+
+@query("select 'logistic' as model_type, true as has_metadata union all select 'tree', true")
+def saved_models(spark, d):
+    df, path = credit(spark, d), shared_path(spark, "models")
+    for kind in ("logistic", "tree"):
+        L.train_model(df, "y", ["l_quantity"], kind).save(f"{path}/{kind}")
+    return IO.list_saved_models(spark, path).select("model_type", "has_metadata")
+
+
 @query()
 def train_boosted(spark, d):
     df = credit(spark, d)
-    model = L.train_model(df.where("sample = 'dev'"), "y", FEATURES, "xgboost", n_estimators=5, max_depth=3)
+    model = L.train_model(df.where("sample = 'dev'"), "y", FEATURES, "xgboost", n_estimators=20, max_depth=3)
     return rounded(M.all_metrics(model.predict_proba(df.where("sample = 'oot'")), "y", "probability"))
 
 
 @query()
 def train_forest(spark, d):
     df = credit(spark, d)
-    model = L.train_model(df.where("sample = 'dev'"), "y", FEATURES, "random_forest", numTrees=5)
+    model = L.train_model(df.where("sample = 'dev'"), "y", FEATURES, "random_forest", n_estimators=30, max_depth=5)
     return rounded(M.all_metrics(model.predict_proba(df.where("sample = 'oot'")), "y", "probability"))
 
 
@@ -750,7 +1012,14 @@ def linear_regression(spark, d):
     return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 3))], "slope double, intercept double")
 
 
-@query()
+@query(f"""with {CREDIT}, g as (select score, count(*)::double as n, sum(y)::double as s, row_number() over (order by score) as k from credit group by score),
+  r as (select *, sum(n) over o as cn, sum(s) over o as cs from g window o as (order by k rows unbounded preceding)),
+  pairs as (select j.k as j, e.k as e, (e.cs - j.cs + j.s) / (e.cn - j.cn + j.n) as mean from r j join r e on e.k >= j.k),
+  least as (select j, e, min(mean) over (partition by j order by e desc rows unbounded preceding) as m from pairs),
+  fit as (select e as k, max(m) as p from least group by e)
+  select 'raw' as method, round(avg((y - score) ** 2), 6) as brier from credit
+  union all select 'sigmoid', round(avg((y - 1 / (1 + exp(-(b0 + b1 * score)))) ** 2), 6) from credit, {newton_sql('score')}
+  union all select 'isotonic', round(sum(s * (1 - p) ** 2 + (n - s) * p ** 2) / sum(n), 6) from fit join g using (k)""")
 def calibrate(spark, d):
     df = scored(spark, d)
     out = [(m, L.brier(L.Calibrator(m).fit(df, "y", "score").transform(df, "score"), "y", "calibrated")) for m in ("sigmoid", "isotonic")]
@@ -759,7 +1028,7 @@ def calibrate(spark, d):
 
 @query()
 def cross_validate(spark, d):
-    return rounded(L.cross_validate(credit(spark, d), "y", FEATURES, k=3, key=["l_orderkey", "l_linenumber"]))
+    return rounded(L.cross_validate(credit(spark, d), "y", FEATURES, key=["l_orderkey", "l_linenumber"]))
 
 
 @query(f"with {CREDIT} select l_orderkey, l_linenumber, round(least(greatest(500 + 20 / ln(2) * ln((1 - p) / p), 300), 900), 6) as credit_score from (select l_orderkey, l_linenumber, least(greatest(score, 1e-12), 1 - 1e-12) as p from credit)")
@@ -798,6 +1067,13 @@ def scorecard_proba(spark, d):
     return rounded(_fixed_scorecard(spark, d).predict_proba(credit(spark, d)).select("l_orderkey", "l_linenumber", "p_bad"))
 
 
+@query(f"""with {CREDIT}, c as ({long_sql(5, ['l_quantity'])}), t as ({woe_sql('select * from c', 'feature')}), b as (select y, {case_sql('l_quantity', 5)} as bin_idx from credit, {cuts_sql('l_quantity', 5)}), r as (select y, woe from b join t using (bin_idx)),
+  m as (select * from {newton_sql('woe', view='r')}), p as (select -b1 * woe * 20 / ln(2) as points from t, m) select 'l_quantity' as feature, round(min(points), 3) as min_points, round(max(points), 3) as max_points, round(max(points) - min(points), 3) as range from p""")
+def scorecard_one_feature(spark, d):
+    df = credit(spark, d)
+    return rounded(S.build_scorecard(df, "y", ["l_quantity"]).summary(df), 3)
+
+
 @query()
 def scorecard_fitted(spark, d):
     df = credit(spark, d)
@@ -815,5 +1091,58 @@ def auto_pipeline(spark, d):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in sorted(pipe.metrics.items())], "metric string, value double"))
 
 
+def _one_feature_sql() -> str:
+    """Ranking metrics of a model of one binned feature: its scores stand in the order of WOE."""
+    bins = f"b as (select sample, y, {case_sql('l_quantity', 5)} as bin_idx from credit, {cuts_sql('l_quantity', 5, 'credit', chr(34) + 'sample' + chr(34) + ' = ' + chr(39) + 'dev' + chr(39))})"
+    sums = "select bin_idx, count(*)::double as n, count(*)::double as w, sum(y)::double as bad from b where sample = 'dev' group by bin_idx"
+    return f"""with {CREDIT}, {bins}, t as ({woe_sql(sums)}), g as (select sample, woe as score, sum(y)::double as bad, sum(1 - y)::double as good from b join t using (bin_idx) group by all),
+      u as (select *, sum(bad) over o as cb, sum(good) over o as cg, sum(bad) over (partition by sample) as tb, sum(good) over (partition by sample) as tg from g window o as (partition by sample order by score desc rows unbounded preceding)),
+      m as (select sample, max(abs(cb / tb - cg / tg)) as ks, sum(bad * ((tg - cg) + good / 2)) / (any_value(tb) * any_value(tg)) as auc from u group by sample)
+      select sample || '_ks' as metric, round(ks, 6) as value from m union all select sample || '_auc', round(auc, 6) from m union all select sample || '_gini', round(2 * auc - 1, 6) from m"""
+
+
+@query(_one_feature_sql())
+def auto_pipeline_one_feature(spark, d):
+    """Metrics of a pipeline whose artifact was saved, loaded and used to score."""
+    from .functions.basics import Roles
+    from .plans.pipeline import AutoPipeline, ScoringArtifact
+
+    df = credit(spark, d).select("l_quantity", "y", "sample")
+    pipe = AutoPipeline(Roles(target="y", sample="sample"), threshold=-1.0).fit(df)
+    pipe.release()
+    path = shared_path(spark, "artifact")
+    pipe.artifact.save(path)
+    found = M.ks_auc(ScoringArtifact.load(spark, path).score(df, "score"), "y", "score", by=["sample"])
+    pairs = F.explode(F.array(*[F.struct(F.concat("sample", F.lit(f"_{m}")).alias("metric"), F.col(m).alias("value")) for m in ("ks", "auc", "gini")]))
+    return rounded(found.select(pairs.alias("p")).select("p.*"))
+
+
+@query("""with o as (select o_totalprice as y, date_diff('day', timestamp '1995-01-01', o_orderdate)::double as x, case when o_orderkey % 4 = 0 then 'oot' else 'dev' end as sample from orders),
+  l as (select regr_slope(y, x) as a, regr_intercept(y, x) as b from o where sample = 'dev'), m as (select sample, avg(y) as m from o group by sample), e as (select sample, y - (a * x + b) as e, y - m as c from o join m using (sample), l),
+  s as (select sample, sqrt(avg(e * e)) as rmse, avg(abs(e)) as mae, 1 - sum(e * e) / sum(c * c) as r2 from e group by sample)
+  select sample || '_rmse' as metric, round(rmse, 2) as value from s union all select sample || '_mae', round(mae, 2) from s union all select sample || '_r2', round(r2, 6) from s""")
+def regression_pipeline(spark, d):
+    from .functions.basics import Roles
+    from .plans.pipeline import RegressionPipeline
+
+    df = table(spark, d, "orders").select(F.col("o_totalprice").alias("y"), F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("double").alias("x"), F.when(F.col("o_orderkey") % 4 == 0, "oot").otherwise("dev").alias("sample"))
+    pipe = RegressionPipeline(Roles(target="y", sample="sample"), solver="normal").fit(df)
+    return spark.createDataFrame([(k, round(v, 6 if k.endswith("r2") else 2)) for k, v in pipe.metrics.items()], "metric string, value double")
+
+
+@query("select 'r' || n_nationkey as run_id, n_name as model_type, n_nationkey / 100::double as auc from nation where n_nationkey < 3")
+def run_history(spark, d):
+    """Runs archived and read back as a table."""
+    import os
+
+    from .plans import runs
+
+    folder = shared_path(spark, "runs").removeprefix("file://")
+    os.makedirs(f"{folder}/out")
+    for r in table(spark, d, "nation").where("n_nationkey < 3").collect():
+        runs.archive_run(f"{folder}/out", f"{folder}/runs", metrics={"auc": r["n_nationkey"] / 100, "none": float("nan")}, model_type=r["n_name"], run_id=f"r{r['n_nationkey']}")
+    return runs.runs_table(spark, f"{folder}/runs").select("run_id", "model_type", "metrics.auc")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return binning_with_woe(spark, d)

@@ -14,20 +14,21 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ConfigurationError
-from ..functions.basics import col, ensure_dataframe
+from ..functions.basics import col, ensure_dataframe, plain
 
 
 def load_csv(spark: SparkSession, path: str, columns: list[str] | None = None, n_rows: int | None = None, skip_rows: int = 0, has_header: bool = True, separator: str = ",", encoding: str = "utf-8", null_values: list[str] = (), schema: str | None = None) -> DataFrame:
-    """A schema spares the pass that infers it. skip_rows drops lines at the head of a single file."""
+    """A schema spares the pass that infers it. skip_rows drops lines at the head of a single file, less than its first split."""
     how = {"header": has_header, "sep": separator, "encoding": encoding, "inferSchema": schema is None}
     reader = spark.read.options(**how)
     if schema:
         reader = reader.schema(schema)
     if skip_rows:
-        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("k"))  # one file: ids follow its lines within a split
-        head = lines.orderBy("k").limit(skip_rows).select("k")
-        kept = lines.join(F.broadcast(head), "k", "left_anti").orderBy("k").select("value")  # skip_rows rows
-        df = reader.csv(kept.rdd.map(lambda r: r[0]))
+        # a split's lines are numbered in order, so the head of the file is known without a sort
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
+        kept = lines.where((F.col("at") > 0) | (F.col("k") >= skip_rows)).select("value")
+        strings = getattr(kept._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        df = DataFrame(reader._jreader.csv(strings), spark)
     else:
         df = reader.csv(path)
     if null_values:
@@ -99,10 +100,18 @@ def save_dataframe(df: DataFrame, path: str, kind: str | None = None, mode: str
     return path
 
 
+def load_dataframe(spark: SparkSession, path: str, kind: str | None = None, **how) -> DataFrame:
+    """What save_dataframe wrote: csv, parquet, json, orc or xlsx, by suffix or as named."""
+    kind = kind or Path(path).suffix.lstrip(".").lower() or "parquet"
+    if kind not in ("csv", "parquet", "json", "orc", "xlsx"):
+        raise ConfigurationError(f"no reader for {kind!r}")
+    return load_data(spark, {"type": kind, "path": path}, **how)
+
+
 def save_json(data: dict, path: str) -> str:
-    """Rules, configurations and WOE mappings; keys become strings."""
+    """Keys become strings; numbers that are not finite become null."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(data, indent=2, ensure_ascii=False, default=str))
+    Path(path).write_text(json.dumps(plain(data), indent=2, ensure_ascii=False, allow_nan=False))
     return path
 
 
@@ -110,15 +119,42 @@ def load_json(path: str) -> dict:
     return json.loads(Path(path).read_text())
 
 
+save_config, load_config = save_json, load_json
+
+
+def save_binning(binner, path: str) -> str:
+    """A fitted WoeBinner's rules."""
+    return save_json(binner.to_dict(), path)
+
+
+def load_binning(path: str):
+    from ..operators.binning import WoeBinner
+
+    return WoeBinner.from_dict(load_json(path))
+
+
+def save_woe_mapping(binner, path: str) -> str:
+    """{feature: {bin: WOE}}"""
+    return save_json({f: binner.woe_dict(f) for f in binner.rules}, path)
+
+
+def load_woe_mapping(path: str) -> dict[str, dict[int, float]]:
+    return {f: {int(k): v for k, v in found.items()} for f, found in load_json(path).items()}
+
+
 def list_saved_models(spark: SparkSession, folder: str) -> DataFrame:
-    """path, model_type, has_metadata, size_kb of models below a local folder."""
-    rows = []
-    for m in sorted(Path(folder).rglob("metadata")):
-        if (m.parent / "model").is_dir():
-            text = next((p.read_text() for p in m.glob("part-*") if p.stat().st_size), "{}")
-            size = sum(p.stat().st_size for p in m.parent.rglob("*") if p.is_file())
-            rows.append((str(m.parent), json.loads(text).get("model_type"), True, size / 1024))
-    return spark.createDataFrame(rows, "path string, model_type string, has_metadata boolean, size_kb double")
+    """path, model_type, has_metadata, size_kb of models below a folder, on any store that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    roots = files.select(F.regexp_extract("path", r"^(.*)/metadata/part-[^/]*$", 1).alias("root")).where("root <> ''").distinct().orderBy("root").collect()
+    roots = [r["root"] for r in roots]  # a few for each model
+    inside = lambda r, more="": F.startswith("path", F.lit(f"{r}/{more}"))
+    found = files.agg(*[e.alias(f"{n}{k}") for k, r in enumerate(roots) for n, e in (("m", F.max(inside(r, "model/"))), ("b", F.sum(F.when(inside(r), F.col("length")))))]).first() if roots else {}
+    out = []
+    for k, r in enumerate(roots):
+        if found[f"m{k}"]:
+            text = spark.read.text(f"{r}/metadata").first()
+            out.append((r.removeprefix("file:"), json.loads(text[0]).get("model_type") if text else None, True, found[f"b{k}"] / 1024))
+    return spark.createDataFrame(out, "path string, model_type string, has_metadata boolean, size_kb double")
 
 
 # xlsx with the standard library
@@ -144,24 +180,43 @@ def _cell(at: str, v) -> str:
     return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = 100_000) -> str:
-    """Report tables as sheets; a sheet stops after ``most`` rows and says so in its last one."""
+#: Fixed value: rows that a sheet may have.
+SHEET_ROWS = 1_048_576
+
+
+def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = SHEET_ROWS) -> str:
+    """Tables as sheets, row by row; a table goes on in further sheets (name_2, ...) where one is full."""
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     pack = "http://schemas.openxmlformats.org/package/2006"
-    names = [re.sub(r"[\[\]:*?/\\]", "_", n)[:31] for n in sheets]
     Path(path).parent.mkdir(parents=True, exist_ok=True)
+    names: list[str] = []
+
+    def row(i: int, values: list) -> bytes:
+        return (f'<row r="{i}">' + "".join(_cell(f"{_letter(j)}{i}", v) for j, v in enumerate(values)) + "</row>").encode()
+
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for title, df in sheets.items():
+            title = re.sub(r"[\[\]:*?/\\]", "_", title)
+            rows = df.toLocalIterator()
+            held = next(rows, None)
+            part = 1
+            while part == 1 or held is not None:
+                ending = "" if part == 1 else f"_{part}"
+                names.append(title[: 31 - len(ending)] + ending)
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as f:
+                    f.write(f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>'.encode())
+                    f.write(row(1, df.columns))
+                    i = 2
+                    while held is not None and i <= most:
+                        f.write(row(i, list(held)))
+                        held, i = next(rows, None), i + 1
+                    f.write(b"</sheetData></worksheet>")
+                part += 1
         types = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(names) + 1))
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{pack}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1)) + "</Relationships>")
-        for k, df in enumerate(sheets.values(), 1):
-            rows = [df.columns, *[list(r) for r in df.limit(most + 1).collect()]]
-            if len(rows) > most + 1:
-                rows[-1] = [f"more than {most} rows"]
-            body = "".join(f'<row r="{i}">' + "".join(_cell(f"{_letter(j)}{i}", v) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
     return path
 
 

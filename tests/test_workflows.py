@@ -1,4 +1,6 @@
 import json
+import os
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -211,19 +213,64 @@ def test_sources(spark, tmp_path):
     assert "1.5000" in report.markdown(df) and "only the first 1 rows" in report.markdown(df, 1)
 
 
-def test_runs(tmp_path):
-    out = tmp_path / "out"
-    out.mkdir()
-    (out / "Model_Report_1.xlsx").write_text("x")
+def finished(folder, name="out"):
+    out = folder / name
+    (out / "scoring_artifact").mkdir(parents=True)
+    (out / "scoring_artifact" / "part").write_text("artifact")
+    for k in (1, 2):
+        (out / f"Model_Report_{k}.xlsx").write_text(str(k))
+        os.utime(out / f"Model_Report_{k}.xlsx", (k, k))
     (out / "scratch.log").write_text("x")
-    a = runs.archive_run(str(out), str(tmp_path / "runs"), {"n": 1}, {"oot_auc": 0.7}, ["a"], model_type="logistic", run_id="r1")
-    b = runs.archive_run(str(out), str(tmp_path / "runs"), {"n": 2}, {"oot_auc": 0.8}, ["b"], model_type="logistic", run_id="r2")
-    assert a.artifacts == ["Model_Report_1.xlsx"]
-    assert [r.run_id for r in runs.list_runs(str(tmp_path / "runs"))] == ["r2", "r1"]
-    assert runs.resolve_run("latest~1", str(tmp_path / "runs")).run_id == "r1"
-    diff = runs.compare_runs(a, b)
-    assert diff["added"] == ["b"] and diff["metrics"]["oot_auc"][2] == pytest.approx(0.1)
-    assert "r1" in runs.format_runs([a, b]) and "config n: 1 -> 2" in runs.format_comparison(diff)
+    return out
+
+
+def test_archive(tmp_path):
+    out, to = finished(tmp_path), tmp_path / "runs"
+    at = datetime(2026, 1, 1, 9)
+    run = runs.archive_run(out, to, {"model_type": "logistic", "data": tmp_path, "call": object()}, {"auc": 0.7, "none": float("nan")}, ["a"], model_type="logistic", timestamp=at)
+    assert sorted(p.name for p in run.iterdir()) == ["Model_Report_2.xlsx", "config.yaml", "run.json", "scoring_artifact"]
+    noted = json.loads((run / "run.json").read_text(), parse_constant=lambda x: pytest.fail(x))
+    assert noted["metrics"] == {"auc": 0.7, "none": None} and noted["config"]["data"] == str(tmp_path) and isinstance(noted["config"]["call"], str)
+    assert run.name.startswith("20260101-090000-logistic-") and noted["created_at"] == "2026-01-01T09:00:00"
+    again = runs.load_run(run)
+    assert again.selected_features == ["a"] and again.artifact_path == run / "scoring_artifact" and again.headline() == {"auc": 0.7}
+    assert len({runs.new_run_id("m", at) for _ in range(50)}) == 50 and runs.new_run_id("m", at, "s") == runs.new_run_id("m", at, "s")
+    assert not set(runs.new_run_id("odd/name here")) & set("/ ")
+    a, b = (runs.archive_run(out, to, metrics={"auc": v}, run_id="fixed") for v in (0.1, 0.9))
+    assert a != b and (runs.load_run(a).metrics["auc"], runs.load_run(b).metrics["auc"]) == (0.1, 0.9)
+    assert (out / "scratch.log").exists()
+    with pytest.raises(FileNotFoundError):
+        runs.archive_run(tmp_path / "none", to)
+    with pytest.raises(FileNotFoundError):
+        runs.load_run(tmp_path)
+
+
+def test_list_and_resolve(tmp_path, monkeypatch):
+    out, to = finished(tmp_path), tmp_path / "runs"
+    made = [runs.archive_run(out, to, {"model_type": m, "output": m, "n": k}, {"auc": 0.7 + k / 10}, [m, "x"], model_type=m, timestamp=datetime(2026, 1, 1, 9 + k)) for k, m in enumerate(("logistic", "xgboost"))]
+    (to / "stray").mkdir()
+    (to / "broken").mkdir()
+    (to / "broken" / "run.json").write_text("{not json")
+    assert [r.model_type for r in runs.list_runs(to)] == ["xgboost", "logistic"] and runs.list_runs(tmp_path / "never") == []
+    find = lambda x: runs.resolve_run(x, to).run_id
+    assert find(made[0].name) == find(made[0].name[:13]) == find(str(made[0])) == find("latest~1") == made[0].name and find("latest") == made[1].name
+    # a folder of that name here does not stand before the archive
+    other = tmp_path / "here" / made[0].name
+    other.mkdir(parents=True)
+    (other / "run.json").write_text(json.dumps({"run_id": "other"}))
+    monkeypatch.chdir(tmp_path / "here")
+    assert find(made[0].name) == made[0].name
+    with pytest.raises(ValueError, match="ambiguous"):
+        find("20260101")
+    for name in ("nope", "latest~9"):
+        with pytest.raises(FileNotFoundError):
+            find(name)
+    diff = runs.compare_runs(*map(runs.load_run, made))
+    assert diff["metrics"]["auc"]["delta"] == pytest.approx(0.1) and set(diff["config_changes"]) == {"model_type", "n"}
+    assert diff["features"] == {"added": ["xgboost"], "removed": ["logistic"], "shared": 1}
+    text = runs.format_comparison(diff)
+    assert "+0.1000" in text and f"{made[0].name}  ->  {made[1].name}" in text
+    assert "AUC" in runs.format_runs(runs.list_runs(to)) and "0.8000" in runs.format_runs(runs.list_runs(to)) and "No runs" in runs.format_runs([])
 
 
 def test_configured_run(spark, tmp_path):
@@ -236,8 +283,147 @@ def test_configured_run(spark, tmp_path):
         config.to_arguments({"data": "x", "target": "y", "nonsense": 1})
 
 
+def test_command_line_options():
+    a = config.parser().parse_args("fit -i d.csv -t y -o out --model xgboost --segment-column a --segment-column b --monotonic --smoothing 1 --convert-to-credit-score --pdo 40 --early-stopping-eval dev_holdout --early-stopping-rounds 5 --seed 7 --no-archive-run --dev-label train --weight-column w --n-features 3".split())
+    given = {k: v for k, v in vars(a).items() if v is not None and k not in ("command", "config")}
+    how = config.to_arguments(given)
+    assert how["roles"].segment == ["a", "b"] and how["roles"].weight == "w" and given["archive"] is False
+    assert how["binner"] == {"monotonic": True, "smoothing": 1.0} and how["credit"] == {"pdo": 40.0}
+    assert (how["early_stopping_rounds"], how["seed"], how["max_features"], how["dev_label"], how["model_type"]) == (5, 7, 3, "train", "xgboost")
+    regression = config.to_arguments({"data": "d", "target": "y", "task": "regression", "target_transform": "log1p", "n_bins": 4, "normalize": "zscore"})
+    assert regression["log_target"] and regression["normalize"] == "zscore" and "n_bins" not in regression
+    assert config.to_arguments({"data": "d", "target": "y", "weight": "w", "use_sample_weight": False})["roles"].weight is None
+
+
+def test_pipeline_with_labels_scaling_and_credit_scores(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=400)
+    pdf = pd.DataFrame({"x": x, "s1": np.where(x > 0, "p", "q"), "s2": ["u", "v"] * 200, "b1": 1 / (1 + np.exp(-x)), "y": (x + rng.normal(size=400) > 0).astype(int), "part": ["Train"] * 300 + ["hold"] * 100})
+    roles = Roles(target="y", sample="part", segment=["s1", "s2"], benchmark=["b1"])
+    pipe = pipeline.AutoPipeline(roles, normalize="zscore", dev_label="train", oot_label="hold", credit={"base": 600.0, "pdo": 40.0, "column": "points"}).fit(spark.createDataFrame(pdf))
+    assert pipe.artifact.features == ["x"] and {r["by"] for r in pipe.tables()["Segment_Summary"].collect()} <= {"s1", "s2"}
+    out = pipe.predict(spark.createDataFrame(pdf)).toPandas()
+    want = np.clip(600 + 40 / np.log(2) * np.log((1 - out.probability) / out.probability), 300, 900)
+    assert np.allclose(out.points, want)
+    pipe.release()
+
+
+def test_boosting_parameters():
+    p = L.spark_params
+    assert p("xgboost", {"n_estimators": 7, "eta": 0.2, "colsample_bytree": 0.5, "n_jobs": 4}) == {"maxIter": 7, "maxDepth": 6, "stepSize": 0.2, "featureSubsetStrategy": "0.5"}
+    assert p("lightgbm", {"num_leaves": 31, "bagging_fraction": 0.8})["maxDepth"] == 5 and p("lightgbm", {"bagging_fraction": 0.8})["subsamplingRate"] == 0.8
+    assert p("catboost", {"iterations": 5, "depth": 4, "rsm": 0.3})["maxIter"] == 5
+    assert p("random_forest", {"n_estimators": 9, "max_features": None, "min_samples_split": 10}) == {"numTrees": 9, "featureSubsetStrategy": "all", "minInstancesPerNode": 5}
+    assert p("logistic", {"penalty": "l1", "max_iter": 5, "solver": "lbfgs"}) == {"elasticNetParam": 1.0, "maxIter": 5}
+
+
+def test_model_report_folder(spark, tmp_path):
+    df = spark.createDataFrame([(float(k % 7), k % 2) for k in range(60)], "x double, y int")
+    m = L.train_model(df, "y", ["x"])
+    to = report.generate_model_report(m, {"auc": 0.6, "other": float("nan")}, m.importance(df), str(tmp_path))
+    assert sorted(p.name for p in to.iterdir()) == ["feature_importance.csv", "metrics.json", "model", "summary.json"]
+    assert json.loads((to / "summary.json").read_text()) == {"model_type": "logistic", "n_features": 1, "key_metrics": {"auc": 0.6}}
+    assert json.loads((to / "metrics.json").read_text())["other"] is None and (to / "feature_importance.csv").read_text().startswith("feature,importance")
+    assert "<rect" in open(report.importance_chart(m.importance(df), str(tmp_path / "i.svg"))).read()
+    assert IO.list_saved_models(spark, str(tmp_path)).first()["model_type"] == "logistic"
+
+
+def test_sheets_go_on(spark, tmp_path):
+    df = spark.range(25).withColumn("s", F.concat(F.lit("x"), "id"))
+    path = IO.write_xlsx({"t": df, "empty": df.limit(0)}, str(tmp_path / "t.xlsx"), most=11)
+    assert IO.sheet_names(path) == ["t", "t_2", "t_3", "empty"]
+    got = [r["s"] for k in (1, 2, 3) for r in IO.load_excel(spark, path, sheet_id=k).collect()]
+    assert got == [f"x{k}" for k in range(25)] and IO.load_excel(spark, path, "empty").count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["_k", "_n", "_h", "_r", "_range", "_one", "_x", "_label", "s", "fold"]
+    df = spark.range(120).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") / 120).alias("score"), *[(F.col("id") + k).alias(n) for k, n in enumerate(names)])
+    same = lambda out: all(r[n] == r["id"] + k for r in out.collect() for k, n in enumerate(names))
+    for parts in (D.train_test_split(df, ["id"]), D.train_test_split(df, ["id"], shuffle=False), D.stratified_split(df, "y", ["id"]), D.time_series_split(df, "id", ["id"]), next(D.cv_splits(df, 3, "stratified", "y", ["id"]))):
+        assert all(p.columns == df.columns and same(p) for p in parts)
+    gaps = df.withColumn("v", F.when(F.col("id") % 5 == 0, F.col("id")))
+    assert same(C.fill_ordered(gaps, ["v"], ["id"], ranges=4))
+    from riskloom.functions.quantiles import running
+
+    out = running(df.withColumn("one", F.lit(1)), "id", {"total": "one"}, ranges=5, within=("y",))
+    assert same(out) and {r["y"]: r["m"] for r in out.groupBy("y").agg(F.max("total").alias("m")).collect()} == {0: 80, 1: 40}
+    assert same(L.Calibrator().fit(df, "y", "score").transform(df, "score"))
+    model = L.train_model(df, "y", ["_x", "_label"])
+    assert L.permutation_importance(model, df, "y", 1).count() == 2
+
+
+def test_bisection(spark):
+    from riskloom.functions.quantiles import bisect
+
+    for n in (1, 2, 3, 7, 8, 100):
+        bounds = [2.0 * k for k in range(n)]
+        got = spark.range(-2, 2 * n + 2).select(F.col("id").cast("double").alias("x")).select("x", bisect(bounds, F.col("x")).alias("k")).collect()
+        assert all(r["k"] == int(np.searchsorted(bounds, r["x"], side="right")) for r in got)
+    assert spark.range(1).select(bisect([1.0], F.lit(None).cast("double")).alias("k")).first()["k"] == 0
+
+
+def test_many_categories_are_a_failure(spark, monkeypatch):
+    from riskloom.operators import binning as B
+
+    monkeypatch.setattr(B, "MOST_CATEGORIES", 3)
+    df = spark.range(60).select((F.col("id") % 10).cast("string").alias("c"), (F.col("id") % 3).cast("string").alias("few"), (F.col("id") % 2).alias("y"))
+    b = B.WoeBinner().fit(df, features=["c", "few"], target="y")
+    assert "more than 3" in b.failures["c"] and set(b.rules) == {"few"}
+
+
+def test_saved_reports_and_scorecards(spark, risk_table, tmp_path):
+    out = K.profile_risk(risk_table, "target", ["income"], special_values=[-999.0])
+    assert "## summary" in open(out.save(str(tmp_path / "r.md"))).read() and IO.sheet_names(out.save(str(tmp_path / "r.xlsx"))) == ["summary", "detail"]
+    card = S.build_scorecard(risk_table.where("utilization is not null"), "target", ["utilization"])
+    assert len(open(card.save_scorecard(risk_table, str(tmp_path / "c.csv"))).readlines()) == 1 + card.table(risk_table).count()
+    assert card.about(risk_table)["n_variables"] == 1
+    tables = P.explore(risk_table.withColumn("part", F.when(F.col("month") == "2024-03", "oot").otherwise("dev")), "target", "part", ["income", "segment"], woe_detail=True)
+    assert [n for n in tables if n[0].isdigit()] == ["1_Overview", "2_Missing_Rate", "3_Num_Dist_DEV", "4_Num_Dist_OOT", "5_Char_Dist_DEV", "6_Char_Dist_OOT", "7_IV_DEV", "8_IV_OOT", "9_PSI_Numeric", "10_PSI_Categorical"]
+    assert tables["WOE_Detail"].count() > 2 and set(P.explore(risk_table, features=["income", "segment"])) == {"1_Overview", "2_Missing_Rate", "3_Num_Dist_DEV", "5_Char_Dist_DEV"}
+
+
 def test_helpers(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 2.0)], "a double, b double")
     assert [r[0] for r in df.select(safe_divide(F.col("a"), F.col("b"))).collect()] == [0.0, 0.5]
     with pytest.raises(ValidationError):
         validate_binary_target(df, "a")
+
+
+@pytest.mark.parametrize(("kind", "task"), [("tree", "classification"), ("random_forest", "classification"), ("gbt", "classification"), ("tree", "regression"), ("gbt", "regression"), ("random_forest", "regression")])
+def test_tree_contributions_against_enumeration(spark, kind, task):
+    from itertools import permutations
+
+    from riskloom.operators import attribution
+
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float) if task == "classification" else x[:, 0] * 2 + np.abs(x[:, 1])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=y))
+    params = {"tree": {"max_depth": 4}, "random_forest": {"n_estimators": 4, "max_depth": 3}, "gbt": {"n_estimators": 3, "max_depth": 3}}[kind]
+    m = L.ModelTrainer(kind, task, **params).fit(df, "y", ["a", "b", "c"])
+    trees = attribution.trees_of(m.fitted, task)
+    got, base = attribution.contributions(x[:25], trees)
+    # they add up to the model's output
+    out = m.predict_proba(df, "out").toPandas()["out"].to_numpy()[:25]
+    out = np.log(out / (1 - out)) if (kind, task) == ("gbt", "classification") else out
+    assert np.allclose(base + got.sum(1), out, atol=1e-6)
+
+    def expected(row, known):
+        total = 0.0
+        for scale, leaves in trees:
+            for leaf in leaves:
+                chance = 1.0
+                for f, (low, high, share) in leaf.path.items():
+                    chance *= (low < row[f] <= high) if f in known else share
+                total += scale * leaf.value * chance
+        return total
+
+    for row, mine in zip(x[:5], got, strict=False):
+        want = np.zeros(3)
+        for order in permutations(range(3)):
+            for k, f in enumerate(order):
+                want[f] += (expected(row, order[: k + 1]) - expected(row, order[:k])) / 6
+        assert np.allclose(mine, want)
+    table = {r["feature"]: r["importance"] for r in m.shap_importance(df).collect()}
+    assert table["a"] > 0 and np.allclose(m.contributions(df).toPandas().to_numpy()[:25], got)
