@@ -529,7 +529,7 @@ def cart_bins(spark, d):
 
 
 #: Isotonic means are greatest least means: of all stretches that begin before a bin and end after it.
-MONOTONE = f"""with {CREDIT}, c as ({long_sql(10)}), r as (select *, bad / w as rate, sum(bad / w) over o as s, row_number() over o as k from c window o as (partition by feature order by bin_idx rows unbounded preceding)),
+MONOTONE = f"""with {CREDIT}, c as (select * replace ((dense_rank() over (partition by feature order by bin_idx) - 1)::int as bin_idx) from ({long_sql(10)})), r as (select *, bad / w as rate, sum(bad / w) over o as s, row_number() over o as k from c window o as (partition by feature order by bin_idx rows unbounded preceding)),
   m as (select i.feature, i.bin_idx, j.k as j, min((e.s - j.s + j.rate) / (e.k - j.k + 1)) as least, max((e.s - j.s + j.rate) / (e.k - j.k + 1)) as most from r i join r j on j.feature = i.feature and j.k <= i.k join r e on e.feature = i.feature and e.k >= i.k group by all),
   f as (select feature, bin_idx, max(least) as up, min(most) as down from m group by all),
   g as (select r.*, up, down, sum((rate - up) ** 2) over (partition by feature) <= sum((rate - down) ** 2) over (partition by feature) as rises from r join f using (feature, bin_idx)),
