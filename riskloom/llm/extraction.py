@@ -386,7 +386,7 @@ def page_maker(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
 
     def junk(kind: str) -> str:
         if kind == "menu":
-            tag, attrs = some([("nav", ""), ("nav", names(["nav", "menu"])), ("div", names(["nav", "menu", "navigation", "navbar", "breadcrumb", "breadcrumbs", "toc", "tabs"])), ("ul", names(["menu", "nav"]))])
+            tag, attrs = some([("nav", ""), ("nav", names(["nav", "menu"])), ("div", names(["nav", "menu", "navigation", "navbar", "breadcrumb", "breadcrumbs", "toc", "tabs"])), ("ul", names(["menu", "nav"])), ("div", ""), ("div", f" class={word()}")])
             return f"<{tag}{attrs}>{links(int(rng.integers(3, 9)))}</{tag}>"
         if kind == "header":
             tag, attrs = some([("header", ""), ("header", names(["header", "masthead"])), ("div", names(["header", "masthead", "topbar", "logo"]))])
@@ -455,8 +455,15 @@ def page_maker(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             if chance(0.15):
                 parts.append(junk(some(["share", "comments", "menu"])))
             content = "".join(parts)
-            tag, attrs = some([("article", ""), ("article", ""), ("article", names(["post", "article", "entry"])), ("main", ""), ("div", names(["content", "article", "post", "entry", "story", "text", "body", "main"])), ("div", ' itemprop="articleBody"'), ("section", names(["content", "article", "story"])), ("div", ' role="main"'), ("div", ""), ("td", names(["content", "main"]))])
-            inside = f"<table><tr><td{names(['sidebar', 'nav'])}>{links(5)}</td><td{attrs}>{content}</td></tr></table>" if tag == "td" else f"<{tag}{attrs}>{content}</{tag}>"
+            tag, attrs = some([("article", ""), ("article", ""), ("article", names(["post", "article", "entry"])), ("main", ""), ("div", names(["content", "article", "post", "entry", "story", "text", "body", "main"])), ("div", ' itemprop="articleBody"'), ("section", names(["content", "article", "story"])), ("div", ' role="main"'), ("div", ""), *[("td", names(["content", "main"]))] * 2])
+            if tag == "td":  # layouts by tables, with cells of any name or none
+                cell = lambda: some([names(["sidebar", "nav"]), "", f" class={word()}", f" width={int(rng.integers(80, 200))}"])
+                bar = lambda: " | ".join([words(1, 4), *(f"<a href=/{word()}>{words(1, 3)}</a>" for _ in range(int(rng.integers(2, 6))))])
+                column = some([links(int(rng.integers(3, 8))), "<br>".join(f"<a href=/{word()}>{words(1, 3)}</a>" for _ in range(int(rng.integers(3, 8))))])
+                top = f"<tr><td colspan=2{cell()}>{some([bar(), f'<font size=5>{words(1, 4)}</font> | ' + bar()])}</td></tr>" if chance(0.6) else ""
+                inside = f"<table>{top}<tr><td{cell()}>{column}</td><td{some([attrs, attrs, ''])}>{content}</td></tr></table>"
+            else:
+                inside = f"<{tag}{attrs}>{content}</{tag}>"
             if chance(0.3):
                 inside = some([f"<main>{inside}</main>", f"<div{names(['wrapper', 'container', 'content', 'main', 'page'])}>{inside}</div>", f"<section>{inside}</section>"])
         before = [junk(k) for k in ("menu", "header", "ad", "notice", "form", "aside") if chance({"menu": 0.75, "header": 0.4, "ad": 0.45}.get(k, 0.2))]

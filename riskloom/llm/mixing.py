@@ -114,13 +114,13 @@ def take(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 20) ->
     Rows that agree in doc_id, source and size get their copies between them: the
     number taken is exact, and which of them bears it does not matter for the mix.
     """
-    chosen = mix(docs, weights, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    # a struct's null fields are equal to one another, so the place and the join need one shuffle of the rows
+    key = lambda i, source, size: F.struct(i.alias("i"), source.alias("source"), size.alias("size"))
+    chosen = mix(docs, weights, cap, seed).groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     names = docs.columns
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"))
-    left = left.select("_d", F.col("_d.doc_id").alias("_id"), F.col("_d.source").cast("string").alias("_source"), n_words(F.col("_d.text")).alias("_size"))
-    joined = left.join(chosen, F.col("_id").eqNullSafe(chosen["doc_id"]) & F.col("_source").eqNullSafe(chosen["source"]) & (F.col("_size") == chosen["size"]))
-    place = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy(F.lit(1)))
-    shared = joined.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(F.lit(1)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"))
+    rows = rows.select("_d", key(F.col("_d.doc_id"), F.col("_d.source").cast("string"), n_words(F.col("_d.text"))).alias("_key"))
+    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1))))
     own = F.expr("cast(_copies div _rows + if(_place <= _copies % _rows, 1, 0) as int)")
     each = F.explode(F.when(own > 0, F.sequence(F.lit(1), own)).otherwise(F.array().cast("array<int>")))
-    return shared.select("_d", each.alias("_copy")).select(*[F.col(f"_d.`{c}`") for c in names])
+    return placed.join(by_shuffle(chosen), "_key").select("_d", each.alias("_copy")).select(*[F.col(f"_d.`{c}`") for c in names])

@@ -820,3 +820,132 @@ def test_pipeline_keeps_good_documents(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, spark.read.parquet(f"{d}/documents.parquet"), d).select("doc_id").collect()}
     y = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id").quality
     assert np.mean([i in kept for i in y[y == 1].index]) > 0.97 and np.mean([i in kept for i in y[y == 0].index]) < 0.3
+
+
+ODD = [
+    (None, "a good sentence of words", "en", None, 3), (None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, " \t\n", None, None, 3), (3, "One two three. " * 30, "en", "s", 9), (3, "One two three. " * 30, "en", "s", 9),
+    (3, "Other words stand here, in a line of their own.", "en", "t", 9), (4, "long " * 30_000, "en", "t", 9), (5, "Ünï cödé \U0001f600 words", "en", "é", 9), (2**62, "last one", "en", "s", 8),
+]
+
+
+def odd(spark, rows=ODD):
+    clashes = ["x", "score", "key", "kept_key", "runs", "node", "_copies", "_d", "copies", "component_id", "Size"]
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in clashes})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in __import__("corpus_pipeline").STAGES])
+def test_pipeline_stages_on_odd_and_empty_tables(spark, small, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd(spark)
+    out = scratch.keep(stage(spark, docs, small), "odd")[0]
+    got = sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) if "text" in out.columns else out.collect()
+    plain = [(r[0], r[1]) for r in ODD]
+    if name == "quality classifier":
+        model, _ = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+        good = lambda t: model is None or model.score(quality.features(pa.array([(t or "").encode()], pa.binary())).astype(float))[0] >= 0.3
+        assert got == sorted([r for r in plain if good(r[1])], key=repr)
+    elif name == "n-gram Jaccard join":
+        assert got == sorted([*plain[:5], plain[5], *plain[7:]], key=repr)
+    elif name == "substring dedup":
+        # all windows of the two repeating texts but the first of each period start earlier; equal rows lose all
+        first, again = removed([(0, plain[5][1]), (1, plain[5][1])]).values()
+        rest = removed([(0, plain[8][1])])[0]
+        want = [*plain[:5], (3, " ".join(first[2])), (3, " ".join(again[2])), plain[7], (4, " ".join(rest[2])), *plain[9:]]
+        assert got == sorted(want, key=repr) and again[2] == []
+    elif name == "mixing sources to target weights":
+        assert len(got) == mixing.mix(docs).agg(F.sum("copies")).first()[0] and all(words(t) for _, t in got)
+    else:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+        total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in plain)
+        assert sum(r["length"] for r in got) == total and sum(r["start"] == 0 for r in got) == len(plain)
+    if name != "packing":
+        assert out.columns == docs.columns and all(r["x"] == 7 and r["Size"] == 7 for r in out.collect())
+    assert stage(spark, odd(spark, []), small).count() == 0
+
+
+def test_links_of_shared_ids_against_brute_force(spark):
+    """Texts link, not ids: what shares an id with a linked text stays apart."""
+    text = " ".join(f"a{k}" for k in range(40))
+    rows = [(1, text), (2, text + " tail"), (2, " ".join(f"u{k}" for k in range(30))), (3, " ".join(f"u{k}" for k in range(30))), (4, "q r"), (4, "q r"), (4, text), (0, "q r")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in shingles.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    keyed = [((i, k), t) for k, (i, t) in enumerate(rows)]
+    want = sorted((i[0], n, root[0]) for i, (n, root) in jaccard_components(keyed).items())
+    assert got == want
+
+
+def test_shingles_without_filters(docs, corpus):
+    want = jaccard_components(zip(corpus.doc_id, corpus.text, strict=True))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.link(docs, most_keys=0).collect()} == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = ["<a " * 350_000, '<a "" ' * 150_000 + "'>", '<a ">" ' * 150_000, "<svg>" * 200_000, "<select>" * 120_000, "<!" * 400_000, "<!--" * 200_000, "<div>" * 80_000 + "</q></x>" * 80_000, "<div>" * 40_000 + "<li>" * 40_000, "<p title='x>" * 80_000, "&" * 900_000]
+    began = time.perf_counter()
+    for page in pages:
+        extraction.read_page(page)
+    assert time.perf_counter() - began < 12
+    assert extraction.read_page("<p>a <b title=\"x>y\">c</b> < d <3</p><i title='open>f</i><p>g <a")[1][0][1] == "a c < d <3"
+    assert [t for _, t in extraction.read_page("<p>one</p><p>two <a href='x'")[1]] == ["one", "two <a href='x'"]
+
+
+NEWS = """<body bgcolor=white><table width=100%><tr><td colspan=2><font size=5>The Daily Sample</font> | <a href=/>Home</a> | <a href=/w>World</a> | <a href=/s>Sport</a></td></tr>
+<tr><td class=leftnav width=120><a href=/1>Politics</a><br><a href=/2>Business</a><br><a href=/3>Weather</a></td>
+<td class="maincontent"><h1>Harbour opens after long repairs</h1><p>The harbour of the old town opened again on Monday, after two years of work on its walls. Boats came in from the early morning on.</p>
+<p>Many visitors had come to see them. The mayor thanked the workers, who had been there in every weather.</p><div class=advert><p>Buy two lamps and pay for one! Only this week.</p></div>
+<p>The next step is the lighthouse, which is to be painted in the spring.</p></td></tr></table><div class=footer>&copy; The Daily Sample. All rights reserved. <a href=/imprint>Imprint</a></div></body>"""
+BLOG = """<body><div id="top-bar"><div class="logo">my notes</div><ul class="nav-links"><li><a href=/a>about</a></li><li><a href=/b>archive</a></li></ul></div>
+<div class="wrap"><div class="post-body"><h2>Bread without much work</h2><p>I have baked this bread every week for a year now. It needs four things and a night of rest.</p><ul><li>Mix the flour and the water in the evening, and add the salt.</li><li>Let it stand in a warm place until the morning comes.</li></ul><blockquote>Good bread takes its time, my teacher used to say to us.</blockquote></div>
+<div id="respond-comments" class="comments-area"><h3>2 comments</h3><div class="comment"><p>I tried it and it was great. Thank you so much!</p></div><div class="comment"><p>Mine did not rise at all. What could be wrong?</p></div></div></div>
+<div class="widget sidebar"><h4>Recent</h4><ul><li><a href=/1>Soup</a></li><li><a href=/2>Beans</a></li></ul></div></body>"""
+WIKI = """<body class="mw"><nav id=site-nav><ul><li><a href=/>Main page</a></li><li><a href=/r>Random</a></li></ul></nav><main id=content><h1>Stone bridge</h1><p>A <b>stone bridge</b> is a <a href=/bridge>bridge</a> that is built of <a href=/stone>stone</a>. It stands for a long time, if its feet do.</p>
+<h2>History</h2><p>The oldest of them are more than three thousand years old. Some can still be walked on today.</p><table><tr><td>Name of the bridge</td><td>Year it was built</td></tr></table></main>
+<form action=/search><label>Search</label><input name=q><button>Go</button></form><footer><p>Text is free to use. See the terms for details.</p></footer><script>var x = "<p>no</p>";</script></body>"""
+
+
+@pytest.mark.parametrize(("page", "inside", "outside"), [
+    (NEWS, ["Harbour opens after long repairs", "Boats came in", "the lighthouse, which"], ["Buy two lamps", "Politics", "All rights", "Sport"]),
+    (BLOG, ["Bread without much work", "four things", "Mix the flour", "takes its time"], ["tried it", "did not rise", "archive", "Soup"]),
+    (WIKI, ["Stone bridge", "is a bridge that is built of stone.", "History", "three thousand", "Name of the bridge"], ["Random", "Search", "free to use", "no"]),
+])
+def test_extraction_of_pages_written_by_hand(page, inside, outside):
+    text = extraction.default_extractor().extract([page])[0]
+    assert all(x in text for x in inside), text
+    assert not any(x in text.split() or len(x) > 3 and x in text for x in outside), text
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch, tmp_path):
+    class Context:
+        def __init__(self, local, folder=None):
+            self.local, self.given = local, folder
+
+        isLocal = lambda self: self.local
+        getCheckpointDir = lambda self: type("Option", (), {"isDefined": lambda _: self.given is not None, "get": lambda _: self.given})()
+
+    def session(context):
+        jsc = type("J", (), {"sc": lambda _: context})()
+        return type("S", (), {"conf": type("C", (), {"get": lambda _, k, d: d})(), "sparkContext": type("X", (), {"_jsc": jsc})()})()
+
+    with pytest.raises(RuntimeError):
+        scratch.folder(session(Context(False)))
+    assert scratch.folder(session(Context(False, "hdfs://shared"))) == "hdfs://shared"
+    assert scratch.folder(session(Context(True))).startswith("file://")
+
+
+def test_long_conversations_are_linear(spark):
+    import time
+
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 < 2, "user").otherwise("assistant").alias("role"), F.lit("é </s> word").alias("text"))
+    chat.digest(chat.format_chats(df.limit(10))).collect()
+    began = time.perf_counter()
+    chats = chat.format_chats(df)
+    r = chat.digest(chats).collect()[0]
+    assert (r["n_turns"], r["loss_chars"]) == (20_000, 11 * 6666) and time.perf_counter() - began < 20
+    row = chats.collect()[0]
+    data = row["formatted"].encode()
+    assert all(row["formatted"][m["begin"] : m["end"]] == data[m["first_byte"] : m["last_byte"]].decode() == "é \\</s> word" for m in row["loss_mask"])
