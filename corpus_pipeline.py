@@ -1,7 +1,8 @@
 """A corpus from raw documents: good, near-unique, without repeated passages, mixed and packed.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again
-as the next one's docs. All but the last return the columns of docs.
+as the next one's docs. All but the last return the columns of docs, whatever they are
+called. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -20,14 +21,21 @@ def _begin(spark: SparkSession) -> None:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Rows are judged by their texts alone: rows with null ids, null or empty texts (without
+    words) and repeated rows each by themselves. Without labelled rows all stay.
+    """
     _begin(spark)
     model, _ = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, of its least id; rows that share an id are judged each by its text."""
+    """One row of each group of near copies, of its least id; rows that share an id are judged each by its text.
+
+    Rows with null ids stay, as do those without words, which are nobody's copies.
+    """
     _begin(spark)
     key, name = (substrings.unused(docs.columns, x) for x in ("key", "kept_key"))
     keyed = substrings.with_keys(docs, key)
@@ -37,19 +45,29 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 20 words and more that start earlier in the corpus."""
+    """Texts without the passages of 20 words and more that start earlier in the corpus.
+
+    Of equal rows the first keeps its text. Null texts and rows with null ids stay as they are.
+    """
     _begin(spark)
     return substrings.remove(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents without words (null texts among them) are taken 0 times; null sources are one
+    source; rows that share id, source and size get their copies between them.
+    """
     _begin(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids and their places in sequences."""
+    """Pieces of at most 2048 ids and their places in sequences.
+
+    Null texts are empty documents; null ids are kept; repeated rows are documents of their own.
+    """
     _begin(spark)
     return packing.pack(docs)
 
