@@ -20,7 +20,7 @@ for it. In a block every run of WINDOW words has one place, where it starts firs
 
 Windows are named by 64-bit hashes: of n candidate windows two are confused with a chance
 of n * n / 2**65. Null texts have no words. Documents of fewer than WINDOW words keep all.
-Rows that share an id are documents in the order of their texts; rows with a null id are
+Rows that share an id are documents in the order of their texts (first bytes, then a hash); rows with a null id are
 neither indexed nor changed; an empty table has no rows; other columns are ignored.
 """
 
@@ -48,6 +48,8 @@ OFTEN = 64
 ROW = 64
 #: Windows of its own block that a task remembers; it then starts a new block.
 REMEMBERED = 400_000
+#: Rows of a range in which keys are given where ids repeat, and bytes of text that order them.
+KEY_ROWS, HEAD = 500_000, 64
 FACTORS = "key long, begin int, n int, source long, at int"
 
 
@@ -147,15 +149,26 @@ def unused(names: list[str], name: str) -> str:
 
 
 def with_keys(docs: DataFrame, key: str) -> DataFrame:
-    """docs and a key that no other row has: doc_id, or where ids repeat a number in the order of (doc_id, text); null where doc_id is."""
-    most = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count").alias("m")).first()["m"] or 1
+    """docs and a key that no other row has: doc_id, or where ids repeat the row's place in the order of (doc_id, text); null where doc_id is.
+
+    Places are found by ranges of (doc_id, first characters, hash of the text), so an id that many rows share is split.
+    """
+    about = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
     own = F.col("doc_id").cast("bigint")
-    if most == 1:
+    if (about["most"] or 1) == 1:
         return docs.withColumn(key, own)
+    part, before, at = (unused([*docs.columns, key], x) for x in ("part", "before", "at"))
     # equal texts of one id are told apart by their other columns; rows equal in all can change places
     others = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    rank = F.row_number().over(W.partitionBy(own).orderBy(F.col("text").cast("binary"), others)) - 1
-    return save(docs.withColumn(key, F.when(own.isNotNull(), own * F.lit(most) + rank)), "keyed")
+    text = F.col("text").cast("binary")
+    order = [own, F.substring(text, 1, HEAD), F.xxhash64(text), others]
+    ranges = max(1, about["n"] // KEY_ROWS)
+    # a table, so that ranges stay what they are
+    dealt = save(docs.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(ranges, *order, at).withColumn(part, F.spark_partition_id()), "keyed")
+    counts = dealt.groupBy(part).count().select(part, F.coalesce(F.sum("count").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    place = F.row_number().over(W.partitionBy(part).orderBy(*order, at))
+    placed = dealt.withColumn(key, place).join(F.broadcast(counts), part)  # one row a range
+    return save(placed.withColumn(key, F.when(own.isNotNull(), F.col(key) + F.col(before))).drop(part, before, at), "keyed")
 
 
 def _index_rows(a: np.ndarray, h: np.ndarray, key: np.ndarray, start: np.ndarray, often: np.ndarray) -> list[pa.Array]:
