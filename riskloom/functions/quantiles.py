@@ -1,8 +1,8 @@
 """Exact quantiles, weighted quantiles and running sums that need no task to hold all rows.
 
-Spark's percentile keeps a map of all distinct values; for tables above SMALL rows,
-brackets from a sketch are narrowed until few rows lie between their ends, and only those
-are ranked. Running sums over a value's order go through ranges of the value: sums within
+Spark's percentile keeps a map of all distinct values of all columns in one task; for tables
+above SMALL rows, brackets from a sketch leave few values to rank, for those above BRACKETED
+rows they are narrowed until few rows lie between their ends. Running sums over a value's order go through ranges of the value: sums within
 a range by a window, and the sums of earlier ranges from a table of one row a range.
 """
 
@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..errors import ValidationError
 from .basics import fresh
 
-SMALL = 2_000_000
+#: Rows up to which Spark's percentile keeps all values of all columns in one task.
+SMALL = 20_000
+#: Rows up to which brackets of one sketch are narrow enough, and how finely it ranks.
+BRACKETED, ACCURACY = 5_000_000, 2_000
 #: Rows of one range, and ranges at most; beyond that ranges grow.
 RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
 
@@ -36,17 +39,62 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float], small: int = SMALL) -> dict[str, list[float] | None]:
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float], small: int = SMALL, bracketed: int = BRACKETED) -> dict[str, list[float] | None]:
     """Linear quantiles of each expression's finite values; None where there are none."""
     qs, names = check(qs), list(columns)
     if not names or not qs:
         return {n: [] for n in names}
     values = df.select(*[finite(c).alias(f"_{k}") for k, c in enumerate(columns.values())])
-    counts = values.agg(*[F.count(f"_{k}").alias(f"_{k}") for k in range(len(names))]).first()
+    wide = 2 / ACCURACY
+    ends = sorted({min(1.0, max(0.0, q + d)) for q in qs for d in (-wide, wide)})
+    about = values.agg(*[F.count(f"_{k}").alias(f"n{k}") for k in range(len(names))], *[F.percentile_approx(f"_{k}", ends, ACCURACY).alias(f"e{k}") for k in range(len(names))]).first()
+    counts = list(about[: len(names)])
     if max(counts) <= small:
         row = values.agg(*[percentiles(F.col(f"_{k}"), qs).alias(f"_{k}") for k in range(len(names))]).first()
         return {n: row[k] for k, n in enumerate(names)}
-    return {n: _ranked(values.select(F.col(f"_{k}").alias("x")), counts[k], qs, small) if counts[k] else None for k, n in enumerate(names)}
+    found = _bracketed(values, counts, qs, wide, [dict(zip(ends, e or [None] * len(ends), strict=True)) for e in about[len(names) :]]) if max(counts) <= bracketed else {}
+    out = {}
+    for k, n in enumerate(names):
+        out[n] = None if not counts[k] else found[k] if k in found else _ranked(values.select(F.col(f"_{k}").alias("x")), counts[k], qs, max(small, 1000))
+    return out
+
+
+def _bracketed(values: DataFrame, counts: list[int], qs: list[float], wide: float, sketch: list[dict]) -> dict[int, list[float]]:
+    """Quantiles of all columns from values of a sketch on both sides of each: two more passes
+    give the numbers of rows below, and the distinct values between with their numbers.
+
+    The sketch errs by one rank in ACCURACY, so few values lie between; columns for which it
+    erred by more are left out.
+    """
+    some = [k for k, n in enumerate(counts) if n]
+    bracket = {}
+    for k in some:
+        for j, q in enumerate(qs):
+            bracket[k, j] = (sketch[k][min(1.0, max(0.0, q - wide))] if q > wide else None, sketch[k][min(1.0, max(0.0, q + wide))] if q < 1 - wide else None)
+    low = lambda k, a: F.lit(False) if a is None else F.col(f"_{k}") < F.lit(a)
+    below = values.agg(*[F.count(F.when(low(k, a), 1)).alias(f"b{k}_{j}") for (k, j), (a, _) in bracket.items()]).first()
+    inside = lambda k, a, b: F.col(f"_{k}").isNotNull() & ~low(k, a) & (F.lit(True) if b is None else F.col(f"_{k}") <= F.lit(b))
+    each = F.array(*[F.when(inside(k, a, b), F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), F.col(f"_{k}").alias("x"))) for (k, j), (a, b) in bracket.items()])
+    rows = values.select(F.explode(F.filter(each, lambda p: p.isNotNull())).alias("p")).select("p.*").groupBy("k", "j", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    held: dict[tuple, list] = {}
+    for r in rows:
+        held.setdefault((r["k"], r["j"]), []).append((r["x"], r["n"]))
+    out: dict[int, list[float]] = {}
+    for k in some:
+        found = []
+        for j, q in enumerate(qs):
+            place, seen, spots = q * (counts[k] - 1), below[f"b{k}_{j}"], {}
+            need = {math.floor(place), math.ceil(place)}
+            for x, n in sorted(held.get((k, j), [])):
+                spots |= {r: x for r in need if seen <= r < seen + n}
+                seen += n
+            if len(spots) < len(need):
+                break
+            a, b = spots[math.floor(place)], spots[math.ceil(place)]
+            found.append(a + (b - a) * (place - math.floor(place)))
+        else:
+            out[k] = found
+    return out
 
 
 def _ranked(values: DataFrame, n: int, qs: list[float], small: int) -> list[float]:

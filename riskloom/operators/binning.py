@@ -103,8 +103,12 @@ def valid_number(df: DataFrame, feature: str, exclude: list) -> Column:
     return F.when(~x.isin(values), x) if values else x
 
 
+def inner(n_bins: int) -> list[float]:
+    return [0.5] if n_bins <= 1 else np.linspace(0, 1, n_bins + 1)[1:-1].tolist()
+
+
 def quantile_cuts(df: DataFrame, features: list[str], n_bins: int, exclude: list = (), weight: str | None = None) -> dict[str, list[float]]:
-    qs = [0.5] if n_bins <= 1 else np.linspace(0, 1, n_bins + 1)[1:-1].tolist()
+    qs = inner(n_bins)
     if weight is None:
         found = exact_quantiles(df, {f: valid_number(df, f, exclude) for f in features}, qs)
     else:
@@ -314,6 +318,7 @@ class WoeBinner(Transformer):
         self.monotonic, self.smoothing = monotonic, smoothing
         self.rules: dict[str, BinRule] = {}
         self.failures: dict[str, str] = {}
+        self.sums: list[tuple] = []
 
     def _fit(self, df: DataFrame, features: list[str] | None = None, target: str | None = None, weight: str | None = None) -> None:
         features = features or [f for f in df.columns if f not in (target, weight)]
@@ -321,17 +326,19 @@ class WoeBinner(Transformer):
         check_weights(df, weight)
         exclude = self.missing_values + self.special_values
         numeric = [f for f in features if isinstance(df.schema[f].dataType, NUMERIC)]
-        self.rules, self.failures = {}, {}
-        ends = df.agg(*[g(valid_number(df, f, exclude)).alias(f"{n}{k}") for k, f in enumerate(numeric) for n, g in (("a", F.min), ("b", F.max))]).first() if numeric else {}
-        usable = []
-        for k, f in enumerate(numeric):
-            if ends[f"a{k}"] is None:
-                self.failures[f] = "no valid values"
-            elif ends[f"a{k}"] == ends[f"b{k}"]:
-                self.failures[f] = "constant"
-            else:
-                usable.append(f)
-        if self.method == "quantile":
+        self.rules, self.failures, self.sums = {}, {}, []
+        plain = self.method == "quantile" and weight is None
+        if plain:  # least and greatest values come with the cuts
+            every = exact_quantiles(df, {f: valid_number(df, f, exclude) for f in numeric}, [0.0, *inner(self.n_bins), 1.0])
+            ends = {f: (v[0], v[-1]) if v else (None, None) for f, v in every.items()}
+        else:
+            row = df.agg(*[g(valid_number(df, f, exclude)) for f in numeric for g in (F.min, F.max)]).first() if numeric else ()
+            ends = {f: (row[2 * k], row[2 * k + 1]) for k, f in enumerate(numeric)}
+        self.failures |= {f: "no valid values" if a is None else "constant" for f, (a, b) in ends.items() if a is None or a == b}
+        usable = [f for f in numeric if f not in self.failures]
+        if plain:
+            cuts = {f: sorted(set(every[f][1:-1])) for f in usable}
+        elif self.method == "quantile":
             cuts = quantile_cuts(df, usable, self.n_bins, exclude, weight)
         elif self.method == "uniform":
             cuts = uniform_cuts(df, usable, self.n_bins, exclude)
@@ -350,7 +357,9 @@ class WoeBinner(Transformer):
                 self.rules[f] = BinRule(f, False, mapping={r["value"]: r["bin_idx"] for r in found}, special=special, missing=missing)
         if target is None or not self.rules:
             return
-        table = woe_table(cube(df, self.rules, target, weight), self.smoothing).collect()
+        # a row for each bin, kept: reports on what was learned need no other pass
+        self.sums = [tuple(r) for r in cube(df, self.rules, target, weight).select("feature", "bin_idx", "n", "w", "bad").collect()]
+        table = self.table(df).collect()
         for r in table:
             self.rules[r["feature"]].woe[r["bin_idx"]] = r["woe"]
             self.rules[r["feature"]].iv[r["bin_idx"]] = r["iv"]
@@ -400,6 +409,10 @@ class WoeBinner(Transformer):
         out = df.sparkSession.createDataFrame(rows, "feature string, total_iv double")
         return out.withColumn("interpretation", interpret_iv(F.col("total_iv"))).orderBy(F.desc("total_iv"), "feature")
 
+    def table(self, df: DataFrame) -> DataFrame:
+        """The woe_table of the rows it was fitted on; df only lends its session."""
+        return woe_table(df.sparkSession.createDataFrame(self.sums, "feature string, bin_idx int, n long, w double, bad double"), self.smoothing)
+
     def labels_frame(self, df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([(f, k, x) for f, r in self.rules.items() for k, x in r.labels().items()], "feature string, bin_idx int, bin_label string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.basics import check_weights, col, weight_column
+from ..functions.basics import check_weights, col, fresh, weight_column
 from ..functions.quantiles import exact_quantiles, running, weighted_quantiles
 
 
@@ -52,7 +52,8 @@ def ks_auc(df: DataFrame, target: str, score: str, weight: str | None = None, by
 
 def all_metrics(df: DataFrame, target: str, score: str, threshold: float = 0.5, weight: str | None = None, by: list[str] = ()) -> DataFrame:
     """confusion at ``score >= threshold`` and ks_auc, in one row for each group."""
-    first = confusion(df.withColumn("_p", (col(score) >= threshold).cast("int")), target, "_p", weight, by)
+    label = fresh(df.columns, "_p")
+    first = confusion(df.withColumn(label, (col(score) >= threshold).cast("int")), target, label, weight, by)
     second = ks_auc(df, target, score, weight, by)
     return first.join(second, list(by)) if by else first.crossJoin(F.broadcast(second))  # one row each
 
@@ -82,9 +83,10 @@ def regression(df: DataFrame, target: str, predicted: str, weight: str | None =
     check_weights(df, weight)
     w, y, e = weight_column(weight), col(target).cast("double"), col(target).cast("double") - col(predicted).cast("double")
     keys = list(map(col, by))
-    mean = df.groupBy(*keys).agg(F.try_divide(F.sum(w * y), F.sum(w)).alias("_m"))
+    name = fresh(df.columns, "_m")
+    mean = df.groupBy(*keys).agg(F.try_divide(F.sum(w * y), F.sum(w)).alias(name))
     both = df.join(mean, list(by)) if by else df.crossJoin(F.broadcast(mean))  # without groups: one row
-    sums = both.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * e * e).alias("sse"), F.sum(w * F.abs(e)).alias("sae"), F.sum(w * (y - F.col("_m")) ** 2).alias("sst"))
+    sums = both.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * e * e).alias("sse"), F.sum(w * F.abs(e)).alias("sae"), F.sum(w * (y - F.col(name)) ** 2).alias("sst"))
     return sums.select(*by, F.sqrt(F.col("sse") / F.col("w")).alias("rmse"), (F.col("sae") / F.col("w")).alias("mae"), F.coalesce(1 - F.try_divide("sse", "sst"), F.lit(0.0)).alias("r2"))
 
 

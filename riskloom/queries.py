@@ -385,6 +385,9 @@ TABLE = ["feature", "bin_idx", "n", "w", "bad", "good", "bad_rate", "woe", "iv"]
 
 
 def _woe(df: DataFrame, binner: B.WoeBinner, weight: str | None = None) -> DataFrame:
+    """What a binner learned, or from its rules if it was read back."""
+    if binner.sums:
+        return binner.table(df)
     return B.woe_table(B.cube(df, binner.rules, "y", weight), binner.smoothing)
 
 

@@ -46,6 +46,7 @@ def test_exact_quantiles_of_large_tables_equal_the_small_way(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     qs = [0.0, 0.013, 0.25, 0.5, 0.77, 1.0]
     assert np.allclose(exact_quantiles(df, {"x": F.col("x")}, qs, small=50)["x"], np.quantile(x, qs), atol=1e-12)
+    assert np.allclose(exact_quantiles(df, {"x": F.col("x")}, qs, small=50, bracketed=0)["x"], np.quantile(x, qs), atol=1e-12)
 
 
 def test_running_sums_by_ranges(spark):
@@ -150,3 +151,18 @@ def test_rules_survive_json(sample):
     b = B.WoeBinner(4).fit(sample, features=["x"], target="target")
     again = B.WoeBinner.from_dict(json.loads(json.dumps(b.to_dict())))
     assert again.transform(sample, return_type="woe").select("x_bin").collect() == b.transform(sample, return_type="woe").select("x_bin").collect()
+
+
+def test_exact_quantiles_by_brackets(spark):
+    """Many columns at once: ties, constants, gaps, skew and no values at all."""
+    from riskloom.functions.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(17)
+    n = 30_000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 4, n).astype(float), "c": np.where(rng.random(n) < 0.9, np.nan, rng.lognormal(size=n)), "d": np.full(n, 7.0), "e": rng.pareto(0.5, n)})
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double")).withColumn("odd", F.when(F.col("b") == 0, float("inf")).otherwise(F.col("a")))
+    qs = [0.0, 1e-5, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99999, 1.0]
+    got = exact_quantiles(df, {c: F.col(c) for c in [*pdf.columns, "none", "odd"]}, qs)
+    for c in pdf:
+        assert np.allclose(got[c], np.quantile(pdf[c].dropna(), qs), rtol=1e-12), c
+    assert got["none"] is None and np.allclose(got["odd"], np.quantile(pdf.a[pdf.b != 0], qs), rtol=1e-12)
