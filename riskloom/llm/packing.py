@@ -34,11 +34,11 @@ CAPACITY = 2048
 LEAST_CUT = 64
 CLOSING = 1
 #: Stems whose ids a worker remembers at most, and a third of the stretches.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: ASCII punctuation but the apostrophe.
 CLOSERS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Text bytes tokenized at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Documents of one shard, about, and shards that are rolled up together.
 SHARD, GATHER = 256, 1024
 
@@ -69,8 +69,18 @@ class ChunkIds:
 
     def forget(self) -> None:
         self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
 
+    def thin(self) -> None:
+        """Keeps the stretches that have been met most often: a half at most, none met only once."""
+        least = max(2, int(np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]) + 1)
+        keep = self.uses >= least
+        size, begin = self.size[keep], self.begin[keep]
+        end = np.cumsum(size)
+        self.flat = self.flat[np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))]
+        self.keys, self.begin, self.size, self.uses = self.keys[keep], end - size, size, self.uses[keep] // 2
+
     def parts(self, chunk: bytes) -> tuple[bytes, bytes]:
         if b"<|" in chunk:
             return chunk, b""
@@ -80,10 +90,6 @@ class ChunkIds:
         return chunk.lower(), b""
 
     def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        if len(self.keys) > 3 * REMEMBERED:
-            self.forget()
-        if len(self.stems) > REMEMBERED:
-            self.stems.clear()
         split = [self.parts(x) for x in chunks]
         unknown = list({y for x in split for y in x}.difference(self.stems))
         for a in range(0, len(unknown), 10_000):
@@ -95,10 +101,14 @@ class ChunkIds:
         begin = len(self.flat) + np.cumsum(size) - size
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), np.uint32)])
-        self.keys, self.begin, self.size = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.begin, begin), (self.size, size)))
+        self.keys, self.begin, self.size, self.uses = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.begin, begin), (self.size, size), (self.uses, np.zeros(len(keys), np.int32))))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and each text's bounds among them."""
+        if len(self.keys) > 3 * REMEMBERED:
+            self.thin()
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
         words = Words(texts)
         keys, one, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -106,9 +116,8 @@ class ChunkIds:
         if len(new):
             raw = words.raw.tobytes()
             self.learn(keys[new], [raw[a:b] for a, b in zip(words.start[one[new]].tolist(), words.end[one[new]].tolist(), strict=True)])
-            if len(new) < len(keys) and len(self.keys) == len(new):  # the rest was forgotten
-                return self.ids(texts)
             at = np.searchsorted(self.keys, keys)
+        self.uses[at] += 1
         size, begin = self.size[at][which], self.begin[at][which]
         end = np.cumsum(size)
         flat = self.flat[np.repeat(begin - (end - size), size) + np.arange(end[-1])] if len(end) else np.empty(0, np.uint32)
