@@ -115,7 +115,8 @@ def take(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 20) ->
     number taken is exact, and which of them bears it does not matter for the mix.
     """
     # a struct's null fields are equal to one another, so the place and the join need one shuffle of the rows
-    key = lambda i, source, size: F.struct(i.alias("i"), source.alias("source"), size.alias("size"))
+    # of one type on both sides, nullable fields included: a cast in between would deal the rows anew
+    key = lambda i, source, size: F.struct(i.alias("i"), source.alias("source"), size.alias("size")).cast("struct<i:bigint,source:string,size:bigint>")
     chosen = mix(docs, weights, cap, seed).groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"))
