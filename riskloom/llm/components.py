@@ -1,8 +1,11 @@
-"""Connected components of undirected links by spreading least labels, with jumps."""
+"""Connected components of undirected links by spreading least labels, with jumps; a bounded number of links in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import save
@@ -67,11 +70,26 @@ def look_up(rows: DataFrame, key: str, table: DataFrame, spread: str, n: int) ->
     return asked.join(by_shuffle(told), [key, "_share"]).drop("_share")
 
 
-def components(links: DataFrame, rounds: int = 1000) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links a, b -> node, component."""
+    ends = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches if batch.num_rows]
+    if ends:
+        nodes, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+        union = Union(len(nodes))
+        for a, b in zip(*at.reshape(2, -1).tolist(), strict=True):
+            union.join(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[union.roots()])], ["node", "component"])
+
+
+def components(links: DataFrame, rounds: int = 1000, few: int = 0) -> DataFrame:
     """links: bigint a, b. Returns node, component (its least reachable node) for nodes with links.
 
     Null ends link nothing, a link of a node to itself adds nothing, repeats count once.
+    A stored table of at most ``few`` links is united in one task, a larger one in rounds by shuffle.
     """
+    if few and links.count() <= few:
+        proper = links.where("a is not null and b is not null and a <> b").select("a", "b")
+        return save(proper.coalesce(1).mapInArrow(_united, "node long, component long"), "labels")
     both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
     edges = save(links.where("a is not null and b is not null and a <> b").select(both.alias("e")).select("e.u", "e.v").distinct(), "edges")
     now = save(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")

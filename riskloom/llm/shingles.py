@@ -54,6 +54,8 @@ FINISH = 4
 FREQUENT = 200_000
 #: Lists longer than this are what frequent shingles make.
 LONG = 32
+#: Links that one task unites (some 100 MB there); more are spread in rounds by shuffle.
+FEW_LINKS = 500_000
 
 
 def sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -232,7 +234,7 @@ def _filter(keys: DataFrame, column: str, most_keys: int) -> np.ndarray | None:
     return bits.build(keys, column, bits.log_bits_for(count)) if count <= most_keys else None
 
 
-def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list: int = LIST, block: int = BLOCK, most_keys: int = bits.MOST_KEYS) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list: int = LIST, block: int = BLOCK, most_keys: int = bits.MOST_KEYS, few_links: int = FEW_LINKS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -421,7 +423,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     hot_links = blocks.join(by_shuffle(one), "node").groupBy("block").applyInPandas(within, "a long, b long")
     links = save(links.unionByName(hot_links), "links")
     release(spark)
-    label = components(links)
+    label = components(links, few=few_links)
     ends = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     rest = pairs.join(by_shuffle(least_pairs.withColumnRenamed("a", "tried")), "b").where("a <> tried").select("a", "b")
     rest = rest.join(by_shuffle(ends("a")), "a", "left").join(by_shuffle(ends("b")), "b", "left").where("not a_label <=> b_label or a_label is null").select("a", "b")
@@ -429,7 +431,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
     if rest.limit(1).count():
         links = save(links.unionByName(verified(rest)), "links")
         release(spark)
-        label = components(links)
+        label = components(links, few=few_links)
 
     # hot lists that are not connected yet
     known = listed.join(by_shuffle(label), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
@@ -457,7 +459,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, longest_list:
             return pd.DataFrame({"a": node[roots[new]], "b": node[new]})
 
         more = meetings.join(by_shuffle(with_keys), "node").groupBy("block").applyInPandas(finish, "a long, b long")
-        label = components(save(links.unionByName(more), "links"))
+        label = components(save(links.unionByName(more), "links"), few=few_links)
 
     # components of sets, named by the least id of a document that has one of them
     linked = save(label.join(by_shuffle(reps), "node"), "linked")

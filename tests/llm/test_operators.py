@@ -798,6 +798,24 @@ def test_pipeline_keeps_one_row_of_near_copies(spark, small):
     assert got == [(0, ""), (0, one), (0, one), (1, one), (3, two), (5, other), (7, f"{three} tail"), (9, ""), (9, "u v")]
 
 
+def test_few_links_are_united_in_one_task(spark, docs, corpus, monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs = [(int(a) - 300, int(b) - 300) for a, b in rng.integers(0, 600, (350, 2))] + [(None, 1), (2, None), (5, 5)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = sorted(tuple(r) for r in components.components(links).collect())
+    assert sorted(tuple(r) for r in components.components(links, few=len(pairs)).collect()) == want
+    assert components.components(links.limit(0), few=9).count() == 0
+    saved, save = [], components.save
+    monkeypatch.setattr(components, "save", lambda df, name: saved.append(name) or save(df, name))
+    components.components(links, few=len(pairs) - 1)
+    assert "edges" in saved
+    saved.clear()
+    want = jaccard_components(zip(corpus.doc_id, corpus.text, strict=True))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.link(docs).collect()} == want
+    assert set(saved) == {"labels"} and len(saved) <= 3
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.link(docs, few_links=0).collect()} == want
+
+
 def test_pipeline_near_copies_against_brute_force(spark, corpus, docs, small):
     import corpus_pipeline
 
