@@ -37,11 +37,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Rows with null ids stay, as do those without words, which are nobody's copies.
     """
     _begin(spark)
-    key, name = (substrings.unused(docs.columns, x) for x in ("key", "kept_key"))
+    key, name = (substrings.unused(docs.columns, x) for x in ("key", "gone_key"))
     keyed = substrings.with_keys(docs, key)
     links = shingles.link(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR_PERCENT, NEAR_WORDS)
-    kept = scratch.save(links.where("doc_id = component_id").select(F.col("doc_id").alias(name)), "kept")
-    return keyed.join(kept, F.col(key) == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(key, name)
+    gone = scratch.save(links.where("doc_id <> component_id").select(F.col("doc_id").alias(name)), "gone")
+    scratch.release(spark)
+    return substrings.without_keys(keyed, key, gone).drop(key)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,6 +171,26 @@ def with_keys(docs: DataFrame, key: str) -> DataFrame:
     return save(placed.withColumn(key, F.when(own.isNotNull(), F.col(key) + F.col(before))).drop(part, before, at), "keyed")
 
 
+def without_keys(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose bigint key is not in gone, a stored table of one column; null keys stay.
+
+    A filter over gone tells which rows may go, and only these are sent to meet it; the others stay where they are.
+    """
+    (column,) = gone.columns
+    taken = [*docs.columns, column]
+    log_bits = bits.log_bits_for(gone.count())
+    pages = save(bits.pages(gone.select(F.xxhash64(column).alias("h")), "h", log_bits), "filter")  # 16 MB at most
+    rows, may = docs, F.col(key).isNotNull()
+    for which in (0, 1):
+        page, has = (unused(taken, f"{x}_{which}") for x in ("page", "bits"))
+        at, place = bits.page_of(F.xxhash64(key), log_bits, which)
+        rows = rows.join(F.broadcast(pages.toDF(page, has)), at == F.col(page), "left")
+        may = may & bits.bit(F.col(has), place)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    sent = rows.where(may).select(own).join(by_shuffle(gone), F.col(key) == F.col(column), "left_anti")
+    return rows.where(~may).select(own).unionByName(sent)
+
+
 def _index_rows(a: np.ndarray, h: np.ndarray, key: np.ndarray, start: np.ndarray, often: np.ndarray) -> list[pa.Array]:
     """Windows -> rows g, key, begin, hashes: those of one anchor together, those of an anchor found often each by its hash."""
     order = np.lexsort((start, key))

@@ -816,6 +816,40 @@ def test_few_links_are_united_in_one_task(spark, docs, corpus, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.link(docs, few_links=0).collect()} == want
 
 
+@pytest.mark.parametrize("log_bits", [15, 20])
+def test_rows_without_keys_that_go(spark, monkeypatch, log_bits):
+    """The smaller filter holds many keys that stay."""
+    monkeypatch.setattr(bits, "log_bits_for", lambda n: log_bits)
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 != 1, F.col("id")).alias("k"), F.col("id").cast("string").alias("text"))
+    gone = spark.range(0, 20_000, 4).select(F.col("id").alias("g"))
+    got = [tuple(r) for r in substrings.without_keys(rows, "k", gone).collect()]
+    assert sorted(got, key=lambda r: int(r[1])) == [(None if i % 1000 == 1 else i, str(i)) for i in range(20_000) if i % 4]
+    assert substrings.without_keys(rows, "k", gone.limit(0)).count() == 20_000 and substrings.without_keys(rows.limit(0), "k", gone).count() == 0
+
+
+def test_pipeline_near_copies_sends_no_texts_that_stay(spark, small):
+    import time
+
+    import corpus_pipeline
+
+    def shuffled():
+        time.sleep(1)  # the listener's queue
+        all_ = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(all_.apply(k).totalShuffleWrite() for k in range(all_.size()))
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.bytes(5_000).hex() + " " + " ".join(f"w{i}x{k}" for k in range(20)), None, None, 0) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (1000, rows[0][1], None, None, 0)], DOCS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.keep_one_of_near_copies(spark, docs, small)
+        before = shuffled()
+        assert sorted(r["doc_id"] for r in out.select("doc_id", "text").collect()) == list(range(300))
+        assert shuffled() - before < 300_000  # of 3 MB of text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pipeline_near_copies_against_brute_force(spark, corpus, docs, small):
     import corpus_pipeline
 
