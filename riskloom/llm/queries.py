@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, extraction, fingerprint, mixing, packing, quality, shingles, substrings, toxicity, vectors
+from . import chat, decontamination, divergence, extraction, fingerprint, mixing, packing, quality, ranking, shingles, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,6 +170,106 @@ select doc_id, size, source_size, target,
 from r
 """
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11 = rf"""
+with d as (
+  select doc_id, row_number() over () as i, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), s as (
+  select count(*) filter (len(w) > 0) as n, sum(len(w))::bigint as l from d
+), q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark
+), t as (
+  select i, term, count(*) as tf from (select i, unnest(w) as term from d) semi join q using (term) group by all
+), w as (
+  select term, floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from t group by term), s
+), m as (
+  select i, doc_id, 50 + (50 * len(w) * n) // l as m from d, s where len(w) > 0
+), x as (
+  select t.i, t.term, w.w * ((1000000000 * tf) // (1000 * tf + 20 * m)) as score from t join w using (term) join m using (i)
+), r as (
+  select item_id, doc_id, sum(score)::bigint as score from (select item_id, i, score from q join x using (term)) join m using (i) group by item_id, i, doc_id
+)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from r where score > 0
+qualify rank <= {ranking.TOP}
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP12 = rf"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as i,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), t as (
+  select lang, source, i, unnest(w) as term from d
+), kept as (
+  select lang, term from t group by lang, term having count(distinct i) >= {divergence.LEAST_DOCUMENTS}
+), g as (
+  select distinct lang, source from d
+), v as (
+  select l.lang, count(k.term)::hugeint as v from (select distinct lang from g) l left join kept k using (lang) group by l.lang
+), c as (
+  select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by all
+), n as (
+  select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as total from g left join c using (lang, source) group by all
+), p as (
+  select n.lang, n.source, k.term, coalesce(c.n, 0) as n, 1 + ({divergence.SCALE}::hugeint * (coalesce(c.n, 0) + 2)) // (total + 2 * v) as p
+  from n join v using (lang) join kept k using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term
+), q as (
+  select a.lang, a.term, 1 + ({divergence.SCALE}::hugeint * (a.n + 2)) // (b.total + 2 * v) as q
+  from (select lang, term, sum(n)::hugeint as n from c group by all) a join (select lang, sum(total)::hugeint as total from n group by lang) b using (lang) join v using (lang)
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(max(s.f), 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join (
+    select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as f
+    from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+  ) s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  group by all
+), terms as (
+  select p.lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p join q using (lang, term) where n > 0 and p > q
+), ranked as (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms)
+)
+select * from ranked where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+
+def op13_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+OP13 = rf"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as i from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), p as (
+  select item_id, len(w) as n, w, unnest(range(1, greatest(len(w) - {decontamination.WINDOW - 2}, 2))) as s from b where len(w) > 0
+), phrases as (
+  select item_id, least(n, {decontamination.WINDOW}) as n, array_to_string(list_slice(w, s, s + {decontamination.WINDOW - 1}), ' ') as h from p
+), sizes as (
+  select distinct n from phrases
+), places as (
+  select i, sizes.n, w, unnest(range(1, len(w) - sizes.n + 2)) as s from w, sizes where len(w) >= sizes.n
+), hits as (
+  select x.i, x.s, x.n, f.item_id from (select i, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') as h from places) x join phrases f using (n, h)
+), covered as (
+  select i, count(distinct k) as n_hit from (select distinct i, unnest(range(s, s + n)) as k from hits) group by i
+), items as (
+  select i, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct i, item_id::varchar as name from hits where item_id is not null) group by i
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join covered using (i) left join items using (i)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz_dedup": op1_relative_lz_dedup,
     "op2_grid_order_join": op2_grid_order_join,
@@ -181,6 +281,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_prefix_tree_join": op10_prefix_tree_join,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fm_decontamination": op13_fm_decontamination,
 }
 ORACLE: dict[str, str] = {
     "op1_relative_lz_dedup": OP1,
@@ -188,4 +291,7 @@ ORACLE: dict[str, str] = {
     "op8_chat_formatting": OP8,
     "op9_source_mixing": OP9,
     "op10_prefix_tree_join": OP10,
+    "op11_ranked_search": OP11,
+    "op12_source_divergence": OP12,
+    "op13_fm_decontamination": OP13,
 }

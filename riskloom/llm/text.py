@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of words of letters, and of letters and digits; all bytes beyond ASCII count as letters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+LETTERS_DIGITS = LETTERS.copy()
+LETTERS_DIGITS[0x30:0x3A] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
@@ -75,7 +80,8 @@ class Words:
     word's; first: each text's bounds among the words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray = ~SPACE):
+        """inside: which bytes belong to words, as a table; lower: A-Z become a-z."""
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
@@ -83,7 +89,7 @@ class Words:
         self.raw = np.concatenate([LOWER[body] if lower else body, np.zeros(8, np.uint8)])
         self.at = at - at[0]
         n = int(self.at[-1])
-        ink = ~SPACE[self.raw[:n]]
+        ink = inside[self.raw[:n]]
         begins, ends = ink.copy(), ink.copy()
         if n:
             begins[1:] &= ~ink[:-1]
@@ -120,6 +126,28 @@ class Words:
             more, k = more[left > 8], k + 8
         return h
 
+    def equal(self, i: np.ndarray, other: Words, j: np.ndarray) -> np.ndarray:
+        """Whether words i have the very bytes of the other's words j."""
+        mine, theirs = (np.ndarray((len(w.raw) - 7,), "<u8", w.raw, strides=(1,)) for w in (self, other))
+        a, b = self.start[i], other.start[j]
+        size = self.end[i] - a
+        same = size == other.end[j] - b
+        more, k = np.flatnonzero(same), 0
+        while len(more):
+            keep = _KEEP[np.minimum(size[more] - k, 8)]
+            ok = ((mine[a[more] + k] ^ theirs[b[more] + k]) & keep) == 0
+            same[more[~ok]] = False
+            k += 8
+            more = more[ok & (size[more] > k)]
+        return same
+
+    def array(self, i: np.ndarray) -> pa.Array:
+        """Words i as strings."""
+        size = self.end[i] - self.start[i]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.start[i] - offsets[:-1], size) + np.arange(offsets[-1])
+        return pa.LargeStringArray.from_buffers(len(i), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.raw[at]))
+
     def text(self, i: int) -> bytes:
         return self.raw[self.at[i] : self.at[i + 1]].tobytes()
 
@@ -127,6 +155,38 @@ class Words:
         return self.text(i).split()
 
 
+class Vocabulary:
+    """Distinct terms, numbered in the order of their hashes; find() compares bytes too."""
+
+    def __init__(self, terms: list[bytes]):
+        terms = sorted(set(terms))
+        words = Words(pa.array(terms, pa.large_binary()), inside=np.ones(256, bool))
+        h = words.hashes()
+        order = np.argsort(h)
+        self.words, self.order, self.h = words, order, h[order]
+        self.terms = [terms[i] for i in order]
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def find(self, words: Words) -> np.ndarray:
+        """The number of each word's term, -1 for none."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self) or not len(words):
+            return out
+        h = words.hashes()
+        at = np.searchsorted(self.h, h)
+        left = np.arange(len(words))
+        while len(left):  # a second time only for terms of equal hashes
+            left = left[at[left] < len(self)]
+            left = left[self.h[at[left]] == h[left]]
+            same = words.equal(left, self.words, self.order[at[left]])
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+        return out
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n hashes; runs that cross texts are for the caller to leave out."""
     if len(h) < n:
