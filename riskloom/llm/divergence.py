@@ -36,7 +36,7 @@ SCALE, SMOOTH = 1_000_000_000, 2
 #: Documents of its language that a term needs, and terms reported for a source.
 LEAST_DOCUMENTS, TOP = 10, 10
 #: Rows of sums that a task holds before it adds them up, and before it passes them on.
-HELD, PASSED = 600_000, 400_000
+HELD, PASSED = 900_000, 600_000
 #: Counts of one shard.
 SHARD_ENTRIES = 200_000
 COUNTS = "lang string, source string, term string, n long, docs long"
@@ -93,45 +93,54 @@ def grouped(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return number, np.concatenate(first) if first else left
 
 
+_EVERY = np.ones(256, bool)
+_TALLY = ["lang", "source", "term", "n", "docs"]
+
+
 def tally(batch: pa.RecordBatch) -> pa.Table:
-    """Occurrences and documents of each (lang, source, term) of a batch lang, source, text."""
+    """Occurrences n and documents docs of each (lang, source, term) of a batch lang, source, text."""
     words = Words(batch["text"], lower=True, inside=LETTERS)
     number, first = grouped(words)
-    lang, source = (pc.fill_null(batch[c].cast(pa.string()), "").dictionary_encode() for c in ("lang", "source"))
-    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-    terms = max(1, len(first))
-    pair, times = np.unique(words.doc() * terms + number, return_counts=True)
-    key, of = np.unique(group[pair // terms] * terms + pair % terms, return_inverse=True)
-    n, docs = np.zeros(len(key), np.int64), np.bincount(of, minlength=len(key)).astype(np.int64)
-    np.add.at(n, of, times)
-    g = key // terms
-    columns = [lang.dictionary.take(pa.array(g // len(source.dictionary))), source.dictionary.take(pa.array(g % len(source.dictionary))), words.array(first[key % terms])]
-    return pa.table([*columns, pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+    pair, times = np.unique(words.doc() * max(1, len(first)) + number, return_counts=True)
+    doc, number = pair // max(1, len(first)), pair % max(1, len(first))
+    lang, source = (pc.fill_null(batch[c].cast(pa.string()), "").dictionary_encode().take(pa.array(doc)) for c in ("lang", "source"))
+    return _sums(lang, source, words, number, first, times.astype(np.int64), np.ones(len(doc), np.int64))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
+def add_up(tables: list[pa.Table]) -> pa.Table:
+    """Several tallies as one."""
+    table = pa.concat_tables(tables).combine_chunks()
+    words = Words(table["term"].combine_chunks(), inside=_EVERY)
+    lang, source = (table[c].cast(pa.string()).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    return _sums(lang, source, words, *grouped(words), table["n"].to_numpy(), table["docs"].to_numpy())
 
-    def add_up() -> pa.Table:
-        keys = ["lang", "source", "term"]
-        table = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")])
-        return table.select([*keys, "n_sum", "docs_sum"]).rename_columns([*keys, "n", "docs"])
 
-    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        plain = pa.schema([(c, pa.string()) for c in ("lang", "source", "term")] + [("n", pa.int64()), ("docs", pa.int64())])
-        yield from table.cast(plain).to_batches(max_chunksize=100_000)
+def _sums(lang: pa.DictionaryArray, source: pa.DictionaryArray, words: Words, number: np.ndarray, first: np.ndarray, n: np.ndarray, docs: np.ndarray) -> pa.Table:
+    """Rows of equal lang, term number and source added up."""
+    terms, sources = max(1, len(first)), max(1, len(source.dictionary))
+    key = (lang.indices.to_numpy().astype(np.int64) * terms + number) * sources + source.indices.to_numpy()
+    order = np.argsort(key)
+    key = key[order]
+    lead = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    sums = [np.add.reduceat(x[order], lead) if len(lead) else x for x in (n, docs)]
+    key = key[lead]
+    take = lambda d, k: d.dictionary.take(pa.array(k))
+    return pa.table([take(lang, key // (terms * sources)), take(source, key % sources), words.array(first[key // sources % terms]).cast(pa.string()), *map(pa.array, sums)], _TALLY)
 
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
     for batch in slices(batches, "text"):
         held.append(tally(batch))
         n += held[-1].num_rows
         if n > HELD:
-            held = [add_up()]
+            held = [add_up(held)]
             n = held[0].num_rows
             if n > PASSED:
-                yield from out(held[0])
+                yield from held[0].to_batches(max_chunksize=100_000)
                 held, n = [], 0
-    if held:
-        yield from out(add_up())
+    if n:
+        yield from add_up(held).to_batches(max_chunksize=100_000)
 
 
 def share(count: np.ndarray, total: int | np.ndarray) -> np.ndarray:
@@ -228,8 +237,7 @@ def counts(docs: DataFrame) -> DataFrame:
 def kept_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """lang, term, source, n of the terms in at least that many documents of their language."""
     sums = counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    terms = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("each"))
-    return terms.where(F.col("docs") >= least).select("lang", "term", F.explode("each").alias("e")).select("lang", "term", "e.source", "e.n")
+    return sums.withColumn("docs", F.sum("docs").over(W.partitionBy("lang", "term"))).where(F.col("docs") >= least).drop("docs")
 
 
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
