@@ -8,9 +8,9 @@ import numpy as np
 class WaveletMatrix:
     """A sequence of numbers below 2**depth as one row of bits for each binary digit, the highest first.
 
-    Each level holds the sequence sorted, stably, by the digits before it, so a node of the
-    tree (numbers with the same leading digits) is an interval of a level, and elements of
-    a node keep their order. ones[level, i]: set bits of the level before i.
+    Each level holds the sequence sorted, stably, by the digits before it (the last of them
+    counts most), so a node of the tree (numbers with the same leading digits) is an interval
+    of a level, and elements of a node keep their order. ones[level, i]: set bits of the level before i.
     """
 
     def __init__(self, values: np.ndarray, depth: int, carry: np.ndarray | None = None):
