@@ -1,7 +1,8 @@
 """Models over columns: training, tuning, calibration, cross-validation and importances.
 
-The three boosting names share Spark's gradient-boosted trees, each with its library's
-parameter names and defaults. Missing values count as 0.
+``xgboost``, ``lightgbm`` and ``catboost`` are boosted by gradients and hessians (boosting.py), each
+with its library's way to grow trees, parameter names and defaults; missing values go to the side
+that gains more. ``gbt`` is Spark's own; there and elsewhere missing values count as 0.
 A logistic model's strength C is 1 / (regParam * sum of weights).
 """
 
@@ -17,16 +18,20 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Log
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from ..errors import NotFittedError, ValidationError
 from ..functions.basics import check_weights, col, fresh, require, validate_binary_target
-from . import metrics
+from . import boosting, metrics
 from .attribution import in_batches, trees_of
 from .splits import cv_splits, hashed
 
 LINEAR = ("logistic", "linear", "linear_regression")
 BOOSTERS = ("xgboost", "lightgbm", "catboost", "gbt")
+SECOND_ORDER = BOOSTERS[:3]
+#: Rounds without gain after which training stops where it is to stop early and none are given.
+PATIENCE = 10
 CLASSIFIERS = {"logistic": LogisticRegression, "tree": DecisionTreeClassifier, "random_forest": RandomForestClassifier} | dict.fromkeys(BOOSTERS, GBTClassifier)
 REGRESSORS = {"linear": LinearRegression, "linear_regression": LinearRegression, "tree": DecisionTreeRegressor, "random_forest": RandomForestRegressor} | dict.fromkeys(BOOSTERS, GBTRegressor)
 #: Rows of one share within which permuted values change places.
@@ -82,12 +87,16 @@ def spark_params(model_type: str, params: dict) -> dict:
 
 
 class ModelTrainer:
+    """early_stopping_rounds: training ends that many rounds after the best on held rows (fit's ``held``, or a fifth by hash)."""
+
     def __init__(self, model_type: str = "logistic", task: str = "classification", early_stopping: bool = False, early_stopping_rounds: int | None = None, **params):
         known = CLASSIFIERS if task == "classification" else REGRESSORS
         if model_type not in known:
             raise ValidationError(f"no such {task} model: {model_type}")
-        self.model_type, self.task, self.params, self.early_stopping = model_type, task, params, early_stopping or bool(early_stopping_rounds)
-        self.model: PipelineModel | None = None
+        self.model_type, self.task, self.params = model_type, task, params
+        self.stop = (int(early_stopping_rounds) if early_stopping_rounds else PATIENCE if early_stopping else None) if model_type in BOOSTERS else None
+        self.model: PipelineModel | boosting.Boosted | None = None
+        self.encoder: boosting.OrderedStatistics | None = None
 
     def _estimator(self, total_weight: float, validation: str | None):
         params = spark_params(self.model_type, self.params)
@@ -107,40 +116,71 @@ class ModelTrainer:
             raise ValidationError(f"{self.model_type} has no such parameters: {unknown}")
         return kind(featuresCol="_features", labelCol="_label", weightCol="_weight", **params)
 
+    def _value(self, f: str) -> Column:
+        x = col(f).cast("double")
+        return x if self.model_type in SECOND_ORDER else F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
+
     def _inputs(self) -> dict:
         """The features as numbers under names of their own, so that they cannot clash with those of the model."""
-        x = lambda f: F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0))
-        return {f"_f{k}": x(f).alias(f"_f{k}") for k, f in enumerate(self.features)}
+        return {f"_f{k}": self._value(f).alias(f"_f{k}") for k, f in enumerate(self.features)}
 
-    def fit(self, df: DataFrame, target: str, features: list[str], weight: str | None = None, key: list[str] | None = None) -> ModelTrainer:
+    def fit(self, df: DataFrame, target: str, features: list[str], weight: str | None = None, key: list[str] | None = None, held: Column | None = None) -> ModelTrainer:
+        """held: rows that only decide when boosting stops."""
         require(df, target, weight, *features)
         check_weights(df, weight)
         if self.task == "classification":
             validate_binary_target(df, target)
         self.features = list(features)
         w = col(weight).cast("double") if weight else F.lit(1.0)
-        rows = df.select(col(target).cast("double").alias("_label"), w.alias("_weight"), *self._inputs().values(), *([(F.pmod(hashed(key or features, 42), F.lit(5)) == 0).alias("_validation")] if self.early_stopping and self.model_type in BOOSTERS else []))
+        if self.stop and held is None:
+            held = F.pmod(hashed(key or features, 42), F.lit(5)) == 0
+        if self.model_type in SECOND_ORDER:
+            return self._fit_boosted(df, target, w, key, held)
+        rows = df.select(col(target).cast("double").alias("_label"), w.alias("_weight"), *self._inputs().values(), *([held.alias("_validation")] if self.stop else []))
         assembler = VectorAssembler(inputCols=list(self._inputs()), outputCol="_features")
         total = rows.agg(F.sum("_weight")).first()[0] or 1.0
-        fitted = self._estimator(total, "_validation" if "_validation" in rows.columns else None).fit(assembler.transform(rows))
+        fitted = self._estimator(total, "_validation" if self.stop else None).fit(assembler.transform(rows))
         self.model = PipelineModel(stages=[assembler, fitted])
         return self
 
+    def _fit_boosted(self, df: DataFrame, target: str, w: Column, key: list[str] | None, held: Column | None) -> ModelTrainer:
+        settings = boosting.Settings.of(self.model_type, self.task, self.params | ({"early_stopping_rounds": self.stop} if self.stop else {}), UNUSED)
+        held = held if settings.stop else None
+        names = {n: fresh(df.columns, n) for n in ("_w", "_held")}
+        rows = df.withColumns({names["_w"]: w, names["_held"]: F.lit(False) if held is None else held})
+        text = [f for f in self.features if isinstance(df.schema[f].dataType, StringType)]
+        if self.model_type == "catboost" and text:
+            self.encoder = boosting.OrderedStatistics(text, settings.seed)
+            rows = self.encoder.fit(rows, target, list(key or ()), F.col(names["_held"]))
+        self.model = boosting.fit(rows, [self._value(f) for f in self.features], self.features, col(target), F.col(names["_w"]), settings, F.col(names["_held"]))
+        return self
+
     @property
     def fitted(self):
         if self.model is None:
             raise NotFittedError("the model is not fitted")
-        return self.model.stages[-1]
+        return self.model if self.model_type in SECOND_ORDER else self.model.stages[-1]
+
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """The features as the trees see them, string ones as numbers."""
+        rows = df.select(*map(col, self.features))
+        return self.encoder.transform(rows) if self.encoder else rows
 
     def predict_proba(self, df: DataFrame, name: str = "probability") -> DataFrame:
         """Adds the probability of class 1 (a logistic one as a plain projection) or the predicted number."""
         m = self.fitted
-        x = {f: F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)) for f in self.features}
         if self.model_type in LINEAR:
             z = F.lit(float(m.intercept))
             for f, b in zip(self.features, m.coefficients, strict=True):
-                z = z + F.lit(float(b)) * x[f]
+                z = z + F.lit(float(b)) * self._value(f)
             return df.withColumn(name, 1 / (1 + F.exp(-z)) if self.model_type == "logistic" else z)
+        if self.encoder:
+            packed = df.select(F.struct("*").alias("_row"), *[col(f).alias(f"_f{k}") for k, f in enumerate(self.features)])
+            place = {f: f"_f{k}" for k, f in enumerate(self.features)}
+            coded = self.encoder.transform(packed, place)
+            return coded.select("_row.*", m.output([F.col(place[f]).cast("double") for f in self.features]).alias(name))
+        if self.model_type in SECOND_ORDER:
+            return df.withColumn(name, m.output([self._value(f) for f in self.features]))
         packed = df.select(F.struct("*").alias("_row"), *self._inputs().values())
         out = self.model.transform(packed)
         value = vector_to_array(F.col("probability"))[1] if self.task == "classification" else F.col("prediction")
@@ -149,10 +189,13 @@ class ModelTrainer:
     def predict(self, df: DataFrame, threshold: float = 0.5, name: str = "prediction") -> DataFrame:
         if self.task != "classification":
             return self.predict_proba(df, name)
-        return self.predict_proba(df, "_p").withColumn(name, (F.col("_p") >= threshold).cast("int")).drop("_p")
+        p = fresh([*df.columns, name], "_p")
+        return self.predict_proba(df, p).withColumn(name, (F.col(p) >= threshold).cast("int")).drop(p)
 
     def importance_values(self) -> dict[str, float]:
         m = self.fitted
+        if self.model_type in SECOND_ORDER:
+            return dict(zip(self.features, m.importance(), strict=True))
         values = [abs(float(v)) for v in m.coefficients] if self.model_type in LINEAR else [float(v) for v in m.featureImportances.toArray()]
         return dict(zip(self.features, values, strict=True))
 
@@ -165,7 +208,10 @@ class ModelTrainer:
 
         The output is the number or log odds for linear and boosted models, the probability for trees and forests.
         """
-        x = {f: F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)).alias(f) for f in self.features}
+        x = {f: self._value(f).alias(f) for f in self.features}
+        if self.model_type in SECOND_ORDER:
+            rows = self.encoded(df).select(*x.values())
+            return rows.mapInPandas(in_batches([(1.0, t.leaves()) for t in self.fitted.trees], self.features), rows.schema)
         if self.model_type not in LINEAR:
             rows = df.select(*x.values())
             return rows.mapInPandas(in_batches(trees_of(self.fitted, self.task), self.features), rows.schema)
@@ -181,16 +227,31 @@ class ModelTrainer:
         return {"model_type": self.model_type, "task": self.task, "n_features": len(self.features), "params": self.params}
 
     def save(self, path: str) -> None:
-        spark = self.fitted._java_obj and __import__("pyspark").sql.SparkSession.getActiveSession()
-        self.model.write().overwrite().save(f"{path}/model")
-        text = json.dumps(self.summary() | {"features": self.features})
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        spark = SparkSession.getActiveSession()
+        about = self.summary() | {"features": self.features}
+        if self.model_type in SECOND_ORDER:
+            spark.createDataFrame([(self.fitted.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+            if self.encoder:
+                about |= {"encoded": self.encoder.columns, "prior": self.encoder.prior}
+                for k, c in enumerate(self.encoder.columns):
+                    self.encoder.tables[c].toDF("category", "mean").write.mode("overwrite").parquet(f"{path}/categories/{k}")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark, path: str) -> ModelTrainer:
         about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         out = cls(about["model_type"], about["task"], **about["params"])
-        out.features, out.model = about["features"], PipelineModel.load(f"{path}/model")
+        out.features = about["features"]
+        if out.model_type in SECOND_ORDER:
+            out.model = boosting.Boosted.from_json(spark.read.text(f"{path}/model").first()[0])
+            if about.get("encoded"):
+                out.encoder = boosting.OrderedStatistics(about["encoded"])
+                out.encoder.prior = about["prior"]
+                out.encoder.tables = {c: spark.read.parquet(f"{path}/categories/{k}").toDF(c, "mean") for k, c in enumerate(about["encoded"])}
+        else:
+            out.model = PipelineModel.load(f"{path}/model")
         return out
 
 
@@ -199,8 +260,9 @@ def train_model(df: DataFrame, target: str, features: list[str], model_type: str
 
 
 def evaluate(trainer: ModelTrainer, df: DataFrame, target: str, weight: str | None = None) -> dict[str, float]:
-    scored = trainer.predict_proba(df, "_score")
-    row = metrics.all_metrics(scored, target, "_score", weight=weight) if trainer.task == "classification" else metrics.regression(scored, target, "_score", weight)
+    score = fresh(df.columns, "_score")
+    scored = trainer.predict_proba(df, score)
+    row = metrics.all_metrics(scored, target, score, weight=weight) if trainer.task == "classification" else metrics.regression(scored, target, score, weight)
     return row.first().asDict()
 
 
