@@ -20,8 +20,10 @@ import pandas as pd
 class Leaf:
     value: float
     reach: float
-    #: feature -> (low, high, share, missing): values in (low, high] come here, missing ones if so, of unknown ones that share
-    path: dict[int, tuple[float, float, float, bool]]
+    #: feature -> (low, high, share): values in (low, high] come here, of unknown ones that share
+    path: dict[int, tuple[float, float, float]]
+    #: features of the path whose missing values come here
+    missing: frozenset[int] = frozenset()
 
 
 def leaves_of(node, leaf_value) -> list[Leaf]:
@@ -33,10 +35,10 @@ def leaves_of(node, leaf_value) -> list[Leaf]:
             out.append(Leaf(float(leaf_value(node)), reach, path))
             continue
         f, cut, n = node.split().featureIndex(), node.split().threshold(), node.impurityStats().count()
-        low, high, share, _ = path.get(f, (-inf, inf, 1.0, False))
+        low, high, share = path.get(f, (-inf, inf, 1.0))
         for child, bounds in ((node.leftChild(), (low, min(high, cut))), (node.rightChild(), (max(low, cut), high))):
             part = child.impurityStats().count() / n if n else 0.5
-            todo.append((child, reach * part, path | {f: (*bounds, share * part, False)}))
+            todo.append((child, reach * part, path | {f: (*bounds, share * part)}))
     return out
 
 
@@ -61,11 +63,11 @@ def contributions(x: np.ndarray, trees: list[tuple[float, list[Leaf]]]) -> tuple
         for leaf in leaves:
             base += scale * leaf.value * leaf.reach
             m = len(leaf.path)
-            takes = {f: np.where(np.isnan(x[:, f]), missing, (x[:, f] > a) & (x[:, f] <= b)).astype(np.float64) for f, (a, b, _, missing) in leaf.path.items()}
-            for f, (_, _, share, _) in leaf.path.items():
+            takes = {f: np.where(np.isnan(x[:, f]), f in leaf.missing, (x[:, f] > a) & (x[:, f] <= b)).astype(np.float64) for f, (a, b, _) in leaf.path.items()}
+            for f, (_, _, share) in leaf.path.items():
                 # sums over subsets of the other features by the number that is known
                 known = [np.ones(len(x))]
-                for g, (_, _, other, _) in leaf.path.items():
+                for g, (_, _, other) in leaf.path.items():
                     if g != f:
                         known = [(known[k] * other if k < len(known) else 0.0) + (known[k - 1] * takes[g] if k else 0.0) for k in range(len(known) + 1)]
                 weight = sum(c * (factorial(k) * factorial(m - 1 - k) / factorial(m)) for k, c in enumerate(known))

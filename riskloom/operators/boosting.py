@@ -154,18 +154,19 @@ class Tree:
 
     def leaves(self) -> list[Leaf]:
         """Leaves with the intervals of their paths, for contributions."""
-        out, todo = [], [(0, 1.0, {})]
+        out, todo = [], [(0, 1.0, {}, frozenset())]
         while todo:
-            node, reach, path = todo.pop()
+            node, reach, path, missing = todo.pop()
             f = self.feature[node]
             if f < 0:
-                out.append(Leaf(self.value[node], reach, path))
+                out.append(Leaf(self.value[node], reach, path, missing))
                 continue
-            low, high, share, missing = path.get(f, (-math.inf, math.inf, 1.0, True))
+            low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
             top = math.nextafter(self.cut[node], -math.inf)
             for child, bounds, stays in ((self.left[node], (low, min(high, top)), self.missing_left[node]), (self.right[node], (max(low, top), high), not self.missing_left[node])):
                 part = self.cover[child] / self.cover[node] if self.cover[node] else 0.5
-                todo.append((child, reach * part, path | {f: (*bounds, share * part, missing and stays)}))
+                here = stays and (f in missing or f not in path)
+                todo.append((child, reach * part, path | {f: (*bounds, share * part)}, missing | {f} if here else missing - {f}))
         return out
 
 

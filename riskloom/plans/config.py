@@ -24,7 +24,7 @@ BINNER = ("min_samples_bin", "monotonic", "smoothing")
 CREDIT = {"credit_score_col": "column", "base_score": "base", "pdo": "pdo", "min_score": "low", "max_score": "high"}
 TURNED = ("target_transform", "seed", "early_stopping", "early_stopping_rounds", "early_stopping_metric", "use_sample_weight", "convert_to_credit_score", "export_excel")
 #: Settings that a regression has.
-REGRESSION = ("model_type", "clean", "oot_start", "log_target", "normalize", "dev_label", "oot_label", "encoding")
+REGRESSION = ("model_type", "clean", "oot_start", "log_target", "normalize", "dev_label", "oot_label", "encoding", "key")
 
 
 def load_config(path: str) -> dict:
@@ -64,7 +64,7 @@ def to_arguments(config: dict) -> dict:
     if config.get("target_transform"):
         how["log_target"] = True
     if config.get("early_stopping") not in (None, "none", False) and config.get("early_stopping_rounds"):
-        how["early_stopping_rounds"] = config["early_stopping_rounds"]  # judged on a fifth of the development rows
+        how |= {k: config[k] for k in ("early_stopping", "early_stopping_rounds", "early_stopping_metric") if config.get(k)}
     if config.get("seed") is not None and how.get("model_type", "logistic") not in ("logistic", "linear", "linear_regression"):
         how["seed"] = config["seed"]
     roles = {k: config[k] for k in ROLES if config.get(k)}

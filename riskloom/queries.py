@@ -7,6 +7,7 @@ weights and a sample label; ``price`` there is l_extendedprice with NULL and -99
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .operators import binning as B, cleaning as C, features as X, metrics as M, models as L, profiling as P, risk as K, scorecard as S, splits as D, stability as Y
 from .functions import basics, quantiles as Q
 from .sources import tables as IO
-from .sources.shared import shared_path
+from .sources.shared import put_bytes, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,12 +114,11 @@ def _spilled(spark, df: DataFrame, name: str, kind: str | None = None) -> str:
     return IO.save_dataframe(df, shared_path(spark, name), kind)
 
 
-@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 0")
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus end as o_orderstatus, o_totalprice from orders")
 def load_csv(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     df = df.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("n/a"))
-    out = IO.load_csv(spark, _spilled(spark, df, "orders.csv"), ["o_orderkey", "o_orderstatus", "o_totalprice"], null_values=["n/a"], schema="o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
-    return out.where("o_orderstatus is not null")
+    return IO.load_csv(spark, _spilled(spark, df, "orders.csv"), ["o_orderkey", "o_orderstatus", "o_totalprice"], null_values=["n/a"], schema="o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
 
 
 @query("select s_suppkey, s_name from supplier")
@@ -140,14 +140,14 @@ def load_dataframe(spark, d):
 
 @query("select n_nationkey::double as n_nationkey, n_name from nation")
 def load_excel(spark, d):
-    path = shared_path(spark, "nation.xlsx").removeprefix("file://")
+    path = shared_path(spark, "nation.xlsx")
     return IO.load_excel(spark, IO.write_xlsx({"regions": table(spark, d, "region"), "nations": table(spark, d, "nation").select("n_nationkey", "n_name")}, path), sheet_name="nations").select(F.col("n_nationkey").cast("double").alias("n_nationkey"), "n_name")
 
 
 @query("select r_regionkey, r_name from region")
 def load_pickle(spark, d):
-    path = shared_path(spark, "region.pkl").removeprefix("file://")
-    table(spark, d, "region").select("r_regionkey", "r_name").toPandas().to_pickle(path)
+    path = shared_path(spark, "region.pkl")
+    put_bytes(pickle.dumps(table(spark, d, "region").select("r_regionkey", "r_name").toPandas()), path)
     return IO.load_pickle(spark, path).select(F.col("r_regionkey").cast("int").alias("r_regionkey") if dict(table(spark, d, "region").dtypes)["r_regionkey"] == "int" else "r_regionkey", "r_name")
 
 
@@ -431,7 +431,7 @@ def woe_weighted_quantile(spark, d):
 def binning_round_trip(spark, d):
     """Rules written as JSON and read back."""
     df = credit(spark, d)
-    path = shared_path(spark, "binning.json").removeprefix("file://")
+    path = shared_path(spark, "binning.json")
     IO.save_binning(B.WoeBinner(5).fit(df, features=FEATURES, target="y"), path)
     return rounded(_woe(df, IO.load_binning(path)).select(*TABLE))
 
@@ -439,7 +439,7 @@ def binning_round_trip(spark, d):
 @query(_table_sql(long_sql(), "feature, bin_idx, round(woe, 6) as woe"))
 def woe_mapping(spark, d):
     """The WOE of each bin, written as JSON and read back."""
-    path = shared_path(spark, "woe.json").removeprefix("file://")
+    path = shared_path(spark, "woe.json")
     IO.save_woe_mapping(B.WoeBinner(5).fit(credit(spark, d), features=FEATURES, target="y"), path)
     return rounded(spark.createDataFrame([(f, k, v) for f, found in IO.load_woe_mapping(path).items() for k, v in found.items()], "feature string, bin_idx int, woe double"))
 
@@ -942,15 +942,6 @@ def importance_permutation(spark, d):
     return L.permutation_importance(L.train_model(df, "y", FEATURES), df, "y")
 
 
-@query("select * from (values ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(feature)")
-def importance_linear(spark, d):
-    """Contributions of a linear model: one for each feature, each with mean 0."""
-    df = credit(spark, d)
-    parts = L.train_model(df, "y", FEATURES).contributions(df)
-    means = parts.agg(*[F.abs(F.avg(f)).alias(f) for f in FEATURES]).first()
-    return spark.createDataFrame([(f,) for f in FEATURES if means[f] < 1e-6], "feature string")
-
-
 # models and scorecards
 
 
@@ -986,6 +977,17 @@ def logistic_predictions(spark, d):
     return out.select("l_orderkey", "l_linenumber", F.round("probability", 3).alias("probability"), "prediction")
 
 
+_SINGLE = ["l_quantity", "l_discount"]
+
+
+@query(f"with {CREDIT} " + " union all ".join(f"select '{x}' as feature, round(avg(abs(b1 * ({x} - m))), 3) as importance from credit, (select avg({x}) as m from credit), {newton_sql(x)}" for x in _SINGLE))
+def importance_linear(spark, d):
+    """The mean size of what a feature adds to the log odds, for a model of each feature."""
+    df = credit(spark, d)
+    tables = [L.train_model(df, "y", [x]).shap_importance(df) for x in _SINGLE]
+    return rounded(tables[0].unionByName(tables[1]), 3)
+
+
 @query("select 'logistic' as model_type, true as has_metadata union all select 'tree', true")
 def saved_models(spark, d):
     df, path = credit(spark, d), shared_path(spark, "models")
@@ -1001,6 +1003,72 @@ def train_boosted(spark, d):
     return rounded(M.all_metrics(model.predict_proba(df.where("sample = 'oot'")), "y", "probability"))
 
 
+_STUMP = ["qty", "l_discount", "l_tax"]
+_STUMP_SQL = f"""with {CREDIT}, t as (
+  select *, case when l_orderkey % 5 <> 0 then l_quantity end as qty from credit
+), b as (
+  select sum(w * y) / sum(w) as p from t
+), r as (
+  select t.*, w * (p - y) as g, w * p * (1 - p) as h from t, b
+), f as (
+  {" union all ".join(f"select {k} as k, '{x}' as feature, {x} as x, g, h from r" for k, x in enumerate(_STUMP))}
+), v as (
+  select k, feature, x, sum(g) as g, sum(h) as h from f where x is not null group by all
+), a as (
+  select k, feature, sum(g) as g, sum(h) as h, coalesce(sum(g) filter (x is null), 0) as mg, coalesce(sum(h) filter (x is null), 0) as mh from f group by all
+), c as (
+  select k, feature, x as cut, sum(g) over w as gl, sum(h) over w as hl from v window w as (partition by k order by x rows between unbounded preceding and 1 preceding)
+), d as (
+  select c.k, c.feature, cut, left_too, gl + left_too::int * mg as gl, hl + left_too::int * mh as hl, a.g, a.h
+  from c join a on a.k = c.k, (values (false), (true)) m(left_too) where gl is not null and not (left_too and mh = 0)
+)
+select feature, round(cut, 6) as cut, left_too as missing_left, round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 4) as gain,
+  round(-0.3 * gl / (hl + 1), 6) as left_value, round(-0.3 * (g - gl) / (h - hl + 1), 6) as right_value
+from d where hl >= 1 and h - hl >= 1 order by gain desc limit 1"""
+
+
+@query(_STUMP_SQL)
+def boosted_stump(spark, d):
+    """The first split of second-order boosting, with weights and missing values."""
+    df = credit(spark, d).withColumn("qty", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity")))
+    t = L.train_model(df, "y", _STUMP, "xgboost", weight="w", n_estimators=1, max_depth=1).fitted.trees[0]
+    row = (_STUMP[t.feature[0]], t.cut[0], t.missing_left[0], round(t.gain[0], 4), t.value[1], t.value[2])
+    return rounded(spark.createDataFrame([row], "feature string, cut double, missing_left boolean, gain double, left_value double, right_value double"))
+
+
+@query()
+def train_leafwise(spark, d):
+    """Trees of 31 leaves that are grown by gain."""
+    df = credit(spark, d)
+    model = L.train_model(df.where("sample = 'dev'"), "y", FEATURES, "lightgbm", n_estimators=5)
+    return rounded(M.all_metrics(model.predict_proba(df.where("sample = 'oot'")), "y", "probability"))
+
+
+@query()
+def train_oblivious(spark, d):
+    """Symmetric trees, and a category by means of the rows before."""
+    df = credit(spark, d)
+    model = L.train_model(df.where("sample = 'dev'"), "y", [*FEATURES, "l_returnflag"], "catboost", iterations=10, learning_rate=0.3)
+    return rounded(M.all_metrics(model.predict_proba(df.where("sample = 'oot'")), "y", "probability"))
+
+
+@query()
+def early_stopping(spark, d):
+    """The held rows' loss after each round, up to three rounds without gain."""
+    df = credit(spark, d)
+    model = L.train_model(df.where("sample = 'dev'"), "y", FEATURES, "xgboost", n_estimators=15, max_depth=2, learning_rate=0.8, early_stopping_rounds=3).fitted
+    return rounded(spark.createDataFrame([(k, v, k <= model.best_round) for k, v in enumerate(model.history)], "round int, loss double, kept boolean"))
+
+
+@query(f"with {CREDIT}, p as (select avg(y) as p from credit where sample = 'dev'), m as (select l_returnflag, (sum(y) + max(p)) / (count(*) + 1) as m from credit, p where sample = 'dev' group by l_returnflag) select l_orderkey, l_linenumber, round(coalesce(m, p), 6) as l_returnflag from credit left join m using (l_returnflag), p where sample = 'oot'")
+def target_statistics(spark, d):
+    """A category as the mean target of the rows that were learned from."""
+    df = credit(spark, d)
+    coder = L.boosting.OrderedStatistics(["l_returnflag"])
+    coder.fit(df.where("sample = 'dev'"), "y", ["l_orderkey", "l_linenumber"])
+    return rounded(coder.transform(df.where("sample = 'oot'")).select("l_orderkey", "l_linenumber", "l_returnflag"))
+
+
 @query()
 def train_forest(spark, d):
     df = credit(spark, d)
@@ -1133,7 +1201,7 @@ def regression_pipeline(spark, d):
     return spark.createDataFrame([(k, round(v, 6 if k.endswith("r2") else 2)) for k, v in pipe.metrics.items()], "metric string, value double")
 
 
-@query("select 'r' || n_nationkey as run_id, n_name as model_type, n_nationkey / 100::double as auc from nation where n_nationkey < 3")
+@query("select 'r' || n_nationkey as run_id, n_name as model_type, n_nationkey / 100::double as auc from nation")
 def run_history(spark, d):
     """Runs archived and read back as a table."""
     import os
@@ -1142,7 +1210,7 @@ def run_history(spark, d):
 
     folder = shared_path(spark, "runs").removeprefix("file://")
     os.makedirs(f"{folder}/out")
-    for r in table(spark, d, "nation").where("n_nationkey < 3").collect():
+    for r in table(spark, d, "nation").collect():
         runs.archive_run(f"{folder}/out", f"{folder}/runs", metrics={"auc": r["n_nationkey"] / 100, "none": float("nan")}, model_type=r["n_name"], run_id=f"r{r['n_nationkey']}")
     return runs.runs_table(spark, f"{folder}/runs").select("run_id", "model_type", "metrics.auc")
 

@@ -1,4 +1,4 @@
-"""A folder that the driver and all executors can reach, for files that the library itself writes."""
+"""Files on the store that Spark's writers use: a folder that driver and executors share, and single files by path or URI."""
 
 from __future__ import annotations
 
@@ -25,3 +25,42 @@ def shared_path(spark: SparkSession, name: str) -> str:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def _store(path: str):
+    """The path as the JVM's, and the file system it is on; a path without scheme is on Spark's default one."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return at, store.getRawFileSystem() if store.getUri().getScheme() == "file" else store  # no checksum files beside plain ones
+
+
+def put_file(local: str, path: str) -> str:
+    """Moves a file of the driver's disk to a path on the store."""
+    at, store = _store(path)
+    here = SparkSession.getActiveSession().sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+    store.copyFromLocalFile(True, True, here, at)
+    return path
+
+
+def put_bytes(data: bytes, path: str) -> str:
+    with tempfile.NamedTemporaryFile(delete=False) as f:
+        f.write(data)
+    return put_file(f.name, path)
+
+
+def get_bytes(path: str) -> bytes | None:
+    """A file's content; None where there is none."""
+    at, store = _store(path)
+    if not store.exists(at):
+        return None
+    with tempfile.TemporaryDirectory() as folder:
+        here = SparkSession.getActiveSession().sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{folder}/it")
+        store.copyToLocalFile(False, at, here, True)
+        with open(f"{folder}/it", "rb") as f:
+            return f.read()
+
+
+def names_in(folder: str) -> list[str]:
+    at, store = _store(folder)
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []

@@ -6,6 +6,7 @@ import io
 import json
 import pickle
 import re
+import tempfile
 import zipfile
 from pathlib import Path
 from xml.etree import ElementTree
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ConfigurationError
 from ..functions.basics import col, ensure_dataframe, plain
+from .shared import get_bytes, put_bytes, put_file
 
 
 def load_csv(spark: SparkSession, path: str, columns: list[str] | None = None, n_rows: int | None = None, skip_rows: int = 0, has_header: bool = True, separator: str = ",", encoding: str = "utf-8", null_values: list[str] = (), schema: str | None = None) -> DataFrame:
@@ -109,14 +111,22 @@ def load_dataframe(spark: SparkSession, path: str, kind: str | None = None, **ho
 
 
 def save_json(data: dict, path: str) -> str:
-    """Keys become strings; numbers that are not finite become null."""
+    """Keys become strings; numbers that are not finite become null. A path with a scheme is on that store, else on the driver's disk."""
+    text = json.dumps(plain(data), indent=2, ensure_ascii=False, allow_nan=False)
+    if "://" in path:
+        return put_bytes(text.encode(), path)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(data), indent=2, ensure_ascii=False, allow_nan=False))
+    Path(path).write_text(text)
     return path
 
 
 def load_json(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+    if "://" not in path:
+        return json.loads(Path(path).read_text())
+    text = get_bytes(path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
 
 
 save_config, load_config = save_json, load_json
@@ -185,7 +195,13 @@ SHEET_ROWS = 1_048_576
 
 
 def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = SHEET_ROWS) -> str:
-    """Tables as sheets, row by row; a table goes on in further sheets (name_2, ...) where one is full."""
+    """Tables as sheets, row by row; a table goes on in further sheets (name_2, ...) where one is full.
+
+    A path with a scheme is on that store, else on the driver's disk.
+    """
+    if "://" in path:
+        with tempfile.TemporaryDirectory() as folder:
+            return put_file(write_xlsx(sheets, f"{folder}/it.xlsx", most), path)
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     pack = "http://schemas.openxmlformats.org/package/2006"
     Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -220,7 +236,8 @@ def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = SHEET_ROWS)
     return path
 
 
-def sheet_names(path: str) -> list[str]:
+def sheet_names(path) -> list[str]:
+    """Of a workbook on the driver's disk, or of an open file."""
     with zipfile.ZipFile(path) as z:
         return [e.attrib["name"] for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")]
 

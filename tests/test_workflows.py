@@ -195,6 +195,39 @@ def test_regression_round_trip(spark):
     assert np.allclose(got["prediction"], got["target"], rtol=1e-3, atol=1e-3)
 
 
+def test_regression_release_passes_the_gate(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), 1.5 + 0.2 * i, "dev" if i < 20 else "oot") for i in range(30)], "x double, target double, sample string")
+    folder = str(tmp_path / "new" / "run")
+    pipe = pipeline.RegressionPipeline(Roles(target="target", sample="sample"), solver="normal").fit(df)
+    pipe.save(folder)
+    assert {"Overview_Performance", "Artifact_Metadata", "OOT_Metrics", "Model_Estimation"} <= set(IO.sheet_names(pipe.save(f"file://{folder}").removeprefix("file://")))
+    result = pipeline.validate_release(spark, folder)
+    assert result["passed"] and "min_auc" not in result
+    assert not pipeline.validate_release(spark, str(tmp_path / "none"))["passed"]
+    again = pipeline.ScoringArtifact.load(spark, f"{folder}/scoring_artifact").score(df, "prediction").toPandas()
+    assert np.allclose(again["prediction"], again["target"], atol=1e-6)
+
+
+@pytest.mark.parametrize("sample", ["dev_holdout", "oot"])
+def test_early_stopping_of_pipelines(spark, sample):
+    """Rounds, metric and sample are honoured; the out-of-time sample is on the scale that is learned."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=900)
+    pdf = pd.DataFrame({"x": x, "z": rng.normal(size=900), "amount": rng.lognormal(2 + 0.8 * x, 0.3), "sample": ["dev"] * 700 + ["oot"] * 200})
+    how = {"early_stopping": sample, "early_stopping_rounds": 4, "n_estimators": 30, "max_depth": 2, "learning_rate": 0.5}
+    pipe = pipeline.RegressionPipeline(Roles(target="amount", sample="sample"), "xgboost", log_target=True, early_stopping_metric="mae", **how).fit(spark.createDataFrame(pdf))
+    model = pipe.artifact.model.model
+    assert 0 < model.best_round and len(model.trees) == model.best_round + 1 <= len(model.history) <= 30 and min(model.history) == model.history[model.best_round] < 0.5
+    if sample == "oot":
+        got = pipe.artifact.score(pipe.split.oot, "p").toPandas()
+        assert np.abs(np.log1p(got["p"]) - np.log1p(got["amount"])).mean() == pytest.approx(model.history[model.best_round], abs=1e-9)
+    pdf["amount"] = (pdf["amount"] > 8).astype(int)
+    auto = pipeline.AutoPipeline(Roles(target="amount", sample="sample"), "lightgbm", early_stopping_metric="auc", **(how | {"n_estimators": 4})).fit(spark.createDataFrame(pdf))
+    assert len(auto.artifact.model.model.history) <= 4 and max(auto.artifact.model.model.history) > 0.8
+    with pytest.raises(ValidationError):
+        pipeline.AutoPipeline(Roles(target="amount", sample="sample"), early_stopping="train")
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "a|b", 1.5), (2, None, None)], "k int, s string, x double")
     for kind in ("csv", "parquet", "json", "orc"):
