@@ -1,15 +1,24 @@
 """Exact quantiles, weighted quantiles and running sums that need no task to hold all rows.
 
-Spark's percentile keeps a map of all distinct values of all columns in one task; for tables
-above SMALL rows, brackets from a sketch leave few values to rank, for those above BRACKETED
-rows they are narrowed until few rows lie between their ends. Running sums over a value's order go through ranges of the value: sums within
+Spark's percentile keeps a map of all distinct values of all columns in one task; tables above
+SMALL rows are searched by digits instead. A double's bits, negative ones turned over, are in
+the order of the values. A scan counts, for all columns and quantiles at once, the values
+whose leading digits are known by the next digit of DIGIT bits; tasks add up their rows, a
+shuffle adds up the tasks, and running sums there tell the digit that a quantile has. Scans end
+as soon as all values of a digit are the same, after 64 / DIGIT at the latest, whatever the
+numbers of rows, columns and quantiles; the driver sees one row a column and quantile.
+
+Running sums over a value's order go through ranges of the value: sums within
 a range by a window, and the sums of earlier ranges from a table of one row a range.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
@@ -17,8 +26,8 @@ from .basics import fresh
 
 #: Rows up to which Spark's percentile keeps all values of all columns in one task.
 SMALL = 20_000
-#: Rows up to which brackets of one sketch are narrow enough, and how finely it ranks.
-BRACKETED, ACCURACY = 5_000_000, 2_000
+#: Bits of a digit, and counts that a task holds before it adds them up.
+DIGIT, HELD = 16, 400_000
 #: Rows of one range, and ranges at most; beyond that ranges grow.
 RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
 
@@ -39,96 +48,139 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float], small: int = SMALL, bracketed: int = BRACKETED) -> dict[str, list[float] | None]:
-    """Linear quantiles of each expression's finite values; None where there are none."""
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float], small: int = SMALL, bracketed: int | None = None) -> dict[str, list[float] | None]:
+    """Linear quantiles of each expression's finite values; None where there are none. bracketed changes nothing any more."""
     qs, names = check(qs), list(columns)
     if not names or not qs:
         return {n: [] for n in names}
     values = df.select(*[finite(c).alias(f"_{k}") for k, c in enumerate(columns.values())])
-    wide = 2 / ACCURACY
-    ends = sorted({min(1.0, max(0.0, q + d)) for q in qs for d in (-wide, wide)})
-    about = values.agg(*[F.count(f"_{k}").alias(f"n{k}") for k in range(len(names))], *[F.percentile_approx(f"_{k}", ends, ACCURACY).alias(f"e{k}") for k in range(len(names))]).first()
-    counts = list(about[: len(names)])
+    counts = values.agg(*[F.count(f"_{k}") for k in range(len(names))]).first()
     if max(counts) <= small:
         row = values.agg(*[percentiles(F.col(f"_{k}"), qs).alias(f"_{k}") for k in range(len(names))]).first()
         return {n: row[k] for k, n in enumerate(names)}
-    found = _bracketed(values, counts, qs, wide, [dict(zip(ends, e or [None] * len(ends), strict=True)) for e in about[len(names) :]]) if max(counts) <= bracketed else {}
+    found = _plain(values, counts, qs)
+    return {n: found.get(k) for k, n in enumerate(names)}
+
+
+def _plain(values: DataFrame, counts: list[int], qs: list[float]) -> dict[int, list[float]]:
+    """Linear quantiles of the columns _0, _1, ... by the ranks on both sides of each."""
+    ranks = {(k, float(r)) for k, n in enumerate(counts) if n for q in qs for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    found = {t: g.low for t, g in _search(values, ranks, None).items()}
     out = {}
-    for k, n in enumerate(names):
-        out[n] = None if not counts[k] else found[k] if k in found else _ranked(values.select(F.col(f"_{k}").alias("x")), counts[k], qs, max(small, 1000))
+    for k, n in enumerate(counts):
+        if n:
+            at = [q * (n - 1) for q in qs]
+            out[k] = [found[k, float(math.floor(a))] + (found[k, float(math.ceil(a))] - found[k, float(math.floor(a))]) * (a - math.floor(a)) for a in at]
     return out
 
 
-def _bracketed(values: DataFrame, counts: list[int], qs: list[float], wide: float, sketch: list[dict]) -> dict[int, list[float]]:
-    """Quantiles of all columns from values of a sketch on both sides of each: two more passes
-    give the numbers of rows below, and the distinct values between with their numbers.
+class _Group:
+    """Rows of a target's leading digits: what they weigh, what lies before them, and their ends with the weights there."""
 
-    The sketch errs by one rank in ACCURACY, so few values lie between; columns for which it
-    erred by more are left out.
-    """
-    some = [k for k, n in enumerate(counts) if n]
-    bracket = {}
-    for k in some:
-        for j, q in enumerate(qs):
-            bracket[k, j] = (sketch[k][min(1.0, max(0.0, q - wide))] if q > wide else None, sketch[k][min(1.0, max(0.0, q + wide))] if q < 1 - wide else None)
-    low = lambda k, a: F.lit(False) if a is None else F.col(f"_{k}") < F.lit(a)
-    below = values.agg(*[F.count(F.when(low(k, a), 1)).alias(f"b{k}_{j}") for (k, j), (a, _) in bracket.items()]).first()
-    inside = lambda k, a, b: F.col(f"_{k}").isNotNull() & ~low(k, a) & (F.lit(True) if b is None else F.col(f"_{k}") <= F.lit(b))
-    each = F.array(*[F.when(inside(k, a, b), F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), F.col(f"_{k}").alias("x"))) for (k, j), (a, b) in bracket.items()])
-    rows = values.select(F.explode(F.filter(each, lambda p: p.isNotNull())).alias("p")).select("p.*").groupBy("k", "j", "x").agg(F.count(F.lit(1)).alias("n")).collect()
-    held: dict[tuple, list] = {}
-    for r in rows:
-        held.setdefault((r["k"], r["j"]), []).append((r["x"], r["n"]))
-    out: dict[int, list[float]] = {}
-    for k in some:
-        found = []
-        for j, q in enumerate(qs):
-            place, seen, spots = q * (counts[k] - 1), below[f"b{k}_{j}"], {}
-            need = {math.floor(place), math.ceil(place)}
-            for x, n in sorted(held.get((k, j), [])):
-                spots |= {r: x for r in need if seen <= r < seen + n}
-                seen += n
-            if len(spots) < len(need):
-                break
-            a, b = spots[math.floor(place)], spots[math.ceil(place)]
-            found.append(a + (b - a) * (place - math.floor(place)))
-        else:
-            out[k] = found
-    return out
+    def __init__(self, before: float, weight: float, low: float, high: float, first: float, last: float, previous, following):
+        self.before, self.weight, self.low, self.high, self.first, self.last = before, weight, low, high, first, last
+        #: (value, greatest weight) of the next lesser value, (value, least weight) of the next greater one
+        self.previous, self.following = previous, following
 
 
-def _ranked(values: DataFrame, n: int, qs: list[float], small: int) -> list[float]:
-    """Order statistics by narrowing brackets: a bracket is (low, high, rows below low, rows in it)."""
-    values = values.where("x is not null")
-    at = [q * (n - 1) for q in qs]
-    need = sorted({math.floor(r) for r in at} | {math.ceil(r) for r in at})
-    ends = values.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
-    brackets = {r: (ends["a"], ends["b"], 0, n) for r in need}
-    for _ in range(64):
-        wide = {b for b in brackets.values() if b[3] > small and b[0] < b[1]}
-        if not wide:
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the values; both zeros are one."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(2**63))).view(np.uint64)
+
+
+def _search(values: DataFrame, targets: set[tuple[int, float]], weighted: set[int] | None) -> dict[tuple[int, float], _Group]:
+    """The group of equal values that each target lies in: a column's number, and the weight (or rows) before the place.
+
+    weighted: columns whose rows count by ``_w``.
+    """
+    spark, state = values.sparkSession, {t: (0, t[1], _Group(0.0, 0.0, 0.0, 1.0, 0.0, 0.0, None, None)) for t in targets}
+    done: dict[tuple[int, float], _Group] = {}
+    for level in range(64 // DIGIT):
+        names = sorted(state)
+        if not names:
             break
-        wide = list(wide)
-        inside = lambda b: F.when((F.col("x") >= b[0]) & (F.col("x") <= b[1]), F.col("x"))
-        fractions = [k / 64 for k in range(1, 64)]
-        cuts = values.agg(*[F.percentile_approx(inside(b), fractions, 2000).alias(f"c{i}") for i, b in enumerate(wide)]).first()
-        for i, b in enumerate(wide):
-            points = sorted({b[0], *cuts[i], b[1]})
-            row = values.agg(*[F.count(F.when(F.col("x") < p, 1)).alias(f"l{j}") for j, p in enumerate(points)], *[F.count(F.when(F.col("x") <= p, 1)).alias(f"m{j}") for j, p in enumerate(points)]).first()
-            below, upto = row[: len(points)], row[len(points) :]
-            for r in [r for r, x in brackets.items() if x == b]:
-                j = max(j for j in range(len(points)) if below[j] <= r)
-                brackets[r] = (points[j], points[j], below[j], upto[j] - below[j]) if r < upto[j] else (math.nextafter(points[j], math.inf), math.nextafter(points[j + 1], -math.inf), upto[j], below[j + 1] - upto[j])
-    found = {}
-    for b in set(brackets.values()):
-        ranks = [r for r, x in brackets.items() if x == b]
-        if b[0] == b[1]:
-            found |= dict.fromkeys(ranks, b[0])
-            continue
-        within = values.where((F.col("x") >= b[0]) & (F.col("x") <= b[1]))
-        row = within.agg(percentiles(F.col("x"), [min(1.0, (r - b[2]) / max(1, b[3] - 1)) for r in ranks]).alias("p")).first()["p"]
-        found |= dict(zip(ranks, row, strict=True))
-    return [found[math.floor(r)] + (found[math.ceil(r)] - found[math.floor(r)]) * (r - math.floor(r)) for r in at]
+        rows = [(i, t[0], state[t][0], state[t][1]) for i, t in enumerate(names)]
+        known = {k: np.unique([np.uint64(state[t][0]) for t in names if t[0] == k]) for k in {t[0] for t in names}}
+        hist = _histograms(values, level, known, weighted or set())
+        each = W.partitionBy("k", "prefix").orderBy("digit")
+        upto = each.rowsBetween(W.unboundedPreceding, 0)
+        placed = hist.withColumns({
+            "cum": F.sum("n").over(upto), "before": F.coalesce(F.sum("n").over(each.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
+            "previous": F.lag("high").over(each), "following": F.lead("low").over(each),
+        })
+        wanted = F.broadcast(spark.createDataFrame(rows, "t int, k int, prefix long, r double"))  # a row a column and quantile
+        hit = (F.col("r") >= F.col("before")) & ((F.col("r") < F.col("cum")) | F.col("following").isNull())
+        for r in placed.join(wanted, ["k", "prefix"]).where(hit).collect():
+            t = names[r["t"]]
+            prefix, local, parent = state[t]
+            ends = [None if e is None else (e["x"], e["w"]) for e in (r["previous"], r["following"])]
+            g = _Group(parent.before + r["before"], r["n"], r["low"]["x"], r["high"]["x"], r["low"]["w"], r["high"]["w"], ends[0] or parent.previous, ends[1] or parent.following)
+            if g.low == g.high:
+                done[t] = g
+                del state[t]
+            else:
+                state[t] = ((prefix << DIGIT) | r["digit"], local - r["before"], g)
+    return done
+
+
+def _histograms(values: DataFrame, level: int, known: dict[int, np.ndarray], weighted: set[int]) -> DataFrame:
+    """k, prefix, digit, n, low, high: weights, and least and greatest values x with their least and greatest weights w, by the next digit of values with known leading digits."""
+    shift, columns = 64 - DIGIT * (level + 1), sorted(known)
+    names = ["k", "prefix", "digit", "n", "low", "wlow", "high", "whigh"]
+
+    def add_up(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        k, prefix, digit, n, low, wlow, high, whigh = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((digit, prefix, k))
+        k, prefix, digit = k[order], prefix[order], digit[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (prefix[1:] != prefix[:-1]) | (digit[1:] != digit[:-1])
+        lead = np.flatnonzero(new)
+        if not len(lead):
+            return parts[0]
+        group = np.cumsum(new) - 1
+        low, wlow, high, whigh = (x[order] for x in (low, wlow, high, whigh))
+        least, most = np.minimum.reduceat(low, lead), np.maximum.reduceat(high, lead)
+        first = np.minimum.reduceat(np.where(low == least[group], wlow, np.inf), lead)
+        last = np.maximum.reduceat(np.where(high == most[group], whigh, -np.inf), lead)
+        return [k[lead], prefix[lead], digit[lead], np.add.reduceat(n[order], lead), least, first, most, last]
+
+    def batch_of(total: list[np.ndarray]) -> pa.RecordBatch:
+        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.float64()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(total, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for k in columns:
+                x = b[f"_{k}"]
+                some = x.is_valid().to_numpy(zero_copy_only=False)
+                x = x.to_numpy(zero_copy_only=False)[some] + 0.0
+                w = b["_w"].to_numpy(zero_copy_only=False)[some] if k in weighted else np.ones(len(x))
+                key = ordered_bits(x)
+                if level:
+                    prefix = key >> np.uint64(shift + DIGIT)
+                    at = np.minimum(np.searchsorted(known[k], prefix), len(known[k]) - 1)
+                    here = known[k][at] == prefix
+                    x, w, key, prefix = x[here], w[here], key[here], prefix[here].astype(np.int64)
+                else:
+                    prefix = np.zeros(len(x), np.int64)
+                if len(x):
+                    digit = ((key >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                    held.append(add_up([[np.full(len(x), k), prefix, digit, w, x, w, x, w]]))
+                    n += len(held[-1][0])
+            if n > HELD:
+                held = [add_up(held)]
+                n = len(held[0][0])
+                if n > HELD // 2:
+                    yield batch_of(held[0])
+                    held, n = [], 0
+        if held:
+            yield batch_of(add_up(held))
+
+    used = [f"_{k}" for k in columns] + (["_w"] if weighted & set(columns) else [])
+    sums = values.select(*used).mapInArrow(run, "k int, prefix long, digit int, n double, low double, wlow double, high double, whigh double").repartition("k", "prefix")
+    return sums.groupBy("k", "prefix", "digit").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("low").alias("x"), F.col("wlow").alias("w"))).alias("low"), F.max(F.struct(F.col("high").alias("x"), F.col("whigh").alias("w"))).alias("high"))
 
 
 def running(df: DataFrame, by: str, sums: dict[str, str], descending: bool = False, ties: tuple[str, ...] = (), ranges: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
@@ -193,27 +245,49 @@ def ranked(df: DataFrame, order: list[str], n: int, ranges: int | None = None, n
     return running(rows, order[0], {name: one}, ties=tuple(order[1:]), ranges=ranges_for(n) if ranges is None else ranges).drop(one)
 
 
-def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: list[float], ties: tuple[str, ...] = (), ranges: int | None = None) -> list[float]:
-    """Interpolated at (running weight - weight / 2) / total weight of each row in order of value.
+def weighted_quantiles_of(df: DataFrame, columns: dict[str, Column], weight: Column, qs: list[float]) -> dict[str, list[float] | None]:
+    """Quantiles of each expression's finite values, interpolated at (running weight - weight / 2) / total weight of each row.
 
-    Equal weights give plain linear quantiles. Within equal values only the first and the
-    last row matter, and rows are ordered by weight and ``ties`` there.
+    Rows go by value, then weight, so of equal values only the first and the last row matter.
+    Equal weights give plain linear quantiles. None where there are no values.
     """
-    qs = check(qs)
-    rows = df.select(finite(F.col(value)).alias("x"), finite(F.col(weight)).alias("w"), *[F.col(t).alias(f"t{k}") for k, t in enumerate(ties)]).where("x is not null and w is not null")
-    about = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("t"), F.min("w").alias("a"), F.max("w").alias("b")).first()
-    if not about["n"]:
+    qs, names = check(qs), list(columns)
+    if not names or not qs:
+        return {n: [] for n in names}
+    w = finite(weight)
+    values = df.select(w.alias("_w"), *[F.when(w.isNotNull(), finite(c)).alias(f"_{k}") for k, c in enumerate(columns.values())])
+    mine = lambda k: F.when(F.col(f"_{k}").isNotNull(), F.col("_w"))
+    about = values.agg(*[e for k in range(len(names)) for e in (F.count(f"_{k}"), F.sum(mine(k)), F.min(mine(k)), F.max(mine(k)))]).first()
+    counts, totals = about[0::4], about[1::4]
+    even = [about[4 * k + 2] == about[4 * k + 3] for k in range(len(names))]
+    out: dict[str, list[float] | None] = {}
+    if any(even):
+        found = _plain(values, [n if e else 0 for n, e in zip(counts, even, strict=True)], qs)
+        out = {n: found.get(k) for k, n in enumerate(names) if even[k]}
+    uneven = {k for k in range(len(names)) if not even[k]}
+    groups = _search(values, {(k, q * totals[k]) for k in uneven for q in qs}, uneven)
+    for k in uneven:
+        out[names[k]] = [_between(groups[k, q * totals[k]], q * totals[k]) for q in qs]
+    return {n: out[n] for n in names}
+
+
+def _between(g: _Group, place: float) -> float:
+    """The value at a place in terms of weight, given the group of equal values that it lies in."""
+    first, last = g.before + g.first / 2, g.before + g.weight - g.last / 2
+    if place < first and g.previous:
+        (x, w), y, b = g.previous, g.low, first
+        a = g.before - w / 2
+    elif place >= last and g.following:
+        x, a, (y, w) = g.low, last, g.following
+        b = g.before + g.weight + w / 2
+    else:
+        return g.low
+    return x + (y - x) * (place - a) / (b - a)
+
+
+def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: list[float], ties: tuple[str, ...] = (), ranges: int | None = None) -> list[float]:
+    """weighted_quantiles_of one column, which must have values. ties and ranges change nothing: of equal values only the ends count."""
+    found = weighted_quantiles_of(df, {value: F.col(value)}, F.col(weight), qs)[value]
+    if found is None:
         raise ValidationError(f"{value} has no finite values")
-    if about["a"] == about["b"]:
-        return exact_quantiles(rows, {"x": F.col("x")}, qs)["x"]
-    placed = running(rows, "x", {"cum": "w"}, ties=("w", *[f"t{k}" for k in range(len(ties))]), ranges=ranges)
-    placed = placed.select("x", ((F.col("cum") - F.col("w") / 2) / F.lit(about["t"])).alias("p"))
-    aggs = []
-    for k, q in enumerate(qs):
-        aggs += [F.max(F.when(F.col("p") <= q, F.struct("p", "x"))).alias(f"a{k}"), F.min(F.when(F.col("p") > q, F.struct("p", "x"))).alias(f"b{k}")]
-    row = placed.agg(*aggs).first()
-    out = []
-    for k, q in enumerate(qs):
-        a, b = row[f"a{k}"], row[f"b{k}"]
-        out.append((a or b)["x"] if a is None or b is None else a["x"] + (b["x"] - a["x"]) * (q - a["p"]) / (b["p"] - a["p"]))
-    return out
+    return found

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
 from ..functions.basics import NUMERIC, Transformer, check_weights, col, fitting, require, weight_column
-from ..functions.quantiles import exact_quantiles, finite, running, weighted_quantiles
+from ..functions.quantiles import exact_quantiles, finite, running, weighted_quantiles_of
 
 MISSING, OTHER, FIRST_SPECIAL = -1, -2, -3
 INF = float("inf")
@@ -112,10 +112,7 @@ def quantile_cuts(df: DataFrame, features: list[str], n_bins: int, exclude: list
     if weight is None:
         found = exact_quantiles(df, {f: valid_number(df, f, exclude) for f in features}, qs)
     else:
-        found = {}
-        for f in features:
-            rows = df.select(valid_number(df, f, exclude).alias("x"), weight_column(weight).alias("w")).where("x is not null")
-            found[f] = weighted_quantiles(rows, "x", "w", qs) if rows.limit(1).count() else None
+        found = weighted_quantiles_of(df, {f: valid_number(df, f, exclude) for f in features}, weight_column(weight), qs)
     return {f: sorted(set(v)) if v else [] for f, v in found.items()}
 
 

@@ -166,3 +166,37 @@ def test_exact_quantiles_by_brackets(spark):
     for c in pdf:
         assert np.allclose(got[c], np.quantile(pdf[c].dropna(), qs), rtol=1e-12), c
     assert got["none"] is None and np.allclose(got["odd"], np.quantile(pdf.a[pdf.b != 0], qs), rtol=1e-12)
+
+
+def test_quantiles_by_digits_of_many_columns(spark):
+    """Negative, tiny, huge and tied values, with and without weights, and a column without values."""
+    from riskloom.functions import quantiles as Q
+
+    rng = np.random.default_rng(23)
+    n = 3000
+    pdf = pd.DataFrame({"a": rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n), "b": rng.integers(-2, 3, n) * 0.0 + rng.integers(-3, 3, n), "c": np.where(rng.random(n) < 0.5, np.nan, rng.normal(size=n)), "d": -rng.random(n), "w": rng.integers(1, 6, n) / 4})
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double")).repartition(5)
+    qs, names = [0.0, 0.001, 0.3, 0.5, 0.501, 0.9, 1.0], ["a", "b", "c", "d", "none"]
+    got = Q.exact_quantiles(df, {c: F.col(c) for c in names}, qs, small=10)
+    for c in names[:4]:
+        assert np.allclose(got[c], np.quantile(pdf[c].dropna(), qs), rtol=1e-12, atol=0), c
+    assert got["none"] is None
+    got = Q.weighted_quantiles_of(df, {c: F.col(c) for c in names}, F.col("w"), qs)
+    for c in names[:4]:
+        rows = pdf[pdf[c].notna()].sort_values([c, "w"])
+        p = (rows.w.cumsum() - rows.w / 2) / rows.w.sum()
+        assert np.allclose(got[c], np.interp(qs, p, rows[c]), rtol=1e-9, atol=0), c
+    assert got["none"] is None
+    even = Q.weighted_quantiles_of(df, {"a": F.col("a")}, F.lit(2.5), qs)["a"]
+    assert np.allclose(even, np.quantile(pdf.a, qs), rtol=1e-12, atol=0)
+
+
+def test_quantiles_take_few_scans(spark, monkeypatch):
+    """Scans do not grow with columns, quantiles or rows."""
+    from riskloom.functions import quantiles as Q
+
+    scans, plain = [], Q._histograms
+    monkeypatch.setattr(Q, "_histograms", lambda *a: scans.append(1) or plain(*a))
+    df = spark.range(50_000).select(*[(F.rand(k) * 10.0**k).alias(f"x{k}") for k in range(12)])
+    Q.exact_quantiles(df, {c: F.col(c) for c in df.columns}, [k / 20 for k in range(21)])
+    assert len(scans) <= 4
