@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
-from ..functions.basics import Transformer, col, number, numeric_columns, require
+from ..functions.basics import Transformer, col, number, numeric_columns, require, validate_binary_target
 from .binning import WoeBinner, apply_binning, calculate_bins, index_columns, quantile_cuts
 
 EPS = 1e-10
@@ -144,13 +144,17 @@ def mutual_information(df: DataFrame, target: str, columns: list[str], n_bins: i
 
 def recursive_elimination(df: DataFrame, target: str, columns: list[str], n: int) -> list[str]:
     """Drops the feature of least absolute coefficient of a logistic model until n are left."""
-    from .models import ModelTrainer
+    from . import newton
+    from .models import _stored
 
-    left = list(columns)
+    validate_binary_target(df, target)
+    rows = _stored(newton.table(df, col(target), F.lit(1.0), [col(c) for c in columns]))
+    left, start = list(range(len(columns))), None
     while len(left) > n:
-        size = ModelTrainer("logistic").fit(df, target=target, features=left).importance_values()
-        left.remove(min(left, key=lambda f: (abs(size[f]), f)))
-    return left
+        b = newton.fit(rows, len(columns), [newton.Wanted(1.0, left, start=start)])[0]
+        out = min(range(len(left)), key=lambda k: (abs(b[k + 1]), columns[left[k]]))
+        left, start = left[:out] + left[out + 1 :], np.delete(b, out + 1)  # the next search starts where this one ended
+    return [columns[k] for k in left]
 
 
 def select_features(df: DataFrame, method: str = "iv", target: str | None = None, columns: list[str] | None = None, threshold: float | None = None, n: int | None = None) -> list[str]:

@@ -17,15 +17,16 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StringType
 
 from ..errors import NotFittedError, ValidationError
 from ..functions.basics import check_weights, col, fresh, require, validate_binary_target
-from . import boosting, metrics
+from ..sources.shared import shared_path
+from . import boosting, metrics, newton
 from .attribution import in_batches, trees_of
-from .splits import cv_splits, hashed
+from .splits import cv_folds, cv_splits, hashed
 
 LINEAR = ("logistic", "linear", "linear_regression")
 BOOSTERS = ("xgboost", "lightgbm", "catboost", "gbt")
@@ -292,12 +293,11 @@ def permutation_importance(trainer: ModelTrainer, df: DataFrame, target: str, re
     return df.sparkSession.createDataFrame(list(falls.items()), "feature string, importance double")
 
 
-def cross_validate(df: DataFrame, target: str, features: list[str], model_type: str = "logistic", task: str = "classification", k: int = 5, method: str = "stratified", key: list[str] = (), date: str | None = None, scoring=None, **params) -> DataFrame:
-    """metric, mean, std (n), min, max over folds."""
-    found: list[dict] = []
-    for train, test in cv_splits(df, k, method if task == "classification" or method != "stratified" else "kfold", target, list(key) or features, date):
-        trainer = ModelTrainer(model_type, task, **params).fit(train, target, features)
-        found.append(scoring(trainer, test, target) if scoring else evaluate(trainer, test, target))
+#: Parameters with which a logistic model is one of many that are fitted at once.
+TOGETHER = {"C", "solver", "random_state", "max_iter", "n_jobs", "verbose", "tol"}
+
+
+def _summary(df: DataFrame, found: list[dict]) -> DataFrame:
     rows = []
     for m in found[0]:
         v = [float(x[m]) for x in found if x[m] is not None]
@@ -306,24 +306,109 @@ def cross_validate(df: DataFrame, target: str, features: list[str], model_type:
     return df.sparkSession.createDataFrame(rows, "metric string, mean double, std double, min double, max double")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = shared_path(df.sparkSession, "folds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folds_at_once(df: DataFrame, target: str, features: list[str], strengths: list[float], k: int, method: str, key: list[str], date: str | None) -> list[list[dict]]:
+    """For each strength the metrics of each fold: all models from the same scans, all scores in one."""
+    require(df, target, *features)
+    validate_binary_target(df, target)
+    name = fresh(df.columns, "fold")
+    folded, splits = cv_folds(df, k, method, target, key, date, name=name)
+    rows = _stored(newton.table(folded, col(target), F.lit(1.0), [col(f) for f in features], F.col(name)))
+    every = list(range(len(features)))
+    fitted = newton.fit(rows, len(features), [newton.Wanted(c, every, train) for c in strengths for train, _ in splits])
+
+    def chance(c: int) -> Column:
+        out = F.lit(None).cast("double")
+        for j, (_, test) in enumerate(splits):
+            b = fitted[c * len(splits) + j]
+            z = F.lit(float(b[0]))
+            for f in every:
+                z = z + F.lit(float(b[f + 1])) * F.col(f"x{f}")
+            out = F.when(F.col("fold") == test, 1 / (1 + F.exp(-z))).otherwise(out)
+        return out
+
+    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), chance(c).alias("p")) for c in range(len(strengths))])).alias("s")
+    scored = rows.where(F.col("fold").isin([t for _, t in splits])).select("y", "fold", scores).select("y", "fold", "s.c", "s.p")
+    found = {(r["c"], r["fold"]): r.asDict() for r in metrics.all_metrics(scored, "y", "p", by=["c", "fold"]).collect()}  # a row a model
+    return [[{m: v for m, v in found[c, t].items() if m not in ("c", "fold")} for _, t in splits] for c in range(len(strengths))]
+
+
+def cross_validate(df: DataFrame, target: str, features: list[str], model_type: str = "logistic", task: str = "classification", k: int = 5, method: str = "stratified", key: list[str] = (), date: str | None = None, scoring=None, **params) -> DataFrame:
+    """metric, mean, std (n), min, max over folds. Logistic models of all folds are fitted in the same scans."""
+    method = method if task == "classification" or method != "stratified" else "kfold"
+    if model_type == "logistic" and task == "classification" and not scoring and set(params) <= TOGETHER:
+        return _summary(df, _folds_at_once(df, target, features, [params.get("C", 1.0)], k, method, list(key) or features, date)[0])
+    name = fresh(df.columns, "fold")
+    folded, splits = cv_folds(df, k, method, target, list(key) or features, date, name=name)
+    stored = _stored(folded.select(*map(col, dict.fromkeys([target, *features])), name))
+    found: list[dict] = []
+    for train, test in splits:
+        trainer = ModelTrainer(model_type, task, **params).fit(stored.where(F.col(name).isin(sorted(train))), target, features)
+        held = stored.where(F.col(name) == test)
+        found.append(scoring(trainer, held, target) if scoring else evaluate(trainer, held, target))
+    return _summary(df, found)
+
+
 def default_grid(model_type: str) -> dict[str, list]:
     return dict(GRIDS[model_type])
 
 
-def tune(df: DataFrame, target: str, features: list[str], model_type: str = "logistic", task: str = "classification", grid: dict[str, list] | None = None, n_iter: int | None = None, k: int = 3, key: list[str] = (), seed: int = 42) -> tuple[dict, float]:
-    """The best parameters and their mean AUC (or negative RMSE); n_iter: that many at random."""
+def candidates(model_type: str, grid: dict | None, n_iter: int | None, seed: int) -> list[dict]:
+    """All combinations of lists, or n_iter at random; values may be distributions: things with rvs(random_state) or (low, high) of uniform numbers."""
     grid = grid or default_grid(model_type)
-    every = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
-    if n_iter and n_iter < len(every):
-        every = random.Random(seed).sample(every, n_iter)
-    name, sign = ("auc", 1) if task == "classification" else ("rmse", -1)
-    best = None
-    for params in every:
-        table = cross_validate(df, target, features, model_type, task, k, key=key, **params)
-        value = sign * table.where(F.col("metric") == name).first()["mean"]
-        if best is None or value > best[1]:
-            best = (params, value)
-    return best
+    drawn = lambda v: hasattr(v, "rvs") or isinstance(v, tuple)
+    if not any(map(drawn, grid.values())):
+        every = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
+        return random.Random(seed).sample(every, n_iter) if n_iter and n_iter < len(every) else every
+    rng = random.Random(seed)
+
+    def draw(v):
+        if hasattr(v, "rvs"):
+            x = v.rvs(random_state=rng.getrandbits(32))
+            return x.item() if hasattr(x, "item") else x
+        if not isinstance(v, tuple):
+            return rng.choice(v)
+        return rng.randint(*v) if all(isinstance(x, int) for x in v) else rng.uniform(*v)
+
+    return [{name: draw(v) for name, v in grid.items()} for _ in range(n_iter or 10)]
+
+
+def search(df: DataFrame, target: str, features: list[str], model_type: str = "logistic", task: str = "classification", grid: dict | None = None, n_iter: int | None = None, k: int = 5, key: list[str] = (), seed: int = 42, scoring: str | None = None) -> list[dict]:
+    """Every candidate with its mean and standard deviation over folds, and its rank; logistic ones are fitted in the same scans.
+
+    scoring: a metric of evaluate(); of errors (rmse, mae, mse) the least is best.
+    """
+    name = scoring or ("auc" if task == "classification" else "rmse")
+    sign = -1 if name in ("rmse", "mae", "mse", "mape") else 1
+    every = candidates(model_type, grid, n_iter, seed)
+    if model_type == "logistic" and task == "classification" and all(set(p) <= TOGETHER | {"penalty"} and p.get("penalty", "l2") == "l2" for p in every):
+        strengths = sorted({float(p.get("C", 1.0)) for p in every})
+        folds = dict(zip(strengths, _folds_at_once(df, target, features, strengths, k, "stratified", list(key) or features, None), strict=True))
+        values = [[f[name] for f in folds[float(p.get("C", 1.0))]] for p in every]
+    else:
+        values = []
+        for params in every:
+            r = cross_validate(df, target, features, model_type, task, k, key=key, **params).where(F.col("metric") == name).first()
+            values.append((r["mean"], r["std"]))
+    rows = []
+    for params, v in zip(every, values, strict=True):
+        mean, std = v if isinstance(v, tuple) else (sum(v) / len(v), (sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)) ** 0.5)
+        rows.append({"params": params, "mean": mean, "std": std})
+    for rank, r in enumerate(sorted(rows, key=lambda r: -sign * r["mean"]), 1):
+        r["rank"] = rank
+    return rows
+
+
+def tune(df: DataFrame, target: str, features: list[str], model_type: str = "logistic", task: str = "classification", grid: dict | None = None, n_iter: int | None = None, k: int = 5, key: list[str] = (), seed: int = 42, scoring: str | None = None) -> tuple[dict, float]:
+    """The best of search(), and its mean (negative for errors)."""
+    best = min(search(df, target, features, model_type, task, grid, n_iter, k, key, seed, scoring), key=lambda r: r["rank"])
+    name = scoring or ("auc" if task == "classification" else "rmse")
+    return best["params"], -best["mean"] if name in ("rmse", "mae", "mse", "mape") else best["mean"]
 
 
 #: The only column of a calibrator's model.
@@ -363,5 +448,58 @@ def calibrated_model(df: DataFrame, target: str, features: list[str], model_type
     return ModelTrainer(model_type, **params).fit(df, target, features), Calibrator(method).fit(out, target, "_score")
 
 
+class CalibratedModel:
+    """The mean of k fold models, each with a calibrator learned from the rows that it did not see."""
+
+    def __init__(self, model_type: str = "logistic", method: str = "sigmoid", k: int = 5, **params):
+        self.model_type, self.method, self.k, self.params = model_type, method, k, params
+        self.parts: list[tuple[ModelTrainer, Calibrator]] = []
+
+    def fit(self, df: DataFrame, target: str, features: list[str], key: list[str] = ()) -> CalibratedModel:
+        require(df, target, *features)
+        validate_binary_target(df, target)
+        self.features, name, score = list(features), fresh(df.columns, "fold"), fresh([*features, target], "_score")
+        folded, splits = cv_folds(df, self.k, "stratified", target, list(key) or features, name=name)
+        stored = _stored(folded.select(*map(col, dict.fromkeys([target, *features])), name))
+        self.parts = []
+        for train, test in splits:
+            model = ModelTrainer(self.model_type, **self.params).fit(stored.where(F.col(name).isin(sorted(train))), target, features)
+            held = model.predict_proba(stored.where(F.col(name) == test), score)
+            self.parts.append((model, Calibrator(self.method).fit(held, target, score)))
+        return self
+
+    def predict_proba(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        if not self.parts:
+            raise NotFittedError("the model is not fitted")
+        raw, names, out = fresh([*df.columns, name], "_raw"), [], df
+        for model, calibrator in self.parts:
+            names.append(fresh([*out.columns, name, raw], "_part"))
+            out = calibrator.transform(model.predict_proba(out, raw), raw, names[-1]).drop(raw)
+        mean = sum(map(F.col, names[1:]), F.col(names[0])) / len(names)
+        return out.select(*map(col, df.columns), mean.alias(name)) if name not in df.columns else out.withColumn(name, mean).drop(*names)
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        about = {"model_type": self.model_type, "method": self.method, "k": self.k, "params": self.params, "features": self.features}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        for j, (model, calibrator) in enumerate(self.parts):
+            model.save(f"{path}/{j}/trainer")
+            if self.method == "sigmoid":
+                calibrator.model.save(f"{path}/{j}/calibrator")
+            else:
+                calibrator.model.write().overwrite().save(f"{path}/{j}/calibrator")
+
+    @classmethod
+    def load(cls, spark, path: str) -> CalibratedModel:
+        about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        out = cls(about["model_type"], about["method"], about["k"], **about["params"])
+        out.features = about["features"]
+        for j in range(out.k):
+            calibrator = Calibrator(out.method)
+            calibrator.model = ModelTrainer.load(spark, f"{path}/{j}/calibrator") if out.method == "sigmoid" else IsotonicRegressionModel.load(f"{path}/{j}/calibrator")
+            out.parts.append((ModelTrainer.load(spark, f"{path}/{j}/trainer"), calibrator))
+        return out
+
+
 def brier(df: DataFrame, target: str, probability: str) -> float:
     return df.agg(F.avg((col(target).cast("double") - col(probability)) ** 2)).first()[0]

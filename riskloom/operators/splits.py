@@ -120,22 +120,25 @@ def kfold(df: DataFrame, k: int = 5, key: list[str] = (), shuffle: bool = False,
     return rows.withColumn(name, fold.cast("int")).drop(p, m)
 
 
-def cv_splits(df: DataFrame, k: int = 5, method: str = "stratified", target: str | None = None, key: list[str] = (), date: str | None = None, seed: int = 42):
-    """(train, test) of each fold; timeseries trains on all earlier folds."""
-    name = fresh(df.columns, "fold")
+def cv_folds(df: DataFrame, k: int = 5, method: str = "stratified", target: str | None = None, key: list[str] = (), date: str | None = None, seed: int = 42, name: str = "fold") -> tuple[DataFrame, list[tuple[frozenset[int], int]]]:
+    """df with a fold, and for each split the folds that train and the one that tests; timeseries trains on all earlier folds."""
     if method == "stratified":
         folded = kfold(df, k, key, True, seed, target, name)
     elif method == "kfold":
         folded = kfold(df, k, key, True, seed, name=name)
     elif method == "timeseries":
-        folded = kfold(df, k + 1, [date, *key], name=name)
-        for f in range(1, k + 1):
-            yield folded.where(F.col(name) < f).drop(name), folded.where(F.col(name) == f).drop(name)
-        return
+        return kfold(df, k + 1, [date, *key], name=name), [(frozenset(range(f)), f) for f in range(1, k + 1)]
     else:
         raise ValidationError(f"no such method: {method}")
-    for f in range(k):
-        yield folded.where(F.col(name) != f).drop(name), folded.where(F.col(name) == f).drop(name)
+    return folded, [(frozenset(range(k)) - {f}, f) for f in range(k)]
+
+
+def cv_splits(df: DataFrame, k: int = 5, method: str = "stratified", target: str | None = None, key: list[str] = (), date: str | None = None, seed: int = 42):
+    """(train, test) of each fold; timeseries trains on all earlier folds."""
+    name = fresh(df.columns, "fold")
+    folded, splits = cv_folds(df, k, method, target, key, date, seed, name)
+    for train, f in splits:
+        yield folded.where(F.col(name).isin(sorted(train))).drop(name), folded.where(F.col(name) == f).drop(name)
 
 
 def split_dev_oot(df: DataFrame, sample: str | None = None, date: str | None = None, oot_start=None, target: str | None = None, key: list[str] = (), test_size: float = 0.2, dev: str = "dev", oot: str = "oot") -> DatasetSplit:

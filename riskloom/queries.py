@@ -1102,6 +1102,29 @@ def cross_validate(spark, d):
     return rounded(L.cross_validate(credit(spark, d), "y", FEATURES, key=["l_orderkey", "l_linenumber"]))
 
 
+def _fold_sql(f: int) -> str:
+    """Accuracy and recall on fold f of a model of the folds before."""
+    return f"select {f} as fold, avg(((b0 + b1 * l_quantity >= 0)::int = y)::int) as accuracy, avg((b0 + b1 * l_quantity >= 0)::int) filter (y = 1) as recall from folded, {newton_sql('l_quantity', view='folded', where=f'fold < {f}')} where fold = {f}"
+
+
+@query(
+    f"with {CREDIT}, folded as (select *, ntile(4) over (order by l_shipdate, l_orderkey, l_linenumber) - 1 as fold from credit), f as ({' union all '.join(map(_fold_sql, (1, 2, 3)))}), "
+    "m as (select 'accuracy' as metric, accuracy as v from f union all select 'recall', recall from f) select metric, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(min(v), 6) as min, round(max(v), 6) as max from m group by metric"
+)
+def cross_validate_over_time(spark, d):
+    """Models of earlier folds judged on the next, all fitted in the same scans."""
+    table = L.cross_validate(credit(spark, d), "y", ["l_quantity"], k=3, method="timeseries", date="l_shipdate", key=["l_orderkey", "l_linenumber"])
+    return rounded(table.where(F.col("metric").isin("accuracy", "recall")))
+
+
+@query()
+def calibrated_folds(spark, d):
+    """The mean of five fold models, each calibrated on the rows it did not see."""
+    df = credit(spark, d)
+    model = L.CalibratedModel("logistic").fit(df.where("sample = 'dev'"), "y", ["l_quantity", "l_discount"], ["l_orderkey", "l_linenumber"])
+    return rounded(model.predict_proba(df.where("sample = 'oot'")).select("l_orderkey", "l_linenumber", "probability"), 3)
+
+
 @query(f"with {CREDIT} select l_orderkey, l_linenumber, round(least(greatest(500 + 20 / ln(2) * ln((1 - p) / p), 300), 900), 6) as credit_score from (select l_orderkey, l_linenumber, least(greatest(score, 1e-12), 1 - 1e-12) as p from credit)")
 def credit_score(spark, d):
     return rounded(scored(spark, d).select("l_orderkey", "l_linenumber", S.credit_score(F.col("score")).alias("credit_score")))
