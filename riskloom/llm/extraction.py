@@ -44,6 +44,8 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: Comments, tags and declarations. Each alternative runs to the page's end if nothing closes it, and gives nothing
 #: back, so that every character is read a bounded number of times.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Ends of sentences in Chinese, Japanese, Hindi, Arabic, Urdu, Armenian and Ethiopic.
+_STOPS = re.compile("[。！？｡।॥؟۔։።]")
 #: The same where quotes of attributes do not close: a tag ends at the next ">".
 _PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -90,7 +92,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node = nodes[stack[-1]]
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
-                node.ends += text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?")
+                node.ends += text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?") + len(_STOPS.findall(text))
                 blocks.append((stack[-1], text))
         linked = 0
 
@@ -307,6 +309,19 @@ class Boosted:
         return z
 
 
+#: Log odds of a tag or attribute token at which what lies below is taken for junk by its name alone,
+#: and the share of a block's characters that lie in links at which it is a list of links.
+JUNK, LINKED = -3.0, 0.5
+
+
+def plain_page(nodes: list[Node], path: np.ndarray, blocks: list[tuple[int, str]]) -> list[bool]:
+    """What to keep of a page of which decode() keeps no text: if no text lies below a name that
+    tells of junk, all but lists of links; else nothing."""
+    if any(path[k] <= JUNK for k, _ in blocks):
+        return [False] * len(nodes)
+    return [x.linked < LINKED * max(1, x.chars) for x in nodes]
+
+
 def decode(nodes: list[Node], z: np.ndarray) -> list[bool]:
     """Keep or drop for each node: the best sum of log odds with nothing kept below a dropped node.
 
@@ -346,10 +361,13 @@ class Extractor:
         read = [read_page(x or "") for x in pages]
         if not read:
             return []
-        z = self.model.output(describe([x[0] for x in read], self.lexicon))
+        features = describe([x[0] for x in read], self.lexicon)
+        z = self.model.output(features)
         out, at = [], 0
         for nodes, blocks in read:
             keep = decode(nodes, z[at : at + len(nodes)])
+            if not any(keep[k] for k, _ in blocks):
+                keep = plain_page(nodes, features[at : at + len(nodes), 3], blocks)
             at += len(nodes)
             out.append("\n".join(text for node, text in blocks if keep[node]))
         return out
@@ -421,8 +439,19 @@ def page_maker(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             main.add(_SPACE.sub(" ", html.unescape(text)).strip())
             return text
 
+        def odd() -> str:
+            """Text without sentences, or without Latin letters."""
+            cjk = lambda: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, int(rng.integers(4, 30))))
+            return some([words(2, 8), " ".join(str(int(c)) for c in rng.integers(0, 9999, int(rng.integers(2, 9)))), f"{word()} = {word()}({word()}); return {word()}", "，".join(cjk() for _ in range(int(rng.integers(1, 4)))) + "。", cjk() + "。" + cjk() + "！"])
+
         def body_block() -> str:
             r = rng.random()
+            if chance(0.05):
+                return f"<p>{block(odd())}</p>"
+            if chance(0.05):
+                first, rest = words(1, 5), prose(1, 5)
+                block(f"{first} {rest}")
+                return f'<p><a href="/{word()}">{first}</a> {rest}</p>'
             if r < 0.68:
                 text = block(prose(1, 9))
                 return some([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p class={word()}>{text}</p>", f"<div>{text}</div>", f"<p>\n  <em>{text}</em>\n</p>"])
@@ -472,6 +501,12 @@ def page_maker(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             inside = f"<div{names(['row', 'layout', 'wrapper', 'container'])}>{inside}{''.join(after[:2])}</div>"
             after = after[2:]
         body = "".join(before) + inside + "".join(after)
+        if chance(0.1):  # nothing but a text, often a short one
+            if chance(0.6):
+                main.clear()
+                inside = "".join(some([f"<p>{block(text)}</p>", f"<div>{block(text)}</div>"]) for text in [some([odd, lambda: prose(1, 4)])() for _ in range(int(rng.integers(1, 4)))])
+                inside = some([f"<article>{inside}</article>", f"<div>{inside}</div>", inside])
+            body = inside
         if chance(0.3):
             body = f"<div{names(['wrapper', 'container', 'page', 'root', 'app', 'site'])}>{body}</div>"
         yield f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>{body}<script>var a="</p>";</script></body></html>', main
