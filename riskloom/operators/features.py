@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import ValidationError
 from ..functions.basics import Transformer, col, number, numeric_columns, require, validate_binary_target
+from ..functions.quantiles import running
 from .binning import WoeBinner, apply_binning, calculate_bins, index_columns, quantile_cuts
 
 EPS = 1e-10
@@ -142,6 +143,66 @@ def mutual_information(df: DataFrame, target: str, columns: list[str], n_bins: i
     return terms.groupBy("feature").agg(F.sum("t").alias("mi")).orderBy(F.desc("mi"), "feature")
 
 
+#: Values of one block within which neighbours are looked up.
+BLOCK_VALUES = 100_000
+
+
+def digamma(x: Column) -> Column:
+    """For x >= 1, by its series at x + 6."""
+    y = x + 6
+    z = 1 / (y * y)
+    series = z * (F.lit(1 / 12) - z * (F.lit(1 / 120) - z * (F.lit(1 / 252) - z * (F.lit(1 / 240) - z * F.lit(1 / 132)))))
+    return F.ln(y) - 1 / (2 * y) - series - sum((1 / (x + k) for k in range(1, 6)), 1 / x)
+
+
+def neighbour_information(df: DataFrame, target: str, columns: list[str], k: int = 3, block: int = BLOCK_VALUES) -> DataFrame:
+    """feature, mi (nats) between numeric columns and a target's classes by nearest neighbours, greatest first.
+
+    A value's radius is the distance to its k-th neighbour in its class; mi is digamma(n) + mean
+    digamma(k) - mean digamma(size of the class) - mean digamma(values closer than the radius),
+    0 at least. Values count without noise, so where k neighbours are equal the radius is 0 and
+    equal values are counted. Missing values are 0, rows without a target and classes of one
+    row do not count, classes of at most k rows take all their rows.
+
+    Rows become distinct values with their numbers. Neighbours are found in blocks of ranks, of
+    which each has the k values beyond its ends; numbers of closer values are differences of
+    running sums over ranges, in which the ends of radii stand among the values.
+    """
+    if block <= k:
+        raise ValidationError("a block holds more values than neighbours")
+    x = lambda c: F.coalesce(F.when(~F.isnan(number(c)), number(c)), F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (x(c) + 0.0).alias("x")) for c in columns]))
+    rows = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("y"), each.alias("p")).groupBy("p.feature", "y", "p.x").agg(F.count(F.lit(1)).alias("c"))
+    sizes = rows.groupBy("feature", "y").agg(F.sum("c").alias("size")).where("size > 1")
+    rows = rows.join(sizes, ["feature", "y"])
+    ranked = running(rows.withColumn("one", F.lit(1)), "x", {"rank": "one"}, within=("feature", "y")).withColumn("rank", F.col("rank") - 1).drop("one")
+    home, place = F.expr(f"rank div {block}"), F.col("rank") % block
+    beside = F.filter(F.array(home, F.when(place < k, home - 1), F.when(place >= block - k, home + 1)), lambda b: b.isNotNull())
+    dealt = ranked.withColumn("home", home).withColumn("block", F.explode(beside))
+    order = W.partitionBy("feature", "y", "block").orderBy("rank")
+    near = F.array(*[F.struct(F.abs(F.col("x") - step(F.col("x"), j).over(order)).alias("d"), step(F.col("c"), j).over(order).alias("c"), step(F.col("x"), j).over(order).alias("x")) for j in range(1, k + 1) for step in (F.lag, F.lead)])
+    found = dealt.withColumn("near", F.array_sort(F.filter(near, lambda p: p["d"].isNotNull()))).where("block = home")
+    found = found.withColumn("k", F.least(F.lit(k), F.col("size") - 1))
+    start = F.struct((F.col("c") - 1).alias("n"), F.lit(0.0).alias("r"))
+    reach = F.aggregate("near", start, lambda s, p: F.when(s["n"] >= F.col("k"), s).otherwise(F.struct((s["n"] + p["c"]).alias("n"), p["d"].alias("r"))), lambda s: s["r"])
+    found = found.withColumn("r", reach)
+    end = lambda side, other: F.coalesce(F.get(F.filter("near", lambda p: (p["d"] == F.col("r")) & side(p["x"])), 0)["x"], other)
+    low = F.when(F.col("r") == 0, F.col("x")).otherwise(end(lambda v: v < F.col("x"), F.col("x") - F.col("r")))
+    high = F.when(F.col("r") == 0, F.col("x")).otherwise(end(lambda v: v > F.col("x"), F.col("x") + F.col("r")))
+    # ends of radii: those of 0 take the values there in, others do not; at equal places "below" stands before values, "upto" after them
+    below, value, upto = 0, 1, 2
+    inside = F.col("r") == 0
+    ends = F.array(F.struct(low.alias("at"), F.when(inside, below).otherwise(upto).alias("tag"), F.lit(-1).alias("sign")), F.struct(high.alias("at"), F.when(inside, upto).otherwise(below).alias("tag"), F.lit(1).alias("sign")))
+    asked = found.select("feature", "y", "x", "c", "k", "size", F.explode(ends).alias("e")).select("feature", "y", "x", "c", "k", "size", "e.*", F.lit(0).cast("bigint").alias("n"))
+    none = F.lit(None)
+    values = rows.groupBy("feature", "x").agg(F.sum("c").alias("n")).select("feature", none.cast("string").alias("y"), none.cast("double").alias("x"), none.cast("bigint").alias("c"), none.cast("bigint").alias("k"), none.cast("bigint").alias("size"), F.col("x").alias("at"), F.lit(value).alias("tag"), F.lit(0).alias("sign"), "n")
+    placed = running(values.unionByName(asked), "at", {"upto": "n"}, ties=("tag",), within=("feature",)).where("sign <> 0")
+    terms = placed.groupBy("feature", "y", "x", "c", "k", "size").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"))
+    mean = lambda e: F.sum(F.col("c") * digamma(e.cast("double"))) / F.sum("c")
+    mi = digamma(F.sum("c").cast("double")) + mean(F.col("k")) - mean(F.col("size")) - mean(F.greatest(F.col("m"), F.lit(1)))
+    return terms.groupBy("feature").agg(F.greatest(F.lit(0.0), mi).alias("mi")).orderBy(F.desc("mi"), "feature")
+
+
 def recursive_elimination(df: DataFrame, target: str, columns: list[str], n: int) -> list[str]:
     """Drops the feature of least absolute coefficient of a logistic model until n are left."""
     from . import newton
@@ -158,7 +219,7 @@ def recursive_elimination(df: DataFrame, target: str, columns: list[str], n: int
 
 
 def select_features(df: DataFrame, method: str = "iv", target: str | None = None, columns: list[str] | None = None, threshold: float | None = None, n: int | None = None) -> list[str]:
-    """variance, correlation, iv, mutual_info, rfe (or recursive)."""
+    """variance, correlation, iv, mutual_info (by nearest neighbours), rfe (or recursive)."""
     columns = columns or [c for c in numeric_columns(df) if c != target]
     if method in ("iv", "mutual_info", "rfe", "recursive") and not target:
         raise ValidationError(f"{method} needs a target")
@@ -171,7 +232,7 @@ def select_features(df: DataFrame, method: str = "iv", target: str | None = None
     if method == "iv":
         return iv_selection(df, target, columns, 0.02 if threshold is None else threshold, n)
     if method == "mutual_info":
-        return [r["feature"] for r in mutual_information(df, target, columns).limit(n or len(columns)).collect()]
+        return [r["feature"] for r in neighbour_information(df, target, columns).limit(n or len(columns)).collect()]
     if method in ("rfe", "recursive"):
         return recursive_elimination(df, target, columns, n or max(1, len(columns) // 2))
     raise ValidationError(f"no such method: {method}")

@@ -121,6 +121,16 @@ def load_csv(spark, d):
     return IO.load_csv(spark, _spilled(spark, df, "orders.csv"), ["o_orderkey", "o_orderstatus", "o_totalprice"], null_values=["n/a"], schema="o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
 
 
+@query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_totalprice > 100000 group by o_orderstatus")
+def load_jdbc(spark, d):
+    """Orders in a database, read back in eight ranges of their keys with the filter pushed down."""
+    url, driver = "jdbc:derby:memory:riskloom;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", "o_totalprice")
+    orders.write.jdbc(url, "orders_q", mode="overwrite", properties={"driver": driver, "createTableColumnTypes": "o_orderstatus varchar(8)"})
+    found = IO.load_jdbc(spark, 'select * from orders_q', url, '"o_orderkey"', driver=driver)
+    return rounded(found.where("o_totalprice > 100000").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)
+
+
 @query("select s_suppkey, s_name from supplier")
 def load_csv_skip_rows(spark, d):
     rows = table(spark, d, "supplier").select(F.concat_ws(";", "s_suppkey", "s_name").alias("value"))
@@ -905,6 +915,35 @@ def mutual_information(spark, d):
     return rounded(X.mutual_information(credit(spark, d), "y", FEATURES))
 
 
+def _psi_sql(x: str) -> str:
+    y = f"(({x})::double + 6)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - 1 / (132 * {y} ** 10) - " + " - ".join(f"1 / (({x})::double + {k})" for k in range(6)) + ")"
+
+
+_NEAR = ["l_quantity", "l_extendedprice", "price"]
+_LAGS = "[" + ", ".join(f"{f}(x, {j}) over o" for j in (1, 2, 3) for f in ("lag", "lead")) + "]"
+
+
+@query(f"""with {CREDIT}, f as (
+  {" union all ".join(f"select '{c}' as feature, coalesce({c}, 0)::double as x, y from credit" for c in _NEAR)}
+), n as (
+  select *, count(*) over (partition by feature, y) as size, list_filter({_LAGS}, lambda v: v is not null) as near from f window o as (partition by feature, y order by x)
+), r as (
+  select *, list_sort(list_transform(near, lambda v: abs(v - x)))[3] as r from n
+), e as (
+  select *, coalesce(list_filter(near, lambda v: v < x and abs(v - x) = r)[1], x - r) as low, coalesce(list_filter(near, lambda v: v > x and abs(v - x) = r)[1], x + r) as high from r
+), v as (
+  select feature, x, sum(count(*)) over (partition by feature order by x) as upto, count(*) as here from f group by feature, x
+), m as (
+  select e.feature, e.size, case when r = 0 then s.here else coalesce(b.upto, 0) - coalesce(a.upto, 0) end as m
+  from e join v s on s.feature = e.feature and s.x = e.x asof left join v a on a.feature = e.feature and e.low >= a.x asof left join v b on b.feature = e.feature and e.high > b.x
+)
+select feature, round(greatest(0, {_psi_sql("count(*)")} + {_psi_sql("3")} - avg({_psi_sql("size")}) - avg({_psi_sql("m")})), 6) as mi from m group by feature""")
+def neighbour_information(spark, d):
+    """Mutual information by the three nearest neighbours."""
+    return rounded(X.neighbour_information(credit(spark, d), "y", _NEAR))
+
+
 @query()
 def recursive_elimination(spark, d):
     return spark.createDataFrame([(f,) for f in X.select_features(credit(spark, d), "rfe", "y", FEATURES, n=2)], "feature string")

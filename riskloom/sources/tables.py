@@ -57,10 +57,33 @@ def load_pickle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_sql(spark: SparkSession, query: str, url: str | None = None, **options) -> DataFrame:
-    """A query over catalog tables and views, or over JDBC if a url is given."""
+    """A query over catalog tables and views, or over JDBC if a url is given: see load_jdbc for reads in partitions."""
     if url is None:
         return spark.sql(query)
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    return load_jdbc(spark, query, url, **options)
+
+
+def load_jdbc(spark: SparkSession, query: str, url: str, partition_column: str | None = None, partitions: int = 8, bounds: tuple | None = None, predicates: list[str] | None = None, fetch_size: int = 10_000, **options) -> DataFrame:
+    """A query or a table's name over JDBC; Spark pushes columns and filters down to the database.
+
+    Tasks read ranges of partition_column, a number, date or timestamp of the result, between
+    bounds (its least and greatest value where none are given; rows beyond them and nulls are
+    read too), or the rows of one of the predicates each. Else one task reads all.
+    """
+    table = f"({query}) q" if re.search(r"\s", query.strip()) else query
+    options = {"url": url, "fetchsize": str(fetch_size)} | options
+    if predicates:
+        if partition_column:
+            raise ConfigurationError("either a partition column or predicates")
+        rest = {k: str(v) for k, v in options.items() if k != "url"}
+        return spark.read.jdbc(url, table, predicates=list(predicates), properties=rest)
+    if partition_column:
+        if bounds is None:
+            ends = f"(select min({partition_column}) as a, max({partition_column}) as b from {table}) e"
+            bounds = tuple(spark.read.format("jdbc").options(**options, dbtable=ends).load().first())
+        if bounds[0] is not None:
+            options |= {"partitionColumn": partition_column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(**options, dbtable=table).load()
 
 
 def load_data(spark: SparkSession, source, **how) -> DataFrame:
@@ -74,12 +97,16 @@ def load_data(spark: SparkSession, source, **how) -> DataFrame:
         how = rest | how
     else:
         path, kind = str(source), Path(str(source)).suffix.lstrip(".").lower()
-    readers = {"csv": load_csv, "parquet": load_parquet, "pkl": load_pickle, "pickle": load_pickle, "xlsx": load_excel, "xls": load_excel, "json": lambda s, p, **k: s.read.json(p, **k), "orc": lambda s, p, **k: s.read.orc(p, **k)}
+    readers = {"csv": load_csv, "parquet": load_parquet, "pkl": load_pickle, "pickle": load_pickle, "xlsx": load_excel, "xls": _no_xls, "json": lambda s, p, **k: s.read.json(p, **k), "orc": lambda s, p, **k: s.read.orc(p, **k)}
     if kind not in readers:
         raise ConfigurationError(f"no reader for {kind!r}")
     return readers[kind](spark, path, **how)
 
 
+def _no_xls(*_, **__):
+    raise ConfigurationError("workbooks of the binary .xls format are not read; save them as .xlsx")
+
+
 def load_csv_pandas(spark: SparkSession, path: str, **how):
     """As load_csv, as a pandas frame on the driver: for small files."""
     return load_csv(spark, path, **how).toPandas()
