@@ -74,6 +74,13 @@ def _plain(values: DataFrame, counts: list[int], qs: list[float]) -> dict[int, l
     return out
 
 
+def lower_quantiles(values: DataFrame, counts: list[int], qs: list[float]) -> list[list[float]]:
+    """Of the columns _0, _1, ... with these numbers of values, which are not NaN: for each q the least value that a share q of the values is at most."""
+    ranks = [[float(max(0, math.ceil(q * n) - 1)) for q in qs] if n else [] for n in counts]
+    found = _search(values, {(k, r) for k, each in enumerate(ranks) for r in each}, None)
+    return [[found[k, r].low for r in each] for k, each in enumerate(ranks)]
+
+
 class _Group:
     """Rows of a target's leading digits: what they weigh, what lies before them, and their ends with the weights there."""
 

@@ -16,8 +16,8 @@ A split sends values below a cut to the left and missing ones to the side that g
 Gain is score(left) + score(right) - score(node), score(G, H) = soft(G, l1)**2 / (H + l2), a leaf's
 value -rate * soft(G, l1) / (H + l2). Gains that differ by less than one part in 10**9 count as
 equal; of those the first feature, the lowest cut and missing to the right win, so sums that
-are added in another order give the same tree. Cuts are quantiles of a sketch (exact up to
-ACCURACY rows). Margins start from the weighted mean, or its log odds.
+are added in another order give the same tree. Cuts are exact quantiles. Margins start from the
+weighted mean, or its log odds.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import ValidationError
 from ..functions.basics import col, fresh
-from ..functions.quantiles import running
+from ..functions.quantiles import lower_quantiles, running
 from ..sources.shared import shared_path
 from . import metrics
 from .attribution import Leaf
 
 #: Trees that are applied to bins before margins are stored again.
 KEEP = 10
-#: Rows up to which cuts are exact quantiles.
-ACCURACY = 20_000
+#: Rows up to which a sketch gives exact quantiles; beyond they are searched by digits.
+SKETCHED = 20_000
 #: Tasks beyond which their sums are added in two steps.
 MANY_TASKS = 256
 #: Relative difference below which gains are equal.
@@ -219,10 +219,14 @@ def _chance(margin: np.ndarray) -> np.ndarray:
 def cuts(df: DataFrame, columns: list[Column], bins: int) -> list[list[float]]:
     """Distinct quantiles of each column's values above its least, one less than ``bins`` at most."""
     at = [k / bins for k in range(1, bins)]
-    values = df.select(*[F.when(~F.isnan(c), c).alias(f"f{k}") for k, c in enumerate(columns)])
-    aggs = [x for k in range(len(columns)) for x in (F.percentile_approx(f"f{k}", at, ACCURACY), F.min(f"f{k}"))]
-    row = values.agg(*aggs).first()
-    return [sorted({v for v in row[2 * k] or [] if v > row[2 * k + 1]}) for k in range(len(columns))]
+    values = df.select(*[F.when(~F.isnan(c), c).alias(f"_{k}") for k, c in enumerate(columns)])
+    counts = values.agg(*[F.count(f"_{k}") for k in range(len(columns))]).first()
+    if max(counts, default=0) > SKETCHED:
+        found = lower_quantiles(values, list(counts), [0.0, *at])
+    else:  # up to as many rows the sketch holds all values
+        row = values.agg(*[F.percentile_approx(f"_{k}", [0.0, *at], SKETCHED) for k in range(len(columns))]).first()
+        found = [v or [] for v in row]
+    return [sorted({v for v in each if v > each[0]}) for each in found]
 
 
 def _drop(spark: SparkSession, path: str) -> None:

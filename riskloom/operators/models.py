@@ -280,7 +280,7 @@ def permutation_importance(trainer: ModelTrainer, df: DataFrame, target: str, re
     rows = df.select(F.struct(*[col(f).cast("double").alias(f) for f in names]).alias("own"), col(target).alias("y")).withColumn("h", F.xxhash64("own", "y"))
     shares = max(16, rows.count() // SHARE_ROWS)
     rows = rows.withColumn("s", F.pmod("h", F.lit(shares)))
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("h")))
+    rows = _stored(rows.withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("h"))))  # every repeat reads them
     falls = dict.fromkeys(names, 0.0)
     for k in range(repeats):
         others = rows.select("s", F.col("own").alias("other"), F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("h", "r", F.lit(seed + k)), "r")).alias("r"))

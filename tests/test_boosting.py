@@ -131,6 +131,13 @@ def test_boosting_equals_brute_force(df, frame, kind, task, params):
         assert max(sizes) == params["num_leaves"]
 
 
+def test_cuts_do_not_depend_on_the_number_of_rows(df, monkeypatch):
+    columns = [*[F.col(f"`{c}`") for c in NAMES], F.lit(None).cast("double"), F.lit(2.0)]
+    small = B.cuts(df, columns, 17)
+    monkeypatch.setattr(B, "SKETCHED", 10)
+    assert B.cuts(df, columns, 17) == small and small[4:] == [[], []]
+
+
 def test_missing_values_choose_their_side(df):
     model = M.ModelTrainer("xgboost", n_estimators=1, max_depth=1).fit(df.where("c is null or c < 0"), "y", ["c"])
     tree = model.model.trees[0]
