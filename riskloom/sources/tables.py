@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
 import pickle
 import re
-import tempfile
-import zipfile
 from pathlib import Path
-from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ConfigurationError
 from ..functions.basics import col, ensure_dataframe, plain
-from .shared import get_bytes, put_bytes, put_file
+from .shared import get_bytes, put_bytes
+from .workbooks import load_excel, sheet_names, write_xlsx
 
 
 def load_csv(spark: SparkSession, path: str, columns: list[str] | None = None, n_rows: int | None = None, skip_rows: int = 0, has_header: bool = True, separator: str = ",", encoding: str = "utf-8", null_values: list[str] = (), schema: str | None = None) -> DataFrame:
@@ -192,107 +188,3 @@ def list_saved_models(spark: SparkSession, folder: str) -> DataFrame:
             text = spark.read.text(f"{r}/metadata").first()
             out.append((r.removeprefix("file:"), json.loads(text[0]).get("model_type") if text else None, True, found[f"b{k}"] / 1024))
     return spark.createDataFrame(out, "path string, model_type string, has_metadata boolean, size_kb double")
-
-
-# xlsx with the standard library
-
-
-def _letter(k: int) -> str:
-    out = ""
-    k += 1
-    while k:
-        k, r = divmod(k - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
-def _cell(at: str, v) -> str:
-    if v is None or isinstance(v, float) and v != v:
-        return ""
-    if isinstance(v, bool):
-        return f'<c r="{at}" t="b"><v>{int(v)}</v></c>'
-    if isinstance(v, (int, float)):
-        return f'<c r="{at}"><v>{v!r}</v></c>'
-    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
-    return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
-
-#: Fixed value: rows that a sheet may have.
-SHEET_ROWS = 1_048_576
-
-
-def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = SHEET_ROWS) -> str:
-    """Tables as sheets, row by row; a table goes on in further sheets (name_2, ...) where one is full.
-
-    A path with a scheme is on that store, else on the driver's disk.
-    """
-    if "://" in path:
-        with tempfile.TemporaryDirectory() as folder:
-            return put_file(write_xlsx(sheets, f"{folder}/it.xlsx", most), path)
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    pack = "http://schemas.openxmlformats.org/package/2006"
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    names: list[str] = []
-
-    def row(i: int, values: list) -> bytes:
-        return (f'<row r="{i}">' + "".join(_cell(f"{_letter(j)}{i}", v) for j, v in enumerate(values)) + "</row>").encode()
-
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for title, df in sheets.items():
-            title = re.sub(r"[\[\]:*?/\\]", "_", title)
-            rows = df.toLocalIterator()
-            held = next(rows, None)
-            part = 1
-            while part == 1 or held is not None:
-                ending = "" if part == 1 else f"_{part}"
-                names.append(title[: 31 - len(ending)] + ending)
-                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as f:
-                    f.write(f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>'.encode())
-                    f.write(row(1, df.columns))
-                    i = 2
-                    while held is not None and i <= most:
-                        f.write(row(i, list(held)))
-                        held, i = next(rows, None), i + 1
-                    f.write(b"</sheetData></worksheet>")
-                part += 1
-        types = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
-        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{pack}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1)) + "</Relationships>")
-    return path
-
-
-def sheet_names(path) -> list[str]:
-    """Of a workbook on the driver's disk, or of an open file."""
-    with zipfile.ZipFile(path) as z:
-        return [e.attrib["name"] for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")]
-
-
-def load_excel(spark: SparkSession, path: str, sheet_name: str | None = None, sheet_id: int = 1, columns: list[str] | None = None, skip_rows: int = 0, n_rows: int | None = None) -> DataFrame:
-    with zipfile.ZipFile(io.BytesIO(_bytes(spark, path))) as z:
-        if sheet_name:
-            book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-            sheet_id = [e.attrib["name"] for e in book.iter() if e.tag.endswith("}sheet")].index(sheet_name) + 1
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if si.tag.endswith("}si")]
-        rows = []
-        for row in (e for e in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet_id}.xml")).iter() if e.tag.endswith("}row")):
-            out: dict[int, object] = {}
-            for c in row:
-                letters = re.match(r"[A-Z]+", c.attrib.get("r", "")) or None
-                k = len(out) if letters is None else sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters[0]))) - 1
-                text = "".join(t.text or "" for t in c.iter() if t.tag.endswith(("}v", "}t")))
-                kind = c.attrib.get("t")
-                out[k] = shared[int(text)] if kind == "s" else text if kind in ("inlineStr", "str") else bool(int(text)) if kind == "b" else float(text) if text else None
-            rows.append(out)
-    rows = rows[skip_rows:]
-    width = max((max(r, default=-1) for r in rows), default=-1) + 1
-    names = [str(rows[0].get(k, f"c{k}")) for k in range(width)]
-    values = [[r.get(k) for k in range(width)] for r in rows[1:]]
-    import pandas as pd
-
-    df = spark.createDataFrame(pd.DataFrame(values, columns=names).convert_dtypes().astype(object).where(lambda x: x.notna(), None)) if values else spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
-    df = df.select(*map(col, columns)) if columns else df
-    return df.limit(n_rows) if n_rows is not None else df
