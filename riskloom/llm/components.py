@@ -1,4 +1,4 @@
-"""Connected components of undirected links by spreading least labels, with jumps; a bounded number of links in one task."""
+"""Connected components of undirected links: trees in tasks, contraction by coins, and what is left in one task."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ from .scratch import save
 FAN = 32
 #: Rows of one key that a task may meet in a lookup; more of them are dealt to more shares.
 SHARE_ROWS = 200_000
+#: Links that one task unites (some 100 MB there).
+FEW_LINKS = 500_000
+#: Links that a task turns into trees at once, at least.
+LEAST_SLICE = 1000
 
 
 class Union:
@@ -70,41 +74,75 @@ def look_up(rows: DataFrame, key: str, table: DataFrame, spread: str, n: int) ->
     return asked.join(by_shuffle(told), [key, "_share"]).drop("_share")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and least linked nodes of each ``most`` links or somewhat more, or of all."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            n += batch.num_rows
+        if held and most and n >= most:
+            yield _unite(held)
+            held, n = [], 0
+    if held:
+        yield _unite(held)
+
+
+def _unite(ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    nodes, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    union = Union(len(nodes))
+    for a, b in zip(*at.reshape(2, -1).tolist(), strict=True):
+        union.join(a, b)
+    return nodes, nodes[union.roots()]
+
+
+def _trees(links: DataFrame, most: int) -> DataFrame:
+    """Fewer links a < b that connect the same nodes: trees of what each ``most`` links of a task connect."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, roots in _parts(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(nodes, roots)], ["a", "b"])
+
+    return links.mapInArrow(trees, "a long, b long")
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All links a, b -> node, component."""
-    ends = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches if batch.num_rows]
-    if ends:
-        nodes, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
-        union = Union(len(nodes))
-        for a, b in zip(*at.reshape(2, -1).tolist(), strict=True):
-            union.join(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[union.roots()])], ["node", "component"])
+    for nodes, roots in _parts(batches, None):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "component"])
 
 
-def components(links: DataFrame, rounds: int = 1000, few: int = 0) -> DataFrame:
-    """links: bigint a, b. Returns node, component (its least reachable node) for nodes with links.
+def components(links: DataFrame, rounds: int = 1000, few: int = FEW_LINKS) -> DataFrame:
+    """links: a stored table of bigint a, b. Returns node, component (its least reachable node) for nodes with links.
 
     Null ends link nothing, a link of a node to itself adds nothing, repeats count once.
-    A stored table of at most ``few`` links is united in one task, a larger one in rounds by shuffle.
+    While there are more than ``few`` links, tasks turn theirs into trees, and nodes that have
+    drawn tails join the least of their lesser neighbours that have drawn heads, which then
+    stands for them: a quarter of the nodes that have a lesser neighbour, or more, each time.
+    One task unites what is left, and nodes that have joined others take over their components,
+    last ones first. The least node of a component never joins another, so it is its name.
     """
-    if few and links.count() <= few:
-        proper = links.where("a is not null and b is not null and a <> b").select("a", "b")
-        return save(proper.coalesce(1).mapInArrow(_united, "node long, component long"), "labels")
-    both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    edges = save(links.where("a is not null and b is not null and a <> b").select(both.alias("e")).select("e.u", "e.v").distinct(), "edges")
-    now = save(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
-    n = now.count()
+    rows, n = links.where("a is not null and b is not null and a <> b").select("a", "b"), links.count()
+    slice_of = max(few, LEAST_SLICE)
+    joined: list[DataFrame] = []
     for k in range(rounds):
-        near = edges.join(by_shuffle(now.select(F.col("node").alias("v"), F.col("component").alias("c"))), "v").select(F.col("u").alias("node"), "c")
-        if k >= 2:
-            # labels that are not their own component any more: few, and fewer each round
-            stale = now.select(F.col("component").alias("label")).distinct().join(by_shuffle(now.where("node <> component").select(F.col("node").alias("label"), F.col("component").alias("c"))), "label")
-            near = near.unionByName(look_up(now.select("node", F.col("component").alias("label")), "label", stale, "node", n).select("node", "c"))
-        least = near.groupBy("node").agg(F.min("c").alias("c"))
-        then = now.join(by_shuffle(least), "node", "left").select("node", F.least("component", "c").alias("component"), (F.coalesce("c", "component") < F.col("component")).alias("moved"))
-        then = save(then, "labels")
-        moved = then.where("moved").limit(1).count()
-        now = then.select("node", "component")
-        if not moved:
-            return now
-    raise RuntimeError("components did not settle")
+        if n <= few:
+            break
+        if not k:
+            rows = save(_trees(rows, slice_of), "edges")
+        else:
+            heads = lambda c: F.xxhash64(c, F.lit(k)).bitwiseAND(F.lit(1)) == 1  # noqa: E731, B023
+            pairs = rows.where(heads("a") & ~heads("b")).groupBy("b").agg(F.min("a").alias("a"))
+            joined.append(save(pairs.select(F.col("b").alias("node"), F.col("a").alias("to")), "joined"))
+            for end in ("a", "b"):
+                rows = rows.join(by_shuffle(joined[-1].toDF(end, "to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            rows = save(_trees(rows.where("a <> b").select("a", "b"), slice_of), "edges")
+        n = rows.count()
+    else:
+        raise RuntimeError("components did not settle")
+    label = save(rows.coalesce(1).mapInArrow(_united, "node long, component long"), "labels")
+    for pairs in reversed(joined):
+        told = save(pairs.join(by_shuffle(label.toDF("to", "component")), "to", "left"), "told")
+        alone = told.where("component is null").select(F.col("to").alias("node"), F.col("to").alias("component")).distinct()
+        label = save(label.unionByName(told.select("node", F.coalesce("component", "to").alias("component"))).unionByName(alone), "labels")
+    return label

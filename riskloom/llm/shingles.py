@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bits
-from .components import Union, by_shuffle, components, forest, look_up
+from .components import FEW_LINKS, Union, by_shuffle, components, forest, look_up
 from .scratch import release, save
 from .text import Words, grams, mix, slices, starts_in
 
@@ -54,8 +54,6 @@ FINISH = 4
 FREQUENT = 200_000
 #: Lists longer than this are what frequent shingles make.
 LONG = 32
-#: Links that one task unites (some 100 MB there); more are spread in rounds by shuffle.
-FEW_LINKS = 500_000
 
 
 def sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:

@@ -5,7 +5,7 @@ principal axes, cut into cells of width epsilon on the leading axes, and sorted
 cells (the epsilon grid order). The sequence is cut into intervals of INTERVAL vectors, the
 most that one task holds of each side, however many there are; two intervals meet unless
 the boxes around them, or around the GATHER intervals they belong to, are further apart
-than epsilon, and within a meeting halves are joined recursively, leaving out pairs of
+than epsilon (which Spark finds level by level, by shuffle), and within a meeting halves are joined recursively, leaving out pairs of
 blocks whose boxes are too far apart. Leaves compare by a product in double precision.
 
 Exact copies are joined as one vector with their number. A meeting returns each vector's
@@ -35,7 +35,7 @@ COSINE = 0.95
 INTERVAL = 4096
 #: Vectors of one range of the grid order when it is sorted.
 RANGE = 65_536
-#: Intervals whose boxes are first looked at as one.
+#: Intervals whose boxes are first looked at as one, and as many of these again, until one is around all.
 GATHER = 256
 LEAF = 512
 FOUND = "a long, b long, links long"
@@ -163,23 +163,22 @@ def _boxes(placed: DataFrame, turn: np.ndarray) -> DataFrame:
     return placed.select("part", "v").mapInArrow(some, schema).groupBy("part").applyInArrow(whole, schema)
 
 
-def _near(boxes: DataFrame, eps: float, interval: int) -> DataFrame:
-    """a, b: the pairs of intervals whose boxes are near, each once, and each interval with itself.
+BOX = "part long, low array<double>, high array<double>"
 
-    Intervals are gathered by GATHER; boxes around these rule out most pairs before single ones are looked at.
-    """
-    names = ["a", "b"]
-    boxes = save(boxes.withColumn("many", F.expr(f"part div {GATHER}")), "boxes")
+
+def _around(boxes: DataFrame, gather: int) -> DataFrame:
+    """part, low, high: the box around each ``gather`` boxes."""
+    kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def around(group: pa.Table) -> pa.Table:
         low, high = (np.stack([np.asarray(x) for x in group[c].to_pylist()]) for c in ("low", "high"))
-        return pa.Table.from_batches([_typed([(group["many"][0].as_py(), low.min(0).tolist(), high.max(0).tolist())], [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())], ["many", "low", "high"])])
+        return pa.Table.from_batches([_typed([(group["many"][0].as_py(), low.min(0).tolist(), high.max(0).tolist())], kinds, ["part", "low", "high"])])
+
+    return boxes.withColumn("many", F.expr(f"part div {gather}")).groupBy("many").applyInArrow(around, BOX)
+
 
-    rows = boxes.groupBy("many").applyInArrow(around, "many long, low array<double>, high array<double>").toArrow()  # one for GATHER * INTERVAL vectors
-    many, low, high = rows["many"].to_pylist(), *(np.array(rows[c].to_pylist(), np.float64) for c in ("low", "high"))
-    met = [(many[i], many[j]) for i in range(len(many)) for j in (np.flatnonzero(~far(low[i], high[i], low[i:], high[i:], eps)) + i).tolist()]
-    pairs = boxes.sparkSession.createDataFrame([(p, min(x), max(x)) for x in met for p in set(x)], "many long, p long, q long")
-    dealt = boxes.join(by_shuffle(pairs), "many")
+def _close(boxes: DataFrame, meetings: DataFrame, eps: float, gather: int) -> DataFrame:
+    """a, b: pairs of near boxes, each once and each box with itself, where the gathered boxes p, q that hold them meet."""
 
     def near(group: pa.Table) -> pa.Table:
         p, q = group["p"][0].as_py(), group["q"][0].as_py()
@@ -191,11 +190,29 @@ def _near(boxes: DataFrame, eps: float, interval: int) -> DataFrame:
             other = right[part[right] >= part[i]] if p == q else right
             for j in other[~far(low[i], high[i], low[other], high[other], eps)].tolist():
                 out.append(tuple(sorted((int(part[i]), int(part[j])))))
-        return pa.Table.from_batches([_typed(out, [pa.int64(), pa.int64()], names)])
+        return pa.Table.from_batches([_typed(out, [pa.int64(), pa.int64()], ["a", "b"])])
 
+    ends = F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q")))
+    dealt = boxes.withColumn("many", F.expr(f"part div {gather}")).join(by_shuffle(meetings.select("p", "q", ends.alias("many"))), "many")
     return dealt.groupBy("p", "q").applyInArrow(near, "a long, b long")
 
 
+def _near(boxes: DataFrame, eps: float, count: int) -> DataFrame:
+    """a, b: the pairs of the ``count`` intervals whose boxes are near, each once, and each interval with itself.
+
+    Boxes are gathered level by level until one is around all; from there on down, boxes
+    are compared only where those around them are near, at most GATHER with GATHER in a task.
+    """
+    gather, levels = GATHER, [save(boxes, "boxes")]
+    while count > gather:
+        levels.append(save(_around(levels[-1], gather), "boxes"))
+        count = -(-count // gather)
+    pairs = boxes.sparkSession.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for level in reversed(levels):
+        pairs = _close(level, pairs.toDF("p", "q"), eps, gather)
+    return pairs
+
+
 def _found(reps: DataFrame, d: int, n: int, cosine: float, interval: int) -> DataFrame:
     """Numbers of links (a, links) and trees (a, b) among n vectors of length d."""
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(AXES_SAMPLE).select("v").toArrow()["v"].to_pylist()
@@ -203,7 +220,7 @@ def _found(reps: DataFrame, d: int, n: int, cosine: float, interval: int) -> Dat
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     lead = min(CELLS, d)
     placed = _in_order(reps, turn, lead, eps, n, interval)
-    meetings = save(_near(_boxes(placed, turn), eps, interval), "meetings")
+    meetings = save(_near(_boxes(placed, turn), eps, -(-n // interval)), "meetings")
     ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b")))
     dealt = placed.join(by_shuffle(meetings.select("a", "b", ends.alias("part"))), "part")
 
