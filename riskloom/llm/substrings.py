@@ -316,7 +316,12 @@ def _parsed(runs: pa.StructArray, window: int) -> np.ndarray:
 
 
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The parse: doc_id, begin, words, source_id, source_begin of each factor, in words; ids are keys where doc_ids repeat."""
+    """The parse: doc_id, begin, words, source_id, source_begin of each factor, in words; ids are keys where doc_ids repeat.
+
+    A block knows the first place of a window only, so a match that goes on at later places is
+    told in several factors, and where it is cut depends on the blocks, that is on the splits of
+    docs. The words that factors cover do not.
+    """
     keyed = with_keys(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
