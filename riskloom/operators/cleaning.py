@@ -27,29 +27,30 @@ def fill_value(df: DataFrame, value, columns: list[str] | None = None) -> DataFr
     return df.withColumns({c: F.coalesce(col(c), F.lit(value).cast(df.schema[c].dataType)) for c in names})
 
 
+def _towards(w, order: list[str], backward: bool):
+    """The rows up to this one, from the end that values come from: a frame that grows takes one step a row, one that shrinks begins anew at each."""
+    return w.orderBy(*[col(c).desc() if backward else col(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+
+
 def fill_ordered(df: DataFrame, columns: list[str], order: list[str], backward: bool = False, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """The previous (or next) value that is not NULL, in an explicit order and within groups if given.
 
     Without groups, rows are dealt in ranges of the first order column; what a range
     hands on to the next comes from a table of one row a range.
     """
-    pick = F.first if backward else F.last
     if not by:
         part = fresh(df.columns, "_range")
         ends_of = [fresh(df.columns, f"_end{k}") for k in range(len(columns))]
         df = df.withColumn(part, range_of(df, order[0], ranges or ranges_for(df.count())))
-        way = W.partitionBy(F.lit(0)).orderBy(part)
-        way = way.rowsBetween(1, W.unboundedFollowing) if backward else way.rowsBetween(W.unboundedPreceding, -1)
-        own = W.partitionBy(part).orderBy(*[col(c) for c in order])
+        way = W.partitionBy(F.lit(0)).orderBy(F.desc(part) if backward else part).rowsBetween(W.unboundedPreceding, -1)
         ends = df.groupBy(part).agg(*[(F.min_by if backward else F.max_by)(col(c), F.when(col(c).isNotNull(), F.struct(*map(col, order)))).alias(e) for c, e in zip(columns, ends_of, strict=True)])
-        ends = ends.select(part, *[pick(e, ignorenulls=True).over(way).alias(e) for e in ends_of])
-        own = own.rowsBetween(0, W.unboundedFollowing) if backward else own.rowsBetween(W.unboundedPreceding, 0)
+        ends = ends.select(part, *[F.last(e, ignorenulls=True).over(way).alias(e) for e in ends_of])
+        own = _towards(W.partitionBy(part), order, backward)
         out = df.join(F.broadcast(ends), part)  # one row a range
-        filled = {c: F.coalesce(pick(col(c), ignorenulls=True).over(own), F.col(e)) for c, e in zip(columns, ends_of, strict=True)}
+        filled = {c: F.coalesce(F.last(col(c), ignorenulls=True).over(own), F.col(e)) for c, e in zip(columns, ends_of, strict=True)}
         return out.withColumns(filled).drop(part, *ends_of)
-    w = W.partitionBy(*map(col, by)).orderBy(*[col(c) for c in order])
-    w = w.rowsBetween(0, W.unboundedFollowing) if backward else w.rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: pick(col(c), ignorenulls=True).over(w) for c in columns})
+    w = _towards(W.partitionBy(*map(col, by)), order, backward)
+    return df.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in columns})
 
 
 def fill_statistic(df: DataFrame, columns: list[str], statistic: str) -> DataFrame:

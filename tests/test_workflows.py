@@ -460,3 +460,14 @@ def test_tree_contributions_against_enumeration(spark, kind, task):
         assert np.allclose(mine, want)
     table = {r["feature"]: r["importance"] for r in m.shap_importance(df).collect()}
     assert table["a"] > 0 and np.allclose(m.contributions(df).toPandas().to_numpy()[:25], got)
+
+
+def test_backward_fill_takes_one_step_a_row(spark):
+    """Frames that end at the last row begin anew at each row: Spark's time was the square of a range's rows."""
+    df = spark.range(4000).selectExpr("id", "if(id % 7 = 3, id, null) as v")
+    plans = [C.fill_ordered(df, ["v"], ["id"], True, **how)._jdf.queryExecution().executedPlan().toString().lower() for how in ({}, {"by": ["v"]})]
+    assert all("unboundedpreceding" in p and "unboundedfollowing" not in p for p in plans)
+    got = [r["v"] for r in C.fill_ordered(df, ["v"], ["id"], True, ranges=5).orderBy("id").collect()]
+    assert got == [next((j for j in range(k, 4000) if j % 7 == 3), None) for k in range(4000)]
+    by = df.withColumn("g", F.col("id") % 2)
+    assert [r["v"] for r in C.fill_ordered(by, ["v"], ["id"], True, by=["g"]).orderBy("id").limit(4).collect()] == [10, 3, 10, 3]
