@@ -262,14 +262,22 @@ def importance_summary(table: DataFrame, top: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= top) if top else out
 
 
-def average_rank(c: Column, by: list[str] = ()) -> Column:
-    """Rank from the greatest, ties sharing their mean."""
-    w = W.partitionBy(*(by or [F.lit(0)]))
-    return F.rank().over(w.orderBy(c.desc())) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
+#: Relative difference below which importances are equal: sums that are added in another order differ by less.
+EQUAL = 1e-9
+
+
+def average_rank(table: DataFrame, c: str, name: str) -> DataFrame:
+    """feature and its rank from the greatest, ties sharing their mean; values with no gap between them above EQUAL are ties."""
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc(c), "feature")
+    before = F.lag(c).over(order)
+    apart = F.coalesce(F.when(F.col(c).isNull(), before.isNotNull()).otherwise(before - F.col(c) > EQUAL * F.abs(F.col(c))).cast("int"), F.lit(0))
+    placed = table.select("feature", F.row_number().over(order).alias("place"), apart.alias("apart"))
+    tied = placed.select("feature", "place", F.sum("apart").over(W.partitionBy(F.lit(0)).orderBy("place")).alias("tie"))
+    return tied.select("feature", F.avg("place").over(W.partitionBy("tie")).alias(name))
 
 
 def rank_features(first: DataFrame, second: DataFrame) -> DataFrame:
     """feature, the rank in each table of importances, and the mean of both."""
-    a = first.select("feature", average_rank(F.col("importance")).alias("rank_a"))
-    b = second.select("feature", average_rank(F.col("importance")).alias("rank_b"))
+    a = average_rank(first, "importance", "rank_a")
+    b = average_rank(second, "importance", "rank_b")
     return a.join(b, "feature", "left").withColumn("mean_rank", (F.col("rank_a") + F.coalesce("rank_b", "rank_a")) / 2)

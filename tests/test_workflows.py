@@ -471,3 +471,11 @@ def test_backward_fill_takes_one_step_a_row(spark):
     assert got == [next((j for j in range(k, 4000) if j % 7 == 3), None) for k in range(4000)]
     by = df.withColumn("g", F.col("id") % 2)
     assert [r["v"] for r in C.fill_ordered(by, ["v"], ["id"], True, by=["g"]).orderBy("id").limit(4).collect()] == [10, 3, 10, 3]
+
+
+def test_importances_that_rounding_parts_are_ties(spark):
+    """Sums of the same values in another order differ in their last digits."""
+    first = spark.createDataFrame([("a", 208.4654152746972), ("twin", 208.4654152746998), ("b", 3.0), ("c", 900.0), ("d", None), ("e", None)], "feature string, importance double")
+    second = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, importance double")
+    got = {r["feature"]: (r["rank_a"], r["rank_b"], r["mean_rank"]) for r in X.rank_features(first, second).collect()}
+    assert got == {"c": (1.0, None, 1.0), "a": (2.5, 2.0, 2.25), "twin": (2.5, None, 2.5), "b": (4.0, 1.0, 2.5), "d": (5.5, None, 5.5), "e": (5.5, None, 5.5)}
