@@ -200,3 +200,12 @@ def test_quantiles_take_few_scans(spark, monkeypatch):
     df = spark.range(50_000).select(*[(F.rand(k) * 10.0**k).alias(f"x{k}") for k in range(12)])
     Q.exact_quantiles(df, {c: F.col(c) for c in df.columns}, [k / 20 for k in range(21)])
     assert len(scans) <= 4
+
+
+def test_a_cut_at_a_whole_rank_is_that_value(spark):
+    """0.6 of 5 is 3, not 3.0000000000000004, which would be above the value 0 and leave its row one bin too low."""
+    assert B.inner(5) == [1 / 5, 2 / 5, 3 / 5, 4 / 5] and B.inner(1) == [0.5]
+    df = spark.createDataFrame([(float(k - 3), k % 2) for k in range(6)], "x double, y int")
+    b = B.WoeBinner(5).fit(df, features=["x"], target="y")
+    assert b.rules["x"].cuts == [-2.0, -1.0, 0.0, 1.0]
+    assert [r["x_bin"] for r in b.transform(df).orderBy("x").collect()] == [0, 1, 2, 3, 4, 4]
