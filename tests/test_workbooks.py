@@ -123,3 +123,15 @@ def test_rows_are_read_one_by_one(tmp_path):
 
     peak(100)
     assert peak(50_000) < peak(5_000) + 500_000
+
+
+def test_a_table_of_several_sheets_is_read_whole(spark, tmp_path):
+    """Sheets of a full one's name and header go on; a sheet of another header, or after one that is not full, is another table."""
+    rows = spark.range(23).selectExpr("id as k", "concat('v', id) as v")
+    path = W.write_xlsx({"t": rows.coalesce(1)}, f"{tmp_path}/long.xlsx", most=8)
+    assert W.sheet_names(path) == ["t", "t_2", "t_3", "t_4"]
+    assert [r["k"] for r in W.load_excel(spark, path, "t", most=8).orderBy("k").collect()] == list(range(23))
+    assert W.load_excel(spark, path, "t", n_rows=10, most=8).count() == 10
+    assert W.load_excel(spark, path, "t").count() == 7
+    other = W.write_xlsx({"t": rows.limit(7), "t_2": rows.selectExpr("k as other")}, f"{tmp_path}/other.xlsx")
+    assert W.load_excel(spark, other, "t", most=8).count() == 7
