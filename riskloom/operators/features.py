@@ -164,7 +164,8 @@ def neighbour_information(df: DataFrame, target: str, columns: list[str], k: int
     equal values are counted. Missing values are 0, rows without a target and classes of one
     row do not count, classes of at most k rows take all their rows.
 
-    Rows become distinct values with their numbers. Neighbours are found in blocks of ranks, of
+    Rows become distinct values with their numbers, which are stored, as are the ends of radii: both
+    are read several times. Neighbours are found in blocks of ranks, of
     which each has the k values beyond its ends; numbers of closer values are differences of
     running sums over ranges, in which the ends of radii stand among the values.
     """
@@ -172,7 +173,10 @@ def neighbour_information(df: DataFrame, target: str, columns: list[str], k: int
         raise ValidationError("a block holds more values than neighbours")
     x = lambda c: F.coalesce(F.when(~F.isnan(number(c)), number(c)), F.lit(0.0))
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (x(c) + 0.0).alias("x")) for c in columns]))
+    from .models import _stored
+
     rows = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("y"), each.alias("p")).groupBy("p.feature", "y", "p.x").agg(F.count(F.lit(1)).alias("c"))
+    rows = _stored(rows)
     sizes = rows.groupBy("feature", "y").agg(F.sum("c").alias("size")).where("size > 1")
     rows = rows.join(sizes, ["feature", "y"])
     ranked = running(rows.withColumn("one", F.lit(1)), "x", {"rank": "one"}, within=("feature", "y")).withColumn("rank", F.col("rank") - 1).drop("one")
@@ -196,7 +200,7 @@ def neighbour_information(df: DataFrame, target: str, columns: list[str], k: int
     asked = found.select("feature", "y", "x", "c", "k", "size", F.explode(ends).alias("e")).select("feature", "y", "x", "c", "k", "size", "e.*", F.lit(0).cast("bigint").alias("n"))
     none = F.lit(None)
     values = rows.groupBy("feature", "x").agg(F.sum("c").alias("n")).select("feature", none.cast("string").alias("y"), none.cast("double").alias("x"), none.cast("bigint").alias("c"), none.cast("bigint").alias("k"), none.cast("bigint").alias("size"), F.col("x").alias("at"), F.lit(value).alias("tag"), F.lit(0).alias("sign"), "n")
-    placed = running(values.unionByName(asked), "at", {"upto": "n"}, ties=("tag",), within=("feature",)).where("sign <> 0")
+    placed = running(_stored(values.unionByName(asked)), "at", {"upto": "n"}, ties=("tag",), within=("feature",)).where("sign <> 0")
     terms = placed.groupBy("feature", "y", "x", "c", "k", "size").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"))
     mean = lambda e: F.sum(F.col("c") * digamma(e.cast("double"))) / F.sum("c")
     mi = digamma(F.sum("c").cast("double")) + mean(F.col("k")) - mean(F.col("size")) - mean(F.greatest(F.col("m"), F.lit(1)))
