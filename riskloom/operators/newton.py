@@ -77,9 +77,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def table(df: DataFrame, y: Column, w: Column, features: list[Column], fold: Column | None = None) -> DataFrame:
-    """The columns that fit() reads: y, w, fold, x0, x1, ..."""
+    """The columns that fit() reads: y, w, fold, x0, x1, ...; rows that are alike are one, with their weights added up."""
     x = [F.coalesce(F.when(~F.isnan(c.cast("double")), c.cast("double")), F.lit(0.0)).alias(f"x{k}") for k, c in enumerate(features)]
-    return df.select(y.cast("double").alias("y"), w.cast("double").alias("w"), (F.lit(0) if fold is None else fold).cast("int").alias("fold"), *x)
+    rows = df.select(y.cast("double").alias("y"), w.cast("double").alias("w"), (F.lit(0) if fold is None else fold).cast("int").alias("fold"), *x)
+    return rows.groupBy("y", "fold", *[f"x{k}" for k in range(len(features))]).agg(F.sum("w").alias("w"))
 
 
 def fit(rows: DataFrame, p: int, wanted: list[Wanted]) -> list[np.ndarray]:

@@ -83,3 +83,17 @@ def test_categorical_psi(spark):
     shares = {"a": (0.8, 0.5), "b": (0.2, 1e-4), "c": (1e-4, 0.5)}
     want = sum((y - x) * np.log(y / x) for x, y in shares.values())
     assert Y.psi_categorical(e, a, "c").first()["psi"] == pytest.approx(want)
+
+
+def test_auc_by_ranges_is_the_auc(spark):
+    """Ties, several groups, one class only, scores beyond the bounds and rows without a score."""
+    from riskloom.operators import models as L
+
+    rng = np.random.default_rng(4)
+    score = np.round(rng.random(900), 2)
+    rows = [(int(w), float(y), float(s)) for w, y, s in zip(rng.integers(0, 3, 900), rng.random(900) < score, score, strict=True)] + [(3, 1.0, 0.5), (1, 1.0, None)]
+    df = spark.createDataFrame(rows, "which int, y double, score double").repartition(3)
+    want = {r["which"]: r["auc"] for r in M.ks_auc(df, "y", "score", by=["which"]).collect()}
+    for bounds in ([], [0.25, 0.5, 0.75], [0.1, 2.0]):
+        got = {r["which"]: r["auc"] for r in L.auc_by_ranges(df, bounds).collect()}
+        assert set(got) == {0, 1, 2, 3} and all(abs(got[w] - want[w]) < 1e-12 for w in want)

@@ -109,3 +109,9 @@ def test_calibrated_folds(spark, df, tmp_path, method):
     model.save(str(tmp_path / "m"))
     again = L.CalibratedModel.load(spark, str(tmp_path / "m")).predict_proba(df, "p").orderBy("k").toPandas()
     assert np.allclose(again["p"], p["p"], atol=1e-12)
+
+
+def test_alike_rows_are_one(spark):
+    df = spark.range(600).selectExpr("cast(id % 4 as double) as x", "id % 3 = 0 as y")
+    rows = newton.table(df, F.col("y"), F.lit(2.0), [F.col("x")])
+    assert rows.count() == 8 and rows.agg(F.sum("w")).first()[0] == 1200.0
