@@ -8,14 +8,19 @@ weights and a sample label; ``price`` there is l_extendedprice with NULL and -99
 from __future__ import annotations
 
 import pickle
+import re
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .operators import binning as B, cleaning as C, features as X, metrics as M, models as L, profiling as P, risk as K, scorecard as S, splits as D, stability as Y
 from .functions import basics, quantiles as Q
 from .sources import tables as IO
-from .sources.shared import put_bytes, shared_path
+from .sources.shared import names_in, put_bytes, put_file, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,13 +126,45 @@ def load_csv(spark, d):
     return IO.load_csv(spark, _spilled(spark, df, "orders.csv"), ["o_orderkey", "o_orderstatus", "o_totalprice"], null_values=["n/a"], schema="o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
 
 
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
+
+def _database(spark: SparkSession, df: DataFrame, name: str, columns: str) -> str:
+    """The JDBC url of a table in a Derby database that all JVMs can read: it is sealed in an archive in the shared folder.
+
+    Executors write the rows as text there. A database that may be written belongs to one process,
+    the driver's JVM: it imports that text file by file, through pages of at most 4 MB.
+    """
+    text, sealed = shared_path(spark, "text"), shared_path(spark, "database.jar")
+    df.write.option("escape", '"').csv(text)
+    sql, local = spark._jvm.java.sql.DriverManager, lambda p: re.sub("^file:(//)?", "", p)
+    spark._jvm.java.lang.Class.forName(DERBY)
+    with tempfile.TemporaryDirectory() as here:
+        link = sql.getConnection(f"jdbc:derby:{here}/db;create=true")
+        do = link.createStatement()
+        do.execute(f"create table {name} ({columns})")
+        for part in names_in(text):
+            if part.endswith(".csv"):
+                do.execute(f"call syscs_util.syscs_import_table(null, '{name.upper()}', '{local(text)}/{part}', null, null, 'UTF-8', 0)")
+        link.close()
+        try:
+            sql.getConnection(f"jdbc:derby:{here}/db;shutdown=true")
+        except Py4JJavaError:  # so Derby says that it has
+            pass
+        with zipfile.ZipFile(f"{here}/it.jar", "w", zipfile.ZIP_STORED) as jar:  # pages are found by place, so they are not compressed
+            for path in sorted(Path(f"{here}/db").rglob("*")):
+                if path.name not in ("db.lck", "dbex.lck"):
+                    jar.write(path, path.relative_to(here))
+        put_file(f"{here}/it.jar", sealed)
+    return f"jdbc:derby:jar:({local(sealed)})db"
+
+
 @query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_totalprice > 100000 group by o_orderstatus")
 def load_jdbc(spark, d):
     """Orders in a database, read back in eight ranges of their keys with the filter pushed down."""
-    url, driver = "jdbc:derby:memory:riskloom;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
     orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", "o_totalprice")
-    orders.write.jdbc(url, "orders_q", mode="overwrite", properties={"driver": driver, "createTableColumnTypes": "o_orderstatus varchar(8)"})
-    found = IO.load_jdbc(spark, 'select * from orders_q', url, '"o_orderkey"', driver=driver)
+    url = _database(spark, orders, "orders_q", '"o_orderkey" bigint, "o_orderstatus" varchar(8), "o_totalprice" double')
+    found = IO.load_jdbc(spark, 'select * from orders_q', url, '"o_orderkey"', driver=DERBY)
     return rounded(found.where("o_totalprice > 100000").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)
 
 
