@@ -389,6 +389,11 @@ def _summary(df: DataFrame, found: list[dict]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "metric string, mean double, std double, min double, max double")
 
 
+def alike(rows: DataFrame, weight: str) -> DataFrame:
+    """Rows that are alike but for their weights as one, with the weights added up; stored."""
+    return _stored(rows.groupBy(*[col(c) for c in rows.columns if c != weight]).agg(F.sum(weight).alias(weight)).select(*map(col, rows.columns)))
+
+
 def _stored(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "folds")
     df.write.parquet(path)
@@ -506,11 +511,13 @@ class Calibrator:
             raise ValidationError(f"no such method: {method}")
         self.method = method
 
-    def fit(self, df: DataFrame, target: str, score: str) -> Calibrator:
+    def fit(self, df: DataFrame, target: str, score: str, weight: str | None = None) -> Calibrator:
+        w = col(weight).cast("double") if weight else F.lit(1.0)
         if self.method == "sigmoid":
-            self.model = ModelTrainer("logistic").fit(df.select(col(target).alias("y"), col(score).alias(SCORE)), "y", [SCORE])
+            self.model = ModelTrainer("logistic").fit(df.select(col(target).alias("y"), col(score).alias(SCORE), w.alias("w")), "y", [SCORE], "w")
         else:
-            rows = df.select(col(target).cast("double").alias("label"), col(score).cast("double").alias(SCORE)).groupBy(SCORE).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+            rows = df.select(col(target).cast("double").alias("label"), col(score).cast("double").alias(SCORE), w.alias("w")).where("label is not null")
+            rows = rows.groupBy(SCORE).agg((F.sum(F.col("label") * F.col("w")) / F.sum("w")).alias("label"), F.sum("w").alias("w"))
             self.model = IsotonicRegression(featuresCol=SCORE, labelCol="label", weightCol="w").fit(rows)
         return self
 
@@ -543,12 +550,17 @@ class CalibratedModel:
         validate_binary_target(df, target)
         self.features, name, score = list(features), fresh(df.columns, "fold"), fresh([*features, target], "_score")
         folded, splits = cv_folds(df, self.k, "stratified", target, list(key) or features, name=name)
-        stored = _stored(folded.select(*map(col, dict.fromkeys([target, *features])), name))
+        rows, weight = folded.select(*map(col, dict.fromkeys([target, *features])), name), None
+        if self.model_type == "logistic":
+            weight = fresh([*rows.columns, score], "_w")
+            stored = alike(rows.withColumn(weight, F.lit(1.0)), weight)
+        else:
+            stored = _stored(rows)
         self.parts = []
         for train, test in splits:
-            model = ModelTrainer(self.model_type, **self.params).fit(stored.where(F.col(name).isin(sorted(train))), target, features)
+            model = ModelTrainer(self.model_type, **self.params).fit(stored.where(F.col(name).isin(sorted(train))), target, features, weight)
             held = model.predict_proba(stored.where(F.col(name) == test), score)
-            self.parts.append((model, Calibrator(self.method).fit(held, target, score)))
+            self.parts.append((model, Calibrator(self.method).fit(held, target, score, weight)))
         return self
 
     def predict_proba(self, df: DataFrame, name: str = "probability") -> DataFrame:

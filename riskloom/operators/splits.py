@@ -38,15 +38,13 @@ def _within(df: DataFrame, by: str, key: list[str], seed: int, ranges: int | Non
     taken = [*df.columns, k, n]
     h, r, c, s, m, b = (fresh(taken, f"_{x}") for x in "hrcsmb")
     rows = df.withColumn(h, hashed(key, seed))
-    classes = rows.groupBy(col(by).alias(c)).agg(F.count(F.lit(1)).alias(n))
     shares = ranges or ranges_for(df.count())
     rows = rows.withColumn(r, F.pmod(F.shiftright(h, 40), F.lit(shares)))
     counts = rows.groupBy(col(by).alias(c), r).agg(F.count(F.lit(1)).alias(m))
     before = F.coalesce(F.sum(m).over(W.partitionBy(c).orderBy(r).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(c, F.col(r).alias(s), before.alias(b))
+    known = counts.select(c, F.col(r).alias(s), before.alias(b), F.sum(m).over(W.partitionBy(c)).alias(n))
     place = F.row_number().over(W.partitionBy(col(by), r).orderBy(h, *[col(x) for x in key]))
-    out = rows.withColumn(k, place).join(starts, col(by).eqNullSafe(F.col(c)) & (F.col(r) == F.col(s))).drop(c)
-    out = out.join(classes, col(by).eqNullSafe(F.col(c)))
+    out = rows.withColumn(k, place).join(known, col(by).eqNullSafe(F.col(c)) & (F.col(r) == F.col(s)))
     return out.withColumn(k, F.col(k) + F.col(b)).drop(c, h, r, s, b)
 
 

@@ -115,3 +115,23 @@ def test_alike_rows_are_one(spark):
     df = spark.range(600).selectExpr("cast(id % 4 as double) as x", "id % 3 = 0 as y")
     rows = newton.table(df, F.col("y"), F.lit(2.0), [F.col("x")])
     assert rows.count() == 8 and rows.agg(F.sum("w")).first()[0] == 1200.0
+
+
+def test_calibrated_folds_read_alike_rows_once(spark, monkeypatch):
+    """Each fit reads rows that are alike as one, and means what it meant with all of them."""
+    df = spark.range(4000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.hash("id") % 3 + F.col("id") % 7 > 3).cast("int").alias("y"))
+    seen, fit = [], L.ModelTrainer.fit
+    monkeypatch.setattr(L.ModelTrainer, "fit", lambda self, rows, *a, **k: seen.append(rows.count()) or fit(self, rows, *a, **k))
+    model = L.CalibratedModel("logistic", k=2).fit(df, "y", ["a"], ["id"])
+    assert len(seen) == 4 and max(seen) <= 2 * 7
+    folded, splits = L.cv_folds(df, 2, "stratified", "y", ["id"])
+    for (trainer, calibrator), (train, test) in zip(model.parts, splits, strict=True):
+        whole = L.ModelTrainer("logistic").fit(folded.where(F.col("fold").isin(sorted(train))).drop("fold"), "y", ["a"])
+        assert trainer.fitted.intercept == pytest.approx(whole.fitted.intercept, rel=1e-6)
+        assert list(trainer.fitted.coefficients) == pytest.approx(list(whole.fitted.coefficients), rel=1e-6)
+        held = whole.predict_proba(folded.where(F.col("fold") == test), "p")
+        by_rows = L.Calibrator().fit(held, "y", "p").model.fitted
+        assert list(calibrator.model.fitted.coefficients) == pytest.approx(list(by_rows.coefficients), rel=1e-4)
+        counted = held.groupBy("y", "p").agg(F.count(F.lit(1)).alias("w"))
+        a, b = (sorted(c.transform(held.select("p").distinct(), "p").select("p", "calibrated").collect()) for c in (L.Calibrator("isotonic").fit(held, "y", "p"), L.Calibrator("isotonic").fit(counted, "y", "p", "w")))
+        assert [r[1] for r in a] == pytest.approx([r[1] for r in b])
