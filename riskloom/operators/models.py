@@ -143,6 +143,8 @@ class ModelTrainer:
             return self._fit_boosted(df, target, w, key, held)
         rows = df.select(col(target).cast("double").alias("_label"), w.alias("_weight"), *self._inputs().values(), *([held.alias("_validation")] if self.stop else []))
         assembler = VectorAssembler(inputCols=list(self._inputs()), outputCol="_features")
+        if self.model_type == "logistic":  # each of some hundred steps reads all rows
+            rows = alike(rows, "_weight")
         total = rows.agg(F.sum("_weight")).first()[0] or 1.0
         fitted = self._estimator(total, "_validation" if self.stop else None).fit(assembler.transform(rows))
         self.model = PipelineModel(stages=[assembler, fitted])

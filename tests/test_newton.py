@@ -135,3 +135,12 @@ def test_calibrated_folds_read_alike_rows_once(spark, monkeypatch):
         counted = held.groupBy("y", "p").agg(F.count(F.lit(1)).alias("w"))
         a, b = (sorted(c.transform(held.select("p").distinct(), "p").select("p", "calibrated").collect()) for c in (L.Calibrator("isotonic").fit(held, "y", "p"), L.Calibrator("isotonic").fit(counted, "y", "p", "w")))
         assert [r[1] for r in a] == pytest.approx([r[1] for r in b])
+
+
+def test_logistic_fits_read_alike_rows_once(spark, monkeypatch):
+    """Spark's steps go over rows that are alike as one."""
+    df = spark.range(4000).select((F.col("id") % 7).cast("double").alias("a"), (F.hash("id") % 3 + F.col("id") % 7 > 3).cast("int").alias("y"), (F.col("id") % 2 + 1).alias("w"))
+    seen, fit = [], L.LogisticRegression.fit
+    monkeypatch.setattr(L.LogisticRegression, "fit", lambda self, rows: seen.append(rows.agg(F.count(F.lit(1)), F.sum("_weight")).first()) or fit(self, rows))
+    L.ModelTrainer("logistic").fit(df, "y", ["a"], "w")
+    assert seen[0][0] <= 2 * 7 and seen[0][1] == 6000
