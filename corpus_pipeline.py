@@ -15,9 +15,14 @@ from riskloom.llm import mixing, packing, quality, scratch, shingles, substrings
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+#: Bytes of rows that Spark hands to Python at once (its own bound is 10,000 rows, which are 25 MB of texts and more outside the heap).
+BATCH_BYTES = 4 << 20
+
+
 def _begin(spark: SparkSession) -> None:
     """The stage before is written: what it was computed from can go."""
     scratch.clear(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import by_shuffle
 from .scratch import save
-from .text import Words, slices
+from .text import KEPT, Words, slices
 
 CAPACITY = 2048
 LEAST_CUT = 64
@@ -126,7 +126,7 @@ class ChunkIds:
 
 def known_ids(path: str) -> ChunkIds:
     """The worker process's own, kept between its tasks."""
-    kept = sys.modules.setdefault("_riskloom_chunk_ids", ModuleType("_riskloom_chunk_ids")).__dict__
+    kept = sys.modules.setdefault(KEPT, ModuleType(KEPT)).__dict__
     if path not in kept:
         kept[path] = ChunkIds(path)
     return kept[path]
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, least_cut: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = known_ids(path), np.array([closing], "<u4").tobytes()
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", SLICE, keep=True):
             rows, table = [], [[], [], [], []]
             flat, bounds = known.ids(batch.column(1))
             flat, bounds = memoryview(flat.astype("<u4").tobytes()), bounds.tolist()

@@ -6,6 +6,9 @@ words are those of ``[^\\x20\\x09-\\x0D]+`` on code points. Null texts count as
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 _R = [np.uint64(x) for x in (29, 31, 32)]
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
+#: Where a worker process keeps an operator's tables between its tasks.
+KEPT = "_riskloom_chunk_ids"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,8 +47,22 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _A + (b ^ (b >> _R[1])) * _C + _B)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut at row bounds so that each holds about ``most`` bytes of the column."""
+def forget(name: str = KEPT) -> None:
+    """Lets go of what a worker process keeps between the tasks of one operator, and of its memory."""
+    if sys.modules.pop(name, None) is not None:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; elsewhere freed memory is the allocator's
+        if trim:
+            trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut at row bounds so that each holds about ``most`` bytes of the column.
+
+    keep: the operator goes on with what its worker keeps between tasks; others' workers let go of it.
+    """
+    if not keep:
+        forget()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -56,3 +56,26 @@ def test_forest_holds_groups_together():
         u.join(x, y)
     assert (u.roots() == roots).all() and len(a) == 498
     assert np.bincount(np.concatenate([a, b])).max() <= 33
+
+
+def test_workers_let_go_of_the_tokenizer(spark):
+    """Tasks of another operator do not carry the tables of packing in their workers; pipeline stages bound their batches."""
+    import corpus_pipeline
+    from riskloom.llm import packing, quality
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string").repartition(4).persist()
+
+    def held(batches):
+        import sys
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"held": ["_riskloom_chunk_ids" in sys.modules] * b.num_rows})
+
+    look = lambda: {r[0] for r in docs.mapInArrow(held, "held boolean").collect()}
+    packing.pieces(docs, packing.default_tokenizer()).count()
+    packing.pieces(docs, packing.default_tokenizer()).collect()
+    assert True in look()
+    quality.feature_rows(docs, "doc_id").collect()
+    assert look() == {False}
+    corpus_pipeline._begin(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == corpus_pipeline.BATCH_BYTES
