@@ -41,6 +41,8 @@ CLASSIFIERS = {"logistic": LogisticRegression, "tree": DecisionTreeClassifier, "
 REGRESSORS = {"linear": LinearRegression, "linear_regression": LinearRegression, "tree": DecisionTreeRegressor, "random_forest": RandomForestRegressor} | dict.fromkeys(BOOSTERS, GBTRegressor)
 #: Rows of one share within which permuted values change places.
 SHARE_ROWS = 100_000
+#: What a task of Spark's trees may read of the rows kept for it, and a row's size there without bins and trees.
+TASK_BYTES, ROW_BYTES = 128 << 20, 160
 #: Grids that are searched where none is given.
 _BOOST_GRID = {"n_estimators": [50, 100, 200], "max_depth": [3, 5, 7], "learning_rate": [0.01, 0.1, 0.2]}
 GRIDS = {
@@ -145,11 +147,20 @@ class ModelTrainer:
         assembler = VectorAssembler(inputCols=list(self._inputs()), outputCol="_features")
         if self.model_type == "logistic":  # each of some hundred steps reads all rows
             rows = alike(rows, "_weight")
-        total = rows.agg(F.sum("_weight")).first()[0] or 1.0
+        sums = rows.agg(F.sum("_weight"), F.count(F.lit(1))).first()
+        total = sums[0] or 1.0
+        if self.model_type not in LINEAR:
+            rows = self._dealt(rows, sums[1])
         fitted = self._estimator(total, "_validation" if self.stop else None).fit(assembler.transform(rows))
         self.model = PipelineModel(stages=[assembler, fitted])
         return self
 
+    def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """The rows in enough partitions: Spark keeps a row with its bins and a number for each tree, and a task reads a partition of these."""
+        trees = int(spark_params(self.model_type, self.params).get("numTrees", 20)) if self.model_type == "random_forest" else 1
+        parts = -(-n * (ROW_BYTES + 4 * (len(self.features) + trees)) // TASK_BYTES)
+        return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
     def _fit_boosted(self, df: DataFrame, target: str, w: Column, key: list[str] | None, held: Column | None) -> ModelTrainer:
         settings = boosting.Settings.of(self.model_type, self.task, self.params | ({"early_stopping_rounds": self.stop} if self.stop else {}), UNUSED)
         held = held if settings.stop else None

@@ -144,3 +144,14 @@ def test_logistic_fits_read_alike_rows_once(spark, monkeypatch):
     monkeypatch.setattr(L.LogisticRegression, "fit", lambda self, rows: seen.append(rows.agg(F.count(F.lit(1)), F.sum("_weight")).first()) or fit(self, rows))
     L.ModelTrainer("logistic").fit(df, "y", ["a"], "w")
     assert seen[0][0] <= 2 * 7 and seen[0][1] == 6000
+
+
+def test_forest_rows_are_dealt(spark, monkeypatch):
+    """No task of Spark's trees has more rows than TASK_BYTES holds; the small table's partitions stay."""
+    df = spark.range(0, 4000, 1, 1).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 97 > 40).cast("int").alias("y"))
+    seen, fit = [], L.RandomForestClassifier.fit
+    monkeypatch.setattr(L.RandomForestClassifier, "fit", lambda self, rows: seen.append(rows.rdd.glom().map(len).collect()) or fit(self, rows))
+    L.ModelTrainer("random_forest", n_estimators=3).fit(df, "y", ["a"])
+    monkeypatch.setattr(L, "TASK_BYTES", 1000 * (L.ROW_BYTES + 4 * (1 + 3)))
+    L.ModelTrainer("random_forest", n_estimators=3).fit(df, "y", ["a"])
+    assert seen[0] == [4000] and len(seen[1]) == 4 and sum(seen[1]) == 4000 and max(seen[1]) <= 1001
