@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_given_back(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go as it ends, not with the driver's garbage; no table may be evaluated twice."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _store(path: str):
     """The path as the JVM's, and the file system it is on; a path without scheme is on Spark's default one."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()

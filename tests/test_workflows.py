@@ -5,7 +5,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from riskloom.errors import ConfigurationError, ValidationError
 from riskloom.functions.basics import Roles, safe_divide, validate_binary_target
@@ -479,3 +479,31 @@ def test_importances_that_rounding_parts_are_ties(spark):
     second = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, importance double")
     got = {r["feature"]: (r["rank_a"], r["rank_b"], r["mean_rank"]) for r in X.rank_features(first, second).collect()}
     assert got == {"c": (1.0, None, 1.0), "a": (2.5, 2.0, 2.25), "twin": (2.5, None, 2.5), "b": (4.0, 1.0, 2.5), "d": (5.5, None, 5.5), "e": (5.5, None, 5.5)}
+
+
+@pytest.mark.parametrize("kind", ["logistic", "xgboost", "tree"])
+def test_permutations_in_passes_leave_no_shuffle_files(spark, monkeypatch, kind):
+    """Passes bound the disk that ordered scores take; they give what one pass gives, and what Spark's own hashes and scores give."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(3000, 2)).round(2), columns=["a", "b"]).assign(c=[None if k % 9 == 0 else float(k % 5) for k in range(3000)])
+    df = spark.createDataFrame(pdf.assign(y=(pdf["a"] + rng.normal(size=3000) > 0).astype(int)))
+    params = {"xgboost": {"n_estimators": 3}, "tree": {"max_depth": 4}}.get(kind, {})
+    m = L.train_model(df, "y", ["a", "b", "c"], kind, **params)
+    files = lambda: {n for _, _, names in os.walk(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]) for n in names if n.startswith("shuffle_")}
+    shares = df.select(F.struct(*[F.col(c).cast("double").alias(c) for c in "abc"]).alias("own"), "y").withColumn("h", F.xxhash64("own", "y")).withColumn("s", F.pmod("h", F.lit(16)))
+    p = shares.withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("h"))).select("own.*", "s", "y", "r", *[F.xxhash64("h", "r", F.lit(42 + k)).alias(f"p{k}") for k in range(2)]).toPandas()
+    want = dict.fromkeys("abc", 0.0)
+    auc = lambda t: L.evaluate(m, spark.createDataFrame(t[["a", "b", "c", "y"]], "a double, b double, c double, y int"), "y")["auc"]
+    own = p.sort_values(["s", "r"], ignore_index=True)
+    for k in range(2):
+        other = p.sort_values(["s", f"p{k}"], ignore_index=True)
+        for c in "abc":
+            want[c] += (auc(p) - auc(own.assign(**{c: other[c]}))) / 2
+    seen, mixed = [], L._mixed
+    monkeypatch.setattr(L, "_mixed", lambda n, wanted, seed: seen.append(len(wanted)) or mixed(n, wanted, seed))
+    for most in (1, 10**9):
+        monkeypatch.setattr(L, "PASS_SCORES", most)
+        before = files()
+        got = {r["feature"]: r["importance"] for r in L.permutation_importance(m, df, "y", 2).collect()}
+        assert got == pytest.approx(want, abs=1e-9) and not files() - before
+    assert seen == [4, 3, 7]
