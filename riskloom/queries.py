@@ -193,11 +193,9 @@ def load_excel(spark, d):
 
 @query("select o_orderkey, o_orderstatus, o_totalprice, o_orderdate::date::varchar as o_orderdate, (o_orderdate::timestamp + to_seconds(o_orderkey % 86399 + 1))::varchar as placed from orders")
 def workbooks_by_status(spark, d):
-    """A folder of workbooks, one for each status, read as one table with its dates and times."""
+    """A folder of workbooks, each of one status, read as one table with its dates and times."""
     df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), F.expr("timestampadd(second, o_orderkey % 86399 + 1, o_orderdate)").cast("timestamp_ntz").alias("placed"))
-    folder = shared_path(spark, "workbooks")
-    for r in df.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect():
-        IO.write_xlsx({"orders": df.where(F.col("o_orderstatus").eqNullSafe(r[0]))}, f"{folder}/{r[0]}.xlsx")
+    folder = IO.write_workbooks(df, shared_path(spark, "workbooks"), "orders", "o_orderstatus")
     # days and times as their text, which tells a date from a timestamp
     return IO.load_excel(spark, folder, sheet_name="orders").withColumns({c: F.col(c).cast("string") for c in ("o_orderdate", "placed")})
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..errors import ConfigurationError
 from ..functions.basics import col, ensure_dataframe, plain
 from .shared import get_bytes, put_bytes
-from .workbooks import load_excel, sheet_names, write_xlsx
+from .workbooks import load_excel, sheet_names, write_workbooks, write_xlsx
 
 
 def load_csv(spark: SparkSession, path: str, columns: list[str] | None = None, n_rows: int | None = None, skip_rows: int = 0, has_header: bool = True, separator: str = ",", encoding: str = "utf-8", null_values: list[str] = (), schema: str | None = None) -> DataFrame:

@@ -135,3 +135,25 @@ def test_a_table_of_several_sheets_is_read_whole(spark, tmp_path):
     assert W.load_excel(spark, path, "t").count() == 7
     other = W.write_xlsx({"t": rows.limit(7), "t_2": rows.selectExpr("k as other")}, f"{tmp_path}/other.xlsx")
     assert W.load_excel(spark, other, "t", most=8).count() == 7
+
+
+def test_tasks_write_workbooks_of_one_value(spark, tmp_path, monkeypatch):
+    """A folder's workbooks are written where the rows are, several for a value, and none passes the driver row by row."""
+    rows = [(k, (None, "a/b", "c", "N")[k % 4], None if k % 7 == 0 else k / 2, dt.date(1995, 1, 1 + k % 28), dt.datetime(1995, 1, 1, 0, 0, 1 + k % 50)) for k in range(200)]
+    df = spark.createDataFrame(rows, "k bigint, s string, x double, d date, t timestamp_ntz").repartition(3)
+    monkeypatch.setattr(W, "write_xlsx", None)
+    folder = W.write_workbooks(df, f"file://{tmp_path}/books", "it", "s", book_rows=10)
+    names = [p.name for p in (tmp_path / "books").glob("*.xlsx")]
+    assert len(names) >= 20 and {n.rsplit("-", 1)[0] for n in names} == {"None", "a%2Fb", "c", "N"}
+    got = IO.load_excel(spark, folder, "it")
+    assert got.dtypes == df.dtypes and sorted(map(tuple, got.collect())) == rows
+    one = IO.load_excel(spark, f"file://{tmp_path}/books/{sorted(names)[0]}", "it")
+    assert one.select("s").distinct().count() == 1 and one.count() <= 10
+
+
+def test_workbooks_by_status_come_from_several_tasks(spark, tmp_path, monkeypatch):
+    """The query's tables are not written by the driver's process."""
+    from riskloom import queries
+
+    monkeypatch.setattr(IO, "write_xlsx", None)
+    assert queries.workbooks_by_status(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
