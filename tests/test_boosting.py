@@ -236,3 +236,26 @@ def test_alike_rows_are_stored_once(spark):
         assert found[0][0][9] == 600 and loss[1] == 600
     finally:
         rows.close()
+
+
+def test_trees_of_one_split_a_level_are_read_by_levels():
+    """One comparison a level for all rows; the leaves are those that the nodes' own splits lead to."""
+    from riskloom.operators.boosting import Tree
+
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 9, (500, 3)).astype(np.uint8)
+    values = np.where(bins == 0, np.nan, bins.astype(float))
+    for missing_left in (True, False):
+        tree, frontier = Tree(), [0]
+        for f, last in ((0, 4), (2, 3), (1, 6), (0, 2)):
+            frontier = [c for v in frontier for c in tree.split(v, f, last, last + 1.0, missing_left, 1.0)]
+            got = tree.place(bins, True)
+            for row, leaf in zip(bins, got, strict=True):
+                v = 0
+                while tree.feature[v] >= 0:
+                    b = row[tree.feature[v]]
+                    v = tree.left[v] if b <= tree.bin[v] and (b or missing_left) else tree.right[v]
+                assert v == leaf
+            assert len(tree.levels()) > 1 and (got == tree.place(values, False)).all()
+        tree.split(frontier[0], 1, 2, 3.0, missing_left, 1.0)
+        assert not tree.levels()
